@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules, token_files
+from . import language_id, mixing, nearest_neighbours, ngram_join, packing, quality_classifier, quality_rules, token_files
 
 
 def _path(name: str) -> str:
@@ -18,6 +18,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(_remainder(5) != 0).select("doc_id", F.col("quality").alias("label"))
+    scored = quality_classifier.score(docs, quality_classifier.train(docs, labels))
+    return scored.select(
+        "doc_id",
+        F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")))
     base = F.col("failed_bits").bitwiseAND(F.lit(quality_rules.mask(quality_rules.BASE)).cast("long")) != 0
@@ -37,13 +54,39 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    langs, logp = language_id.train(docs.where(_remainder(4) != 2))
+    found = language_id.predict(docs, langs, logp)
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", F.to_json("languages").alias("languages"))
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality_rules, op4_token_files, op6_best_fit_packing, op9_mixing)}
+    found = (
+        op2_quality_classifier,
+        op3_quality_rules,
+        op4_token_files,
+        op6_best_fit_packing,
+        op7_language_id,
+        op8_ngram_jaccard_join,
+        op9_mixing,
+        op10_nearest_neighbours,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP3_SQL = r"""
@@ -87,6 +130,27 @@ SELECT doc_id, size, source_size, target,
   (size * (whole + CASE WHEN (2 * ahead + size)::DOUBLE < 2 * (target - whole * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken FROM f
 """
 
+OP10_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.e, b.e) AS score
+  FROM v AS a JOIN v AS b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w),
+t AS (SELECT doc_id, unnest(sh) AS g FROM s),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM t AS a JOIN t AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+r(d, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.d)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.c) AS component_id FROM n JOIN r ON r.d = n.doc_id GROUP BY ALL
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op9_mixing": OP9_SQL}
+    return {"op8_ngram_jaccard_join": OP8_SQL, "op10_nearest_neighbours": OP10_SQL, "op3_quality_rules": OP3_SQL, "op9_mixing": OP9_SQL}

@@ -124,3 +124,29 @@ def shingle_hashes(h: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarra
         w = h[bounds[d] : bounds[d + 1]]
         out[out_bounds[d]] = mix((w * _STEP[: len(w)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(w)))[0]
     return out, out_bounds
+
+
+_CLASS = np.zeros((3, 256), np.int32)  # capital, letter (any byte of a non-ASCII character counts), other sign
+_CLASS[0, 65:91] = 1
+_CLASS[1, 65:91] = _CLASS[1, 97:123] = _CLASS[1, 128:] = 1
+_CLASS[2] = ~(_SEP | _CLASS[1].astype(bool))
+
+
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    is_word = ~_SEP[data]
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets[:-1]] = True
+    begins = is_word.copy()
+    begins[1:] &= ~is_word[:-1] | first[1:-1]
+    return np.flatnonzero(begins)
+
+
+def word_shapes(col: pa.Array) -> np.ndarray:
+    """One small code per word, in the order of ``word_hashes``: use of capitals, of letters and of other signs."""
+    data, offsets = utf8_of(col)
+    starts = word_starts(data, offsets)
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    caps, letters, other = (np.add.reduceat(_CLASS[k][data], starts) for k in range(3))
+    case = np.where(caps == 0, 0, np.where((caps == letters) & (caps > 1), 3, np.where(caps == 1, 1, 2)))
+    return (case + 4 * np.minimum(other, 3) + 16 * (letters == 0) + 32 * np.minimum(letters // 8, 3)).astype(np.uint64)
