@@ -79,6 +79,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
 
 
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: rows of ``docs`` as often as ``mixed`` takes them (joined by doc_id, which must be unique)."""
-    times = mixed.where("repeats > 0").select("doc_id", "repeats")
-    return docs.join(times, "doc_id").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*docs.columns)
+    """The mix itself: rows of ``docs`` as often as ``mixed`` takes their id."""
+    times = mixed.where("repeats > 0").groupBy(F.col("doc_id").alias("_d")).agg(F.max("repeats").alias("_times"))
+    met = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_d")))
+    return met.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)

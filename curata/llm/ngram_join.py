@@ -33,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .storage import parts_for, stored
+from .storage import stored
 from .words import mix, shingle_hashes, slices, word_hashes
 
 FREQUENT = 40
@@ -132,7 +133,8 @@ def _signer(k: int, percent: int, frequency):
             flat = np.concatenate(signs) if signs else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), lists], ["doc_id", "n", "fp", "signs"]
+                [batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), lists],
+                ["doc_id", "key", "n", "fp", "signs"],
             )
 
     return sign
@@ -239,12 +241,14 @@ def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame | Non
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+    """doc_id, key (hash of the text), n_shingles, component_id of every document."""
     spark: SparkSession = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
     frequency = spark.sparkContext.broadcast(frequency_sketch(texts, k, sketch_bits(docs)))  # 2 ** 26 bytes at most
-    signed = stored(texts.mapInArrow(_signer(k, percent, frequency), f"doc_id {kind}, n long, fp binary, signs array<long>"), "signed")
+    keyed = texts.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    schema = f"doc_id {kind}, key long, n long, fp binary, signs array<long>"
+    signed = stored(keyed.mapInArrow(_signer(k, percent, frequency), schema), "signed")
     filled = signed.where("n > 0")
     classes = stored(filled.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "classes")
     rows = filled.join(classes.where("first_doc is not null"), "fp", "left_semi").select("fp", "n", F.explode("signs").alias("sign"))
@@ -262,5 +266,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         lowest = linked.groupBy(F.col("root").alias("of")).agg(F.min("first_doc").alias("component_id"))
         by_class = linked.join(lowest, F.col("root") == F.col("of")).select("fp", "component_id")
         joined = classes.join(by_class, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"))
-    found = signed.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(joined, "fp", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = signed.select("doc_id", "key", F.col("n").alias("n_shingles"), "fp").join(joined, "fp", "left")
+    return found.select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs``, all columns, with one row of each group: that with the smallest id, then text hash. Rows without words stay."""
+    found = near_duplicates(docs, k, percent).where("n_shingles > 0")
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("p")).select(
+        F.col("p.doc_id").alias("_d"), F.col("p.key").alias("_k"), F.lit(True).alias("_first")
+    )
+    empty = F.coalesce(~F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(True))
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_empty", empty)
+    met = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    # Rows that are repeated whole share id and text; the join has already brought them together.
+    place = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("_empty"))
+    return met.withColumn("_n", place).where("_empty or (_first and _n = 1)").select(*docs.columns)

@@ -114,11 +114,11 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int =
     return np.frombuffer(found[0]["weights"], "<f4") if found else np.zeros(1 << bits, "<f4")
 
 
-def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of every document and ``score`` in 0..1; higher: the label 1 is likelier."""
+def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns ``keep`` of every document and ``name``: a score in 0..1; higher: the label 1 is likelier."""
     shared = docs.sparkSession.sparkContext.broadcast(np.asarray(weights))
     chosen = docs.select("text", *[c for c in keep if c != "text"])
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{name}` double"
 
     def run(batches):
         w = shared.value.astype(float)
@@ -128,6 +128,6 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS, keep: tuple[st
                 d, place, value = features(text[i:j], bits)
                 margin = np.bincount(d, w[place] * value, minlength=j - i)
                 p = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c)[i:j] for c in keep), pa.array(p)], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[i:j] for c in keep), pa.array(p)], [*keep, name])
 
     return chosen.mapInArrow(run, schema)

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, nearest_neighbours, ngram_join, packing, quality_classifier, quality_rules, token_files
+from . import (
+    html_text,
+    language_id,
+    mixing,
+    nearest_neighbours,
+    ngram_join,
+    packing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    token_files,
+)
 
 
 def _path(name: str) -> str:
@@ -18,6 +29,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def _remainder(n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
@@ -49,6 +64,17 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(manifest, tokenizer).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{pii.KINDS[kind]}")
+    return found.select(
+        "doc_id",
+        *map(number, range(4)),
+        F.sha2(pii.listed(F.col("spans")), 256).alias("base_sha256"),
+        pii.listed(F.col("spans"), F.col("terms")).alias("spans"),
+    )
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"), end_id=2)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
@@ -63,7 +89,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=90)
+    found = ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,9 +104,11 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = (
+        op1_html_text,
         op2_quality_classifier,
         op3_quality_rules,
         op4_token_files,
+        op5_pii,
         op6_best_fit_packing,
         op7_language_id,
         op8_ngram_jaccard_join,
