@@ -66,11 +66,11 @@ def c1(spark, sf_dir):
 
 @C.add(
     "c3_chips",
-    f"WITH {ENTITY_SQL} SELECT entity_id, name FROM e WHERE p_size > 20 AND contains(lower(p_type), 'brass')",
+    f"WITH {ENTITY_SQL} SELECT entity_id, name FROM e WHERE p_size > 20 AND contains(lower(p_type), 'a')",
 )
 def c3(spark, sf_dir):
-    known = {"large": F.col("p_size") > 20, "brass": F.contains(F.lower("p_type"), F.lit("brass")), "small": F.col("p_size") <= 20}
-    return S.chipped(entities(spark, sf_dir), "large, Brass, unheard", known).select("entity_id", "name")
+    known = {"large": F.col("p_size") > 20, "with_a": F.contains(F.lower("p_type"), F.lit("a")), "small": F.col("p_size") <= 20}
+    return S.chipped(entities(spark, sf_dir), "large, With_A, unheard", known).select("entity_id", "name")
 
 
 @C.add("c4_page", f"WITH {ENTITY_SQL} SELECT entity_id, name, price FROM e ORDER BY price DESC, entity_id LIMIT 50 OFFSET 100")
