@@ -90,8 +90,9 @@ def null_fill(current: DataFrame, proposed: DataFrame, key: str, column: str) ->
 
 
 def upserted(current: DataFrame, changes: DataFrame, key: str, sequence: str) -> DataFrame:
-    """The change with the highest sequence replaces the row."""
-    both = current.withColumn("_seq", F.lit(-1).cast("long")).unionByName(changes.withColumn("_seq", F.col(sequence).cast("long")).select(*current.columns, "_seq"))
+    """The change with the highest sequence replaces the row; a state that keeps the sequence is not set back by older changes."""
+    held = F.coalesce(F.col(sequence), F.lit(-1)) if sequence in current.columns else F.lit(-1)
+    both = current.withColumn("_seq", held.cast("long")).unionByName(changes.withColumn("_seq", F.col(sequence).cast("long")).select(*current.columns, "_seq"))
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_seq")))
     return both.withColumn("_n", place).where("_n = 1").select(*current.columns)
 
