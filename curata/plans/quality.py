@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from curata.sources.files import scratch_path
+
 # M2, K1: id -> (severity, fail action, check: tables to a one-row DataFrame with n_failed)
 Check = Callable[[dict[str, DataFrame]], DataFrame]
 INVARIANTS: dict[str, tuple[str, str, Check]] = {}
@@ -134,14 +136,21 @@ def supersession_faults(edges: DataFrame, entities: DataFrame, key: str) -> Data
 
 
 def survivors(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(source, survivor): supersession chains followed to their end by doubling; cycles end after ``rounds``."""
+    """(source, survivor): supersession chains followed to their end by doubling; cycles end after ``rounds``.
+
+    Each round is written to the shared folder, so lineage stays one round deep.
+    """
+    spark = edges.sparkSession
     at = edges.select("source", F.col("target").alias("survivor"))
     for _ in range(rounds):
         onward = at.select(F.col("source").alias("_s"), F.col("survivor").alias("_next"))
         moved = at.join(onward, F.col("survivor") == F.col("_s"), "left")
-        if moved.where("_next is not null and _next <> survivor").isEmpty():
+        path = scratch_path(spark, "survivors")
+        moved.select("source", F.coalesce("_next", "survivor").alias("survivor"), (F.col("_next") != F.col("survivor")).alias("_moved")).write.parquet(path)
+        done = spark.read.parquet(path)
+        at = done.select("source", "survivor")
+        if done.where("_moved").isEmpty():
             break
-        at = moved.select("source", F.coalesce("_next", "survivor").alias("survivor")).checkpoint() if at.sparkSession.sparkContext.getCheckpointDir() else moved.select("source", F.coalesce("_next", "survivor").alias("survivor"))
     return at
 
 
