@@ -5,8 +5,9 @@ A document's set holds the 64-bit hashes of its distinct shingles of ``k`` words
 are joined, so exact copies cost one row each.
 
 Order and classes of tokens. A sketch of saturating counts over all documents (2 ** bits bytes, bits by input size, 64 MB
-at most) estimates how frequent a token is. Tokens are ordered rare before frequent, then by estimate and hash. The
-order only steers the work: results are exact for any sketch.
+at most) estimates how frequent a token is. Tokens are ordered rare before frequent, then by estimate and hash. A second
+one over the signatures leaves out those that occur once. Sketches only steer the work: results are exact for any of them,
+and beyond some hundred million tokens they fill up and more candidates have to be told apart by the later filters.
 
 Signatures. A document of n tokens may miss m = n - ceil(percent * n / 100) of them in a partner. If m + 1 of its tokens are
 rare, each of those is a signature. Otherwise all r rare ones are, and the prefix is extended by frequent tokens, which
@@ -14,9 +15,12 @@ enter as combinations of two neighbours: a missing token breaks two of them and
 2 * (m - r) + extra + 2 frequent tokens leave a common signature, where ``extra`` is what the partner can hold besides when m are
 missing. Below 75 percent every token counts as rare.
 
+Candidates are first compared by 256 counts of their tokens' hash bins, whose differences never exceed those of the sets;
+only the sets of pairs that pass are compared in full.
+
 Verification without all pairs. In rounds, each bucket (documents with one signature) names pivots and compares them with
 those of its members that are in another component so far. Verified pairs join components, pivots leave the bucket, and
-a bucket whose members are in one component is done. The pivots per bucket grow fourfold each round, so the loop ends
+a bucket whose members are in one component is done. A round names 64 times as many pivots a bucket as the one before (4 at first), so the loop ends
 after all pairs at the latest; a group of near copies is usually done after one or two rounds of linear size.
 
 Edge cases: texts without words, or null, have an empty set and link with nothing (their component is their own id); fewer
@@ -35,18 +39,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import stored
+from .storage import Shelf, stored
 from .words import mix, shingle_hashes, slices, word_hashes
 
 FREQUENT = 40
 BLOCK = 1 << 16
-SETS = "fp binary, n long, shingles binary"
+BINS = 256
+TEXTS = "fp binary, text string"
 
 
-def sketch_bits(docs: DataFrame) -> int:
-    """Slots for the sketch: about one for each eight tokens of a table stored at its estimated size, 2 ** 26 at most."""
+def sketch_bits(docs: DataFrame, bytes_each: int, most: int = 26) -> int:
+    """Slots (a power of two) for a table stored at its estimated size: one for each ``bytes_each``, 2 ** ``most`` at most."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(26, max(16, int(np.ceil(np.log2(max(1, min(size, 1 << 50)) / 32)))))
+    return min(most, max(16, int(np.ceil(np.log2(max(1, min(size, 1 << 50)) / bytes_each)))))
 
 
 def _sets(col: pa.Array, k: int):
@@ -62,13 +67,29 @@ def _slot(tokens: np.ndarray, bits: int) -> np.ndarray:
     return (tokens >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _counter(k: int, bits: int):
+def _shingles(k: int):
+    def hashes(batch):
+        for i, j in slices(batch.column("text")):
+            h, bounds = word_hashes(batch.column("text")[i:j])
+            yield shingle_hashes(h, bounds, k)[0]
+
+    return hashes
+
+
+def _longs(name: str):
+    def hashes(batch):
+        col = batch.column(name)
+        yield np.asarray(col.flatten() if pa.types.is_list(col.type) else col).view(np.uint64)
+
+    return hashes
+
+
+def _counter(hashes, bits: int):
     def count(batches):
         total = np.zeros(1 << bits, np.uint8)
         for batch in batches:
-            for i, j in slices(batch.column("text")):
-                h, bounds = word_hashes(batch.column("text")[i:j])
-                at, n = np.unique(_slot(shingle_hashes(h, bounds, k)[0], bits), return_counts=True)
+            for h in hashes(batch):
+                at, n = np.unique(_slot(h, bits), return_counts=True)
                 total[at] = np.minimum(255, total[at] + n)
         for b, block in enumerate(total.reshape(-1, BLOCK)):
             if block.any():
@@ -88,15 +109,14 @@ def _adder(batches):
         yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "counts": [zlib.compress(block, 1)]})
 
 
-def frequency_sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
-    """Saturating counts of all shingles in 2 ** bits slots."""
+def sketch(rows: DataFrame, hashes, bits: int) -> np.ndarray:
+    """Saturating counts of all hashes that ``hashes`` finds in the rows, in 2 ** bits slots of a byte."""
     schema = "block int, counts binary"
-    parts = docs.select("text").mapInArrow(_counter(k, bits), schema)
-    # A task adds up whole blocks as they come in; twice, so that no block meets more than a share of the first tasks.
-    salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).repartition("block", "salt").drop("salt")
-    merged = salted.mapInArrow(_adder, schema).repartition("block").mapInArrow(_adder, schema)
+    parts = rows.mapInArrow(_counter(hashes, bits), schema)
+    # A task adds up whole blocks as they come in, so it holds no more than the blocks dealt to it.
+    merged = parts.repartition("block").mapInArrow(_adder, schema)
     total = np.zeros(((1 << bits) // BLOCK, BLOCK), np.uint8)
-    for row in merged.toLocalIterator():  # 2 ** bits bytes in all
+    for row in merged.collect():  # 2 ** bits bytes in all
         total[row["block"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
     return total.reshape(-1)
 
@@ -124,58 +144,101 @@ def signatures(tokens: np.ndarray, frequency: np.ndarray, percent: int) -> np.nd
 def _signer(k: int, percent: int, frequency):
     def sign(batches):
         for batch in batches:
-            n, fp, signs = [], [], []
+            n, fp, signs, bins = [], [], [], []
             for s in _sets(batch.column("text"), k):
                 n.append(len(s))
                 fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 signs.append(np.unique(signatures(s, frequency.value, percent)).view(np.int64))
+                bins.append(np.minimum(255, np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)).astype(np.uint8).tobytes())
             cut = np.cumsum([0, *map(len, signs)]).astype(np.int32)
             flat = np.concatenate(signs) if signs else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), lists],
-                ["doc_id", "key", "n", "fp", "signs"],
+                [batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), lists, pa.array(bins, pa.binary())],
+                ["doc_id", "key", "n", "fp", "signs", "bins"],
             )
 
     return sign
 
 
-def _set_writer(k: int):
-    def write(batches):
+def _bucket_rows(seen):
+    """(sign, fp, n) of the signatures that may occur twice."""
+
+    def rows(batches):
+        counts = seen.value
+        bits = int(len(counts)).bit_length() - 1
+        for batch in batches:
+            signs = batch.column("signs")
+            flat = np.asarray(signs.flatten())
+            owner = np.repeat(np.arange(len(signs)), np.diff(np.asarray(signs.offsets)))
+            hit = counts[_slot(flat.view(np.uint64), bits)] > 1
+            at = pa.array(owner[hit])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat[hit]), batch.column("fp").take(at), batch.column("n").take(at)], ["sign", "fp", "n"]
+            )
+
+    return rows
+
+
+def _wanted_texts(k: int, wanted):
+    def pick(batches):
+        marks = wanted.value
+        bits = int(len(marks)).bit_length() - 1
         for batch in batches:
-            rows = list(_sets(batch.column("text"), k))
-            for i in range(0, len(rows), 256):
-                part = rows[i : i + 256]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in part], pa.binary()),
-                        pa.array([len(s) for s in part], pa.int64()),
-                        pa.array([s.tobytes() for s in part], pa.binary()),
-                    ],
-                    ["fp", "n", "shingles"],
-                )
-
-    return write
-
-
-def _verifier(percent: int):
+            hit = pa.array(marks[_slot(np.asarray(batch.column("h")).view(np.uint64), bits)] > 0)
+            text = batch.column("text").filter(hit)
+            fp = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in _sets(text, k)]
+            for i in range(0, len(fp), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(fp[i : i + 256], pa.binary()), text[i : i + 256]], ["fp", "text"])
+
+    return pick
+
+
+def texts_of(texts: DataFrame, nodes: DataFrame, k: int, bits: int) -> DataFrame:
+    """(fp, text) of the classes ``nodes`` (fp, first_doc).
+
+    A bitmap of their ids (2 ** bits bytes) goes to all tasks, so that only texts that may be wanted are shuffled; the
+    join by fingerprint settles it.
+    """
+    wanted = texts.sparkSession.sparkContext.broadcast(sketch(nodes.select(F.xxhash64("first_doc").alias("h")), _longs("h"), bits))
+    rows = texts.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_wanted_texts(k, wanted), TEXTS)
+    return rows.join(nodes.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
+
+
+def _near_enough(percent: int):
+    """Pairs whose bin counts differ by no more than their sets may: the sum of differences never exceeds the sets' own."""
+
+    def keep(batches):
+        for batch in batches:
+            wide = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)  # noqa: B023, E731
+            if not len(batch):
+                continue
+            apart = np.abs(wide("bins_a") - wide("bins_b")).sum(1, dtype=np.int64)
+            total = np.asarray(batch.column("n_a")) + np.asarray(batch.column("n_b"))
+            # union - intersection <= (100 - percent) / (100 + percent) * (|x| + |y|) for sets that link
+            ok = apart * (100 + percent) <= (100 - percent) * total
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
+
+    return keep
+
+
+def _verifier(k: int, percent: int):
     def verify(batches):
         for batch in batches:
-            left, right = batch.column("left"), batch.column("right")
             ok = []
-            for a, b in zip(left, right, strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            for x, y in zip(_sets(batch.column("left"), k), _sets(batch.column("right"), k), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
+            hit = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(hit) for c in ("a", "b")], ["a", "b"])
 
     return verify
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
+def components(edges: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b): the smallest node it is connected with.
 
-    Large-star and small-star steps in turn until nothing changes; each step is two shuffles of the edges left.
+    Large-star and small-star steps in turn until only stars are left; each step is a few shuffles of the edges left.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -189,23 +252,26 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         hung = met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return hung.where("a <> b").distinct()
 
-    def state(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    def done(e: DataFrame) -> bool:
+        """Only stars are left: every node hangs on one root, and no root hangs on another."""
+        n = e.agg(F.count("*").alias("n"), F.countDistinct("a").alias("d")).first()
+        return n["n"] == n["d"] and e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty()
 
-    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    now, before = state(e), None
-    while now != before:
-        e, before = stored(star(star(e, True), False), label), now
-        now = state(e)
+    shelf = shelf or Shelf(edges.sparkSession)
+    e = shelf.put("components", edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not done(e):
+        e = shelf.put("components", star(star(e, True), False))
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """(node, root) of the classes that link with another, from bucket rows (sign, fp, n)."""
+def _links(texts: DataFrame, classes: DataFrame, buckets: DataFrame, k: int, percent: int, shelf: Shelf) -> DataFrame | None:
+    """(node, root) of the classes that link with another, from bucket rows (sign, fp, n, comp)."""
     active = buckets
-    edges = checked = labels = None
-    pivots_each = 1
+    edges = labels = None
+    pivots_each = 4
+    bits = sketch_bits(texts, 256)
+    bins = lambda c: classes.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}"))
     while True:
         salt = F.pmod(F.xxhash64("fp"), F.lit(pivots_each))
         pivots = active.groupBy("sign", salt.alias("salt")).agg(F.min(F.struct("fp", "n", "comp")).alias("p"))
@@ -215,50 +281,53 @@ def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame | Non
         near = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
         pairs = active.join(pivots, F.col("sign") == F.col("s")).where((F.col("comp") != F.col("pivot_comp")) & near)
         pairs = pairs.select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        one = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("left")), "a")
-        two = one.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("right")), "b").select("a", "b", "left", "right")
-        done = stored(two.mapInArrow(_verifier(percent), "a binary, b binary, linked boolean"), "verified")
-        new, no = done.where("linked").select("a", "b"), done.where("not linked").select("a", "b")
-        edges = new if edges is None else edges.union(new)
-        checked = no if checked is None else checked.union(no)
+        compared = pairs.join(bins("a"), "a").join(bins("b"), "b").select("a", "b", "n_a", "n_b", "bins_a", "bins_b")
+        likely = shelf.put("likely", compared.mapInArrow(_near_enough(percent), "a binary, b binary"))
+        nodes = likely.select(F.col("a").alias("fp")).union(likely.select("b")).distinct().join(classes.select("fp", "first_doc"), "fp")
+        wanted = shelf.put("texts", texts_of(texts, nodes, k, bits))
+        one = likely.join(wanted.select(F.col("fp").alias("a"), F.col("text").alias("left")), "a")
+        two = one.join(wanted.select(F.col("fp").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
+        new = shelf.put("links", two.mapInArrow(_verifier(k, percent), "a binary, b binary"))
+        shelf.drop("texts", "likely")
         if not new.isEmpty():
-            labels = components(edges)
-            # Later rounds only need what ties the components together.
+            # Of earlier links only what ties the components together is needed.
+            labels = components(new if edges is None else edges.union(new), shelf)
             edges = labels.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        left = active.join(pivots, (F.col("sign") == F.col("s")) & (F.col("fp") == F.col("pivot")), "left_anti").drop("comp")
+        left = active.join(pivots, (F.col("sign") == F.col("s")) & (F.col("fp") == F.col("pivot")), "left_anti")
         if labels is not None:
             known = labels.select(F.col("node").alias("fp"), "root")
-            left = left.join(known, "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
-        else:
-            left = left.withColumn("comp", F.col("fp"))
-        open_signs = left.groupBy("sign").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sign")
-        active = stored(left.join(open_signs, "sign", "left_semi"), "buckets")
+            left = left.drop("comp").join(known, "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
+        active = shelf.put("buckets", _open(left))
         if active.isEmpty():
             return labels
-        pivots_each *= 4
+        pivots_each *= 64
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """Bucket rows of the signatures under which more than one component is left."""
+    c = F.xxhash64("comp")
+    several = rows.groupBy("sign").agg(F.min(c).alias("lo"), F.max(c).alias("hi")).where("lo <> hi").select("sign")
+    return rows.join(several, "sign", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, key (hash of the text), n_shingles, component_id of every document."""
     spark: SparkSession = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text")
-    frequency = spark.sparkContext.broadcast(frequency_sketch(texts, k, sketch_bits(docs)))  # 2 ** 26 bytes at most
+    texts, shelf = docs.select("doc_id", "text"), Shelf(spark)
+    frequency = sketch(texts.select("text"), _shingles(k), sketch_bits(docs, 8))  # 2 ** 26 bytes at most
+    frequency = spark.sparkContext.broadcast(frequency)
     keyed = texts.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    schema = f"doc_id {kind}, key long, n long, fp binary, signs array<long>"
-    signed = stored(keyed.mapInArrow(_signer(k, percent, frequency), schema), "signed")
-    filled = signed.where("n > 0")
-    classes = stored(filled.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "classes")
-    rows = filled.join(classes.where("first_doc is not null"), "fp", "left_semi").select("fp", "n", F.explode("signs").alias("sign"))
-    rows = rows.distinct()
-    shared = rows.groupBy("sign").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("sign")
-    buckets = stored(rows.join(shared, "sign", "left_semi").withColumn("comp", F.col("fp")), "buckets")
-    nodes = buckets.select("fp").distinct().join(classes, "fp").select(F.col("first_doc").alias("doc_id")).distinct()
-    wanted = texts.join(nodes, "doc_id", "left_semi")
-    sets = stored(wanted.mapInArrow(_set_writer(k), SETS).dropDuplicates(["fp"]), "sets")
-    labels = None if buckets.isEmpty() else _links(buckets, sets, percent)
+    schema = f"doc_id {kind}, key long, n long, fp binary, signs array<long>, bins binary"
+    signed = shelf.put("signed", keyed.mapInArrow(_signer(k, percent, frequency), schema))
+    frequency.unpersist()
+    first = lambda c: F.first(c).alias(c)  # noqa: E731  equal in a class
+    filled = signed.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first_doc"), *map(first, ("n", "signs", "bins")))
+    classes = shelf.put("classes", filled)
+    seen = spark.sparkContext.broadcast(sketch(classes.select("signs"), _longs("signs"), sketch_bits(docs, 16)))
+    rows = classes.select("signs", "fp", "n").mapInArrow(_bucket_rows(seen), "sign long, fp binary, n long")
+    buckets = shelf.put("buckets", _open(rows.withColumn("comp", F.col("fp"))))
+    labels = None if buckets.isEmpty() else _links(texts, classes, buckets, k, percent, shelf)
     if labels is None:
         joined = classes.select("fp", F.col("first_doc").alias("component_id"))
     else:
@@ -267,7 +336,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         by_class = linked.join(lowest, F.col("root") == F.col("of")).select("fp", "component_id")
         joined = classes.join(by_class, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"))
     found = signed.select("doc_id", "key", F.col("n").alias("n_shingles"), "fp").join(joined, "fp", "left")
-    return found.select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = found.select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = stored(found, "near-duplicates")
+    shelf.drop(*list(shelf.paths))
+    return found
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -31,6 +31,36 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a path of this module's, through whatever filesystem Spark has for it."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Shelf:
+    """Intermediate tables by name: a table put under a name again takes the place of the one before, which is deleted.
+
+    So a loop that stores its state each round keeps one copy on disk; what is put must not be read lazily later on by
+    anything that is not stored itself.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        path = shared_path(self.spark, name)
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                removed(self.spark, self.paths.pop(name))
+
+
 def filesystem(path: str):
     """(pyarrow filesystem, path in it, whether it is a plain local path)."""
     from pyarrow import fs
