@@ -1,16 +1,19 @@
-"""Personal data: pattern spans, and terms near them that give the protected entity away.
+"""Personal data: pattern spans, and terms that give a protected entity away.
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers (16 to 19 digits, Luhn) and phone numbers; each distinct
-value is a protected entity e. A term t (a word of three letters or more within ``WINDOW`` words of a mention) is
-weighed by what it tells about the entity, counted in documents of the whole corpus:
+value is a protected entity e. A term t (a word of three letters or more, outside base spans) of any document that mentions
+e is weighed by what it tells about the entity, counted in whole documents of the whole corpus:
 
     disclosure(e, t) = log(N * n(e, t) / (n(e) * n(t))) / log(N / n(e))
 
-the pointwise mutual information over the information content of e: 1 where t occurs with e only. Pairs seen in
-``SUPPORT`` documents at least are generalised (replaced by a class word) from ``GENERALISE`` on and removed from ``REMOVE`` on.
+the pointwise mutual information over the information content of e: 1 where t occurs with e only. Terms of pairs seen in
+``SUPPORT`` documents at least are generalised (replaced by a class word) from ``GENERALISE`` on and removed from ``REMOVE``
+on, wherever they occur: in documents without a mention too.
 
-Plan: one scan finds base spans and terms near them; one scan counts the documents of each term (added up per task
-before the shuffle); pairs, entities and terms meet in keyed joins. Only rows that hold a mention take part after the scans.
+Plan: one scan finds base spans, and the words of texts that have any; one scan counts the documents of each term (added up
+per task before the shuffle); pairs, entities and terms meet in keyed joins, equal texts once and only those with an entity
+that ``SUPPORT`` documents mention; one scan finds all occurrences of the terms above the threshold, preselected by a bitmap
+and settled by a join.
 
 Edge cases: a null text is empty; null ids are kept; equal rows get equal spans; other columns are ignored by ``find``
 and kept by ``sanitise``; an empty table gives no rows.
@@ -26,12 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ngram_join import sketch
 from .storage import stored
 from .words import slices, utf8_of, word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW = 6
-REACH = 400  # characters on either side in which the words of a window are looked for
 SUPPORT = 2
 GENERALISE, REMOVE = 0.8, 0.95
 CLASS_WORD = "<term>"
@@ -45,7 +47,7 @@ _TERM = re.compile(r"[^\x20\x09-\x0D.,;:!?()\"]+")
 _POINTS = np.arange(256, dtype=np.uint8)
 _POINTS[[ord(c) for c in '.,;:!?()"']] = 32
 
-FOUND = "spans array<struct<kind:int,start:int,end:int>>, near array<struct<entity:bigint,term:bigint,start:int,end:int>>"
+FOUND = "spans array<struct<kind:int,start:int,end:int>>, entities array<bigint>, words array<bigint>"
 
 
 def luhn(digits: str) -> bool:
@@ -78,16 +80,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _around(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Places of up to WINDOW words before and after a span."""
-    lo, hi = max(0, start - REACH), min(len(text), end + REACH)
-    before = [m.span() for m in _TERM.finditer(text, lo, start)]
-    after = [m.span() for m in _TERM.finditer(text, end, hi)]
-    if lo and before and before[0][0] == lo:
-        before = before[1:]  # may be cut
-    if hi < len(text) and after and after[-1][1] == hi:
-        after = after[:-1]
-    return before[-WINDOW:] + after[:WINDOW]
+def _covered(text: str, spans: list[tuple[int, int, int]]) -> bytearray:
+    """1 at the characters of base spans, else 0."""
+    out = bytearray(len(text))
+    for _, a, b in spans:
+        out[a:b] = b"\1" * (b - a)
+    return out
 
 
 def _entity(kind: int, value: str) -> int:
@@ -97,30 +95,35 @@ def _entity(kind: int, value: str) -> int:
 
 def _scan(batches):
     for batch in batches:
-        spans, near, words = [], [], []
+        spans, entities, words, bounds = [], [], [], [0]
         for text in batch.column("text"):
             t = text.as_py() or ""
             found = base_spans(t)
             spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-            mine = []
-            for k, a, b in found:
-                e = _entity(k, t[a:b])
-                for x, y in _around(t, a, b):
-                    word = t[x:y]
-                    clear = not any(x < q and p < y for _, p, q in found)
-                    if clear and sum(map(str.isalpha, word)) >= 3:
-                        mine.append((e, len(words), x, y))
-                        words.append(word)
-            near.append(mine)
-        terms = word_hashes(pa.array(words, pa.string()))[0].view(np.int64) if words else []
-        rows = [[{"entity": e, "term": int(terms[i]), "start": x, "end": y} for e, i, x, y in mine] for mine in near]
+            entities.append(sorted({_entity(k, t[a:b]) for k, a, b in found}))
+            if found:
+                covered = _covered(t, found)
+                free = {m[0] for m in _TERM.finditer(t) if 1 not in covered[m.start() : m.end()]}
+                words += (w for w in free if sum(map(str.isalpha, w)) >= 3)
+            bounds.append(len(words))
+        terms = word_hashes(pa.array(words, pa.string()))[0].view(np.int64) if words else np.empty(0, np.int64)
+        rows = [np.unique(terms[i:j]) for i, j in zip(bounds, bounds[1:])]
         span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-        close = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+        longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("key"), pa.array(spans, span), pa.array(rows, close)], ["doc_id", "key", "spans", "near"]
+            [batch.column("doc_id"), batch.column("key"), pa.array(spans, span), pa.array(entities, longs), pa.array(rows, longs)],
+            ["doc_id", "key", "spans", "entities", "words"],
         )
 
 
+def _plain(col: pa.Array) -> pa.Array:
+    """The texts with spaces for punctuation, so that words are terms; places stay."""
+    data, offsets = utf8_of(col)
+    return pa.Array.from_buffers(
+        pa.large_string(), len(col), [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(_POINTS[data])]
+    )
+
+
 def _term_documents(batches):
     """(term, documents) of a task's texts, added up over a few million words at a time."""
 
@@ -134,11 +137,7 @@ def _term_documents(batches):
     for batch in batches:
         col = batch.column("text")
         for i, j in slices(col):
-            data, offsets = utf8_of(col[i:j])
-            plain = pa.Array.from_buffers(
-                pa.large_string(), j - i, [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(_POINTS[data])]
-            )
-            h, bounds = word_hashes(plain)
+            h, bounds = word_hashes(_plain(col[i:j]))
             doc = np.repeat(np.arange(j - i), np.diff(bounds))
             order = np.lexsort((h, doc))
             h, doc = h[order], doc[order]
@@ -153,22 +152,72 @@ def _term_documents(batches):
         yield from flush()
 
 
+def _occurrences(marks):
+    """(doc_id, key, term, start, end) of the terms outside base spans whose slot in the bitmap is set."""
+
+    def find(batches):
+        for batch in batches:
+            col = batch.column("text")
+            for i, j in slices(col):
+                h, bounds = word_hashes(_plain(col[i:j]))
+                hit = np.flatnonzero(_marked(h, marks.value))
+                cut = np.searchsorted(hit, bounds)
+                at, term, start, end = [], [], [], []
+                for d in np.flatnonzero(np.diff(cut)):
+                    t = col[i + int(d)].as_py()
+                    covered = _covered(t, base_spans(t))
+                    places = [m.span() for m in _TERM.finditer(t)]
+                    for w in hit[cut[d] : cut[d + 1]]:
+                        a, b = places[w - bounds[d]]
+                        if 1 not in covered[a:b]:
+                            at.append(i + int(d))
+                            term.append(h[w])
+                            start.append(a)
+                            end.append(b)
+                own = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(own), batch.column("key").take(own), pa.array(np.array(term, np.uint64).view(np.int64)),
+                     pa.array(start, pa.int32()), pa.array(end, pa.int32())],
+                    ["doc_id", "key", "term", "start", "end"],
+                )
+
+    return find
+
+
+def _marked(terms: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    bits = int(len(marks)).bit_length() - 1
+    return marks[(terms >> np.uint64(64 - bits)).astype(np.int64)] > 0
+
+
+def _terms(batch):
+    yield np.asarray(batch.column("t")).view(np.uint64)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
-def disclosures(scanned: DataFrame, docs: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, disclosure) of the pairs seen near each other in ``support`` documents at least."""
+def disclosures(scanned: DataFrame, docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+    """(entity, term, disclosure) of the pairs that ``support`` documents hold and that disclose ``least`` at least."""
     n_docs = scanned.count()
-    some = scanned.where(F.size("near") > 0)
-    pairs = some.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"], x["term"])))).alias("p"))
-    pairs = pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    entities = some.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("e"))
-    entities = entities.groupBy("e").agg(F.count("*").alias("n_entity")).where((F.col("n_entity") >= support) & (F.col("n_entity") < n_docs))
+    some = scanned.where(F.size("entities") > 0)
+    entities = some.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_entity"))
+    entities = entities.where((F.col("n_entity") >= support) & (F.col("n_entity") < n_docs))
+    copies = some.groupBy("key").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"))  # equal texts, equal entities
+    mentions = copies.select("key", "copies", F.explode("entities").alias("entity")).join(entities, F.col("entity") == F.col("e"))
+    mentions = stored(mentions.select("key", "copies", "entity", "n_entity"), "pii-mentions")
+    top = mentions.agg(F.max("n_entity").alias("n")).first()["n"] or 0
+    # n(e, t) <= n(e) bounds the disclosure by log(N / n(t)) / log(N / n(e)): what stays below ``least`` anyway is left out early.
+    bound = lambda n: F.pow(F.lit(float(n_docs)), F.lit(1 - least)) * F.pow(n, F.lit(least)) * (1 + 1e-9)
     terms = docs.select("text").mapInArrow(_term_documents, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_term"))
-    met = pairs.join(entities, F.col("entity") == F.col("e")).join(terms, F.col("term") == F.col("t"))
+    terms = terms.where((F.col("n_term") >= support) & (F.col("n_term") <= bound(F.lit(float(top)))))
+    wanted = some.join(mentions.select("key"), "key", "left_semi").select("key", F.explode("words").alias("term")).distinct()
+    wanted = wanted.join(terms, F.col("term") == F.col("t")).select("key", "term", "n_term")
+    met = mentions.join(wanted, "key").where(F.col("n_term") <= bound(F.col("n_entity").cast("double")))
+    pairs = met.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("copies").alias("n_both")).where(F.col("n_both") >= support)
     pmi = F.log(F.lit(float(n_docs)) * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
-    return met.select("entity", "term", (pmi / F.log(F.lit(float(n_docs)) / F.col("n_entity"))).alias("disclosure"))
+    weighed = pairs.select("entity", "term", (pmi / F.log(F.lit(float(n_docs)) / F.col("n_entity"))).alias("disclosure"))
+    return weighed.where(F.col("disclosure") >= least)
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -176,11 +225,13 @@ def find(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs.select("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     scanned = stored(keyed.mapInArrow(_scan, f"doc_id {kind}, key long, {FOUND}"), "pii-scan")
-    telling = disclosures(scanned, docs).where(F.col("disclosure") >= GENERALISE)
-    telling = telling.select(F.col("entity").alias("e"), F.col("term").alias("t"), (F.col("disclosure") >= REMOVE).alias("remove"))
-    mentions = scanned.where(F.size("near") > 0).select("doc_id", "key", F.explode("near").alias("m"))
-    hit = mentions.join(telling, (F.col("m.entity") == F.col("e")) & (F.col("m.term") == F.col("t")))
-    hit = hit.groupBy("doc_id", "key", "m.start", "m.end").agg(F.max("remove").alias("remove"))
+    telling = disclosures(scanned, docs).groupBy(F.col("term").alias("t")).agg((F.max("disclosure") >= REMOVE).alias("remove"))
+    telling = stored(telling, "pii-terms")
+    # About a thousand slots a term, 64 MB at most: the bitmap only preselects, the join settles it.
+    bits = min(26, max(20, int(telling.count()).bit_length() + 10))
+    marks = docs.sparkSession.sparkContext.broadcast(sketch(telling, _terms, bits))
+    placed = keyed.mapInArrow(_occurrences(marks), f"doc_id {kind}, key long, term long, start int, end int")
+    hit = placed.join(telling, F.col("term") == F.col("t")).groupBy("doc_id", "key", "start", "end").agg(F.max("remove").alias("remove"))
     hit = hit.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "remove"))).alias("terms")
     )

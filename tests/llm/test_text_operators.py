@@ -205,6 +205,23 @@ def test_terms_that_disclose(spark):
     assert clean[None] == "<card>"
 
 
+def test_terms_far_from_the_mention_and_without_it(spark):
+    rows = [(i, f"ordinary words go here and here again number {i % 7}") for i in range(400)]
+    far = "Quuxley wrote of many ordinary words that go here and here again to ab@corp.example.com"
+    rows += [(500 + i, f"{far}. Later quuxley left (Quuxley's own words)") for i in range(6)]
+    rows += [(600, "only quuxley is named"), (None, "and Quuxley again, quuxley@x.org")]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in pii.find(df.repartition(5)).collect()}
+    text = {d: t for d, t in rows}
+    for d in (500, 505, 600, None):
+        want = [m.span() for m in re.finditer(r"\bquuxley\b(?!['@])", text[d], re.I)]
+        terms = [(t.start, t.end) for t in got[d].terms if "quuxley" in text[d][t.start : t.end].lower() and "'" not in text[d][t.start : t.end]]
+        assert terms == want, d
+    assert got[5].terms == []
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert not any("quuxley" in (clean[d] or "").lower() for d in (600, None))
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
