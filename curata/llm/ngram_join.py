@@ -310,8 +310,12 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(several, "sign", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, key (hash of the text), n_shingles, component_id of every document."""
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, roots: bool = False) -> DataFrame:
+    """doc_id, key (hash of the text), n_shingles, component_id and, if asked for, root of every document.
+
+    ``component_id`` is for output: null ids and repeated ids can give it to several components. ``root`` tells them apart: the
+    smallest fingerprint of the component's sets.
+    """
     spark: SparkSession = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts, shelf = docs.select("doc_id", "text"), Shelf(spark)
@@ -329,14 +333,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     buckets = shelf.put("buckets", _open(rows.withColumn("comp", F.col("fp"))))
     labels = None if buckets.isEmpty() else _links(texts, classes, buckets, k, percent, shelf)
     if labels is None:
-        joined = classes.select("fp", F.col("first_doc").alias("component_id"))
+        joined = classes.select("fp", F.col("first_doc").alias("component_id"), F.col("fp").alias("root"))
     else:
         linked = labels.join(classes, F.col("node") == F.col("fp"))
         lowest = linked.groupBy(F.col("root").alias("of")).agg(F.min("first_doc").alias("component_id"))
-        by_class = linked.join(lowest, F.col("root") == F.col("of")).select("fp", "component_id")
-        joined = classes.join(by_class, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"))
+        by_class = linked.join(lowest, F.col("root") == F.col("of")).select("fp", "component_id", "root")
+        joined = classes.join(by_class, "fp", "left").select(
+            "fp", F.coalesce("component_id", "first_doc").alias("component_id"), F.coalesce("root", "fp").alias("root")
+        )
     found = signed.select("doc_id", "key", F.col("n").alias("n_shingles"), "fp").join(joined, "fp", "left")
-    found = found.select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    root = [F.coalesce("root", "fp").alias("root")] if roots else []
+    found = found.select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *root)
     found = stored(found, "near-duplicates")
     shelf.drop(*list(shelf.paths))
     return found
@@ -344,8 +351,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs``, all columns, with one row of each group: that with the smallest id, then text hash. Rows without words stay."""
-    found = near_duplicates(docs, k, percent).where("n_shingles > 0")
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("p")).select(
+    found = near_duplicates(docs, k, percent, roots=True).where("n_shingles > 0")
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("p")).select(
         F.col("p.doc_id").alias("_d"), F.col("p.key").alias("_k"), F.lit(True).alias("_first")
     )
     empty = F.coalesce(~F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(True))

@@ -105,6 +105,16 @@ def test_one_of_each_keeps_one_row_and_all_empty_ones(spark):
     assert ngram_join.one_of_each(df).count() == 4
 
 
+def test_one_of_each_keeps_different_texts_under_null_and_equal_ids(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[0] + " end"), (None, texts[1]), (7, texts[2]), (7, texts[2] + " end"), (7, texts[3])]
+    rows += [(None, texts[4]), (9, texts[4] + " end"), (None, "just one")]
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCS)
+    got = [(r.doc_id, r.text.split()[0]) for r in ngram_join.one_of_each(df).collect()]
+    want = [(None, "a0"), (None, "b0"), (7, "c0"), (7, "d0"), (None, "e0"), (None, "just")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.RandomState(2)
     vectors = rng.normal(size=(400, 16)).astype(np.float32)
