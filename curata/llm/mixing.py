@@ -10,7 +10,7 @@ first hex digits split each source into 4096 even slices, so a hot source is spr
 slice sums are ever added up across a source.
 
 Edge cases: a null text has size 0, sources of size 0 get target 0, a null source is a source of its own, last in
-order; equal ids order by size; repeated rows are separate documents; other columns are ignored; an empty table
+order; equal ids order by size, then text hash; repeated rows are separate documents; other columns are ignored; an empty table
 gives an empty mix.
 """
 
@@ -54,9 +54,9 @@ def plan(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> Dat
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, repeats (times the document is taken), taken (repeats * size)."""
+    """doc_id, source, size, source_size, target, repeats (times the document is taken), taken (repeats * size), text_key."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"))
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("text_key"))
     sized = stored(sized.withColumn("slice", F.substring("key", 1, SLICE_DIGITS)), "mix-sizes")
     slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     planned = plan(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, max_epochs)
@@ -67,19 +67,28 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
         "of", F.col("slice").alias("of_slice"), "before", "source_size", "target"
     )
     rows = sized.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("of_slice")))
-    inside = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size")
+    inside = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size", "text_key")
     ahead = F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("target") - F.col("whole") * F.col("source_size")
     once_more = ((2 * F.col("ahead") + F.col("size")).cast("double") < 2 * rest).cast("long")
     out = rows.withColumn("ahead", ahead).withColumn("whole", whole).withColumn("repeats", F.col("whole") + once_more)
     return out.select(
-        "doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"), "text_key"
     )
 
 
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: rows of ``docs`` as often as ``mixed`` takes their id."""
-    times = mixed.where("repeats > 0").groupBy(F.col("doc_id").alias("_d")).agg(F.max("repeats").alias("_times"))
-    met = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_d")))
+    """The mix itself: rows of ``docs`` as often as ``mixed`` takes them.
+
+    Rows meet by id, source and text. Those that are equal in all three are numbered: the repeats of a source are two
+    numbers that differ by one, and the first ``_more`` of the equal rows take the larger.
+    """
+    some = mixed.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_key").alias("_k"))
+    times = some.agg(F.min("repeats").alias("_low"), F.max("repeats").alias("_high"), F.sum("repeats").alias("_sum"), F.count("*").alias("_rows"))
+    times = times.where("_high > 0").withColumn("_more", F.col("_sum") - F.col("_low") * F.col("_rows")).drop("_high", "_sum", "_rows")
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_k"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "source", "_key").orderBy("_key"))
+    met = keyed.join(times, same).withColumn("_times", F.col("_low") + (place <= F.col("_more")).cast("long")).where("_times > 0")
     return met.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)

@@ -248,6 +248,23 @@ def test_extract_handles_nulls(spark):
     assert {(r.page_id, r.title, r.text) for r in html_text.extract(df).collect()} == {(1, None, ""), (None, "A", "b")}
 
 
+def test_repeated_takes_each_row_its_own_times(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 2, i]), " ".join("w" * rng.randint(1, 9)), rng.choice(["a"] * 6 + ["b", "c", None])) for i in range(400)]
+    rows += [(5, "same words", "a")] * 30 + [(5, None, "a"), (5, "", None), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(df)
+    times = {}
+    for r in mixed.collect():
+        key = (r.doc_id, r.source, r.size)
+        times[key] = times.get(key, 0) + r.repeats
+    got = {}
+    for r in mixing.repeated(df.repartition(3), mixed).collect():
+        key = (r.doc_id, r.source, len((r.text or "").split()))
+        got[key] = got.get(key, 0) + 1
+    assert got == {k: n for k, n in times.items() if n}
+
+
 def test_mix_meets_targets(spark, odd, empty):
     rng = random.Random(1)
     rows = [(i, " ".join("w" * rng.randint(1, 40)), rng.choice(["a"] * 5 + ["b", "c", None])) for i in range(800)]
