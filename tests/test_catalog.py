@@ -26,3 +26,14 @@ def test_entry(spark):
 
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_d11_and_d12_match_every_source(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    own = part.where("p_partkey % 3 <> 0").selectExpr("p_brand", "substring_index(p_name, ' ', 1) AS first").distinct()
+    met = part.selectExpr("p_partkey AS src_id", "p_brand", "substring_index(p_name, ' ', 1) AS first").join(own, ["p_brand", "first"])
+    want = {r.src_id for r in met.collect()}
+    found = lambda name: {r.src_id for r in QUERIES[name](spark, sf_dir).select("src_id").collect()}
+    assert found("d11_weighted_match") == want
+    some = found("d12_token_set_matches")  # leaves out pairs that score too low
+    assert some <= want and {k % 4 for k in some} == {0, 1, 2, 3}
