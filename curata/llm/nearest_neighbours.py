@@ -10,8 +10,8 @@ so whatever cannot be among the k best of the tile is dropped; what is left is c
 from the original vectors, component by component in order. The k best of each tile are merged by heaps, in two steps so that
 no task sees more than a group of tiles of some queries. Nothing is approximate in the result.
 
-Of candidates with equal vectors in a tile only the k + 1 with the smallest ids can matter; the rest are left out first, so
-a very common vector costs no more than others.
+Of candidates with equal vectors in a tile at most k rows of an id can matter, and of those the 2 k with the smallest ids: k at
+least are not the query's own. The rest are left out first, so a very common vector costs no more than others.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part;
 null ids neither; a query id that is repeated is one query with the smallest of its vectors, and no row of that id answers
@@ -58,20 +58,27 @@ def _rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return q, scale, np.linalg.norm(x - back, axis=1) * (1 + 1e-9), np.linalg.norm(x, axis=1) * (1 + 1e-9)
 
 
-def _first_copies(ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
-    """Rows to keep, by id: at most ``most`` of those with equal vectors."""
+def _places(new: np.ndarray) -> np.ndarray:
+    """Place of each row in its run; ``new`` marks the first rows of runs."""
+    starts = np.flatnonzero(new)
+    return np.arange(len(new)) - np.repeat(starts, np.diff(np.append(starts, len(new))))
+
+
+def _first_copies(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Rows to keep, by id: of those with equal vectors k of each id at most, and of these 2 k."""
     order = np.argsort(ids, kind="stable")
     same = np.unique(np.ascontiguousarray(x[order]).view([("", x.dtype)] * x.shape[1]).reshape(-1), return_inverse=True)[1]
     same = same.reshape(-1)
     by = np.argsort(same, kind="stable")
-    sizes = np.bincount(same)
-    place = np.arange(len(by)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return np.sort(order[by[place < most]])
+    vector, own = same[by], ids[order[by]]
+    few = _places((np.diff(vector, prepend=-1) != 0) | (np.append(True, own[1:] != own[:-1]))) < k
+    by, vector = by[few], vector[few]
+    return np.sort(order[by[_places(np.diff(vector, prepend=-1) != 0) < 2 * k]])
 
 
 def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query index, candidate index, exact score): of each query the k best in this tile, and no others."""
-    keep = _first_copies(c_ids, c, k + 1)
+    keep = _first_copies(c_ids, c, k)
     qi, qs, qe, qn = _rounded(q)
     ci, cs, ce, cn = _rounded(c[keep])
     left, right = qi.astype(np.float32), ci.astype(np.float32).T  # int8 products are exact in float32 up to 1000 dimensions

@@ -135,6 +135,17 @@ def test_neighbours_against_brute_force(spark):
         assert all(abs(s - exact[v]) < 1e-9 for _, v, s in rows)
 
 
+def test_neighbours_of_repeated_query_rows():
+    k, x = 3, np.array([1.0, 2.0])
+    ids = np.array([5] * 10 + [6] * 10 + [7, 8, 4, 9])
+    c = np.array([x] * 23 + [x / 2])
+    for q, want in ((5, [4, 6, 6]), (6, [4, 5, 5]), (4, [5, 5, 5]), (9, [4, 5, 5])):
+        _, b, _ = nearest_neighbours.tile(np.array([q]), x[None], ids, c, k)
+        assert list(ids[b]) == want
+    _, b, _ = nearest_neighbours.tile(np.array([5]), x[None], np.array([5] * 10 + [7, 8]), c[:12], k)
+    assert list(np.array([5] * 10 + [7, 8])[b]) == [7, 8]
+
+
 def test_neighbours_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nearest_neighbours.search(df, F.col("vec_id") % 20 == 0).count() == 0
