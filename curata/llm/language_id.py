@@ -5,7 +5,7 @@ trigram place, combined before the shuffle). The model is at most 2 ** BITS numb
 
 ``predict`` treats a text as words drawn from a mixture: the likelihood of a word under a language is the product of
 its trigram probabilities, and expectation-maximisation estimates the proportions. The languages of a text are the set
-(the k largest proportions, k up to ``MOST``) with the largest log-likelihood less ``PENALTY`` * (k - 1) * log(words);
+(the k largest proportions, any k) with the largest log-likelihood less ``PENALTY`` * (k - 1) * log(words);
 the prediction is the largest proportion in that set and its score is that proportion.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; null ids are kept; rows with a null
@@ -24,7 +24,6 @@ from .words import _CLASS, mix, slices, utf8_of, word_hashes, word_starts
 
 BITS = 16
 ROUNDS = 6
-MOST = 3
 PENALTY = 3.0
 SMOOTH = 0.5
 
@@ -135,7 +134,10 @@ def mixtures(col: pa.Array, logp: np.ndarray, bits: int = BITS) -> tuple[np.ndar
     order = np.argsort(-share, axis=1, kind="stable")
     best = np.full(n_docs, -np.inf)
     chosen = np.zeros_like(share)
-    for k in range(1, min(MOST, n_langs) + 1):
+    for k in range(1, n_langs + 1):
+        # No word is likelier than 1 in any mixture: once the penalty alone outweighs the best of every text, no larger set wins.
+        if (best >= -PENALTY * (k - 1) * np.log(words + 1)).all():
+            break
         mask = np.zeros_like(share)
         np.put_along_axis(mask, order[:, :k], 1.0, axis=1)
         start = np.maximum(share, 1e-6) * mask

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +186,19 @@ def test_mixture_of_two_languages(spark):
     assert row.lang_pred == "en" and 0.5 < row.score < 0.7
 
 
+def test_mixture_of_four_languages():
+    rng = np.random.default_rng(7)
+    words = {c: ["".join(rng.choice(list(letters), 6)) for _ in range(60)] for c, letters in zip("abcd", ("abcdef", "ghijkl", "mnopqr", "stuvwx"))}
+    text = " ".join(w for four in zip(*words.values()) for w in four)
+    logp = np.full((1 << language_id.BITS, 4), np.log(1e-7))
+    for n, c in enumerate("abcd"):
+        data, starts, lengths, _, _ = language_id._units(pa.array([" ".join(words[c])]))
+        logp[language_id._word_grams(data, starts, lengths, language_id.BITS)[1], n] = np.log(1e-3)
+    share, some = language_id.mixtures(pa.array([text, "", " ".join(words["b"])]), logp)
+    assert some.tolist() == [True, False, True]
+    assert np.allclose(share[0], 0.25, atol=0.02) and share[2].tolist() == [0, 1, 0, 0]
+
+
 def test_classifier_on_held_out_rows(spark, sf_dir):
     sf = sf_dir.replace("sf0.001", "sf0.01")
     got = llm_queries.op2_quality_classifier(spark, sf).toPandas()
