@@ -4,10 +4,10 @@ A document's set holds the 64-bit hashes of its distinct shingles of ``k`` words
 100 * intersection >= percent * union. Documents with equal sets form a class (128-bit fingerprint) and only classes
 are joined, so exact copies cost one row each.
 
-Order and classes of tokens. A sketch of saturating counts over all documents (2 ** bits bytes, bits by input size, 64 MB
-at most) estimates how frequent a token is. Tokens are ordered rare before frequent, then by estimate and hash. A second
-one over the signatures leaves out those that occur once. Sketches only steer the work: results are exact for any of them,
-and beyond some hundred million tokens they fill up and more candidates have to be told apart by the later filters.
+Order and classes of tokens. A sketch of counts over all documents (2 ** bits slots, bits by input size, 64 MB at most; exact
+sums per slot, kept as a byte on a logarithmic scale, so that it doesn't saturate) estimates how frequent a token is. Tokens are
+ordered rare before frequent, then by estimate and hash; a token is frequent above ``FREQUENT`` and four times the mean slot. A second
+one over the signatures leaves out those that occur once. Sketches only steer the work: results are exact for any of them.
 
 Signatures. A document of n tokens may miss m = n - ceil(percent * n / 100) of them in a partner. If m + 1 of its tokens are
 rare, each of those is a signature. Otherwise all r rare ones are, and the prefix is extended by frequent tokens, which
@@ -15,13 +15,19 @@ enter as combinations of two neighbours: a missing token breaks two of them and
 2 * (m - r) + extra + 2 frequent tokens leave a common signature, where ``extra`` is what the partner can hold besides when m are
 missing. Below 75 percent every token counts as rare.
 
-Candidates are first compared by 256 counts of their tokens' hash bins, whose differences never exceed those of the sets;
-only the sets of pairs that pass are compared in full.
+Buckets (the classes with one signature) that hold the same classes are one bucket: a group of copies shares dozens of signatures.
 
-Verification without all pairs. In rounds, each bucket (documents with one signature) names pivots and compares them with
-those of its members that are in another component so far. Verified pairs join components, pivots leave the bucket, and
-a bucket whose members are in one component is done. A round names 64 times as many pivots a bucket as the one before (4 at first), so the loop ends
-after all pairs at the latest; a group of near copies is usually done after one or two rounds of linear size.
+Candidates are compared inside tasks by parity sketches: a bit a slot says whether an odd number of the set's tokens fall
+into it, so the bits that differ between two sketches are never more than the tokens that differ between the sets. A sketch has
+four to eight bits a token, so the bound is near the truth at any length. Pairs never become rows unless they pass it.
+
+Rounds. (1) Every bucket is dealt into blocks of some ``ROWS`` classes, each class in one block, so the work grows with the rows.
+A block gives all pairs that pass if these are few, else the shortest tree (by differing bits) over each set of classes that pass with
+one another. The sets of these pairs are compared in full, and verified pairs join components. Most buckets are done then.
+(2) What is left (several components, and more pairs or more blocks than were looked at) is compared block against block; of all
+pairs that pass, a shortest tree between components is verified. (3) Where that left several components, all pairs between
+two of them that pass and haven't been refused are verified. After that no pair is left that could link. Rounds 2 and 3 hold classes
+of dense groups only; a large group of copies that link is one component after the first.
 
 Edge cases: texts without words, or null, have an empty set and link with nothing (their component is their own id); fewer
 words than k make one shingle; null ids are allowed (a component's id is its smallest non-null id); repeated rows and ids
@@ -44,7 +50,7 @@ from .words import mix, shingle_hashes, slices, word_hashes
 
 FREQUENT = 40
 BLOCK = 1 << 16
-BINS = 256
+ROWS = 512
 TEXTS = "fp binary, text string"
 
 
@@ -86,11 +92,11 @@ def _longs(name: str):
 
 def _counter(hashes, bits: int):
     def count(batches):
-        total = np.zeros(1 << bits, np.uint8)
+        total = np.zeros(1 << bits, np.uint16)
         for batch in batches:
             for h in hashes(batch):
                 at, n = np.unique(_slot(h, bits), return_counts=True)
-                total[at] = np.minimum(255, total[at] + n)
+                total[at] = np.minimum(65535, total[at] + n)
         for b, block in enumerate(total.reshape(-1, BLOCK)):
             if block.any():
                 yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "counts": [zlib.compress(block, 1)]})
@@ -98,19 +104,24 @@ def _counter(hashes, bits: int):
     return count
 
 
+def scaled(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes: exact up to 15, then eight steps for each doubling."""
+    steps = 16 + np.floor(8 * np.log2(np.maximum(counts, 16) / 16))
+    return np.where(counts < 16, counts, np.minimum(255, steps)).astype(np.uint8)
+
+
 def _adder(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for b, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            block = total.setdefault(b, np.zeros(BLOCK, np.uint8))
-            more = block.astype(np.uint16) + np.frombuffer(zlib.decompress(counts), np.uint8)
-            block[:] = np.minimum(255, more)
+            block = total.setdefault(b, np.zeros(BLOCK, np.int64))
+            block += np.frombuffer(zlib.decompress(counts), np.uint16)
     for b, block in total.items():
-        yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "counts": [zlib.compress(block, 1)]})
+        yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "counts": [zlib.compress(scaled(block), 1)]})
 
 
 def sketch(rows: DataFrame, hashes, bits: int) -> np.ndarray:
-    """Saturating counts of all hashes that ``hashes`` finds in the rows, in 2 ** bits slots of a byte."""
+    """Scaled counts of all hashes that ``hashes`` finds in the rows, in 2 ** bits slots of a byte."""
     schema = "block int, counts binary"
     parts = rows.mapInArrow(_counter(hashes, bits), schema)
     # A task adds up whole blocks as they come in, so it holds no more than the blocks dealt to it.
@@ -121,7 +132,15 @@ def sketch(rows: DataFrame, hashes, bits: int) -> np.ndarray:
     return total.reshape(-1)
 
 
-def signatures(tokens: np.ndarray, frequency: np.ndarray, percent: int) -> np.ndarray:
+def often_from(frequency: np.ndarray) -> int:
+    """Scaled count above which a token is frequent: 40, or four times the mean slot's."""
+    levels = np.bincount(frequency, minlength=256)
+    counts = np.where(np.arange(256) < 16, np.arange(256), 16 * 2.0 ** ((np.arange(256) - 16) / 8))
+    mean = float((levels * counts).sum() / max(1, levels.sum()))
+    return int(scaled(np.array([max(FREQUENT, 4 * mean)]))[0])
+
+
+def signatures(tokens: np.ndarray, frequency: np.ndarray, percent: int, above: int | None = None) -> np.ndarray:
     """Signature hashes of one set; sets that link have one in common, unless they are equal."""
     n = len(tokens)
     missing = n - -(-percent * n // 100)
@@ -129,7 +148,7 @@ def signatures(tokens: np.ndarray, frequency: np.ndarray, percent: int) -> np.nd
     if missing == 0 and extra <= 0:
         return tokens[:0]
     count = frequency[_slot(tokens, int(len(frequency)).bit_length() - 1)]
-    often = (count > FREQUENT) & (percent >= 75)
+    often = (count > (often_from(frequency) if above is None else above)) & (percent >= 75)
     order = np.lexsort((tokens, count, often))
     ordered = tokens[order]
     rare = n - int(often.sum())
@@ -141,28 +160,35 @@ def signatures(tokens: np.ndarray, frequency: np.ndarray, percent: int) -> np.nd
     return np.concatenate([mix(ordered[:rare]), pairs])
 
 
-def _signer(k: int, percent: int, frequency):
+def parity(tokens: np.ndarray) -> bytes:
+    """The parity sketch of a set: 2 ** i bits, 64 at least, four to eight for each token."""
+    bits = max(64, 1 << int(4 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _signer(k: int, percent: int, frequency, above: int):
     def sign(batches):
         for batch in batches:
-            n, fp, signs, bins = [], [], [], []
+            n, fp, signs, bits = [], [], [], []
             for s in _sets(batch.column("text"), k):
                 n.append(len(s))
                 fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                signs.append(np.unique(signatures(s, frequency.value, percent)).view(np.int64))
-                bins.append(np.minimum(255, np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)).astype(np.uint8).tobytes())
+                signs.append(np.unique(signatures(s, frequency.value, percent, above)).view(np.int64))
+                bits.append(parity(s))
             cut = np.cumsum([0, *map(len, signs)]).astype(np.int32)
             flat = np.concatenate(signs) if signs else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), lists, pa.array(bins, pa.binary())],
-                ["doc_id", "key", "n", "fp", "signs", "bins"],
+                [batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), lists, pa.array(bits, pa.binary())],
+                ["doc_id", "key", "n", "fp", "signs", "bits"],
             )
 
     return sign
 
 
 def _bucket_rows(seen):
-    """(sign, fp, n) of the signatures that may occur twice."""
+    """(sign, fp) of the signatures that may occur twice."""
 
     def rows(batches):
         counts = seen.value
@@ -173,9 +199,7 @@ def _bucket_rows(seen):
             owner = np.repeat(np.arange(len(signs)), np.diff(np.asarray(signs.offsets)))
             hit = counts[_slot(flat.view(np.uint64), bits)] > 1
             at = pa.array(owner[hit])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[hit]), batch.column("fp").take(at), batch.column("n").take(at)], ["sign", "fp", "n"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), batch.column("fp").take(at)], ["sign", "fp"])
 
     return rows
 
@@ -194,32 +218,113 @@ def _wanted_texts(k: int, wanted):
     return pick
 
 
-def texts_of(texts: DataFrame, nodes: DataFrame, k: int, bits: int) -> DataFrame:
-    """(fp, text) of the classes ``nodes`` (fp, first_doc).
+def texts_of(texts: DataFrame, nodes: DataFrame, k: int, bits: int, shelf: Shelf) -> DataFrame:
+    """(fp, text) of the classes ``nodes`` (fp, first_doc), stored.
 
     A bitmap of their ids (2 ** bits bytes) goes to all tasks, so that only texts that may be wanted are shuffled; the
     join by fingerprint settles it.
     """
     wanted = texts.sparkSession.sparkContext.broadcast(sketch(nodes.select(F.xxhash64("first_doc").alias("h")), _longs("h"), bits))
     rows = texts.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_wanted_texts(k, wanted), TEXTS)
-    return rows.join(nodes.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
+    found = shelf.put("texts", rows.join(nodes.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
+    wanted.destroy()
+    return found
 
 
-def _near_enough(percent: int):
-    """Pairs whose bin counts differ by no more than their sets may: the sum of differences never exceeds the sets' own."""
+def apart(n: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
+    """Bits that differ between every two sketches of a block; -1 where the sets can't link by them or by their sizes."""
+    size = np.array([len(b) for b in bits])
+    found = np.full((len(n), len(n)), -1, np.int32)
+    widths = np.unique(size)
+    for width in widths:
+        own = np.flatnonzero(size == width)
+        rows, at = [np.frombuffer(b"".join(bits[i] for i in own), np.uint64).reshape(len(own), -1)], [own]
+        # A sketch folds to a smaller one; sizes of sets that link differ by 100 / percent at most.
+        for wide in widths[(widths > width) & (widths * percent < 200 * width)]:
+            at.append(np.flatnonzero(size == wide))
+            folds = np.frombuffer(b"".join(bits[i] for i in at[-1]), np.uint64).reshape(len(at[-1]), wide // width, -1)
+            rows.append(np.bitwise_xor.reduce(folds, axis=1))
+        rows, at = np.concatenate(rows), np.concatenate(at)
+        for i, k in enumerate(own):
+            there = at[i + 1 :]
+            d = np.bitwise_count(rows[i] ^ rows[i + 1 :]).sum(1, dtype=np.int64)
+            # union - intersection <= (100 - percent) / (100 + percent) * (|x| + |y|) for sets that link
+            ok = d * (100 + percent) <= (100 - percent) * (n[k] + n[there])
+            ok &= 100 * np.minimum(n[k], n[there]) >= percent * np.maximum(n[k], n[there])
+            found[k, there[ok]] = found[there[ok], k] = d[ok]
+    return found
+
+
+def shortest_trees(found: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that tie together, with the fewest differing bits, all components that pairs of ``found`` (-1: none) lead between."""
+    comp, pairs = comp.copy(), []
+    far = np.iinfo(np.int32).max
+    while True:
+        d = np.where((found >= 0) & (comp[:, None] != comp[None]), found, far)
+        nearest = d.argmin(1)
+        least = d[np.arange(len(d)), nearest]
+        if not len(least) or least.min() == far:
+            return pairs
+        order = np.lexsort((least, comp))
+        first = order[np.flatnonzero(np.diff(comp[order], prepend=-1))]  # of each component the row with the nearest other
+        for i in first[np.argsort(least[first], kind="stable")]:
+            j = int(nearest[i])
+            if least[i] < far and comp[i] != comp[j]:
+                pairs.append((int(i), j))
+                comp[comp == comp[j]] = comp[i]
+
+
+def _compared(percent: int, every: bool):
+    """Pairs of each block that may link (a, b); a row with ``sign`` alone says that the block has more of them.
+
+    Rows come sorted by block; a block may be spread over batches.
+    """
 
-    def keep(batches):
+    def block(t: pa.Table):
+        fp, n = t.column("fp").to_pylist(), t.column("n").to_numpy()
+        comp = np.unique(np.array([c.hex() for c in t.column("comp").to_pylist()]), return_inverse=True)[1]
+        side = t.column("side").to_numpy()
+        found = apart(n, t.column("bits").to_pylist(), percent)
+        if side.min() != side.max():
+            found[side[:, None] == side[None]] = -1
+        found[comp[:, None] == comp[None]] = -1
+        i, j = np.nonzero(np.triu(found >= 0))
+        more = not every and len(i) > 2 * len(fp)
+        pairs = shortest_trees(found, comp) if more else zip(i.tolist(), j.tolist(), strict=True)
+        out = [(min(fp[x], fp[y]), max(fp[x], fp[y]), None) for x, y in pairs]
+        return out + [(None, None, t.column("sign")[0].as_py())] if more else out
+
+    def batch_of(rows):
+        a, b, sign = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(sign, pa.int64())], ["a", "b", "sign"])
+
+    def compare(batches):
+        open_block, out = [], []
         for batch in batches:
-            wide = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)  # noqa: B023, E731
             if not len(batch):
                 continue
-            apart = np.abs(wide("bins_a") - wide("bins_b")).sum(1, dtype=np.int64)
-            total = np.asarray(batch.column("n_a")) + np.asarray(batch.column("n_b"))
-            # union - intersection <= (100 - percent) / (100 + percent) * (|x| + |y|) for sets that link
-            ok = apart * (100 + percent) <= (100 - percent) * total
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
-
-    return keep
+            keys = np.stack([np.asarray(batch.column(c)) for c in ("sign", "lo", "hi")])
+            cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(0)) + 1).tolist(), len(batch)]
+            if open_block and not (open_block[1] == keys[:, 0]).all():
+                out += block(pa.Table.from_batches(open_block[0]))
+                open_block = []
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(i, j - i)
+                if j == len(batch):
+                    open_block = [[*open_block[0], part] if open_block and i == 0 else [part], keys[:, -1]]
+                else:
+                    whole = [*open_block[0], part] if open_block and i == 0 else [part]
+                    out += block(pa.Table.from_batches(whole))
+                    open_block = []
+            if len(out) > 4096:
+                yield batch_of(out)
+                out = []
+        if open_block:
+            out += block(pa.Table.from_batches(open_block[0]))
+        if out:
+            yield batch_of(out)
+
+    return compare
 
 
 def _verifier(k: int, percent: int):
@@ -265,51 +370,77 @@ def components(edges: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     return roots.union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _links(texts: DataFrame, classes: DataFrame, buckets: DataFrame, k: int, percent: int, shelf: Shelf) -> DataFrame | None:
-    """(node, root) of the classes that link with another, from bucket rows (sign, fp, n, comp)."""
-    active = buckets
-    edges = labels = None
-    pivots_each = 4
-    bits = sketch_bits(texts, 256)
-    bins = lambda c: classes.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}"))
-    while True:
-        salt = F.pmod(F.xxhash64("fp"), F.lit(pivots_each))
-        pivots = active.groupBy("sign", salt.alias("salt")).agg(F.min(F.struct("fp", "n", "comp")).alias("p"))
-        pivots = pivots.select(
-            F.col("sign").alias("s"), F.col("p.fp").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.comp").alias("pivot_comp")
-        )
-        near = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
-        pairs = active.join(pivots, F.col("sign") == F.col("s")).where((F.col("comp") != F.col("pivot_comp")) & near)
-        pairs = pairs.select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b")).distinct()
-        compared = pairs.join(bins("a"), "a").join(bins("b"), "b").select("a", "b", "n_a", "n_b", "bins_a", "bins_b")
-        likely = shelf.put("likely", compared.mapInArrow(_near_enough(percent), "a binary, b binary"))
-        nodes = likely.select(F.col("a").alias("fp")).union(likely.select("b")).distinct().join(classes.select("fp", "first_doc"), "fp")
-        wanted = shelf.put("texts", texts_of(texts, nodes, k, bits))
-        one = likely.join(wanted.select(F.col("fp").alias("a"), F.col("text").alias("left")), "a")
-        two = one.join(wanted.select(F.col("fp").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
-        new = shelf.put("links", two.mapInArrow(_verifier(k, percent), "a binary, b binary"))
-        shelf.drop("texts", "likely")
-        if not new.isEmpty():
-            # Of earlier links only what ties the components together is needed.
-            labels = components(new if edges is None else edges.union(new), shelf)
-            edges = labels.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        left = active.join(pivots, (F.col("sign") == F.col("s")) & (F.col("fp") == F.col("pivot")), "left_anti")
-        if labels is not None:
-            known = labels.select(F.col("node").alias("fp"), "root")
-            left = left.drop("comp").join(known, "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
-        active = shelf.put("buckets", _open(left))
-        if active.isEmpty():
-            return labels
-        pivots_each *= 64
-
-
-def _open(rows: DataFrame) -> DataFrame:
+def _several(rows: DataFrame) -> DataFrame:
     """Bucket rows of the signatures under which more than one component is left."""
     c = F.xxhash64("comp")
     several = rows.groupBy("sign").agg(F.min(c).alias("lo"), F.max(c).alias("hi")).where("lo <> hi").select("sign")
     return rows.join(several, "sign", "left_semi")
 
 
+def _buckets(rows: DataFrame) -> DataFrame:
+    """(sign, fp, size) of the buckets with two classes at least, one signature for all buckets of the same classes."""
+    same = (F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("y"))
+    size = F.count("*").alias("size")
+    each = rows.groupBy("sign").agg(size, *same, F.min("fp").alias("first")).where("size > 1")
+    kept = each.groupBy("size", "x", "y", "first").agg(F.min("sign").alias("sign"))
+    return rows.join(kept.select("sign", "size"), "sign")
+
+
+def _may_link(rows: DataFrame, percent: int, every: bool = False, across: bool = True) -> DataFrame:
+    """(a, b, sign) from bucket rows (sign, fp, size, n, bits, comp) compared block by block, or within blocks only."""
+    blocks = F.ceil(F.col("size") / ROWS).cast("int")
+    dealt = rows.withColumn("side", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
+    if across:
+        # A class meets every block of its bucket once: rows grow with the blocks of those dense buckets that are still open.
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    else:
+        dealt = dealt.withColumn("other", F.col("side"))
+    dealt = dealt.select("sign", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "fp", "n", "bits", "comp")
+    sorted_rows = dealt.repartition("sign", "lo", "hi").sortWithinPartitions("sign", "lo", "hi")
+    return sorted_rows.mapInArrow(_compared(percent, every), "a binary, b binary, sign long")
+
+
+def _links(texts: DataFrame, classes: DataFrame, buckets: DataFrame, k: int, percent: int, shelf: Shelf) -> DataFrame | None:
+    """(node, root) of the classes that link with another, from bucket rows (sign, fp, size)."""
+    rows = shelf.put("open", buckets.join(classes.select("fp", "n", "bits"), "fp"))
+    seen = shelf.put("seen", _may_link(rows.withColumn("comp", F.col("fp")), percent, across=False))
+    more = seen.where("a is null").select("sign").union(rows.where(F.col("size") > ROWS).select("sign")).distinct()
+    dense = shelf.put("dense", rows.join(more, "sign", "left_semi"))
+    shelf.drop("open")
+    likely = seen.where("a is not null").select("a", "b").distinct()
+    nodes = likely.select(F.col("a").alias("fp")).union(likely.select("b")).union(dense.select("fp")).distinct()
+    wanted = texts_of(texts, nodes.join(classes.select("fp", "first_doc"), "fp"), k, sketch_bits(texts, 256), shelf)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        one = pairs.join(wanted.select(F.col("fp").alias("a"), F.col("text").alias("left")), "a")
+        two = one.join(wanted.select(F.col("fp").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
+        return two.mapInArrow(_verifier(k, percent), "a binary, b binary")
+
+    links = shelf.put("links", verified(likely))
+    labels = None if links.isEmpty() else components(links, shelf)
+    for every in (False, True):
+        left = dense.withColumn("comp", F.col("fp"))
+        if labels is not None:
+            known = labels.select(F.col("node").alias("fp"), "root")
+            left = dense.join(known, "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
+        left = shelf.put("open", _several(left))
+        if left.isEmpty():
+            break
+        found = shelf.put("found", _may_link(left, percent, every))
+        # Pairs that were refused before need no second look; those that linked are in one component.
+        fresh = found.where("a is not null").select("a", "b").distinct().join(likely, ["a", "b"], "left_anti")
+        links = shelf.put("more-links", verified(fresh))
+        if not links.isEmpty():
+            # Of earlier links only what ties the components together is needed.
+            old = None if labels is None else labels.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+            labels = components(links if old is None else old.union(links), shelf)
+        likely = shelf.put("tried", likely.union(fresh)) if not every else likely
+        dense = dense.join(found.where("a is null").select("sign").distinct(), "sign", "left_semi") if not every else dense
+        if not every:
+            dense = shelf.put("denser", dense)
+    return labels
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, roots: bool = False) -> DataFrame:
     """doc_id, key (hash of the text), n_shingles, component_id and, if asked for, root of every document.
 
@@ -320,17 +451,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, roots: bool
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts, shelf = docs.select("doc_id", "text"), Shelf(spark)
     frequency = sketch(texts.select("text"), _shingles(k), sketch_bits(docs, 8))  # 2 ** 26 bytes at most
+    above = often_from(frequency)
     frequency = spark.sparkContext.broadcast(frequency)
     keyed = texts.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    schema = f"doc_id {kind}, key long, n long, fp binary, signs array<long>, bins binary"
-    signed = shelf.put("signed", keyed.mapInArrow(_signer(k, percent, frequency), schema))
-    frequency.unpersist()
+    schema = f"doc_id {kind}, key long, n long, fp binary, signs array<long>, bits binary"
+    signed = shelf.put("signed", keyed.mapInArrow(_signer(k, percent, frequency, above), schema))
+    frequency.destroy()
     first = lambda c: F.first(c).alias(c)  # noqa: E731  equal in a class
-    filled = signed.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first_doc"), *map(first, ("n", "signs", "bins")))
+    filled = signed.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first_doc"), *map(first, ("n", "signs", "bits")))
     classes = shelf.put("classes", filled)
     seen = spark.sparkContext.broadcast(sketch(classes.select("signs"), _longs("signs"), sketch_bits(docs, 16)))
-    rows = classes.select("signs", "fp", "n").mapInArrow(_bucket_rows(seen), "sign long, fp binary, n long")
-    buckets = shelf.put("buckets", _open(rows.withColumn("comp", F.col("fp"))))
+    rows = shelf.put("signatures", classes.select("signs", "fp").mapInArrow(_bucket_rows(seen), "sign long, fp binary"))
+    seen.destroy()
+    buckets = shelf.put("buckets", _buckets(rows))
+    shelf.drop("signatures")
     labels = None if buckets.isEmpty() else _links(texts, classes, buckets, k, percent, shelf)
     if labels is None:
         joined = classes.select("fp", F.col("first_doc").alias("component_id"), F.col("fp").alias("root"))

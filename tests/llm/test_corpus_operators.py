@@ -74,6 +74,47 @@ def test_components_against_brute_force(spark, monkeypatch, seed, k, percent, fr
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows, k, percent)
 
 
+@pytest.mark.parametrize(("seed", "rows"), [(7, 8), (8, 3), (9, 512)])
+def test_dense_group_of_near_copies_against_brute_force(spark, monkeypatch, seed, rows):
+    """Many copies of one text, about half of which link: several blocks, trees, refused pairs and a third round."""
+    monkeypatch.setattr(ngram_join, "ROWS", rows)
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(90):
+        copy = list(words)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3])):
+            copy[rng.randrange(80)] = rng.choice(["other", f"own{i}"])
+        texts.append((i, " ".join(copy)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = ngram_join.near_duplicates(df, 3, 90).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(texts, 3, 90)
+
+
+def test_parity_sketches_never_differ_more_than_the_sets():
+    rng = np.random.RandomState(1)
+    for percent in (30, 60, 90):
+        sets = []
+        for _ in range(60):
+            base = sets[rng.randint(len(sets))] if sets and rng.rand() < 0.7 else rng.randint(0, 1 << 62, int(rng.randint(1, 300))).astype(np.uint64)
+            sets.append(np.unique(np.concatenate([base[rng.rand(len(base)) < 0.95], rng.randint(0, 1 << 62, int(rng.randint(1, 4))).astype(np.uint64)])))
+        n = np.array([len(s) for s in sets])
+        found = ngram_join.apart(n, [ngram_join.parity(s) for s in sets], percent)
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                both = len(np.intersect1d(x, y))
+                if found[i, j] >= 0:
+                    assert found[i, j] == found[j, i] <= len(x) + len(y) - 2 * both
+                else:
+                    assert 100 * both < percent * (len(x) + len(y) - both)
+
+
+def test_counts_do_not_saturate(spark):
+    df = spark.range(1).select(F.expr("array_repeat(7L, 200000)").alias("h")).union(spark.range(1).select(F.expr("array(1L << 50)")))
+    found = ngram_join.sketch(df.union(df), ngram_join._longs("h"), 16)
+    assert found.max() == ngram_join.scaled(np.array([131070]))[0] and sorted(found[found > 0].tolist())[0] == 2
+
+
 def test_signatures_of_sets_that_link_meet():
     rng = np.random.RandomState(0)
     for percent in (75, 80, 90, 95):
