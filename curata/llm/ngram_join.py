@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import Shelf, stored
+from .storage import Shelf, free_names, quoted, stored
 from .words import mix, shingle_hashes, slices, word_hashes
 
 FREQUENT = 40
@@ -134,7 +134,7 @@ def sketch(rows: DataFrame, hashes, bits: int) -> np.ndarray:
 
 def often_from(frequency: np.ndarray) -> int:
     """Scaled count above which a token is frequent: 40, or four times the mean slot's."""
-    levels = np.bincount(frequency, minlength=256)
+    levels = sum(np.bincount(part, minlength=256) for part in np.array_split(frequency, max(1, len(frequency) >> 20)))
     counts = np.where(np.arange(256) < 16, np.arange(256), 16 * 2.0 ** ((np.arange(256) - 16) / 8))
     mean = float((levels * counts).sum() / max(1, levels.sum()))
     return int(scaled(np.array([max(FREQUENT, 4 * mean)]))[0])
@@ -450,7 +450,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, roots: bool
     spark: SparkSession = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts, shelf = docs.select("doc_id", "text"), Shelf(spark)
-    frequency = sketch(texts.select("text"), _shingles(k), sketch_bits(docs, 8))  # 2 ** 26 bytes at most
+    frequency = sketch(texts.select("text"), _shingles(k), sketch_bits(docs, 16))  # 2 ** 26 bytes at most
     above = often_from(frequency)
     frequency = spark.sparkContext.broadcast(frequency)
     keyed = texts.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -485,13 +485,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, roots: bool
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs``, all columns, with one row of each group: that with the smallest id, then text hash. Rows without words stay."""
+    d, t, key, empty, first, n = free_names(docs, "d", "t", "key", "empty", "first", "n")
     found = near_duplicates(docs, k, percent, roots=True).where("n_shingles > 0")
-    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("p")).select(
-        F.col("p.doc_id").alias("_d"), F.col("p.key").alias("_k"), F.lit(True).alias("_first")
-    )
-    empty = F.coalesce(~F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(True))
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_empty", empty)
-    met = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    firsts = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("p"))
+    firsts = firsts.select(F.col("p.doc_id").alias(d), F.col("p.key").alias(t), F.lit(True).alias(first))
+    no_words = F.coalesce(~F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(True))
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit("")))).withColumn(empty, no_words)
+    met = keyed.join(firsts, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(key) == F.col(t)), "left")
     # Rows that are repeated whole share id and text; the join has already brought them together.
-    place = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("_empty"))
-    return met.withColumn("_n", place).where("_empty or (_first and _n = 1)").select(*docs.columns)
+    place = F.row_number().over(Window.partitionBy("doc_id", key).orderBy(empty))
+    kept = met.withColumn(n, place).where(F.col(empty) | (F.col(first) & (F.col(n) == 1)))
+    return kept.select(*map(quoted, docs.columns))
