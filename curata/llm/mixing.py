@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .quality_rules import SPACE
-from .storage import stored
+from .storage import free_names, quoted, stored
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -55,7 +55,9 @@ def plan(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> Dat
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, repeats (times the document is taken), taken (repeats * size), text_key."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # Rows without an id are told apart by their text, so that they too are spread over the slices.
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), name))
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("text_key"))
     sized = stored(sized.withColumn("slice", F.substring("key", 1, SLICE_DIGITS)), "mix-sizes")
     slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
@@ -84,11 +86,13 @@ def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     Rows meet by id, source and text. Those that are equal in all three are numbered: the repeats of a source are two
     numbers that differ by one, and the first ``_more`` of the equal rows take the larger.
     """
-    some = mixed.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_key").alias("_k"))
-    times = some.agg(F.min("repeats").alias("_low"), F.max("repeats").alias("_high"), F.sum("repeats").alias("_sum"), F.count("*").alias("_rows"))
-    times = times.where("_high > 0").withColumn("_more", F.col("_sum") - F.col("_low") * F.col("_rows")).drop("_high", "_sum", "_rows")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_k"))
-    place = F.row_number().over(Window.partitionBy("doc_id", "source", "_key").orderBy("_key"))
-    met = keyed.join(times, same).withColumn("_times", F.col("_low") + (place <= F.col("_more")).cast("long")).where("_times > 0")
-    return met.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    d, o, k, low, more, key, times, n = free_names(docs, "d", "s", "k", "low", "more", "key", "times", "n")
+    some = mixed.groupBy(F.col("doc_id").alias(d), F.col("source").alias(o), F.col("text_key").alias(k))
+    repeats = some.agg(F.min("repeats").alias(low), F.max("repeats").alias("high"), F.sum("repeats").alias("all"), F.count("*").alias("rows"))
+    repeats = repeats.where("high > 0").select(d, o, k, low, (F.col("all") - F.col(low) * F.col("rows")).alias(more))
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(o)) & (F.col(key) == F.col(k))
+    place = F.row_number().over(Window.partitionBy("doc_id", "source", key).orderBy(key))
+    met = docs.withColumn(key, F.xxhash64("text")).join(repeats, same)
+    met = met.withColumn(times, F.col(low) + (place <= F.col(more)).cast("long")).where(F.col(times) > 0)
+    met = met.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    return met.select(*map(quoted, docs.columns))

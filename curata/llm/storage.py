@@ -2,7 +2,7 @@
 
 Everything that outlives a stage goes below ``spark.checkpoint.dir`` (any
 filesystem that Spark and pyarrow can both open). A session without that
-setting, such as a local test, gets a temporary folder of its own.
+setting, such as a local test, gets a temporary folder of its own; on a cluster it is refused.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def shared_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the session's shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _own.setdefault("dir", tempfile.mkdtemp(prefix="curata-"))
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
@@ -31,6 +33,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, prefixed so that no column of ``df`` has them."""
+    taken, prefix = {c.lower() for c in df.columns}, "_"
+    while any(prefix + n in taken for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
+def quoted(name: str) -> str:
+    """A column name for ``select``, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a path of this module's, through whatever filesystem Spark has for it."""
     jvm = spark.sparkContext._jvm
