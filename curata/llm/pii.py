@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_join import sketch
-from .storage import stored
+from .storage import free_names, quoted, stored
 from .words import slices, utf8_of, word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -38,8 +38,9 @@ SUPPORT = 2
 GENERALISE, REMOVE = 0.8, 0.95
 CLASS_WORD = "<term>"
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
@@ -58,17 +59,43 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str):
+    """Leftmost matches of local part, @ and dotted domain, each character looked at once or twice however long its run is."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < at and (domain := _DOMAIN.match(text, at + 1)):
+            end = domain.end()
+            yield start, end
+        at = text.find("@", at + 1)
+
+
+def _ips(text: str):
+    """Four numbers joined by dots, from the left of each chain of such numbers."""
+    for chain in _DOTTED.finditer(text):
+        if chain[0].count(".") < 3:
+            continue
+        parts, start = chain[0].split("."), chain.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = start + sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in four):
+                yield start, end
+            start = end + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end) by kind, then start; leftmost matches that do not overlap, those that fail the check left out."""
-    out = []
-    if "@" in text:
-        out += [(0, m.start(), m.end()) for m in _EMAIL.finditer(text)]
+    """(kind, start, end) by kind, then start; leftmost matches that do not overlap, those that fail the check left out.
+
+    Linear in the length of the text, also where one run of characters is all of it.
+    """
+    out = [(0, a, b) for a, b in _emails(text)]
     if not _DIGIT.search(text):
         return out
     if text.count(".") >= 3:
-        for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
-                out.append((1, m.start(), m.end()))
+        out += [(1, a, b) for a, b in _ips(text)]
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -231,6 +258,8 @@ def find(docs: DataFrame) -> DataFrame:
     bits = min(26, max(20, int(telling.count()).bit_length() + 10))
     marks = docs.sparkSession.sparkContext.broadcast(sketch(telling, _terms, bits))
     placed = keyed.mapInArrow(_occurrences(marks), f"doc_id {kind}, key long, term long, start int, end int")
+    placed = stored(placed, "pii-occurrences")
+    marks.destroy()
     hit = placed.join(telling, F.col("term") == F.col("t")).groupBy("doc_id", "key", "start", "end").agg(F.max("remove").alias("remove"))
     hit = hit.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "remove"))).alias("terms")
@@ -264,18 +293,19 @@ def rewritten(text: str, spans, terms) -> str:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with the personal data in ``text`` replaced."""
+    d, k, spans, terms, key = free_names(docs, "d", "k", "spans", "terms", "key")
     found = find(docs).where((F.size("spans") > 0) | (F.size("terms") > 0)).dropDuplicates(["doc_id", "key"])
-    found = found.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("spans").alias("_s"), F.col("terms").alias("_t"))
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    met = docs.withColumn("_key", key).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    found = found.select(F.col("doc_id").alias(d), F.col("key").alias(k), F.col("spans").alias(spans), F.col("terms").alias(terms))
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    met = keyed.join(found, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(key) == F.col(k)), "left")
 
     def rewrite(batches):
         for batch in batches:
-            names = [c for c in batch.schema.names if c not in ("_s", "_t")]
+            names = [c for c in batch.schema.names if c not in (spans, terms)]
             text = batch.column("text").to_pylist()
-            spans, terms = batch.column("_s").to_pylist(), batch.column("_t").to_pylist()
-            new = [rewritten(t, s, e or []) if s is not None and t else t for t, s, e in zip(text, spans, terms, strict=True)]
+            both = batch.column(spans).to_pylist(), batch.column(terms).to_pylist()
+            new = [rewritten(t, s, e or []) if s is not None and t else t for t, s, e in zip(text, *both, strict=True)]
             columns = [pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return met.select(*docs.columns, "_s", "_t").mapInArrow(rewrite, docs.schema)
+    return met.select(*map(quoted, docs.columns), spans, terms).mapInArrow(rewrite, docs.schema)
