@@ -4,9 +4,11 @@
    was read and returns one manifest row per shard with a histogram of piece lengths: at most ``capacity`` numbers,
    however many documents there are.
 2. ``plan`` packs the summed histogram on the driver. Large lengths are sorted and cut into groups of equal
-   cardinality, each rounded up to its longest; configurations of these few sizes are chosen, fullest first, by subset
-   sums; the actual lengths take the places of the rounded ones; the small lengths then go, longest first, where they
-   fit best. All steps work on runs (so many equal sequences), so the plan's size depends on ``capacity`` alone.
+   cardinality, each rounded up to its longest; a linear program over configurations of these few sizes, columns generated by
+   knapsacks, says how often each configuration is used, rounded down; the actual lengths take the places of the rounded
+   ones; what is left, small lengths and the rest of the rounding down, goes where it fits best, longest first. Where plain best
+   fit of all lengths (no groups) takes fewer sequences, it is taken. All steps work on runs (so many equal sequences), so the
+   plan's size depends on ``capacity`` alone.
 3. ``pack`` gives each piece its rank among the pieces of its length (prefix sums over shards of the histograms, plus
    its place in the shard) and looks up the sequence and offset that the plan has for that rank.
 
@@ -25,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import map_file, parts_for, shared_path, stored, write_bytes
+from .storage import map_file, shared_path, stored, write_bytes
 from .tokens import encoder
 
 CAPACITY = 1024
-GROUPS = 256
+GROUPS = 64
 SMALL = 48
 SHARD = "path string, n_pieces long, counts array<long>"
 PIECES = "doc_id long, piece int, start long, length long, sequence_id long, offset long, ids binary"
@@ -85,133 +87,150 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     return stored(rows.mapInArrow(_writer(folder, tokenizer, end_id, capacity), SHARD), "piece-manifest")
 
 
-def _fullest(sizes: list[int], left: dict[int, int], room: int) -> list[int]:
-    """Sizes (each at most as often as ``left`` has it) with the largest sum up to ``room``; the longest first on ties."""
-    within, steps, reach = (1 << (room + 1)) - 1, [], 1
-    for s in sizes:
-        if s > room:
-            continue
-        for _ in range(min(left[s], room // s)):
-            wider = (reach | reach << s) & within
-            if wider == reach:
-                break
-            steps.append((s, reach))
-            reach = wider
-        if reach >> room & 1:
-            break
-    total, taken = reach.bit_length() - 1, []
-    for s, before in reversed(steps):
-        if not before >> total & 1:
-            taken.append(s)
-            total -= s
-    return taken
+def _best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
+    """How often each size enters the sequence of at most ``capacity`` tokens that is worth most."""
+    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    order = np.argsort(sizes, kind="stable")
+    by_size, gain = sizes[order], worth[order]
+    fits = np.searchsorted(by_size, np.arange(capacity + 1), "right")
+    for room in range(int(by_size[0]), capacity + 1):
+        with_one = best[room - by_size[: fits[room]]] + gain[: fits[room]]
+        k = int(with_one.argmax())
+        best[room] = best[room - 1]
+        if with_one[k] > best[room] + 1e-12:
+            best[room], choice[room] = with_one[k], order[k]
+    used, room = np.zeros(len(sizes)), capacity
+    while room:
+        if choice[room] < 0:
+            room -= 1
+        else:
+            used[choice[room]] += 1
+            room -= int(sizes[choice[room]])
+    return used
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> np.ndarray:
-    """Rows (length, first rank, number, first sequence, offset) that place every piece of the histogram ``counts``.
+def configurations(sizes: np.ndarray, number: np.ndarray, capacity: int, rounds: int = 20) -> list[tuple[np.ndarray, int]]:
+    """(how often each size, uses) by the configuration linear program, uses rounded down; at most ``rounds`` pivots a size.
 
-    Ranks r .. r + number - 1 of a length go to sequences first .. first + number - 1 at the offset.
+    A basis holds one configuration a size: at first each size alone. A pivot brings in the configuration that the prices of the
+    basis make worth most; any basis is feasible, so stopping early costs sequences but never a place.
     """
-    counts = np.asarray(counts, np.int64).copy()
-    # Linear grouping: equal cardinality, rounded up to the longest of the group.
+    m = len(sizes)
+    columns = np.diag((capacity // sizes).astype(float))
+    inverse = np.diag(1 / np.diag(columns))
+    uses = inverse @ number
+    for _ in range(rounds * m):
+        prices = inverse.sum(0)
+        new = _best_configuration(sizes, prices, capacity)
+        if prices @ new <= 1 + 1e-7:
+            break
+        step = inverse @ new
+        ratio = np.where(step > 1e-9, uses / np.where(step > 1e-9, step, 1), np.inf)
+        out = int(ratio.argmin())
+        uses = np.maximum(uses - ratio[out] * step, 0)
+        uses[out] = ratio[out]
+        columns[:, out] = new
+        inverse[out] /= step[out]
+        others = np.arange(m) != out
+        inverse[others] -= np.outer(step[others], inverse[out])
+    whole = np.floor(uses + 1e-9).astype(np.int64)
+    # Rounding errors must not place more than there is.
+    while m and ((columns @ whole) > number + 0.5).any():
+        whole[np.flatnonzero(whole)[0]] -= 1
+    return [(columns[:, j].astype(np.int64), int(whole[j])) for j in np.flatnonzero(whole)]
+
+
+def _grouped(counts: np.ndarray, groups: int, small: int) -> dict[int, list[list[int]]]:
+    """Rounded size -> its [length, number], longest first, in groups of equal cardinality of the lengths above ``small``."""
     large = [int(n) for n in np.flatnonzero(counts) if n > small][::-1]
     each = max(1, -(-int(sum(counts[n] for n in large)) // groups))
     members: dict[int, list[list[int]]] = {}
-    held = 0
-    top = 0
+    held = top = 0
     for n in large:
         todo = int(counts[n])
         while todo:
-            if held == 0:
-                top = n
+            top = top if held else n
             take = min(todo, each - held)
-            members.setdefault(top, []).append([n, take])
+            own = members.setdefault(top, [])
+            if own and own[-1][0] == n:
+                own[-1][1] += take
+            else:
+                own.append([n, take])
             held = (held + take) % each
             todo -= take
-    left = {s: sum(c for _, c in m) for s, m in members.items()}
-    # Configurations of few sizes, the longest remaining size with its fullest complement.
-    runs: list[tuple[list[int], int]] = []
-    sizes = sorted(left, reverse=True)
-    while sizes:
-        s = sizes[0]
-        left[s] -= 1
-        config = [s, *_fullest([x for x in sizes if left[x]], left, capacity - s)]
-        left[s] += 1
-        uses = min(left[x] // config.count(x) for x in set(config))
-        for x in config:
-            left[x] -= uses
-        runs.append((config, uses))
-        sizes = [x for x in sizes if left[x]]
-    # Substitute the actual lengths, longest first within a group; a run splits where a length ends.
+    return members
+
+
+def _planned(counts: np.ndarray, capacity: int, groups: int, small: int) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+    """Number of sequences, and rows as of ``plan``; without groups all lengths go by best fit."""
+    members = _grouped(counts, groups, small) if groups else {}
+    sizes = np.array(sorted(members, reverse=True), np.int64)
+    number = np.array([sum(c for _, c in members[int(s)]) for s in sizes], float)
     rank = dict.fromkeys(range(capacity + 1), 0)
     rows: list[tuple[int, int, int, int, int]] = []
     rooms: dict[int, list[tuple[int, int]]] = {}
     sequence = 0
-    for config, uses in runs:
+    # Substitute the actual lengths, longest first within a group; a run splits where a length ends.
+    for often, uses in configurations(sizes, number, capacity) if len(sizes) else []:
+        config = [int(s) for s, k in zip(sizes, often, strict=True) for _ in range(k)]
         while uses:
-            number = uses
-            need: dict[int, int] = {}
-            for x in config:
-                need[x] = need.get(x, 0) + 1
-            for x, k in need.items():
-                number = min(number, max(1, members[x][0][1] // k))
+            run = min(uses, *(max(1, members[x][0][1] // config.count(x)) for x in set(config)))
             used = 0
             for x in config:
-                number_here = number
-                while number_here:
-                    n, c = members[x][0]
-                    take = min(c, number_here)
-                    if take < number:  # only where a single sequence draws on two lengths
-                        number = number_here = take
-                    rows.append((n, rank[n], take, sequence, used))
-                    rank[n] += take
-                    members[x][0][1] -= take
-                    if not members[x][0][1]:
-                        members[x].pop(0)
-                    number_here -= take
-                    used += n
-            rooms.setdefault(capacity - used, []).append((sequence, number))
-            sequence += number
-            uses -= number
-    # Best fit of the small ones, longest first, into the tightest rooms.
+                n, c = members[x][0]  # holds a whole run, or the run is one sequence
+                rows.append((n, rank[n], run, sequence, used))
+                rank[n] += run
+                members[x][0][1] -= run
+                if c == run:
+                    members[x].pop(0)
+                used += n
+            rooms.setdefault(capacity - used, []).append((sequence, run))
+            sequence += run
+            uses -= run
+    # Best fit of all that is left, longest first, into the tightest rooms: as many into each as it holds.
     keys = sorted(rooms)
-    for n in range(small, 0, -1):
-        todo = int(counts[n]) if n < len(counts) else 0
+
+    def give(room: int, first: int, number: int) -> None:
+        if room not in rooms:
+            bisect.insort(keys, room)
+        rooms.setdefault(room, []).append((first, number))
+
+    for n in range(capacity, 0, -1):
+        todo = int(counts[n]) - rank[n] if n < len(counts) else 0
         while todo:
             at = bisect.bisect_left(keys, n)
             if at == len(keys):
-                most = -(-todo // (capacity // n))
-                rooms[capacity] = [(sequence, most)]
-                sequence += most
-                keys.append(capacity)
+                number = -(-todo // (capacity // n))
+                give(capacity, sequence, number)
+                sequence += number
                 continue
             room = keys[at]
             first, number = rooms[room].pop()
             if not rooms[room]:
                 del rooms[room]
                 keys.pop(at)
-            deep = min(room // n, -(-todo // number))
-            filled = 0
-            for k in range(deep):
-                take = min(number, todo)
-                if take < number:
-                    break
-                rows.append((n, rank[n], take, first, capacity - room + k * n))
-                rank[n] += take
-                todo -= take
-                filled = k + 1
-            over = todo if filled < deep else 0
-            for a, b, used in ((first, over, (filled + 1) * n), (first + over, number - over, filled * n)):
-                if not b:
-                    continue
-                if a == first and over:
-                    rows.append((n, rank[n], over, first, capacity - room + filled * n))
-                    rank[n] += over
-                if room - used not in rooms:
-                    bisect.insort(keys, room - used)
-                rooms.setdefault(room - used, []).append((a, b))
-            todo -= over
-    return np.array(rows, np.int64).reshape(-1, 5)
+            deep = room // n
+            full = min(number, todo // deep)
+            for filled, times in ((deep, full), (todo % deep, int(full < number and todo // deep == full and todo % deep > 0))):
+                if times:
+                    for k in range(filled):
+                        rows.append((n, rank[n], times, first, capacity - room + k * n))
+                        rank[n] += times
+                    give(room - filled * n, first, times)
+                    first, number, todo = first + times, number - times, todo - times * filled
+            if number:
+                give(room, first, number)
+    return sequence, rows
+
+
+def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> np.ndarray:
+    """Rows (length, first rank, number, first sequence, offset) that place every piece of the histogram ``counts``.
+
+    Ranks r .. r + number - 1 of a length go to sequences first .. first + number - 1 at the offset.
+    """
+    counts = np.asarray(counts, np.int64)
+    tried = [_planned(counts, capacity, g, small) for g in (groups, 0)]
+    return np.array(min(tried, key=lambda t: t[0])[1], np.int64).reshape(-1, 5)
 
 
 def _reader(placed: dict[int, np.ndarray], tokenizer: str):
@@ -268,4 +287,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
     bases = by_length.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
     bases = bases.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("base"))
     spread = bases.select("path", F.transform(F.sequence(F.lit(0), F.lit(capacity)), lambda n: F.col("base")[n]).alias("base"))
-    return spread.repartition(parts_for(manifest), "path").mapInArrow(_reader(placed, tokenizer), PIECES)
+    # By ranges and a number, which Spark neither drops nor merges, however small the rows are: some tens of megabytes of ids a task.
+    return spread.repartitionByRange(max(1, manifest.count()), "path").mapInArrow(_reader(placed, tokenizer), PIECES)
