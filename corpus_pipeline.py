@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.llm import mixing, ngram_join, packing, pii, quality_classifier
-from curata.llm.storage import stored
+from curata.llm.storage import free_names, quoted, stored
 
 THRESHOLD = 0.3
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,8 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     weights = quality_classifier.train(docs, labels)
-    scored = quality_classifier.score(docs, weights, keep=tuple(docs.columns), name="_quality")
-    return scored.where(F.col("_quality") >= THRESHOLD).select(*docs.columns)
+    (score,) = free_names(docs, "quality")
+    scored = quality_classifier.score(docs, weights, keep=tuple(docs.columns), name=score)
+    return scored.where(F.col(score) >= THRESHOLD).select(*map(quoted, docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
