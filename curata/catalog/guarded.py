@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from curata.functions import names as M
 from curata.operators import matching as G
 
-from . import Catalog, table
+from . import Catalog, dealt, table
 from .resolution import TYPO
 
 C = Catalog()
@@ -25,17 +25,17 @@ def b15(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", G.title_case(raw).alias("title"))
 
 
-def pairs(spark, sf_dir, of="true"):
-    """Sources with a misspelt name, those that ``of`` names, against one record per (name, brand), under one brand."""
-    p = table(spark, sf_dir, "part")
+def pairs(spark, sf_dir):
+    """Sources with a misspelt name against one record per (name, brand), under one brand."""
+    p = dealt(table(spark, sf_dir, "part"))
     own = p.where("p_partkey % 3 <> 0").groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("id"), F.min_by("p_size", "p_partkey").alias("age"))
     own = own.withColumn("name", F.concat_ws(" ", "p_name", F.col("age").cast("string"), F.lit("year old"), "p_brand"))
-    src = p.where(of).select(F.col("p_partkey").alias("src_id"), F.expr(TYPO).alias("src_name"), F.col("p_size").alias("src_age"), "p_brand", F.col("p_name").alias("src_part"))
+    src = p.select(F.col("p_partkey").alias("src_id"), F.expr(TYPO).alias("src_name"), F.col("p_size").alias("src_age"), "p_brand", F.col("p_name").alias("src_part"))
     return src.join(own, "p_brand").where(F.substring_index("src_part", " ", 1) == F.substring_index("p_name", " ", 1))
 
 
 PAIRS = f"""own AS (SELECT p_name, p_brand, min(p_partkey) AS id, arg_min(p_size, p_partkey) AS age FROM part WHERE p_partkey % 3 <> 0 GROUP BY ALL),
-src AS (SELECT p_partkey AS src_id, {TYPO} AS src_name, p_size AS src_age, p_brand, p_name AS src_part FROM part WHERE p_partkey % 4 = 0),
+src AS (SELECT p_partkey AS src_id, {TYPO} AS src_name, p_size AS src_age, p_brand, p_name AS src_part FROM part),
 pr AS (SELECT src.*, own.id, own.age, own.p_name, own.p_name || ' ' || own.age || ' year old ' || own.p_brand AS name FROM src JOIN own ON own.p_brand = src.p_brand AND split_part(src_part, ' ', 1) = split_part(own.p_name, ' ', 1))"""
 
 
@@ -101,7 +101,7 @@ s AS (SELECT *, CASE WHEN base >= 0.9 AND coalesce(x = y, true) AND contains(a,
 SELECT src_id, CASE WHEN status <> 'no_match' THEN id END AS id, round(score, 4) AS score, status FROM s""",
 )
 def d15(spark, sf_dir):
-    rows = pairs(spark, sf_dir, "p_partkey % 4 = 0").select("src_id", F.lower("src_name").alias("src_text"), "id", F.lower("name").alias("text"), F.substring_index("p_name", " ", 1).alias("producer"))
+    rows = pairs(spark, sf_dir).select("src_id", F.lower("src_name").alias("src_text"), "id", F.lower("name").alias("text"), F.substring_index("p_name", " ", 1).alias("producer"))
     return G.retail_status(rows, ("limited",))
 
 

@@ -26,13 +26,17 @@ def a1(spark, sf_dir):
 @C.add(
     "a2_flattened",
     """SELECT p_partkey, 'item.name' AS path, p_name AS value FROM part UNION ALL SELECT p_partkey, 'item.size.cl', p_size::VARCHAR FROM part
+UNION ALL SELECT p_partkey, 'item.marks[0].m', p_type FROM part UNION ALL SELECT p_partkey, 'item.marks[1].m', p_brand FROM part
+UNION ALL SELECT p_partkey, 'grid[0][0]', p_size::VARCHAR FROM part UNION ALL SELECT p_partkey, 'grid[1][1]', p_partkey::VARCHAR FROM part
 UNION ALL SELECT p_partkey, 'tags[0]', p_brand FROM part UNION ALL SELECT p_partkey, 'tags[1]', p_type FROM part UNION ALL SELECT p_partkey, 'lots[0].price', p_retailprice::VARCHAR FROM part WHERE p_partkey % 2 = 0""",
 )
 def a2(spark, sf_dir):
     path, k = S.scratch_path(spark, "json"), F.col("p_partkey")
-    item = F.struct(F.col("p_name").alias("name"), F.struct(F.col("p_size").alias("cl"), F.lit(" ").alias("unit")).alias("size")).alias("item")
+    item = F.struct(F.col("p_name").alias("name"), F.struct(F.col("p_size").alias("cl"), F.lit(" ").alias("unit")).alias("size"), F.array(F.struct(F.col("p_type").alias("m")), F.struct(F.col("p_brand").alias("m"))).alias("marks")).alias("item")
+    none = F.lit(None).cast("bigint")
+    grid = F.array(F.array(F.col("p_size").cast("bigint"), none), F.array(none, k)).alias("grid")
     lots = F.array(F.struct(F.when(k % 2 == 0, F.col("p_retailprice")).alias("price"))).alias("lots")
-    rows = table(spark, sf_dir, "part").select(k, item, F.array("p_brand", "p_type").alias("tags"), lots)
+    rows = table(spark, sf_dir, "part").select(k, item, F.array("p_brand", "p_type").alias("tags"), lots, grid)
     rows.write.json(path)
     return S.flattened(spark.read.schema(rows.schema).json(path), "p_partkey")
 
@@ -48,7 +52,8 @@ def a4(spark, sf_dir):
     return tables.query("entities", "p_size > 30", [F.desc("p_retailprice"), "p_partkey"], 40).select("p_partkey", "p_name")
 
 
-_STAR = """p AS (SELECT p_partkey AS product_id, CASE WHEN p_partkey % 19 <> 0 THEN p_name END AS name, CASE WHEN p_partkey % 23 = 0 THEN 'Nobody' ELSE 'Supplier ' || (p_partkey % 40) END AS producer_name, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS bottler_name FROM part)"""
+_STAR = """p AS (SELECT p_partkey AS product_id, CASE WHEN p_partkey % 19 <> 0 THEN p_name END AS name, CASE WHEN p_partkey % 23 = 0 THEN 'Nobody' ELSE 'Supplier ' || (p_partkey % 40) END AS producer_name, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS bottler_name FROM part),
+k AS (SELECT DISTINCT 'supplier ' || (s_suppkey - 1) AS known FROM supplier WHERE s_suppkey <= 40)"""
 
 
 def star(spark, sf_dir):
@@ -66,7 +71,7 @@ def star(spark, sf_dir):
 
 @C.add(
     "a5_star_products",
-    f"WITH {_STAR} SELECT product_id, name, substring(sha256(lower(producer_name)), 1, 16) AS producer_id, CASE WHEN bottler_name <> '' THEN substring(sha256(lower(bottler_name)), 1, 16) END AS bottler_id FROM p WHERE name IS NOT NULL AND producer_name <> 'Nobody'",
+    f"WITH {_STAR} SELECT product_id, name, substring(sha256(lower(producer_name)), 1, 16) AS producer_id, CASE WHEN bottler_name <> '' THEN substring(sha256(lower(bottler_name)), 1, 16) END AS bottler_id FROM p WHERE name IS NOT NULL AND lower(producer_name) IN (SELECT known FROM k)",
 )
 def a5(spark, sf_dir):
     return star(spark, sf_dir)["products"]
@@ -74,7 +79,7 @@ def a5(spark, sf_dir):
 
 @C.add(
     "a5_star_counters",
-    f"WITH {_STAR} SELECT count(*) AS n_read, count(*) FILTER (name IS NULL OR producer_name = 'Nobody') AS n_rejected, count(*) FILTER (name IS NOT NULL AND producer_name <> 'Nobody') AS n_inserted FROM p",
+    f"WITH {_STAR} SELECT count(*) AS n_read, count(*) FILTER (name IS NULL OR known IS NULL) AS n_rejected, count(*) FILTER (name IS NOT NULL AND known IS NOT NULL) AS n_inserted FROM p LEFT JOIN k ON known = lower(producer_name)",
 )
 def a5_counters(spark, sf_dir):
     return star(spark, sf_dir)["counters"]
@@ -176,7 +181,7 @@ def l3(spark, sf_dir):
     out = S.scratch_path(spark, "evidence")
     stream = event_stream(spark, sf_dir, ["event_id", F.col("user_id").alias("evidence_id")])
     L.ledger(stream, "evidence_id", ["event_id"], out, S.scratch_path(spark, "cp"))
-    return spark.read.schema(stream.schema).parquet(f"{out}/batch=*").select("evidence_id", "event_id")
+    return L.ledger_rows(spark, out, stream.schema, "evidence_id", ["event_id"]).select("evidence_id", "event_id")
 
 
 @C.add(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from curata.functions import names as M
 from curata.operators import resolve as R
 
-from . import Catalog, table
+from . import Catalog, dealt, table
 
 C = Catalog()
 
@@ -64,7 +64,7 @@ scalar(
     "b18_spelled",
     "CASE p_partkey % 4 WHEN 0 THEN concat('Laphroig twelve y.o. ', p_name) WHEN 1 THEN concat(p_name, ' A''bunadh CS twenty five') WHEN 2 THEN concat(p_name, ' ', p_size, ' yrs') ELSE p_name END",
     lambda c: {"spelled": M.spelled(c)},
-    "trim(" + _nest("regexp_replace(replace(lower(coalesce(raw, '')), 'a''bunadh', 'abunadh'), '[^a-z0-9\\s]', ' ', 'g')", [*[(rf"\b{a}\b", b) for a, b in M.SPELLING], (r"\s+", " ")]) + ") AS spelled",
+    "trim(" + _nest("regexp_replace(replace(lower(coalesce(raw, '')), 'a''bunadh', 'abunadh'), '[^a-z0-9\\s]', ' ', 'g')", [*[(rf"\b{a}\b", b) for a, b in M.SPELLING if "'" not in a], (r"\s+", " ")]) + ") AS spelled",
 )
 scalar(
     "b19_features",
@@ -169,11 +169,11 @@ def d6(spark, sf_dir):
     return R.enriched(rows, lookup, "k", "name", "v")
 
 
-@C.add("d7_same_name", "SELECT a.p_partkey AS first_key, b.p_partkey AS second_key FROM part a JOIN part b ON lower(upper(a.p_name)) = lower(b.p_name) WHERE a.p_size = 7 AND b.p_size = 8")
+@C.add("d7_same_name", "SELECT a.k AS first_key, b.p_partkey AS second_key FROM (SELECT upper(p_name) AS name, min(p_partkey) AS k FROM part GROUP BY 1) a JOIN part b ON lower(a.name) = lower(b.p_name)")
 def d7(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    a = p.where("p_size = 7").select(F.col("p_partkey").alias("first_key"), F.upper("p_name").alias("name_a"))
-    b = p.where("p_size = 8").select(F.col("p_partkey").alias("second_key"), F.col("p_name").alias("name_b"))
+    a = p.groupBy(F.upper("p_name").alias("name_a")).agg(F.min("p_partkey").alias("first_key"))
+    b = p.select(F.col("p_partkey").alias("second_key"), F.col("p_name").alias("name_b"))
     return R.same_name(a, b, "name_a", "name_b").select("first_key", "second_key")
 
 
@@ -202,7 +202,7 @@ def registry(spark, sf_dir):
 
 
 def sources(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
+    p = dealt(table(spark, sf_dir, "part"))
     return p.select(F.col("p_partkey").alias("src_id"), M.match_text(F.expr(TYPO)).alias("src_text"), F.col("p_size").alias("src_age"))
 
 
@@ -243,25 +243,70 @@ def f1(spark, sf_dir):
     return best.select("src_id", "id", *[F.round(c, 6).alias(c) for c in ("score", "runner_up", "margin")])
 
 
+_NO_TOKENS = "[" + ",".join(f"'{w}'" for w in R.NO_TOKENS) + "]"
+
+
+def token_sql(t: str) -> str:
+    return f"list_filter(list_distinct(string_split({t}, ' ')), lambda x: x <> '' AND NOT list_contains({_NO_TOKENS}, x) AND (length(x) > 1 OR regexp_matches(x, '^[0-9]$')))"
+
+
+def overlap_sql(a: str, b: str) -> str:
+    return f"2 * len(list_intersect({a}, {b}))::DOUBLE / greatest(len({a}) + len({b}), 1)"
+
+
+def age_sql(t: str) -> str:
+    return f"list_filter(regexp_extract_all({t}, '\\b(\\d{{1,2}})\\b', 1), lambda n: n::INT BETWEEN 3 AND 50)"
+
+
+TOKEN_SQL = f"""s AS (SELECT *, {token_sql("src_text")} AS st, {token_sql("src_brand")} AS sb FROM (SELECT p_partkey AS src_id, {match_sql(TYPO)} AS src_text, lower(p_brand) AS src_brand, p_type AS src_kind FROM part)),
+g AS (SELECT *, {token_sql("text")} AS t, {token_sql("brand || ' ' || text")} AS b FROM (SELECT min(p_partkey) AS id, {match_sql("arg_min(" + NAME + ", p_partkey)")} AS text, lower(p_brand) AS brand, arg_min(p_type, p_partkey) AS kind FROM part WHERE p_partkey % 3 <> 0 GROUP BY p_name, p_brand))"""
+
+
 @C.add(
     "d13_token_candidates",
-    f"""WITH s AS (SELECT src_id, unnest(list_distinct(string_split(src_text, ' '))) AS token FROM (SELECT p_partkey AS src_id, {match_sql(TYPO)} AS src_text FROM part WHERE p_partkey % 10 = 0)),
-g AS (SELECT id, unnest(list_distinct(string_split(text, ' '))) AS token FROM (SELECT p_partkey AS id, {match_sql(NAME)} AS text FROM part WHERE p_partkey % 7 = 1)),
-c AS (SELECT token FROM g GROUP BY token HAVING count(*) > 60)
-SELECT src_id, id, count(*) AS n_shared FROM s JOIN g USING (token) WHERE token <> '' AND token NOT IN (SELECT token FROM c) GROUP BY ALL""",
+    f"WITH {TOKEN_SQL} SELECT src_id, count(*) AS n_candidates, max(len(list_intersect(st, t)))::BIGINT AS most_shared FROM s JOIN g ON list_has_any(st, t) GROUP BY 1",
 )
 def d13(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey % 7 = 1")
-    reg = p.select(F.col("p_partkey").alias("id"), M.match_text(F.expr(NAME)).alias("text"))
-    return R.token_candidates(sources(spark, sf_dir).where("src_id % 10 = 0"), reg, 60)
+    pairs = R.token_candidates(token_sources(spark, sf_dir), token_registry(spark, sf_dir))
+    return pairs.groupBy("src_id").agg(F.count("*").alias("n_candidates"), F.max("n_shared").alias("most_shared"))
+
+
+def token_sources(spark, sf_dir):
+    p = dealt(table(spark, sf_dir, "part"))
+    return p.select(
+        F.col("p_partkey").alias("src_id"), M.match_text(F.expr(TYPO)).alias("src_text"), F.lower("p_brand").alias("src_brand"), F.col("p_type").alias("src_kind"), F.lit("scotland").alias("src_country")
+    )
+
+
+def token_registry(spark, sf_dir):
+    p = table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").withColumn("name", F.expr(NAME))
+    one = p.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("id"), F.min_by("p_type", "p_partkey").alias("kind"), F.min_by("name", "p_partkey").alias("name"))
+    return one.select("id", M.match_text(F.col("name")).alias("text"), F.lower("p_brand").alias("brand"), "kind", F.lit("Scotland").alias("country"))
+
+
+_LEV = "(1 - levenshtein(src_text, text)::DOUBLE / greatest(length(src_text), length(text), 1))"
+
+
+@C.add(
+    "d13_token_resolved",
+    f"""WITH {TOKEN_SQL},
+p AS (SELECT src_id, id, CASE WHEN src_text = text THEN 0.99::DOUBLE WHEN src_text <> '' AND text <> '' AND (contains(text, src_text) OR contains(src_text, text)) THEN 0.94::DOUBLE ELSE 0.0::DOUBLE END AS least,
+ 0.58::DOUBLE * {_LEV} + (0.25::DOUBLE * ({overlap_sql("st", "t")}) + 0.09::DOUBLE * ({overlap_sql("sb", "b")}) + 0.04::DOUBLE * list_has_any({age_sql("src_text")}, {age_sql("text")})::INT + 0.03::DOUBLE * (src_kind = kind)::INT + 0.01::DOUBLE) AS blend FROM s, g),
+q AS (SELECT src_id, id, least(1.0::DOUBLE, greatest(blend, least)) AS score FROM p),
+r AS (SELECT *, row_number() OVER w AS n, coalesce(lead(score) OVER w, 0.0) AS second FROM q WINDOW w AS (PARTITION BY src_id ORDER BY score DESC, id)),
+v AS (SELECT *, CASE WHEN score >= 0.92 AND score - second >= 0.04 THEN 'high' WHEN score >= 0.85 THEN 'review' END AS status FROM r WHERE n = 1)
+SELECT src_id, CASE WHEN status IS NOT NULL THEN id END AS id, CASE WHEN status IS NOT NULL THEN round(score, 6) END AS score, coalesce(status, 'unmatched') AS status FROM v""",
+)
+def d13_resolved(spark, sf_dir):
+    return R.token_resolved(token_sources(spark, sf_dir), token_registry(spark, sf_dir))
 
 
 @C.add(
     "d18_provenance_chain",
-    "SELECT l_orderkey, l_linenumber, o_custkey, c_name, n_name FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE l_quantity > 45",
+    "SELECT l_orderkey, l_linenumber, o_custkey, c_name, n_name FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey",
 )
 def d18(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
     met = line.join(table(spark, sf_dir, "orders"), "o_orderkey").withColumn("c_custkey", F.col("o_custkey")).join(table(spark, sf_dir, "customer"), "c_custkey")
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     return met.join(nation, "c_nationkey").select(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", "o_custkey", "c_name", "n_name")
@@ -315,21 +360,29 @@ def d23(spark, sf_dir):
     return R.merged_fields(left, right, "p_partkey", ["label", "kind"])[1]
 
 
+_GAP = "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN concat(p_name, ' ', p_size, ' year') WHEN 2 THEN concat(p_name, ' ', p_size % 4 + 4, 'th') ELSE concat(p_name, ' monkey shoulder') END"
+_GAP_SRC = "CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN concat(upper(p_name), ' reserve') WHEN 2 THEN concat(p_name, ' ', p_size, ' yo') WHEN 3 THEN concat(p_name, ' ', p_size % 4 + 4, 'th!') WHEN 4 THEN substring_index(p_name, ' ', 1) ELSE 'other' END"
+_CLEAN = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_AGE_IN = "try_cast(regexp_extract(lower({0}), '\\b(\\d+)\\s*(?:yo|years?|yr)\\b', 1) AS INT)"
+_ORD_IN = "try_cast(regexp_extract(lower({0}), '\\b(\\d+)(?:st|nd|rd|th)\\b', 1) AS INT)"
+
+
 @C.add(
     "d27_gap_matches",
-    """WITH g AS (SELECT p_partkey AS id, p_name, p_size AS age, split_part(p_name, ' ', 1) AS producer FROM part WHERE p_partkey % 5 = 0),
-s AS (SELECT p_partkey AS src, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || ' reserve' END AS src_name, p_size AS src_age FROM part WHERE p_partkey % 5 = 1 AND p_partkey < 400),
-m AS (SELECT *, CASE WHEN p_name = src_name THEN 1 WHEN contains(src_name, producer) THEN 2 END AS rule FROM g JOIN s ON split_part(p_name, ' ', 1) = split_part(src_name, ' ', 1)),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rule, src) AS n FROM m WHERE rule IS NOT NULL)
-SELECT id, src, rule, CASE WHEN rule = 1 THEN 'auto' WHEN age <> src_age THEN 'reject' ELSE 'review' END AS verdict FROM r WHERE n = 1""",
+    f"""WITH g AS (SELECT *, {_CLEAN.format("name")} AS n, {_AGE_IN.format("name")} AS age, {_ORD_IN.format("name")} AS o FROM (SELECT p_partkey AS id, {_GAP} AS name, split_part(p_name, ' ', 2) AS producer FROM part WHERE p_partkey % 5 = 0)),
+s AS (SELECT *, {_CLEAN.format("src_name")} AS m, {_AGE_IN.format("src_name")} AS src_age, {_ORD_IN.format("src_name")} AS src_o FROM (SELECT p_partkey AS src, {_GAP_SRC.replace("substring_index(p_name, ' ', 1)", "split_part(p_name, ' ', 2)")} AS src_name FROM part WHERE p_partkey % 5 <> 0)),
+p AS (SELECT id, src, CASE WHEN n = m THEN 'exact' WHEN producer <> '' AND contains(m, producer) AND split_part(n, ' ', 1) = split_part(m, ' ', 1) THEN
+ CASE WHEN age <> src_age THEN 'age_mismatch' WHEN o <> src_o THEN 'ordinal_mismatch' WHEN contains(n, 'monkey shoulder') AND NOT contains(m, 'monkey shoulder') THEN 'banned_name' ELSE 'fuzzy_token' END
+ WHEN producer = m THEN 'producer_only' END AS method FROM g JOIN s ON n = m OR producer = m OR split_part(n, ' ', 1) = split_part(m, ' ', 1)),
+r AS (SELECT id, src, method, row_number() OVER (PARTITION BY id ORDER BY CASE method WHEN 'fuzzy_token' THEN 1 WHEN 'producer_only' THEN 2 ELSE 0 END, CASE method WHEN 'fuzzy_token' THEN -src ELSE src END) AS k FROM p WHERE method IS NOT NULL)
+SELECT g.id, r.src, coalesce(r.method, 'none') AS method, CASE WHEN r.method = 'exact' THEN 'auto' WHEN r.method IN ('age_mismatch', 'ordinal_mismatch', 'banned_name') THEN 'reject' ELSE 'review' END AS verdict FROM g LEFT JOIN r ON r.id = g.id AND r.k = 1""",
 )
 def d27(spark, sf_dir):
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
-    gaps = p.where(k % 5 == 0).select(k.alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("age"), F.substring_index("p_name", " ", 1).alias("producer"))
-    src = p.where((k % 5 == 1) & (k < 400)).select(
-        k.alias("src"), F.when(k % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" reserve"))).alias("src_name"), F.col("p_size").alias("src_age")
-    )
-    return R.gap_matches(gaps, src)
+    second = F.get(F.split("p_name", " "), F.lit(1))
+    gaps = p.where(k % 5 == 0).select(k.alias("id"), F.expr(_GAP).alias("name"), F.coalesce(second, F.lit("")).alias("producer"))
+    names = F.when(k % 6 == 4, F.coalesce(second, F.lit(""))).otherwise(F.expr(_GAP_SRC))
+    return R.gap_matches(gaps, p.where(k % 5 != 0).select(k.alias("src"), names.alias("src_name")))
 
 
 @C.add(
@@ -352,4 +405,4 @@ SELECT doc_id, term, substring(text, greatest(instr(lower(text), term) - 100, 1)
 )
 def d17(spark, sf_dir):
     lexicon = spark.createDataFrame([(t,) for t in ("license", "of the", "eriner", "than")], "term string")
-    return R.mentions(table(spark, sf_dir, "documents"), lexicon, "doc_id", "text", 2)
+    return R.mentions(dealt(table(spark, sf_dir, "documents")), lexicon, "doc_id", "text", 2)

@@ -31,8 +31,8 @@ SPELLING = (
     ("thirty", "30"),
     ("forty", "40"),
     ("cs", "cask strength"),
+    ("a'bunadh", "abunadh"),
 )
-JOINED = (("a'bunadh", "abunadh"),)
 DISTINCTIVE = ("dusgadh", "general", "legacy", "alpha", "portonova")
 GENERIC = ("whisky", "whiskey", "scotch", "single malt", "straight bourbon", "kentucky", "limited edition", "release", "blended", "malt")
 STOP = ("the", "a", "an", "and", "by", "of", "at", "de", "le", "la", "das", "der", "di", "da", "del", "les", "el")
@@ -79,10 +79,11 @@ def match_text(c: Column) -> Column:
 
 
 def spelled(c: Column) -> Column:
-    """Known misspellings and number words replaced in order, other signs as spaces."""
-    s = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), JOINED, F.lower(F.coalesce(c, F.lit(""))))
+    """Known misspellings and number words replaced in order, other signs as spaces; words with an apostrophe before that."""
+    quoted = [p for p in SPELLING if "'" in p[0]]
+    s = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), quoted, F.lower(F.coalesce(c, F.lit(""))))
     s = F.regexp_replace(s, r"[^a-z0-9\s]", " ")
-    return F.trim(_chain(s, [*[(rf"\b{a}\b", b) for a, b in SPELLING], (r"\s+", " ")]))
+    return F.trim(_chain(s, [*[(rf"\b{a}\b", b) for a, b in SPELLING if "'" not in a], (r"\s+", " ")]))
 
 
 def features(c: Column) -> Column:

@@ -7,6 +7,7 @@ key is hot; nothing is compared all against all.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,16 @@ from curata.functions import names as M
 # Thresholds and margins of the decision ladder.
 HIGH, REVIEW, MANUAL = 0.94, 0.88, 0.82
 MARGIN_HIGH, MARGIN_REVIEW = 0.03, 0.04
+#: Terms of a lexicon that may go into an expression.
+LEXICON_ROWS = 1000
+BANNED = ("mister sam", "monkey shoulder")
+REMAP_HIGH, REMAP_REVIEW, REMAP_MARGIN = 0.92, 0.85, 0.04
+BLEND = {"name": 0.58, "token": 0.25, "brand": 0.09, "age": 0.04, "kind": 0.03, "country": 0.01}
+# Words that make no token.
+NO_TOKENS = (
+    "the", "and", "of", "a", "an", "whisky", "whiskey", "scotch", "single", "malt",
+    "year", "old", "yo", "yr", "yrs", "years", "distillery", "company", "co",
+)
 
 
 def valid(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -93,15 +104,24 @@ def similarity(a: Column, b: Column, kind: str = "levenshtein") -> Column:
 def blocked_pairs(sources: DataFrame, registry: DataFrame, kind: str = "levenshtein", least: float = MANUAL - MARGIN_REVIEW) -> DataFrame:
     """Pairs of sources (src_id, src_text, src_age) and registry (id, text, age) under one block key, scored.
 
-    Two bounds spare the costly ratio: equal letters cannot be more than the shorter text, and whatever scores below
-    ``least`` can neither win nor, as runner-up, change a margin that decides.
+    Equal source texts are scored once and spread over all tasks, so that a common block key fills none. Three bounds spare the costly
+    ratio: equal letters cannot be more than the shorter text, the edit distance stops where it is too large, and whatever scores
+    below ``least`` can neither win nor, as runner-up, change a margin that decides.
     """
-    s = sources.withColumn("block", M.block_key(F.col("src_text")))
-    met = s.join(registry.withColumn("block", M.block_key(F.col("text"))), "block")
-    la, lb = F.length("src_text"), F.length("text")
-    bound = F.least(la, lb) / F.greatest(la, lb, F.lit(1)) if kind == "levenshtein" else 2 * F.least(la, lb) / F.greatest(la + lb, F.lit(1))
-    scored = met.where(bound >= least).withColumn("score", similarity(F.col("src_text"), F.col("text"), kind))
-    return scored.where(F.col("score") >= least)
+    tasks = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), sources.sparkSession.sparkContext.defaultParallelism)
+    texts = sources.select(F.col("src_text").alias("_text")).distinct().withColumn("block", M.block_key(F.col("_text")))
+    met = texts.repartition(tasks, "_text").join(registry.withColumn("block", M.block_key(F.col("text"))), "block")
+    la, lb = F.length("_text"), F.length("text")
+    longest = F.greatest(la, lb, F.lit(1))
+    if kind == "levenshtein":
+        most = F.floor((1 - least) * longest + 1e-9).cast("int")
+        near = met.where(F.least(la, lb) / longest >= least).withColumn("_d", F.call_function("levenshtein", F.col("_text"), F.col("text"), most))
+        scored = near.where("_d >= 0").withColumn("score", 1 - F.col("_d") / longest).drop("_d")
+    else:
+        bound = 2 * F.least(la, lb) / F.greatest(la + lb, F.lit(1))
+        scored = met.where(bound >= least).withColumn("score", similarity(F.col("_text"), F.col("text"), kind))
+    scored = scored.where(F.col("score") >= least)
+    return sources.join(scored, F.col("src_text") == F.col("_text")).drop("_text")
 
 
 def ladder(best: DataFrame) -> DataFrame:
@@ -152,14 +172,79 @@ def three_way(sources: DataFrame, registry: DataFrame, kind: str = "levenshtein"
     return met.select("src_id", "status", F.when(F.col("status") == "MATCH", F.col("best")).alias("entity_id"), "candidates")
 
 
-def token_candidates(sources: DataFrame, registry: DataFrame, most_common: int = 0) -> DataFrame:
-    """Pairs that share a token, with the number shared; tokens in over ``most_common`` registry rows are passed by if set."""
-    tokens = lambda df, key, text: df.select(key, F.explode(F.array_distinct(F.split(F.col(text), " "))).alias("token")).where("token <> ''")
-    index = tokens(registry, "id", "text")
-    if most_common:
-        common = index.groupBy("token").agg(F.count("*").alias("_n")).where(F.col("_n") > most_common)
-        index = index.join(common, "token", "left_anti")
-    return tokens(sources, "src_id", "src_text").join(index, "token").groupBy("src_id", "id").agg(F.count("*").alias("n_shared"))
+def _tokens(text: Column) -> Column:
+    kept = F.filter(F.split(text, " "), lambda t: (t != "") & ~t.isin(*NO_TOKENS) & ((F.length(t) > 1) | t.rlike("^[0-9]$")))
+    return F.array_distinct(kept)
+
+
+def _overlap(a: Column, b: Column) -> Column:
+    """Harmonic mean of the shares of common tokens."""
+    return 2 * F.size(F.array_intersect(a, b)) / F.greatest(F.size(a) + F.size(b), F.lit(1))
+
+
+def _ages(text: Column) -> Column:
+    return F.filter(F.regexp_extract_all(text, F.lit(r"\b(\d{1,2})\b"), F.lit(1)), lambda n: n.cast("int").between(3, 50))
+
+
+def token_candidates(sources: DataFrame, registry: DataFrame) -> DataFrame:
+    """D13, its candidates: pairs (src_id, id) that share a token, with the number shared. No token is passed by."""
+    tokens = lambda df, key, text: df.select(key, F.explode(_tokens(F.col(text))).alias("token"))
+    met = tokens(sources, "src_id", "src_text").join(tokens(registry, "id", "text"), "token")
+    return met.groupBy("src_id", "id").agg(F.count("*").alias("n_shared"))
+
+
+def _containing(sources: DataFrame, registry: DataFrame) -> DataFrame:
+    """(src_text, id) where one text holds the other: they meet on the first three letters of the shorter and are then compared."""
+    start = lambda c: F.substring(c, 1, 3)
+    grams = lambda c: F.array_distinct(
+        F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substr(c, i, F.lit(n))) for n in (1, 2, 3)]))  # noqa: B023
+    )
+    s, r = sources.select("src_text").where("src_text <> ''").distinct(), registry.select("id", "text").where("text <> ''")
+    inside = s.withColumn("_g", start("src_text")).join(r.withColumn("_g", F.explode(grams(F.col("text")))), "_g").where(F.contains("text", "src_text"))
+    around = s.withColumn("_g", F.explode(grams(F.col("src_text")))).join(r.withColumn("_g", start("text")), "_g").where(F.contains("src_text", "text"))
+    return inside.select("src_text", "id").union(around.select("src_text", "id")).distinct()
+
+
+def token_resolved(sources: DataFrame, registry: DataFrame, kind: str = "levenshtein") -> DataFrame:
+    """Sources (src_id, src_text, src_brand, src_kind, src_country) to the best of the registry (id, text, brand, kind, country).
+
+    The score blends name, token, brand, age, kind and country by ``BLEND``; equal texts score 0.99 at least, texts that hold one another
+    0.94. ``status`` is high (0.92 with a margin of 0.04), review (0.85) or unmatched. Candidates share a token or hold one another: a
+    row without either scores 0.62 at most, which no full scan of the registry would make a match. What cannot come near enough to
+    decide a status or its margin is dropped before its letters are compared.
+    """
+    least = REMAP_REVIEW - REMAP_MARGIN
+    own = ["src_text", "src_brand", "src_kind", "src_country"]
+    tasks = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), sources.sparkSession.sparkContext.defaultParallelism)
+    s = sources.select(*own).distinct().repartition(tasks, *own).withColumns({"_st": _tokens(F.col("src_text")), "_sb": _tokens(F.lower("src_brand"))})
+    r = registry.withColumns({"_t": _tokens(F.col("text")), "_b": _tokens(F.concat_ws(" ", F.lower("brand"), "text"))})
+    every = lambda a, b: F.array_distinct(F.concat(a, b))
+    index = r.select("id", F.explode(every(F.col("_t"), F.col("_b"))).alias("_k"))
+    # A pair that shares several tokens is scored under the first of them only.
+    by_token = s.withColumn("_k", F.explode(every(F.col("_st"), F.col("_sb")))).join(index, "_k").join(r, "id")
+    by_token = by_token.where(F.col("_k") == F.array_min(F.array_intersect(every(F.col("_st"), F.col("_sb")), every(F.col("_t"), F.col("_b"))))).drop("_k")
+    same = F.coalesce(F.col("src_kind") == F.col("kind"), F.lit(False)).cast("double")
+    land = F.coalesce(F.lower("src_country") == F.lower("country"), F.lit(False)).cast("double")
+    aged = F.arrays_overlap(_ages(F.col("src_text")), _ages(F.col("text"))).cast("double")
+    parts = (BLEND["token"], _overlap(F.col("_st"), F.col("_t"))), (BLEND["brand"], _overlap(F.col("_sb"), F.col("_b"))), (BLEND["age"], F.coalesce(aged, F.lit(0.0))), (BLEND["kind"], same), (BLEND["country"], land)
+    rest = reduce(lambda a, b: a + b, (w * p for w, p in parts))
+    longest = F.greatest(F.length("src_text"), F.length("text"), F.lit(1))
+    bound = BLEND["name"] * F.least(F.length("src_text"), F.length("text")) / longest + F.col("_rest")
+    held = (F.col("src_text") != "") & (F.col("text") != "") & (F.contains("text", "src_text") | F.contains("src_text", "text"))
+    near = by_token.withColumn("_rest", rest).where((bound >= least - 1e-9) | held)
+    holding = _containing(sources, registry).join(s, "src_text").join(r, "id")
+    apart = holding.where(~F.arrays_overlap(every(F.col("_st"), F.col("_sb")), every(F.col("_t"), F.col("_b")))).withColumn("_rest", rest)
+    pairs = near.unionByName(apart)
+    blended = BLEND["name"] * similarity(F.col("src_text"), F.col("text"), kind) + F.col("_rest")
+    floor = F.when(F.col("src_text") == F.col("text"), 0.99).when(held, 0.94).otherwise(0.0)
+    scored = pairs.withColumn("score", F.least(F.lit(1.0), F.greatest(blended, floor))).where(F.col("score") >= least)
+    w = Window.partitionBy(*own).orderBy(F.desc("score"), "id")
+    best = scored.withColumns({"_n": F.row_number().over(w), "_second": F.coalesce(F.lead("score").over(w), F.lit(0.0))}).where("_n = 1")
+    sure = (F.col("score") >= REMAP_HIGH) & (F.col("score") - F.col("_second") >= REMAP_MARGIN)
+    status = F.when(sure, "high").when(F.col("score") >= REMAP_REVIEW, "review").otherwise("unmatched")
+    found = best.withColumn("status", status).where("status <> 'unmatched'").select(*[F.col(c).alias(f"_{c}") for c in own], "id", "score", "status")
+    met = sources.join(found, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in own)), "left")
+    return met.select("src_id", "id", F.round("score", 6).alias("score"), F.coalesce("status", F.lit("unmatched")).alias("status"))
 
 
 def pair_differences(rows: DataFrame, family: str, key: str, value: str, tolerance: float) -> DataFrame:
@@ -217,18 +302,46 @@ def merged_fields(left: DataFrame, right: DataFrame, key: str, columns: list[str
     return met.select(key, *rest, *[filled(c).alias(c) for c in columns]), conflicts
 
 
-def gap_matches(gaps: DataFrame, sources: DataFrame) -> DataFrame:
-    """Entities (id, name, producer, age) to sources (src, src_name, src_age) by rule: equal name is automatic; a source that
-    holds the producer under the same first word is rejected on another age, else for review. The best rule's first source wins."""
-    a = gaps.withColumn("_name", M.name_key(F.col("name"), "marks")).withColumn("_block", F.substring_index("_name", " ", 1))
-    b = sources.withColumn("_other", M.name_key(F.col("src_name"), "marks")).withColumn("_block", F.substring_index("_other", " ", 1))
-    met = a.join(b, "_block")
-    rule = F.when(F.col("_name") == F.col("_other"), 1).when(F.contains(F.col("_other"), F.lower("producer")), 2)
-    met = met.withColumn("rule", rule).where("rule is not null")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("rule", "src"))
-    clash = F.coalesce(F.col("age") != F.col("src_age"), F.lit(False))
-    verdict = F.when(F.col("rule") == 1, "auto").when(clash, "reject").otherwise("review")
-    return met.withColumn("_n", place).where("_n = 1").select("id", "src", "rule", verdict.alias("verdict"))
+def gap_matches(gaps: DataFrame, sources: DataFrame, banned: tuple[str, ...] = BANNED) -> DataFrame:
+    """Entities (id, name, producer) to sources (src, src_name): ``src``, ``method`` and ``verdict``.
+
+    In the order of ``src``, the first source that settles it wins: an equal name (auto), or one that holds the producer under the same
+    first word with another age or ordinal, or without a banned phrase that the entity's name has (reject). Else the last that
+    holds the producer under the same first word (review), else the first that is the producer's name alone (review).
+
+    Names meet as distinct texts, and those that share a first word as candidates only; ids are joined back.
+    """
+    clean = lambda c: M.name_key(F.col(c), "marks")
+    word = lambda c: F.substring_index(F.col(c), " ", 1)
+    age = lambda c: F.regexp_extract(F.lower(F.col(c)), r"\b(\d+)\s*(?:yo|years?|yr)\b", 1).try_cast("int")
+    ordinal = lambda c: F.regexp_extract(F.lower(F.col(c)), r"\b(\d+)(?:st|nd|rd|th)\b", 1).try_cast("int")
+    kinds = ["_name", "_producer", "_age", "_ord"]
+    keyed = gaps.withColumns({"_name": clean("name"), "_producer": clean("producer"), "_age": age("name"), "_ord": ordinal("name")})
+    a = keyed.select(*kinds).distinct()
+    b = sources.withColumns({"_other": clean("src_name"), "_src_age": age("src_name"), "_src_ord": ordinal("src_name")})
+    b = b.groupBy("_other", "_src_age", "_src_ord").agg(F.min("src").alias("_low"), F.max("src").alias("_high"))
+    met = a.withColumn("_w", word("_name")).join(b.withColumn("_w", word("_other")), "_w")
+    equal = F.col("_name") == F.col("_other")
+    holds = (F.col("_producer") != "") & F.contains("_other", "_producer")
+    met = met.where(equal | holds)
+    apart = lambda x, y: F.coalesce(F.col(x) != F.col(y), F.lit(False))
+    stray = reduce(lambda x, y: x | y, (F.contains("_name", F.lit(p)) & ~F.contains("_other", F.lit(p)) for p in banned), F.lit(False))
+    method = (
+        F.when(equal, "exact").when(apart("_age", "_src_age"), "age_mismatch").when(apart("_ord", "_src_ord"), "ordinal_mismatch")
+        .when(stray, "banned_name").otherwise("fuzzy_token")
+    )
+    met = met.withColumn("method", method)
+    settled = met.where("method <> 'fuzzy_token'").groupBy(*kinds).agg(F.min(F.struct("_low", "method")).alias("_s"))
+    fuzzy = met.where("method = 'fuzzy_token'").groupBy(*kinds).agg(F.max("_high").alias("_f"))
+    alone = a.where("_producer <> '' and _producer <> _name").join(b, F.col("_producer") == F.col("_other")).groupBy(*kinds).agg(F.min("_low").alias("_p"))
+    out = keyed
+    for part, c in ((settled, "_s"), (fuzzy, "_f"), (alone, "_p")):
+        renamed = part.select(*[F.col(k).alias(f"{c}{k}") for k in kinds], c)
+        out = out.join(renamed, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"{c}{k}")) for k in kinds)), "left")
+    src = F.coalesce("_s._low", "_f", "_p")
+    how = F.coalesce(F.col("_s.method"), F.when(F.col("_f").isNotNull(), "fuzzy_token"), F.when(F.col("_p").isNotNull(), "producer_only"), F.lit("none"))
+    verdict = F.when(how == "exact", "auto").when(how.isin("age_mismatch", "ordinal_mismatch", "banned_name"), "reject").otherwise("review")
+    return out.select("id", src.alias("src"), how.alias("method"), verdict.alias("verdict"))
 
 
 def backfilled(rows: DataFrame, by_name: DataFrame, by_owner: DataFrame, target: str, name: str, owner: str) -> DataFrame:
@@ -241,19 +354,33 @@ def backfilled(rows: DataFrame, by_name: DataFrame, by_owner: DataFrame, target:
 
 
 def mentions(pages: DataFrame, lexicon: DataFrame, key: str, text: str, most_words: int = 3, context: int = 100) -> DataFrame:
-    """Lexicon terms in texts as whole words, once per (page, term) with the first context; n-grams meet the terms by equality."""
+    """Lexicon terms in texts as whole words, once per (page, term) with the first context; n-grams meet the terms by equality.
+
+    A lexicon of up to ``LEXICON_ROWS`` terms goes into the scan, which then emits hits with their context only; a larger one is joined.
+    """
+    terms = lexicon.select("term").distinct()
+    known = [r["term"] for r in terms.limit(LEXICON_ROWS + 1).collect()]
     words = F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), lambda w: w != "")
     tokens = pages.select(key, F.col(text), words.alias("_w"))
-    grams = F.flatten(
-        F.array(
-            *[
-                F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(0))), lambda i: F.array_join(F.slice("_w", i + 1, F.lit(n)), " "))  # noqa: B023
-                for n in range(1, most_words + 1)
-            ]
-        )
-    )
-    found = tokens.select(key, F.explode(F.array_distinct(grams)).alias("term")).join(lexicon.select("term").distinct(), "term")
-    met = found.join(pages.select(key, text), key)
-    at = F.position(F.col("term"), F.lower(F.col(text)))
-    around = F.substring(F.col(text), F.greatest(at - context, F.lit(1)), F.length("term") + 2 * context)
-    return met.select(key, "term", around.alias("context"))
+    small = len(known) <= LEXICON_ROWS
+    first = sorted({t.split(" ")[0] for t in known})
+
+    def grams(n: int) -> Column:
+        made = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(0))), lambda i: F.array_join(F.slice("_w", i + 1, F.lit(n)), " "))
+        if not small:
+            return made
+        mine = [t for t in known if t.count(" ") == n - 1]
+        if n == 1:
+            return F.filter(F.array_distinct("_w"), lambda w: w.isin(*mine))
+        at = F.filter(F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(0))), lambda i: F.get("_w", i).isin(*first))
+        return F.filter(F.transform(at, lambda i: F.array_join(F.slice("_w", i + 1, F.lit(n)), " ")), lambda g: g.isin(*mine))
+
+    sizes = [n for n in range(1, most_words + 1) if not small or any(t.count(" ") == n - 1 for t in known)]
+    if small and not sizes:
+        return pages.select(key, F.lit("").alias("term"), F.lit("").alias("context")).limit(0)
+    found = tokens.select(key, F.col(text).alias("_t"), F.explode(F.array_distinct(F.flatten(F.array(*map(grams, sizes))))).alias("term"))
+    if not small:
+        found = found.drop("_t").join(terms, "term").join(pages.select(key, F.col(text).alias("_t")), key)
+    at = F.position(F.col("term"), F.lower("_t"))
+    around = F.substring(F.col("_t"), F.greatest(at - context, F.lit(1)), F.length("term") + 2 * context)
+    return found.select(key, "term", around.alias("context"))

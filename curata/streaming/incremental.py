@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 from curata.plans.promote import last_writer_wins, upserted
 
@@ -72,17 +71,23 @@ def changes(stream: DataFrame, out: str, checkpoint: str) -> None:
 
 
 def ledger(stream: DataFrame, key: str, order: list[str], out: str, checkpoint: str) -> None:
-    """L3: an append-only ledger that holds each key once, also when a batch or the whole run is repeated."""
+    """L3: an append-only ledger of keys. The state store holds each key's first row by ``order``, whatever the order of arrival; a batch
+    appends the keys that are new or have an earlier row than before. A batch that is run again overwrites itself."""
+    rest = [c for c in stream.columns if c != key and c not in order]
+    first = stream.groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("_first"))
 
     def append(df: DataFrame, number: int) -> None:
-        place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-        new = df.withColumn("_n", place).where("_n = 1").drop("_n")
-        if number:
-            held = df.sparkSession.read.schema(df.schema).parquet(*[f"{out}/batch={i}" for i in range(number)])
-            new = new.join(held.select(key), key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    drain(stream, append, checkpoint)
+        df.select(key, "_first.*").select(*stream.columns).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = first.writeStream.foreachBatch(append).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def ledger_rows(spark: SparkSession, out: str, schema: StructType, key: str, order: list[str]) -> DataFrame:
+    """Each key of a ledger once, with its first row by ``order``."""
+    rest = [c for c in schema.names if c != key and c not in order]
+    rows = spark.read.schema(schema).parquet(f"{out}/batch=*")
+    return rows.groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("_first")).select(key, "_first.*").select(*schema.names)
 
 
 def folded(stream: DataFrame, start: DataFrame, fold: Callable[[DataFrame, DataFrame], DataFrame], out: str, checkpoint: str) -> str:
