@@ -4,7 +4,7 @@ A document's set holds the 64-bit hashes of its distinct shingles of ``k`` words
 100 * intersection >= percent * union. Documents with equal sets form a class (128-bit fingerprint) and only classes
 are joined, so exact copies cost one row each.
 
-Order and classes of tokens. A sketch of counts over all documents (2 ** bits slots, bits by input size, 64 MB at most; exact
+Order and classes of tokens. A sketch of counts over all documents (slots by input size, 64 MB at most; exact
 sums per slot, kept as a byte on a logarithmic scale, so that it doesn't saturate) estimates how frequent a token is. Tokens are
 ordered rare before frequent, then by estimate and hash; a token is frequent above ``FREQUENT`` and four times the mean slot. A second
 one over the signatures leaves out those that occur once. Sketches only steer the work: results are exact for any of them.
@@ -54,10 +54,10 @@ ROWS = 512
 TEXTS = "fp binary, text string"
 
 
-def sketch_bits(docs: DataFrame, bytes_each: int, most: int = 26) -> int:
-    """Slots (a power of two) for a table stored at its estimated size: one for each ``bytes_each``, 2 ** ``most`` at most."""
+def sketch_slots(docs: DataFrame, bytes_each: int, most: int = 1 << 26) -> int:
+    """Slots for a table stored at its estimated size: one for each ``bytes_each``, ``most`` at most, whole blocks."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(most, max(16, int(np.ceil(np.log2(max(1, min(size, 1 << 50)) / bytes_each)))))
+    return min(most, -(-max(1, min(size, 1 << 50) // bytes_each) // BLOCK) * BLOCK)
 
 
 def _sets(col: pa.Array, k: int):
@@ -69,8 +69,9 @@ def _sets(col: pa.Array, k: int):
             yield np.unique(s[cut[d] : cut[d + 1]])
 
 
-def _slot(tokens: np.ndarray, bits: int) -> np.ndarray:
-    return (tokens >> np.uint64(64 - bits)).astype(np.int64)
+def slot(tokens: np.ndarray, slots: int) -> np.ndarray:
+    """Places 0 .. slots - 1 (2 ** 32 at most) of 64-bit hashes."""
+    return ((tokens >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
 
 
 def _shingles(k: int):
@@ -90,12 +91,12 @@ def _longs(name: str):
     return hashes
 
 
-def _counter(hashes, bits: int):
+def _counter(hashes, slots: int):
     def count(batches):
-        total = np.zeros(1 << bits, np.uint16)
+        total = np.zeros(slots, np.uint16)
         for batch in batches:
             for h in hashes(batch):
-                at, n = np.unique(_slot(h, bits), return_counts=True)
+                at, n = np.unique(slot(h, slots), return_counts=True)
                 total[at] = np.minimum(65535, total[at] + n)
         for b, block in enumerate(total.reshape(-1, BLOCK)):
             if block.any():
@@ -120,14 +121,14 @@ def _adder(batches):
         yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "counts": [zlib.compress(scaled(block), 1)]})
 
 
-def sketch(rows: DataFrame, hashes, bits: int) -> np.ndarray:
-    """Scaled counts of all hashes that ``hashes`` finds in the rows, in 2 ** bits slots of a byte."""
+def sketch(rows: DataFrame, hashes, slots: int) -> np.ndarray:
+    """Scaled counts of all hashes that ``hashes`` finds in the rows, in ``slots`` (whole blocks) of a byte."""
     schema = "block int, counts binary"
-    parts = rows.mapInArrow(_counter(hashes, bits), schema)
+    parts = rows.mapInArrow(_counter(hashes, slots), schema)
     # A task adds up whole blocks as they come in, so it holds no more than the blocks dealt to it.
     merged = parts.repartition("block").mapInArrow(_adder, schema)
-    total = np.zeros(((1 << bits) // BLOCK, BLOCK), np.uint8)
-    for row in merged.collect():  # 2 ** bits bytes in all
+    total = np.zeros((slots // BLOCK, BLOCK), np.uint8)
+    for row in merged.collect():  # a byte a slot in all
         total[row["block"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
     return total.reshape(-1)
 
@@ -147,7 +148,7 @@ def signatures(tokens: np.ndarray, frequency: np.ndarray, percent: int, above: i
     extra = 100 * (n - missing) // percent - n
     if missing == 0 and extra <= 0:
         return tokens[:0]
-    count = frequency[_slot(tokens, int(len(frequency)).bit_length() - 1)]
+    count = frequency[slot(tokens, len(frequency))]
     often = (count > (often_from(frequency) if above is None else above)) & (percent >= 75)
     order = np.lexsort((tokens, count, often))
     ordered = tokens[order]
@@ -192,12 +193,11 @@ def _bucket_rows(seen):
 
     def rows(batches):
         counts = seen.value
-        bits = int(len(counts)).bit_length() - 1
         for batch in batches:
             signs = batch.column("signs")
             flat = np.asarray(signs.flatten())
             owner = np.repeat(np.arange(len(signs)), np.diff(np.asarray(signs.offsets)))
-            hit = counts[_slot(flat.view(np.uint64), bits)] > 1
+            hit = counts[slot(flat.view(np.uint64), len(counts))] > 1
             at = pa.array(owner[hit])
             yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), batch.column("fp").take(at)], ["sign", "fp"])
 
@@ -207,9 +207,8 @@ def _bucket_rows(seen):
 def _wanted_texts(k: int, wanted):
     def pick(batches):
         marks = wanted.value
-        bits = int(len(marks)).bit_length() - 1
         for batch in batches:
-            hit = pa.array(marks[_slot(np.asarray(batch.column("h")).view(np.uint64), bits)] > 0)
+            hit = pa.array(marks[slot(np.asarray(batch.column("h")).view(np.uint64), len(marks))] > 0)
             text = batch.column("text").filter(hit)
             fp = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in _sets(text, k)]
             for i in range(0, len(fp), 256):
@@ -218,13 +217,13 @@ def _wanted_texts(k: int, wanted):
     return pick
 
 
-def texts_of(texts: DataFrame, nodes: DataFrame, k: int, bits: int, shelf: Shelf) -> DataFrame:
+def texts_of(texts: DataFrame, nodes: DataFrame, k: int, slots: int, shelf: Shelf) -> DataFrame:
     """(fp, text) of the classes ``nodes`` (fp, first_doc), stored.
 
-    A bitmap of their ids (2 ** bits bytes) goes to all tasks, so that only texts that may be wanted are shuffled; the
+    A bitmap of their ids (a byte a slot) goes to all tasks, so that only texts that may be wanted are shuffled; the
     join by fingerprint settles it.
     """
-    wanted = texts.sparkSession.sparkContext.broadcast(sketch(nodes.select(F.xxhash64("first_doc").alias("h")), _longs("h"), bits))
+    wanted = texts.sparkSession.sparkContext.broadcast(sketch(nodes.select(F.xxhash64("first_doc").alias("h")), _longs("h"), slots))
     rows = texts.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_wanted_texts(k, wanted), TEXTS)
     found = shelf.put("texts", rows.join(nodes.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
     wanted.destroy()
@@ -409,7 +408,7 @@ def _links(texts: DataFrame, classes: DataFrame, buckets: DataFrame, k: int, per
     shelf.drop("open")
     likely = seen.where("a is not null").select("a", "b").distinct()
     nodes = likely.select(F.col("a").alias("fp")).union(likely.select("b")).union(dense.select("fp")).distinct()
-    wanted = texts_of(texts, nodes.join(classes.select("fp", "first_doc"), "fp"), k, sketch_bits(texts, 256), shelf)
+    wanted = texts_of(texts, nodes.join(classes.select("fp", "first_doc"), "fp"), k, sketch_slots(texts, 256), shelf)
 
     def verified(pairs: DataFrame) -> DataFrame:
         one = pairs.join(wanted.select(F.col("fp").alias("a"), F.col("text").alias("left")), "a")
@@ -450,7 +449,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, roots: bool
     spark: SparkSession = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts, shelf = docs.select("doc_id", "text"), Shelf(spark)
-    frequency = sketch(texts.select("text"), _shingles(k), sketch_bits(docs, 16))  # 2 ** 26 bytes at most
+    frequency = sketch(texts.select("text"), _shingles(k), sketch_slots(docs, 8))  # 64 MB at most
     above = often_from(frequency)
     frequency = spark.sparkContext.broadcast(frequency)
     keyed = texts.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -460,7 +459,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, roots: bool
     first = lambda c: F.first(c).alias(c)  # noqa: E731  equal in a class
     filled = signed.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first_doc"), *map(first, ("n", "signs", "bits")))
     classes = shelf.put("classes", filled)
-    seen = spark.sparkContext.broadcast(sketch(classes.select("signs"), _longs("signs"), sketch_bits(docs, 16)))
+    seen = spark.sparkContext.broadcast(sketch(classes.select("signs"), _longs("signs"), sketch_slots(docs, 16)))
     rows = shelf.put("signatures", classes.select("signs", "fp").mapInArrow(_bucket_rows(seen), "sign long, fp binary"))
     seen.destroy()
     buckets = shelf.put("buckets", _buckets(rows))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ngram_join import sketch
+from .ngram_join import sketch, slot
 from .storage import free_names, quoted, stored
 from .words import slices, utf8_of, word_hashes
 
@@ -212,8 +212,7 @@ def _occurrences(marks):
 
 
 def _marked(terms: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    bits = int(len(marks)).bit_length() - 1
-    return marks[(terms >> np.uint64(64 - bits)).astype(np.int64)] > 0
+    return marks[slot(terms, len(marks))] > 0
 
 
 def _terms(batch):
@@ -256,7 +255,7 @@ def find(docs: DataFrame) -> DataFrame:
     telling = stored(telling, "pii-terms")
     # About a thousand slots a term, 64 MB at most: the bitmap only preselects, the join settles it.
     bits = min(26, max(20, int(telling.count()).bit_length() + 10))
-    marks = docs.sparkSession.sparkContext.broadcast(sketch(telling, _terms, bits))
+    marks = docs.sparkSession.sparkContext.broadcast(sketch(telling, _terms, 1 << bits))
     placed = keyed.mapInArrow(_occurrences(marks), f"doc_id {kind}, key long, term long, start int, end int")
     placed = stored(placed, "pii-occurrences")
     marks.destroy()

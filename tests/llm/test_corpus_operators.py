@@ -111,7 +111,7 @@ def test_parity_sketches_never_differ_more_than_the_sets():
 
 def test_counts_do_not_saturate(spark):
     df = spark.range(1).select(F.expr("array_repeat(7L, 200000)").alias("h")).union(spark.range(1).select(F.expr("array(1L << 50)")))
-    found = ngram_join.sketch(df.union(df), ngram_join._longs("h"), 16)
+    found = ngram_join.sketch(df.union(df), ngram_join._longs("h"), 1 << 16)
     assert found.max() == ngram_join.scaled(np.array([131070]))[0] and sorted(found[found > 0].tolist())[0] == 2
 
 
