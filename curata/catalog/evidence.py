@@ -124,11 +124,11 @@ def i9(spark, sf_dir):
 
 @C.add(
     "i10_document_gates",
-    """WITH v AS (SELECT doc_id, (doc_id % 10) / 10.0::DOUBLE AS a, (doc_id % 7) / 7.0::DOUBLE AS b, (doc_id % 20)::DOUBLE AS n, (doc_id % 12) / 11.0::DOUBLE AS risk, (doc_id % 3 + 1)::INT AS tier, doc_id % 6 = 0 AS ocr FROM documents),
+    """WITH v AS (SELECT doc_id, (doc_id % 10) / 10.0::DOUBLE AS a, (doc_id % 7) / 7.0::DOUBLE AS b, (doc_id % 20)::DOUBLE AS n, (doc_id % 12) / 11.0::DOUBLE AS risk, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE (doc_id % 12) / 11.0::DOUBLE END AS known_risk, CASE WHEN doc_id % 19 <> 0 THEN (doc_id % 3 + 1)::INT ELSE 3 END AS tier, doc_id % 6 = 0 AS ocr FROM documents),
 s AS (SELECT *, round_even(100.0::DOUBLE * (a * 0.2::DOUBLE + b * 0.15::DOUBLE + (1.0::DOUBLE - b) * 0.1::DOUBLE + a * 0.1::DOUBLE + b * 0.1::DOUBLE + a * 0.1::DOUBLE + (1.0::DOUBLE - b) * 0.1::DOUBLE + (1.0::DOUBLE - risk) * 0.05::DOUBLE + a * 0.05::DOUBLE + least(n / 12.0::DOUBLE, 1.0::DOUBLE) * 0.05::DOUBLE), 0)::INT AS score FROM v),
-g AS (SELECT *, CASE WHEN risk >= 1.0 THEN 'reject' WHEN tier = 3 AND a < 0.2 THEN 'reject' WHEN score >= 45 AND ocr AND NOT a > 0 THEN 'archive_only' WHEN score >= 45 AND risk >= 0.6 THEN 'archive_only'
+g AS (SELECT *, CASE WHEN coalesce(known_risk, 1.0) >= 1.0 THEN 'reject' WHEN tier = 3 AND a < 0.2 THEN 'reject' WHEN score >= 45 AND ocr AND NOT a > 0 THEN 'archive_only' WHEN score >= 45 AND known_risk >= 0.6 THEN 'archive_only'
  WHEN score >= 80 THEN 'high_priority' WHEN score >= 60 THEN 'extract_normally' WHEN score >= 45 THEN 'extract_later' WHEN score >= 25 THEN 'archive_only' ELSE 'reject' END AS gate,
- CASE WHEN risk >= 1.0 THEN 'G2' WHEN tier = 3 AND a < 0.2 THEN 'G3' WHEN score >= 45 AND ocr AND NOT a > 0 THEN 'G4' WHEN score >= 45 AND risk >= 0.6 THEN 'G2' ELSE 'G5' END AS rule FROM s)
+ CASE WHEN coalesce(known_risk, 1.0) >= 1.0 THEN 'G2' WHEN tier = 3 AND a < 0.2 THEN 'G3' WHEN score >= 45 AND ocr AND NOT a > 0 THEN 'G4' WHEN score >= 45 AND known_risk >= 0.6 THEN 'G2' ELSE 'G5' END AS rule FROM s)
 SELECT doc_id, score, gate, rule, round_even(a * b, 2) AS confidence, CASE (ocr::INT + (b >= 0.6)::INT + (a >= 0.6)::INT) WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' ELSE 'High' END AS cost FROM g""",
 )
 def i10(spark, sf_dir):
@@ -137,8 +137,8 @@ def i10(spark, sf_dir):
     a, b, n, risk = d % 10 / 10.0, d % 7 / 7.0, (d % 20).cast("double"), d % 12 / 11.0
     which = {"authority": a, "historical_value": a, "identity_usefulness": a, "ocr_quality": a, "expected_evidence_count": n, "license_risk": risk}
     rows = table(spark, sf_dir, "documents").select("doc_id", V.document_score(lambda k: which.get(k, b)).alias("score"))
-    tier, ocr = (d % 3 + 1).cast("int"), d % 6 == 0
-    g = V.gate(d, F.lit("book"), F.col("score"), risk, tier, a, ocr, F.lit(False), a)
+    tier, ocr = F.when(d % 19 != 0, (d % 3 + 1).cast("int")), d % 6 == 0
+    g = V.gate(d, F.lit("book"), F.col("score"), F.when(d % 17 != 0, risk), tier, a, ocr, F.lit(None).cast("boolean"), a)
     y = V.expected_yield(a, b, F.lit(False), ocr, b, a)
     return rows.select("doc_id", "score", g.alias("g"), y.alias("y")).select("doc_id", "score", "g.*", "y.*")
 

@@ -46,6 +46,18 @@ def a3(spark, sf_dir):
     return S.page_records(table(spark, sf_dir, "pages"))
 
 
+def marks(text: str):
+    """A parser of one's own: (field, value) pairs of a page."""
+    yield "html:length", str(len(text))
+    if "<h1" in text:
+        yield "html:has_h1", "yes"
+
+
+@C.add("m4_custom_parser", "SELECT page_id, 'html:length' AS field, length(html)::VARCHAR AS value FROM pages UNION ALL SELECT page_id, 'html:has_h1', 'yes' FROM pages WHERE contains(html, '<h1')")
+def m4(spark, sf_dir):
+    return S.page_records(table(spark, sf_dir, "pages"), parser=marks)
+
+
 @C.add("a4_named_tables", "SELECT p_partkey, p_name FROM part WHERE p_size > 30 ORDER BY p_retailprice DESC, p_partkey LIMIT 40")
 def a4(spark, sf_dir):
     tables = S.Tables(spark, {"entities": f"{sf_dir}/part.parquet"})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from curata.plans import adapter as A
 from curata.plans import promote as P
 from curata.plans import quality as Q
 
@@ -50,6 +51,29 @@ def j1(spark, sf_dir):
     return plan(spark, sf_dir).groupBy("entity_id", "source", "action", "reason").agg(F.count("*").alias("n"))
 
 
+def line_adapter():
+    return A.register(A.Adapter("lines", order=("l_orderkey", "l_linenumber", "l_suppkey"), rules=[("supplier", F.col("l_suppkey") % 7 != 0)]))
+
+
+_ADAPTED = PLAN.replace("FROM c LEFT JOIN part", "FROM (SELECT * FROM c WHERE l_suppkey % 7 <> 0) c LEFT JOIN part")
+
+
+@C.add(
+    "m3_adapter_plan",
+    f"WITH {_ADAPTED}, a AS (SELECT entity_id, source, action, reason FROM plan UNION ALL SELECT entity_id, source, 'REJECT', 'supplier' FROM c WHERE l_suppkey % 7 = 0) SELECT entity_id, source, action, reason, count(*) AS n FROM a GROUP BY ALL",
+)
+def m3_plan(spark, sf_dir):
+    line_adapter()
+    made = A.adapter("lines").plan(candidates(spark, sf_dir), entity_ids(spark, sf_dir), held(spark, sf_dir))
+    return made.groupBy("entity_id", "source", "action", "reason").agg(F.count("*").alias("n"))
+
+
+@C.add("m3_adapter_applied", f"WITH {_ADAPTED} SELECT * FROM h UNION ALL SELECT entity_id, source FROM plan WHERE action = 'INSERT'")
+def m3_applied(spark, sf_dir):
+    made = line_adapter().plan(candidates(spark, sf_dir), entity_ids(spark, sf_dir), held(spark, sf_dir))
+    return A.adapter("lines").apply_plan(made, held(spark, sf_dir))
+
+
 @C.add("j4_applied", f"WITH {PLAN} SELECT * FROM h UNION ALL SELECT entity_id, source FROM plan WHERE action = 'INSERT'")
 def j4(spark, sf_dir):
     return P.applied(held(spark, sf_dir), plan(spark, sf_dir))

@@ -8,7 +8,7 @@ from curata.functions import lexicon as L
 from curata.operators import aggregate as A
 from curata.operators import rank as K
 
-from . import Catalog, table
+from . import Catalog, dealt, table
 
 C = Catalog()
 
@@ -121,7 +121,7 @@ m AS (SELECT doc_id, term, axis, 0.5::DOUBLE AS value FROM t JOIN lex USING (ter
 
 
 def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @C.add("h1_lexicon_matches", f"WITH {_TOK} SELECT doc_id, axis, count(*) AS n, round(avg(value), 6) AS value FROM m GROUP BY ALL")
@@ -232,6 +232,21 @@ def b21(spark, sf_dir):
     )
 
 
+_COMP = "CASE p_partkey % 3 WHEN 0 THEN concat('component_1=', p_size / 50.0, ',component_2=', p_size % 7, ',component_3=', -(p_size % 3)) WHEN 1 THEN concat('fruit=', p_size, ',peat=3,woody=', p_size % 9, ',smoky=x') ELSE 'component_1=5,sweet=2' END"
+
+
+@C.add(
+    "b22_app_axes",
+    """WITH r AS (SELECT p_partkey, p_partkey % 3 AS k, p_size / 50.0::DOUBLE AS a, (p_size % 7)::DOUBLE AS b, -(p_size % 3)::DOUBLE AS c, p_size::DOUBLE AS s FROM part),
+m AS (SELECT *, CASE k WHEN 0 THEN [a, (a + b) / 2, b, c, (b + c) / 2, (a + c) / 2, a * 0.5, 0] WHEN 1 THEN [s, 0, 0, 3, s::INT % 9, 0, 0, 0] ELSE [0, 2, 0, 0, 0, 0, 0, 0]::DOUBLE[] END AS v FROM r),
+x AS (SELECT p_partkey, list_transform(v, lambda y: CASE WHEN k <> 0 THEN y WHEN y <= 0 THEN 0 WHEN y <= 1 THEN y * 10 ELSE y END) AS v FROM m)
+SELECT p_partkey, round(v[1], 6) AS fruity, round(v[2], 6) AS sweet, round(v[3], 6) AS spicy, round(v[4], 6) AS smoky_peaty, round(v[5], 6) AS oak_cask, round(v[6], 6) AS malty_cereal, round(v[7], 6) AS floral_herbal, round(v[8], 6) AS maritime FROM x""",
+)
+def b22(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", L.app_axes(L.parsed_profile(F.expr(_COMP))).alias("x"))
+    return p.select("p_partkey", *[F.round(f"x.{c}", 6).alias(c) for c in L.AXIS_KEYS])
+
+
 @C.add(
     "b32_source_class",
     "SELECT doc_id, CASE source WHEN 'src0' THEN 'T1' WHEN 'src1' THEN 'T2' ELSE 'T3' END AS tier, CASE source WHEN 'src0' THEN 'official' WHEN 'src1' THEN 'expert' ELSE 'community' END AS class FROM documents",

@@ -161,7 +161,9 @@ def document_score(value) -> Column:
 
 
 def gate(doc_id: Column, doc_class: Column, score: Column, license_risk: Column, tier: Column, identity: Column, ocr_need: Column, text_layer: Column, ocr_quality: Column) -> Column:
-    """struct<gate, rule>."""
+    """struct<gate, rule>. A licence risk that is not known counts as 1, a tier as 3, an identity, OCR need or quality as none."""
+    license_risk, tier, identity = F.coalesce(license_risk, F.lit(1.0)), F.coalesce(tier, F.lit(3)), F.coalesce(identity, F.lit(0.0))
+    ocr_need, text_layer, ocr_quality = F.coalesce(ocr_need, F.lit(False)), F.coalesce(text_layer, F.lit(False)), F.coalesce(ocr_quality, F.lit(0.0))
     base = F.when(score >= 80, "high_priority").when(score >= 60, "extract_normally").when(score >= 45, "extract_later").when(score >= 25, "archive_only").otherwise("reject")
     extract = score >= 45
     blocked = ocr_need & ~(text_layer | (ocr_quality > 0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,27 +33,50 @@ def zero_vector(v: Column) -> Column:
     return (F.array_min(v) == 0) & (F.array_max(v) == 0)
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-
-
-def similar(queries: DataFrame, items: DataFrame, key: str, vector: str, k: int = 5, block: int = 4096) -> DataFrame:
-    """for each query its k nearest items by squared distance, similarity 1 / (1 + distance); k is held to 1..20.
-
-    Constant and zero vectors take no part. Query blocks of a bounded size meet all items; each block keeps the k best
-    of an item partition before the shuffle, so what moves is k rows per query and partition.
+def _nearest(key: str, k: int):
+    """Of a block of queries and a block of items the k nearest items of each query, by distance, then key."""
+
+    def run(queries: pa.Table, items: pa.Table) -> pa.Table:
+        q_ids, x_ids = np.asarray(queries[key].combine_chunks()), np.asarray(items[key].combine_chunks())
+        out = []
+        if len(q_ids) and len(x_ids):
+            q, x = (np.stack([np.asarray(v, float) for v in t["_v"].to_pylist()]) for t in (queries, items))
+            for i in range(0, len(q), 256):
+                d = np.zeros((len(q[i : i + 256]), len(x)))
+                for c in range(q.shape[1]):  # component by component, as the sum is defined
+                    d += (q[i : i + 256, c, None] - x[:, c]) ** 2
+                d[q_ids[i : i + 256, None] == x_ids] = np.inf
+                most = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                a, b = np.nonzero((d <= most[:, None]) & (d < np.inf))
+                order = np.lexsort((x_ids[b], d[a, b], a))
+                a, b = a[order], b[order]
+                best = np.arange(len(a)) - np.searchsorted(a, a) < k
+                out.append((q_ids[i + a[best]], x_ids[b[best]], d[a[best], b[best]]))
+        found = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [q_ids[:0], x_ids[:0], np.zeros(0)]
+        return pa.table({"query_id": pa.array(found[0], queries.schema.field(key).type), key: pa.array(found[1], items.schema.field(key).type), "distance": found[2]})
+
+    return run
+
+
+def similar(queries: DataFrame, items: DataFrame, key: str, vector: str, k: int = 5, query_block: int = 2048, item_block: int = 16384) -> DataFrame:
+    """for each query its k nearest items by squared distance, similarity 1 / (1 + distance); k is held to 1..20. Keys are numbers.
+
+    Constant and zero vectors take no part. Query blocks meet item blocks, both of a bounded size, as one tile each; a tile returns the k
+    best of each query, so pairs never become rows.
     """
     k = max(1, min(20, k))
-    ok = lambda df: df.where(~constant_vector(F.col(vector)) & ~zero_vector(F.col(vector)))
-    q = ok(queries).select(F.col(key).alias("query_id"), F.col(vector).alias("_q"))
-    n = max(1, -(-q.count() // block))
-    q = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(n)))
-    blocks = q.groupBy("_b").agg(F.collect_list(F.struct("query_id", "_q")).alias("_qs"))  # ``block`` queries each, on average
-    met = ok(items).select(F.col(key), F.col(vector).alias("_v")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
-    pairs = met.join(blocks, "_b").select(key, "_v", F.explode("_qs").alias("x")).where(F.col("x.query_id") != F.col(key))
-    scored = pairs.select(F.col("x.query_id").alias("query_id"), key, squared_distance(F.col("x._q"), F.col("_v")).alias("distance"))
+    ok = lambda df: df.where(~constant_vector(F.col(vector)) & ~zero_vector(F.col(vector))).select(F.col(key), F.col(vector).alias("_v"))
+    q, x = ok(queries), ok(items)
+    parts = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_items = x.count()
+    qs = max(1, -(-q.count() // query_block))
+    xs = max(1, -(-n_items // item_block), min(parts, -(-n_items // 1024)))
+    q = q.withColumn("_q", F.pmod(F.xxhash64(key), F.lit(qs))).withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(xs - 1)).cast("array<bigint>")))
+    x = x.withColumn("_x", F.pmod(F.xxhash64(key), F.lit(xs))).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(qs - 1)).cast("array<bigint>")))
+    kind = items.schema[key].dataType.simpleString()
+    found = q.groupBy("_q", "_x").cogroup(x.groupBy("_q", "_x")).applyInArrow(_nearest(key, k), f"query_id {kind}, {key} {kind}, distance double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
-    best = scored.withColumn("rank", place).where(F.col("rank") <= k)
+    best = found.withColumn("rank", place).where(F.col("rank") <= k)
     return best.select("query_id", "rank", key, F.round(F.sqrt("distance"), 6).alias("distance"), F.round(1 / (1 + F.sqrt("distance")), 6).alias("similarity"))
 
 
