@@ -4,9 +4,10 @@
 trigram place, combined before the shuffle). The model is at most 2 ** BITS numbers for each learned language.
 
 ``predict`` treats a text as words drawn from a mixture: the likelihood of a word under a language is the product of
-its trigram probabilities, and expectation-maximisation estimates the proportions. The languages of a text are the set
-(the k largest proportions, any k) with the largest log-likelihood less ``PENALTY`` * (k - 1) * log(words);
-the prediction is the largest proportion in that set and its score is that proportion.
+its trigram probabilities, and expectation-maximisation estimates the proportions. Sets of languages grow by forward
+selection: first the language under which the text is likeliest, then each time the one whose share the likelihood rises with
+most. The languages of a text are the set with the largest log-likelihood less ``PENALTY`` * (k - 1) * log(words) for its k
+languages; the prediction is the largest proportion in that set and its score is that proportion.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; null ids are kept; rows with a null
 language or text teach nothing; if nothing was learned every document is ``und``; repeated rows each give a row; other columns
@@ -100,17 +101,16 @@ def train(docs: DataFrame, bits: int = BITS) -> tuple[list[str], np.ndarray]:
 
 
 def _em(like: np.ndarray, n: np.ndarray, doc: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions per document after some rounds, and the log of the mixture's likelihood for each word before the last."""
+    """Proportions per document after some rounds, and the mixture's likelihood of each word under them."""
     cuts = np.flatnonzero(np.diff(doc, prepend=-1))
     total = np.add.reduceat(n, cuts)[:, None]
     present = doc[cuts]
-    mixed = np.zeros(len(doc))
+    part = like * share[doc]
     for _ in range(rounds):
-        part = like * share[doc]
-        mixed = part.sum(1)
-        part *= (n / np.maximum(mixed, 1e-300))[:, None]
+        part *= (n / np.maximum(part.sum(1), 1e-300))[:, None]
         share[present] = np.add.reduceat(part, cuts, axis=0) / total
-    return share, np.log(np.maximum(mixed, 1e-300))
+        part = like * share[doc]
+    return share, np.maximum(part.sum(1), 1e-300)
 
 
 def mixtures(col: pa.Array, logp: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -129,23 +129,30 @@ def mixtures(col: pa.Array, logp: np.ndarray, bits: int = BITS) -> tuple[np.ndar
     doc, unit = keys // len(starts), keys % len(starts)
     like, n = likely[unit], n.astype(float)
     words = np.bincount(doc, n, minlength=n_docs)
-    share[:] = 1 / n_langs
-    share, _ = _em(like, n, doc, share, ROUNDS)
-    order = np.argsort(-share, axis=1, kind="stable")
-    best = np.full(n_docs, -np.inf)
-    chosen = np.zeros_like(share)
+    cuts = np.flatnonzero(np.diff(doc, prepend=-1))
+    present, rows = doc[cuts], np.arange(n_docs)
+    single = np.zeros((n_docs, n_langs))
+    single[present] = np.add.reduceat(np.log(np.maximum(like, 1e-300)) * n[:, None], cuts, axis=0)
+    share[rows, single.argmax(1)] = 1.0
+    best, chosen = np.full(n_docs, -np.inf), np.zeros_like(share)
+    mask = share > 0
     for k in range(1, n_langs + 1):
         # No word is likelier than 1 in any mixture: once the penalty alone outweighs the best of every text, no larger set wins.
         if (best >= -PENALTY * (k - 1) * np.log(words + 1)).all():
             break
-        mask = np.zeros_like(share)
-        np.put_along_axis(mask, order[:, :k], 1.0, axis=1)
-        start = np.maximum(share, 1e-6) * mask
-        trial = start / start.sum(1, keepdims=True)
-        trial, logs = _em(like, n, doc, trial, 1 if k == 1 else ROUNDS)
-        value = np.bincount(doc, logs * n, minlength=n_docs) - PENALTY * (k - 1) * np.log(words + 1)
+        share, mixed = _em(like, n, doc, share, 0 if k == 1 else ROUNDS)
+        value = np.bincount(doc, np.log(mixed) * n, minlength=n_docs) - PENALTY * (k - 1) * np.log(words + 1)
         better = value > best
-        chosen[better], best[better] = trial[better], value[better]
+        chosen[better], best[better] = share[better], value[better]
+        if k < n_langs:
+            # How the log-likelihood rises with the share of each language outside the set.
+            slope = np.zeros_like(share)
+            slope[present] = np.add.reduceat(like * (n / mixed)[:, None], cuts, axis=0)
+            slope[mask] = -1
+            new = slope.argmax(1)
+            mask[rows, new] = True
+            share *= k / (k + 1)
+            share[rows, new] = 1 / (k + 1)
     return chosen, words > 0
 
 

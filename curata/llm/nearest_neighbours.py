@@ -36,8 +36,10 @@ FOUND = "query_id long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding (doubles) of the rows that take part."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    """vec_id, embedding (floats or doubles) of the rows that take part."""
+    # Components stay as they are stored: a float is half the bytes to move, and tiles work in double precision anyway.
+    plain = vectors.schema["embedding"].dataType.elementType.simpleString() in ("float", "double")
+    v = F.col("embedding") if plain else F.transform("embedding", lambda x: x.cast("double"))
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.where("vec_id is not null and embedding is not null")
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("embedding"))
@@ -45,7 +47,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
-    flat = np.asarray(col.flatten())
+    flat = np.asarray(col.flatten()).astype(float)
     return flat.reshape(len(col), -1) if len(col) else np.empty((0, 0))
 
 
@@ -81,7 +83,8 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
     keep = _first_copies(c_ids, c, k)
     qi, qs, qe, qn = _rounded(q)
     ci, cs, ce, cn = _rounded(c[keep])
-    left, right = qi.astype(np.float32), ci.astype(np.float32).T  # int8 products are exact in float32 up to 1000 dimensions
+    exact = np.float32 if 127 * 127 * q.shape[1] < 1 << 24 else np.float64  # sums of int8 products must be exact
+    left, right = qi.astype(exact), ci.astype(exact).T
     out = []
     step = max(1, (8 << 20) // max(1, len(keep)))
     for i in range(0, len(q), step):

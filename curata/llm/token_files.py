@@ -5,7 +5,7 @@ allows, else 32), ``.idx`` (unsigned 64-bit offsets into it, documents + 1) and
 a byte each that is 0 where the id was null). Shards are numbered in document order; a shard's base in the whole
 token stream is the prefix sum of the shards before it, so no task ever sees more than one shard.
 
-``write`` range-partitions the documents by id (ties by text), encodes and writes one shard per task, and keeps
+``write`` range-partitions the documents by id (ties by the text's hash), encodes and writes one shard per task, and keeps
 a manifest with one row per shard. A task that is run again writes files of another name; only those named in the
 manifest count, so lost executors leave orphans but no wrong rows. ``read`` maps the files and returns the documents.
 
@@ -67,7 +67,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, shards: int | None = Non
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(shards or parts_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    # The text's hash only parts rows of one id, or without any, among shards.
+    order = ("doc_id", F.xxhash64("text"), "text")
+    rows = rows.repartitionByRange(shards or parts_for(docs), *order).sortWithinPartitions(*order)
     made = stored(rows.mapInArrow(_writer(shared_path(spark, "token-files"), tokenizer, end_id), SHARD), "token-manifest")
     # One row per shard: the window runs over the manifest, never over documents.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

@@ -21,7 +21,7 @@ _ODD_SPLIT = re.compile("[\x1c-\x1f]")
 _BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _REST = [b for b in range(256) if b not in _BYTES]
 BYTE_CHAR = {b: chr(b) for b in _BYTES} | {b: chr(256 + i) for i, b in enumerate(_REST)}
-CACHE_WORDS = 1_000_000
+CACHE_BYTES = 96 << 20
 
 
 def _byte_level(s: str) -> str:
@@ -29,15 +29,17 @@ def _byte_level(s: str) -> str:
 
 
 class _Words(dict):
-    """word -> bytes of its ids; fills itself, and starts afresh when it holds ``CACHE_WORDS``."""
+    """word -> bytes of its ids; fills itself, and starts afresh when it holds about ``CACHE_BYTES``."""
 
     def __init__(self, owner: Encoder):
-        self.owner = owner
+        self.owner, self.bytes = owner, 0
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        if self.bytes >= CACHE_BYTES:
             self.clear()
+            self.bytes = 0
         ids = self[word] = self.owner.encode_word(word)
+        self.bytes += 200 + 2 * len(word) + len(ids)  # with what the objects themselves take
         return ids
 
 
