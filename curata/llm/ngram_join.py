@@ -91,6 +91,20 @@ def _longs(name: str):
     return hashes
 
 
+def _packed(block: np.ndarray) -> bytes:
+    """The counts that are not zero with the gaps between them, byte plane by byte plane: a byte or two for each."""
+    at = np.flatnonzero(block)
+    both = np.stack([np.diff(at, prepend=0), block[at].astype(np.int64)]).astype("<u2")
+    return zlib.compress(np.ascontiguousarray(both.view(np.uint8).reshape(2, -1, 2).transpose(0, 2, 1)), 1)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(places, counts)"""
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(2, 2, -1).astype(np.int64)
+    gaps, counts = planes[:, 0] + 256 * planes[:, 1]
+    return np.cumsum(gaps), counts
+
+
 def _counter(hashes, slots: int):
     def count(batches):
         total = np.zeros(slots, np.uint16)
@@ -100,7 +114,7 @@ def _counter(hashes, slots: int):
                 total[at] = np.minimum(65535, total[at] + n)
         for b, block in enumerate(total.reshape(-1, BLOCK)):
             if block.any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "counts": [zlib.compress(block, 1)]})
+                yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "counts": [_packed(block)]})
 
     return count
 
@@ -116,9 +130,10 @@ def _adder(batches):
     for batch in batches:
         for b, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             block = total.setdefault(b, np.zeros(BLOCK, np.int64))
-            block += np.frombuffer(zlib.decompress(counts), np.uint16)
+            at, n = _unpacked(counts)
+            block[at] += n
     for b, block in total.items():
-        yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "counts": [zlib.compress(scaled(block), 1)]})
+        yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "counts": [_packed(scaled(block))]})
 
 
 def sketch(rows: DataFrame, hashes, slots: int) -> np.ndarray:
@@ -129,7 +144,8 @@ def sketch(rows: DataFrame, hashes, slots: int) -> np.ndarray:
     merged = parts.repartition("block").mapInArrow(_adder, schema)
     total = np.zeros((slots // BLOCK, BLOCK), np.uint8)
     for row in merged.collect():  # a byte a slot in all
-        total[row["block"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
+        at, n = _unpacked(row["counts"])
+        total[row["block"], at] = n
     return total.reshape(-1)
 
 
@@ -459,7 +475,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, roots: bool
     first = lambda c: F.first(c).alias(c)  # noqa: E731  equal in a class
     filled = signed.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first_doc"), *map(first, ("n", "signs", "bits")))
     classes = shelf.put("classes", filled)
-    seen = spark.sparkContext.broadcast(sketch(classes.select("signs"), _longs("signs"), sketch_slots(docs, 16)))
+    seen = spark.sparkContext.broadcast(sketch(classes.select("signs"), _longs("signs"), sketch_slots(docs, 8)))
     rows = shelf.put("signatures", classes.select("signs", "fp").mapInArrow(_bucket_rows(seen), "sign long, fp binary"))
     seen.destroy()
     buckets = shelf.put("buckets", _buckets(rows))
