@@ -141,6 +141,27 @@ def d24(spark, sf_dir):
     return G.routed(p.select(k, (F.col("p_size") / 50.0).alias("score"), flags.alias("flags"), (k % 2 == 0).alias("producer_found"))).select("p_partkey", "route")
 
 
+def feature_sources(spark, sf_dir):
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    names = F.expr("CASE p_partkey % 5 WHEN 0 THEN concat(p_name, ' ', p_size, ' yo') WHEN 1 THEN concat(upper(p_name), ' cask #', p_size) WHEN 2 THEN p_name WHEN 3 THEN concat(p_name, ' signatory 1998') ELSE substring(p_name, 2) END")
+    maker = F.when(k % 4 == 0, "").when(k % 4 == 1, F.col("p_brand")).when(k % 4 == 2, F.concat("p_brand", F.lit(" House"))).otherwise("nobody")
+    identity = F.when(k % 3 == 0, "name_matched").when(k % 3 == 1, "explicit_distillery").when(k % 7 == 0, "undisclosed_but_indexed")
+    return p.select(k.alias("src_id"), names.alias("src_name"), maker.alias("src_producer"), identity.alias("identity"))
+
+
+def feature_products(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    one = p.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("id"), F.min_by("p_size", "p_partkey").alias("size"))
+    name = F.concat_ws(" ", "p_name", F.when(F.col("id") % 2 == 0, F.concat_ws(" ", F.col("size").cast("string"), F.lit("year"))))
+    return one.select("id", name.alias("name"), F.col("p_brand").alias("producer"))
+
+
+@C.add("d24_feature_routes")
+def d24_features(spark, sf_dir):
+    out = G.feature_routes(dealt(feature_sources(spark, sf_dir)), feature_products(spark, sf_dir))
+    return out.withColumn("flags", F.array_join("flags", ","))
+
+
 @C.add(
     "d25_identity_check",
     """SELECT p_partkey, 'brand' AS field, p_brand AS own, upper(p_brand) AS other, 'VERIFIED' AS verdict FROM part UNION ALL

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curata.sources import files as S
+from curata.sources import ingest as N
 from curata.streaming import incremental as L
 
 from . import Catalog, table
@@ -97,6 +98,73 @@ def a5_counters(spark, sf_dir):
     return star(spark, sf_dir)["counters"]
 
 
+_MAKERS = """CASE WHEN s_suppkey % 10 = 9 THEN 'Maker ' || (s_suppkey - 1) ELSE 'Maker ' || s_suppkey END"""
+_PRODUCTS = """p_partkey AS row, CASE WHEN p_partkey % 19 = 0 THEN 'Unknown' WHEN p_partkey % 6 = 0 THEN 'Maker ' || (p_partkey % 50 + 1) || ' ' || p_name ELSE p_name END AS product_name,
+ CASE WHEN p_partkey % 3 = 0 THEN 'D' || (p_partkey % 40 + 1) END AS distillery_id,
+ CASE p_partkey % 5 WHEN 0 THEN 'OB' WHEN 1 THEN p_brand WHEN 2 THEN 'maker ' || (p_partkey % 30 + 1) ELSE '-' END AS brand,
+ CASE p_partkey % 7 WHEN 0 THEN 'official' WHEN 1 THEN 'independent' WHEN 2 THEN 'Blend' END AS type,
+ CASE WHEN p_partkey % 11 = 0 THEN 'old' ELSE p_size || ' yo' END AS age, 'http://a/' || p_size || '; http://b/' || p_size AS urls, p_type || ' & oak, oak' AS cask_type"""
+
+
+def seven_tables(spark, sf_dir):
+    """Inputs of an ingest derived from part and supplier: repeated, unnamed, homeless and ill-typed rows among them."""
+    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    capacity = F.when(k % 4 == 0, "1,200 l").when(k % 4 == 1, "unknown").when(k % 4 == 2, "many").otherwise(k.cast("string"))
+    makers = supplier.select(
+        k.alias("row"), F.expr(_MAKERS).alias("Name"), F.concat(F.lit("D"), k).alias("distillery_id"), F.concat(F.lit("Land "), "s_nationkey").alias("country"), capacity.alias("capacity"),
+        F.when(k % 3 == 0, "Low").otherwise("odd").alias("confidence"),
+    )
+    products = spark.sql(f"SELECT {_PRODUCTS} FROM {{part}}", part=part)
+    refused = part.where("p_size = 1").select(F.col("p_partkey").alias("row"), F.col("p_name").alias("scraped_product_name"), F.lit("Name mismatch").alias("problem_type"))
+    came = part.where("p_size = 2").select(F.col("p_partkey").alias("row"), F.lit("product").alias("entity_type"), F.col("p_name").alias("entity_name"), F.lit("checked by hand").alias("problem_reason"))
+    return {"distilleries": makers, "products": products, "rejected_matches": refused, "review_needed": came}
+
+
+_INGEST = f"""m AS (SELECT s_suppkey, {_MAKERS} AS name FROM supplier), d AS (SELECT * FROM m WHERE s_suppkey = (SELECT min(s_suppkey) FROM m AS x WHERE x.name = m.name)),
+raw AS (SELECT {_PRODUCTS} FROM part), p AS (SELECT * REPLACE (CASE WHEN product_name <> 'Unknown' THEN product_name END AS product_name, CASE WHEN brand <> '-' THEN brand END AS brand) FROM raw),
+h AS (SELECT p.row, max(struct_pack(n := length(d.name), name := d.name)).name AS name FROM p JOIN d ON starts_with(lower(product_name), lower(d.name)) GROUP BY 1),
+j AS (SELECT p.*, coalesce(a.name, b.name, h.name) AS maker, coalesce(type = 'official', false) OR coalesce(brand = 'OB', false) AS own FROM p LEFT JOIN d AS a ON 'D' || a.s_suppkey = distillery_id
+ LEFT JOIN d AS b ON lower(b.name) = lower(brand) LEFT JOIN h ON h.row = p.row WHERE product_name IS NOT NULL),
+q AS (SELECT *, CASE WHEN own OR brand IS NULL THEN 'official' ELSE 'independent' END AS kind, CASE WHEN NOT own THEN brand END AS bottler,
+ (maker IS NULL AND coalesce(type, '') <> 'Blend') OR (NOT own AND brand IS NULL AND coalesce(type = 'independent', false)) AS refused FROM j),
+g AS (SELECT *, row_number() OVER (PARTITION BY product_name, maker, bottler, kind ORDER BY row) AS n FROM q WHERE NOT refused)"""
+
+
+@C.add(
+    "a5_ingest_products",
+    f"WITH {_INGEST} SELECT product_name AS name, maker, bottler, kind AS bottling_type, CASE WHEN row % 11 <> 0 THEN regexp_extract(age, '\\d+')::BIGINT END AS age_statement FROM g WHERE n = 1",
+)
+def a5_products(spark, sf_dir):
+    out = N.ingest(seven_tables(spark, sf_dir))
+    makers = out["distilleries"].select("distillery_id", F.col("name").alias("maker"))
+    bottlers = out["bottlers"].select("bottler_id", F.col("name").alias("bottler"))
+    return out["products"].join(makers, "distillery_id", "left").join(bottlers, "bottler_id", "left").select("name", "maker", "bottler", "bottling_type", "age_statement")
+
+
+@C.add(
+    "a5_ingest_review",
+    f"""WITH {_INGEST} SELECT 'product' AS entity_type, p_name AS entity_name, NULL AS field_name, 'checked by hand' AS problem_reason FROM part WHERE p_size = 2
+UNION ALL SELECT 'distillery', name, 'name', 'duplicate name or id' FROM m WHERE s_suppkey NOT IN (SELECT s_suppkey FROM d) UNION ALL SELECT 'distillery', name, 'production_capacity_lpa', 'no number' FROM m WHERE s_suppkey % 4 = 2
+UNION ALL SELECT 'product', product_name, CASE WHEN maker IS NULL AND coalesce(type, '') <> 'Blend' THEN 'distillery_id' ELSE 'bottler_name' END, CASE WHEN maker IS NULL AND coalesce(type, '') <> 'Blend' THEN 'no producer by id, bottler or name' ELSE 'independent without a bottler' END FROM q WHERE refused
+UNION ALL SELECT 'product', product_name, 'age_statement', 'no number' FROM g WHERE row % 11 = 0""",
+)
+def a5_review(spark, sf_dir):
+    return N.ingest(seven_tables(spark, sf_dir))["review_needed"].select("entity_type", "entity_name", "field_name", "problem_reason")
+
+
+@C.add(
+    "a5_ingest_counters",
+    f"""WITH {_INGEST}, i AS (SELECT DISTINCT product_name, maker, bottler, kind FROM g)
+SELECT (SELECT count(*) FROM p) + (SELECT count(*) FROM m) + (SELECT count(*) FROM part WHERE p_size <= 2) AS rows_read, (SELECT count(*) FROM p WHERE product_name IS NULL) AS rows_failed, (SELECT count(*) FROM d) AS distilleries,
+(SELECT count(DISTINCT brand) FROM p WHERE brand <> 'OB' AND coalesce(type, '') <> 'official') AS bottlers, (SELECT count(*) FROM i) AS products, (SELECT count(*) FROM q WHERE refused) AS products_skipped, (SELECT count(*) FROM g) - (SELECT count(*) FROM i) AS products_repeated,
+(SELECT count(*) FROM (SELECT DISTINCT product_name, maker, bottler, kind, unnest(regexp_split_to_array(urls, '[\\s,;|]+')) FROM g)) AS urls, (SELECT count(*) FROM m WHERE s_suppkey % 3 = 0) AS low_confidence""",
+)
+def a5_ingest_counters(spark, sf_dir):
+    wanted = "rows_read rows_failed distilleries bottlers products products_skipped products_repeated urls low_confidence"
+    return N.ingest(seven_tables(spark, sf_dir))["counters"].select(*wanted.split())
+
+
 @C.add("a6_canonical_columns", "SELECT p_partkey AS original_whisky_id, coalesce(CASE WHEN p_size > 25 THEN p_type END, p_name) AS name, p_size AS age_statement, p_brand AS bottler_name FROM part")
 def a6(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(

@@ -189,8 +189,8 @@ def d8(spark, sf_dir):
 
 FUZZY_SQL = f"""reg AS (SELECT min(p_partkey) AS id, arg_min(p_size, p_partkey)::INT AS age, {match_sql("arg_min(" + NAME + ", p_partkey)")} AS text FROM part WHERE p_partkey % 3 <> 0 GROUP BY p_name, p_brand),
 src AS (SELECT p_partkey AS src_id, {match_sql(TYPO)} AS src_text, p_size AS src_age FROM part),
-pairs AS (SELECT src.*, reg.*, 1 - levenshtein(src_text, text)::DOUBLE / greatest(length(src_text), length(text), 1) AS score FROM src JOIN reg ON {block_sql("src_text")} = {block_sql("text")}
- WHERE least(length(src_text), length(text))::DOUBLE / greatest(length(src_text), length(text), 1) >= 0.78),
+pairs AS (SELECT src.* EXCLUDE (sb), reg.* EXCLUDE (rb), 1 - levenshtein(src_text, text)::DOUBLE / greatest(length(src_text), length(text), 1) AS score FROM (SELECT *, {block_sql("src_text")} AS sb FROM src) AS src JOIN (SELECT *, {block_sql("text")} AS rb FROM reg) AS reg
+ ON sb = rb OR (sb NOT IN (SELECT {block_sql("text")} FROM reg) AND src_text <> '' AND text <> '') WHERE least(length(src_text), length(text))::DOUBLE / greatest(length(src_text), length(text), 1) >= 0.78),
 p AS (SELECT * FROM pairs WHERE score >= 0.82 - 0.04),
 r AS (SELECT *, row_number() OVER w AS n, coalesce(lead(score) OVER w, 0.0) AS second FROM p WINDOW w AS (PARTITION BY src_id ORDER BY score DESC, id))"""
 

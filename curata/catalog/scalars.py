@@ -77,11 +77,11 @@ scalar(
     N.abv,
     status_sql(
         EMPTY,
-        (f"{_D} <> '' AND regexp_extract({_T}, {_ABV}, 1) = '-'", "NULL", "'CONFLICT'", f"'negative ABV: ' || {_D}"),
-        (f"{_D} <> '' AND try_cast({_D} AS DOUBLE) > 100", "NULL", "'CONFLICT'", f"'ABV>100: ' || try_cast({_D} AS DOUBLE)::VARCHAR"),
+        (f"{_D} <> '' AND regexp_extract({_T}, {_ABV}, 1) = '-'", "NULL", "'CONFLICT'", f"'strength below 0: ' || {_D}"),
+        (f"{_D} <> '' AND try_cast({_D} AS DOUBLE) > 100", "NULL", "'CONFLICT'", f"'strength above 100: ' || try_cast({_D} AS DOUBLE)::VARCHAR"),
         (f"{_D} <> ''", _D, "'NORMALIZED'", "NULL"),
         (f"({_NUM.format(_T)}) BETWEEN 0 AND 100", f"({_NUM.format(_T)})::VARCHAR", "'NORMALIZED'", "NULL"),
-        unparsed("unparseable ABV"),
+        unparsed("no strength in"),
     ),
 )
 _NAME = "replace(trim(regexp_replace(regexp_replace(lower(" + _T + "), '[_\"''`]+', ' ', 'g'), '\\s+', ' ', 'g')), ' & ', ' and ')"
@@ -121,8 +121,8 @@ scalar(
     N.rating,
     status_sql(
         EMPTY,
-        (f"{_RD} = ''", "NULL", "'CONFLICT'", f"'unparseable rating: ''' || {_T} || ''''"),
-        (f"({_RV}) > 100", "NULL", "'CONFLICT'", f"'rating out of range 0-100: ' || ({_RV})::VARCHAR"),
+        (f"{_RD} = ''", "NULL", "'CONFLICT'", f"'no score in: ''' || {_T} || ''''"),
+        (f"({_RV}) > 100", "NULL", "'CONFLICT'", f"'score above 100: ' || ({_RV})::VARCHAR"),
         ("TRUE", f"round_even({_RV}, 0)::INT::VARCHAR", "'NORMALIZED'", "NULL"),
     ),
 )
@@ -136,7 +136,7 @@ scalar(
         (f"lower({_T}) IN ('nas','no age statement','no age','none','n/a')", "'0'", "'NORMALIZED'", "NULL"),
         (f"{_AD} <> ''", _AD, "'NORMALIZED'", "NULL"),
         (f"floor({_V}) BETWEEN 1 AND 100", f"floor({_V})::INT::VARCHAR", "'NORMALIZED'", "NULL"),
-        unparsed("unparseable age"),
+        unparsed("no age in"),
     ),
 )
 _KEY = f"lower(trim(regexp_replace({_T}, '(?i)\\s*\\([^)]*region[^)]*\\)\\s*', '', 'g')))"
@@ -152,7 +152,7 @@ scalar(
         (f"{_MAP(N.REGIONS)}[{_KEY}] IS NOT NULL", f"{_MAP(N.REGIONS)}[{_KEY}]", "'NORMALIZED'", "NULL"),
         (f"{_KEY} = ''", "'Islay'", "'NORMALIZED'", "'empty after cleaning'"),
         (f"{_NEAR} IS NOT NULL", f"{_MAP(N.REGIONS)}[{_NEAR}]", "'NORMALIZED'", "NULL"),
-        unparsed("unrecognised region"),
+        unparsed("no such region"),
     ),
 )
 scalar(
@@ -162,7 +162,7 @@ scalar(
     status_sql(
         EMPTY,
         (f"{_MAP(N.COUNTRIES)}[lower({_T})] IS NOT NULL", f"{_MAP(N.COUNTRIES)}[lower({_T})]", "'NORMALIZED'", "NULL"),
-        unparsed("unrecognised country"),
+        unparsed("no such country"),
     ),
 )
 scalar(

@@ -66,6 +66,27 @@ COUNTRIES = {
     "iceland": "Iceland",
 }
 AXES = ("smoky", "peaty", "fruity", "sweet", "spicy", "maritime", "sherry")
+MARKERS = ("nose", "palate", "finish", "conclusion", "overall", "comment")
+# Field names by the pattern that is found in them, in order of precedence.
+FIELD_PATTERNS = {
+    "abv": r"(?:^|:|\s)abv\b",
+    "product_name": r"(?:^|:|\s)(?:product|name|whisky|whiskey|bottle)\s*(?:_|name)?",
+    "source_identifier": r"(?:^|:|\s)source\s*_?id(?:entifier)?",
+    "flavor_axis": r"(?:^|:|\s)(?:smoky|peaty|fruity|sweet|spicy|maritime|sherry)\b",
+    "nose": r"(?:^|:|\s)nose\b",
+    "palate": r"(?:^|:|\s)palate\b",
+    "finish": r"(?:^|:|\s)finish\b",
+    "rating": r"(?:^|:|\s)rating\b",
+    "age": r"(?:^|:|\s)(?:age|year)\b",
+    "region": r"(?:^|:|\s)region\b",
+    "country": r"(?:^|:|\s)country\b",
+}
+# What values look like.
+PERCENT = r"(-?)(\d{1,3}(?:\.\d+)?)\s*%"
+SCORE = r"(\d{1,3}(?:\.\d+)?)"
+YEARS = r"(?i)(\d{1,3})\s*(?:year\s*(?:old)?|yo|y\b)"
+REGION_NOTE = r"(?i)\s*\([^)]*region[^)]*\)\s*"
+SCORE_IN_PROSE = r"(?i)(?:score|rating)[:\s]+(\d{1,3})(?:[/\s]*(\d{2,3}))?"
 
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -127,16 +148,15 @@ def split_urls(c: Column) -> Column:
 def abv(c: Column) -> Column:
     """The first ``n%``, as it is spelt; a bare number within 0..100."""
     raw = stripped(c)
-    pattern = r"(-?)(\d{1,3}(?:\.\d+)?)\s*%"
-    sign, digits = F.regexp_extract(raw, pattern, 1), F.regexp_extract(raw, pattern, 2)
+    sign, digits = F.regexp_extract(raw, PERCENT, 1), F.regexp_extract(raw, PERCENT, 2)
     value, bare = digits.try_cast("double"), number(raw)
     return (
         F.when(raw == "", made(None, "SKIPPED"))
-        .when((digits != "") & (sign == "-"), made(None, "CONFLICT", F.concat(F.lit("negative ABV: "), digits)))
-        .when((digits != "") & (value > 100), made(None, "CONFLICT", F.concat(F.lit("ABV>100: "), value.cast("string"))))
+        .when((digits != "") & (sign == "-"), made(None, "CONFLICT", F.concat(F.lit("strength below 0: "), digits)))
+        .when((digits != "") & (value > 100), made(None, "CONFLICT", F.concat(F.lit("strength above 100: "), value.cast("string"))))
         .when(digits != "", made(digits))
         .when(bare.between(0, 100), made(bare.cast("string")))
-        .otherwise(unparsed("unparseable ABV", raw))
+        .otherwise(unparsed("no strength in", raw))
     )
 
 
@@ -161,7 +181,7 @@ def axis_value(c: Column) -> Column:
     raw = stripped(c)
     v = storage_scale(c)
     text = F.format_string("%.2f", F.bround(v, 2))
-    return F.when(raw == "", made(None, "SKIPPED")).when(v.isNull(), unparsed("non-numeric axis value", raw)).otherwise(made(text))
+    return F.when(raw == "", made(None, "SKIPPED")).when(v.isNull(), unparsed("axis is no number", raw)).otherwise(made(text))
 
 
 def profile_scale(c: Column) -> Column:
@@ -180,14 +200,14 @@ def tidy(c: Column) -> Column:
 def rating(c: Column, strict: bool = False) -> Column:
     """0..100. A value of 10 or less with ``/10`` in the text counts tenfold, ``8/100`` included unless ``strict``."""
     raw = stripped(c)
-    digits = F.regexp_extract(raw, r"(\d{1,3}(?:\.\d+)?)", 1)
+    digits = F.regexp_extract(raw, SCORE, 1)
     v = digits.try_cast("double")
     tenth = raw.rlike(r"/\s*10(?!\d)") if strict else raw.contains("/10")
     v = F.when((v <= 10) & tenth, v * 10).otherwise(v)
     return (
         F.when(raw == "", made(None, "SKIPPED"))
-        .when(digits == "", unparsed("unparseable rating", raw))
-        .when(v > 100, made(None, "CONFLICT", F.concat(F.lit("rating out of range 0-100: "), v.cast("string"))))
+        .when(digits == "", unparsed("no score in", raw))
+        .when(v > 100, made(None, "CONFLICT", F.concat(F.lit("score above 100: "), v.cast("string"))))
         .otherwise(made(F.bround(v, 0).cast("int").cast("string")))
     )
 
@@ -195,14 +215,14 @@ def rating(c: Column, strict: bool = False) -> Column:
 def age(c: Column) -> Column:
     """B11."""
     raw = stripped(c)
-    digits = F.regexp_extract(raw, r"(?i)(\d{1,3})\s*(?:year\s*(?:old)?|yo|y\b)", 1)
+    digits = F.regexp_extract(raw, YEARS, 1)
     bare = F.floor(number(raw)).cast("long")
     return (
         F.when(raw == "", made(None, "SKIPPED"))
         .when(F.lower(raw).isin(*NO_AGE), made(F.lit("0")))
         .when(digits != "", made(digits))
         .when(bare.between(1, 100), made(bare.cast("string")))
-        .otherwise(unparsed("unparseable age", raw))
+        .otherwise(unparsed("no age in", raw))
     )
 
 
@@ -213,7 +233,7 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 def region(c: Column) -> Column:
     """The map, else its first key that begins the value or that the value begins (an empty value: the first)."""
     raw = stripped(c)
-    key = F.lower(F.btrim(F.regexp_replace(raw, r"(?i)\s*\([^)]*region[^)]*\)\s*", ""), F.lit(SPACE)))
+    key = F.lower(F.btrim(F.regexp_replace(raw, REGION_NOTE, ""), F.lit(SPACE)))
     first = F.get(F.filter(F.array(*map(F.lit, REGIONS)), lambda k: F.startswith(key, k) | F.startswith(k, key)), F.lit(0))
     exact, near = _lookup(REGIONS, key), _lookup(REGIONS, first)
     return (
@@ -221,7 +241,7 @@ def region(c: Column) -> Column:
         .when(exact.isNotNull(), made(exact))
         .when((key == "") & near.isNotNull(), made(near, reason="empty after cleaning"))
         .when(near.isNotNull(), made(near))
-        .otherwise(unparsed("unrecognised region", raw))
+        .otherwise(unparsed("no such region", raw))
     )
 
 
@@ -230,7 +250,7 @@ def country(c: Column) -> Column:
     raw = stripped(c)
     found = _lookup(COUNTRIES, F.lower(raw))
     return (
-        F.when(raw == "", made(None, "SKIPPED")).when(found.isNotNull(), made(found)).otherwise(unparsed("unrecognised country", raw))
+        F.when(raw == "", made(None, "SKIPPED")).when(found.isNotNull(), made(found)).otherwise(unparsed("no such country", raw))
     )
 
 
@@ -260,18 +280,14 @@ def repaired_abv(c: Column) -> Column:
 
 def score_in_prose(text: Column) -> Column:
     """struct<value, scale_max, normalized> of ``score: 89/100`` or ``rating 8``."""
-    pattern = r"(?i)(?:score|rating)[:\s]+(\d{1,3})(?:[/\s]*(\d{2,3}))?"
-    v = F.regexp_extract(text, pattern, 1).try_cast("double")
-    given = F.regexp_extract(text, pattern, 2).try_cast("double")
+    v = F.regexp_extract(text, SCORE_IN_PROSE, 1).try_cast("double")
+    given = F.regexp_extract(text, SCORE_IN_PROSE, 2).try_cast("double")
     scale = F.coalesce(given, F.when(v > 10, 100.0).otherwise(10.0))
     scale = F.when(v > scale, 100.0).otherwise(scale)
     normal = F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / scale))
     return F.when(v.isNotNull(), F.struct(v.alias("value"), scale.alias("scale_max"), normal.alias("normalized")))
 
 
-MARKERS = ("nose", "palate", "finish", "conclusion", "overall", "comment")
-
-
 def section(text: Column, marker: str, most: int = 1000) -> Column:
     """What follows ``marker`` up to the first of MARKERS, in their order, that occurs in it."""
     low = F.lower(text)
@@ -295,22 +311,26 @@ def register(key: str, build, pattern: str) -> None:
     REGISTRY.append((key, build, pattern))
 
 
-register("abv", abv, r"(?:^|:|\s)abv\b")
-register("product_name", name, r"(?:^|:|\s)(?:product|name|whisky|whiskey|bottle)\s*(?:_|name)?")
-register("source_identifier", name, r"(?:^|:|\s)source\s*_?id(?:entifier)?")
-register("flavor_axis", axis_value, r"(?:^|:|\s)(?:smoky|peaty|fruity|sweet|spicy|maritime|sherry)\b")
-register("nose", tidy, r"(?:^|:|\s)nose\b")
-register("palate", tidy, r"(?:^|:|\s)palate\b")
-register("finish", tidy, r"(?:^|:|\s)finish\b")
-register("rating", rating, r"(?:^|:|\s)rating\b")
-register("age", age, r"(?:^|:|\s)(?:age|year)\b")
-register("region", region, r"(?:^|:|\s)region\b")
-register("country", country, r"(?:^|:|\s)country\b")
+BUILDERS = {
+    "abv": abv,
+    "product_name": name,
+    "source_identifier": name,
+    "flavor_axis": axis_value,
+    "nose": tidy,
+    "palate": tidy,
+    "finish": tidy,
+    "rating": rating,
+    "age": age,
+    "region": region,
+    "country": country,
+}
+for _key, _pattern in FIELD_PATTERNS.items():
+    register(_key, BUILDERS[_key], _pattern)
 
 
 def dispatch(field: Column, value: Column, registry=None) -> Column:
     """struct<field_type, value, status, reason> of any field; one pass, no Python."""
-    none = made(None, "UNSUPPORTED", F.concat(F.lit("no normalizer for field: '"), field, F.lit("'")))
+    none = made(None, "UNSUPPORTED", F.concat(F.lit("nothing normalises field '"), field, F.lit("'")))
     kind, out = F.lit("unknown"), none
     for key, build, pattern in reversed(registry or REGISTRY):
         hit = field.rlike("(?i)" + pattern)

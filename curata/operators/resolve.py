@@ -96,21 +96,49 @@ def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def common_letters(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of bits at a time."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    every = rest = (1 << len(a)) - 1
+    for c in b:
+        hit = rest & places.get(c, 0)
+        rest = ((rest + hit) | (rest - hit)) & every
+    return len(a) - rest.bit_count()
+
+
+@F.pandas_udf(DoubleType())
+def _indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([2 * common_letters(x, y) / (len(x) + len(y)) if x or y else 1.0 for x, y in zip(a.fillna(""), b.fillna(""), strict=True)], dtype="float64")
+
+
 def similarity(a: Column, b: Column, kind: str = "levenshtein") -> Column:
-    """``levenshtein`` (built in) or ``sequence``: the ratio of matching blocks, an Arrow UDF."""
-    return edit_similarity(a, b) if kind == "levenshtein" else _sequence_ratio(a, b)
+    """``levenshtein`` (built in), ``sequence``, the ratio of matching blocks, or ``indel``, that of common letters in order (Arrow UDFs)."""
+    if kind == "levenshtein":
+        return edit_similarity(a, b)
+    return _indel_ratio(a, b) if kind == "indel" else _sequence_ratio(a, b)
 
 
 def blocked_pairs(sources: DataFrame, registry: DataFrame, kind: str = "levenshtein", least: float = MANUAL - MARGIN_REVIEW) -> DataFrame:
     """Pairs of sources (src_id, src_text, src_age) and registry (id, text, age) under one block key, scored.
 
-    Equal source texts are scored once and spread over all tasks, so that a common block key fills none. Three bounds spare the costly
-    ratio: equal letters cannot be more than the shorter text, the edit distance stops where it is too large, and whatever scores
-    below ``least`` can neither win nor, as runner-up, change a margin that decides.
+    A source whose block key the registry does not have, such as one with its first word misspelt, meets the registry rows that share
+    any of its tokens instead. Equal source texts are scored once and spread over all tasks, so that a common block key fills none. Three
+    bounds spare the costly ratio: equal letters cannot be more than the shorter text, the edit distance stops where it is too large,
+    and whatever scores below ``least`` can neither win nor, as runner-up, change a margin that decides.
     """
     tasks = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), sources.sparkSession.sparkContext.defaultParallelism)
     texts = sources.select(F.col("src_text").alias("_text")).distinct().withColumn("block", M.block_key(F.col("_text")))
-    met = texts.repartition(tasks, "_text").join(registry.withColumn("block", M.block_key(F.col("text"))), "block")
+    parts = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda t: t != ""))
+    keyed = registry.withColumns({"block": M.block_key(F.col("text")), "_t": parts(F.col("text"))})
+    known = keyed.select("block").distinct()
+    under = texts.repartition(tasks, "_text").join(keyed.drop("_t"), "block")
+    # A pair that shares several tokens is taken under the first of them.
+    alone = texts.join(known, "block", "left_anti").select("_text", parts(F.col("_text")).alias("_s"))
+    by_token = alone.withColumn("_k", F.explode("_s")).repartition(tasks, "_text", "_k").join(keyed.withColumn("_k", F.explode("_t")), "_k")
+    by_token = by_token.where(F.col("_k") == F.array_min(F.array_intersect("_s", "_t")))
+    met = under.unionByName(by_token.drop("_k", "_s", "_t"))
     la, lb = F.length("_text"), F.length("text")
     longest = F.greatest(la, lb, F.lit(1))
     if kind == "levenshtein":
@@ -193,7 +221,7 @@ def token_candidates(sources: DataFrame, registry: DataFrame) -> DataFrame:
     return met.groupBy("src_id", "id").agg(F.count("*").alias("n_shared"))
 
 
-def _containing(sources: DataFrame, registry: DataFrame) -> DataFrame:
+def containing(sources: DataFrame, registry: DataFrame) -> DataFrame:
     """(src_text, id) where one text holds the other: they meet on the first three letters of the shorter and are then compared."""
     start = lambda c: F.substring(c, 1, 3)
     grams = lambda c: F.array_distinct(
@@ -232,7 +260,7 @@ def token_resolved(sources: DataFrame, registry: DataFrame, kind: str = "levensh
     bound = BLEND["name"] * F.least(F.length("src_text"), F.length("text")) / longest + F.col("_rest")
     held = (F.col("src_text") != "") & (F.col("text") != "") & (F.contains("text", "src_text") | F.contains("src_text", "text"))
     near = by_token.withColumn("_rest", rest).where((bound >= least - 1e-9) | held)
-    holding = _containing(sources, registry).join(s, "src_text").join(r, "id")
+    holding = containing(sources, registry).join(s, "src_text").join(r, "id")
     apart = holding.where(~F.arrays_overlap(every(F.col("_st"), F.col("_sb")), every(F.col("_t"), F.col("_b")))).withColumn("_rest", rest)
     pairs = near.unionByName(apart)
     blended = BLEND["name"] * similarity(F.col("src_text"), F.col("text"), kind) + F.col("_rest")
