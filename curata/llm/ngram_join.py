@@ -10,10 +10,12 @@ ordered rare before frequent, then by estimate and hash; a token is frequent abo
 one over the signatures leaves out those that occur once. Sketches only steer the work: results are exact for any of them.
 
 Signatures. A document of n tokens may miss m = n - ceil(percent * n / 100) of them in a partner. If m + 1 of its tokens are
-rare, each of those is a signature. Otherwise all r rare ones are, and the prefix is extended by frequent tokens, which
-enter as combinations of two neighbours: a missing token breaks two of them and a token that only the partner has breaks one, so
-2 * (m - r) + extra + 2 frequent tokens leave a common signature, where ``extra`` is what the partner can hold besides when m are
-missing. Below 75 percent every token counts as rare.
+rare, each of those is a signature. Otherwise all r rare ones are, and the prefix is extended: frequent tokens enter as combinations
+of two neighbours in the order, very frequent ones (above ``VERY`` times the bound of frequent ones) as combinations of three. A
+missing token breaks k combinations of k and a token that only the partner has breaks k - 1, so the prefix goes on until no allowed number
+of missing and added tokens breaks all its signatures. The first signature in the order that two linked sets have in common then
+lies in the prefixes of both. Combinations of k need sets of a least size; smaller sets, and those that may link with smaller
+ones, also give the signatures for combinations of fewer tokens.
 
 Buckets (the classes with one signature) that hold the same classes are one bucket: a group of copies shares dozens of signatures.
 
@@ -38,6 +40,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +52,7 @@ from .storage import Shelf, free_names, quoted, stored
 from .words import mix, shingle_hashes, slices, word_hashes
 
 FREQUENT = 40
+VERY = 25
 BLOCK = 1 << 16
 ROWS = 512
 TEXTS = "fp binary, text string"
@@ -149,32 +153,71 @@ def sketch(rows: DataFrame, hashes, slots: int) -> np.ndarray:
     return total.reshape(-1)
 
 
-def often_from(frequency: np.ndarray) -> int:
-    """Scaled count above which a token is frequent: 40, or four times the mean slot's."""
+def often_from(frequency: np.ndarray) -> tuple[int, int]:
+    """Scaled counts above which a token is frequent (40, or four times the mean slot's) and very frequent."""
     levels = sum(np.bincount(part, minlength=256) for part in np.array_split(frequency, max(1, len(frequency) >> 20)))
     counts = np.where(np.arange(256) < 16, np.arange(256), 16 * 2.0 ** ((np.arange(256) - 16) / 8))
-    mean = float((levels * counts).sum() / max(1, levels.sum()))
-    return int(scaled(np.array([max(FREQUENT, 4 * mean)]))[0])
+    least = max(FREQUENT, 4 * float((levels * counts).sum() / max(1, levels.sum())))
+    often, very = scaled(np.array([least, VERY * least]))
+    return int(often), int(very)
 
 
-def signatures(tokens: np.ndarray, frequency: np.ndarray, percent: int, above: int | None = None) -> np.ndarray:
+def _breaks(n: int, percent: int, rare: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(missing beyond the ``rare`` ones, tokens added) of all partners of n tokens that lack all rare ones, at their most."""
+    lost = np.arange(rare, n - -(-percent * n // 100) + 1)
+    return lost - rare, 100 * (n - lost) // percent - n
+
+
+@lru_cache
+def least_sizes(percent: int, most: int = 3, scan: int = 2000) -> tuple[int, ...]:
+    """For k = 1 .. ``most`` the size from which on sets have tokens enough for combinations of k."""
+    found = [0]
+    for k in range(2, most + 1):
+        short = [n for n in range(1, scan) if (lambda x, y: (k * x + (k - 1) * y).max() + 5 > n)(*_breaks(n, percent))]  # noqa: B023
+        found.append(short[-1] + 1 if short and short[-1] < scan - 1 else 1 << 62 if short else 0)
+    return tuple(found)
+
+
+def _combined(tokens: np.ndarray, k: int, most: int) -> np.ndarray:
+    """Hashes of the first ``most`` combinations of k neighbours."""
+    n = max(0, min(most, len(tokens) - k + 1))
+    total = np.zeros(n, np.uint64)
+    for i in range(k):
+        total = mix(total * np.uint64(0x9E3779B97F4A7C15) + tokens[i : i + n] + np.uint64(k))
+    return total
+
+
+def signatures(tokens: np.ndarray, frequency: np.ndarray, percent: int, above: tuple[int, int] | None = None) -> np.ndarray:
     """Signature hashes of one set; sets that link have one in common, unless they are equal."""
     n = len(tokens)
     missing = n - -(-percent * n // 100)
-    extra = 100 * (n - missing) // percent - n
-    if missing == 0 and extra <= 0:
+    if missing == 0 and 100 * n // percent <= n:
         return tokens[:0]
+    often, very = often_from(frequency) if above is None else above
     count = frequency[slot(tokens, len(frequency))]
-    often = (count > (often_from(frequency) if above is None else above)) & (percent >= 75)
-    order = np.lexsort((tokens, count, often))
-    ordered = tokens[order]
-    rare = n - int(often.sum())
-    if rare > missing:
-        return mix(ordered[: missing + 1])
-    f = 2 * (missing - rare) + max(extra, 0) + 2
-    prefix = ordered[rare : rare + f]
-    pairs = mix(prefix[:-1] * np.uint64(0x9E3779B97F4A7C15) + mix(prefix[1:]) + np.uint64(1))
-    return np.concatenate([mix(ordered[:rare]), pairs])
+    kind = 1 + (count > often).astype(np.int8) + (count > very)
+    sizes = least_sizes(percent)
+    largest = lambda size: max(k for k, least in enumerate(sizes, 1) if least <= size)
+    found = []
+    for most in range(largest(-(-percent * n // 100)), largest(n) + 1):
+        of = np.minimum(kind, most)
+        ordered = tokens[np.lexsort((tokens, count, of))]
+        rare, pairs = int((of == 1).sum()), int((of == 2).sum())
+        found.append(mix(ordered[: min(rare, missing + 1)]))
+        if rare > missing:
+            continue
+        lost, added = _breaks(n, percent, rare)
+        there = max(0, pairs - 1)
+        broken = int((2 * lost + added).max())
+        found.append(_combined(ordered[rare : rare + pairs], 2, broken + 1))
+        if there > broken or most < 3:
+            continue
+        # What can still be lost or added once all pairs are broken, a missing token for two of them, an added one for one.
+        by_lost = np.minimum(2 * lost, there)
+        spared = added - (there - by_lost)
+        left = np.where(spared >= 0, 3 * (lost - by_lost / 2) + 2 * spared, -1)
+        found.append(_combined(ordered[rare + pairs :], 3, int(np.floor(left.max())) + 1))
+    return np.concatenate(found)
 
 
 def parity(tokens: np.ndarray) -> bytes:
@@ -184,7 +227,7 @@ def parity(tokens: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _signer(k: int, percent: int, frequency, above: int):
+def _signer(k: int, percent: int, frequency, above: tuple[int, int]):
     def sign(batches):
         for batch in batches:
             n, fp, signs, bits = [], [], [], []

@@ -115,21 +115,31 @@ def test_counts_do_not_saturate(spark):
     assert found.max() == ngram_join.scaled(np.array([131070]))[0] and sorted(found[found > 0].tolist())[0] == 2
 
 
-def test_signatures_of_sets_that_link_meet():
-    rng = np.random.RandomState(0)
-    for percent in (75, 80, 90, 95):
-        for _ in range(400):
-            n = int(rng.randint(1, 120))
-            x = np.unique(rng.randint(0, 1 << 62, n).astype(np.uint64) << np.uint64(1))
-            drop = rng.rand(len(x)) < rng.rand() * 0.2
-            add = rng.randint(0, 1 << 62, int(rng.randint(0, 1 + n // 5))).astype(np.uint64)
-            y = np.unique(np.concatenate([x[~drop], add]))
-            both = len(np.intersect1d(x, y))
-            if not both or 100 * both < percent * (len(x) + len(y) - both) or (len(x) == len(y) == both):
-                continue
-            frequency = rng.randint(0, 80, 1 << 16).astype(np.uint8)
-            a, b = (ngram_join.signatures(s, frequency, percent) for s in (x, y))
-            assert len(np.intersect1d(a, b)), (percent, len(x), len(y), both)
+@pytest.mark.parametrize("percent", [55, 60, 70, 75, 80, 90, 95])
+def test_signatures_of_sets_that_link_meet(percent):
+    """At the edge of linking, with what is missing and added chosen where it breaks most."""
+    rng = np.random.RandomState(percent)
+    met = 0
+    for _ in range(3000):
+        n = int(rng.choice([rng.randint(1, 12), rng.randint(1, 40), rng.randint(1, 160)]))
+        x = np.unique(rng.randint(0, 1 << 62, n).astype(np.uint64) << np.uint64(1))
+        n = len(x)
+        frequency = rng.choice([rng.randint(0, 80, 1 << 16), rng.randint(30, 80, 1 << 16), rng.randint(0, 45, 1 << 16)][rng.randint(3)], 1 << 16).astype(np.uint8)
+        above = (int(rng.choice([10, 20, 35])), int(rng.choice([40, 60, 79])))
+        count = frequency[ngram_join.slot(x, 1 << 16)]
+        order = np.lexsort((x, count, 1 + (count > above[0]).astype(int) + (count > above[1])))
+        lost = int(rng.randint(0, n - -(-percent * n // 100) + 1))
+        most = 100 * (n - lost) // percent - n
+        start = int(rng.randint(0, max(1, n // 4)))
+        gone = order[start :: int(rng.randint(1, 4))][:lost] if rng.rand() < 0.7 else rng.permutation(n)[:lost]
+        y = np.unique(np.concatenate([np.delete(x, gone), rng.randint(0, 1 << 62, int(rng.randint(0, most + 1)) if most > 0 else 0).astype(np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if not both or 100 * both < percent * (len(x) + len(y) - both) or (len(x) == len(y) == both):
+            continue
+        met += 1
+        a, b = (ngram_join.signatures(s, frequency, percent, above) for s in (x, y))
+        assert len(np.intersect1d(a, b)), (percent, len(x), len(y), both)
+    assert met > 1000
 
 
 def test_no_near_duplicates_in_nothing(spark):
