@@ -10,10 +10,11 @@ the pointwise mutual information over the information content of e: 1 where t oc
 ``SUPPORT`` documents at least are generalised (replaced by a class word) from ``GENERALISE`` on and removed from ``REMOVE``
 on, wherever they occur: in documents without a mention too.
 
-Plan: one scan finds base spans, and the words of texts that have any; one scan counts the documents of each term (added up
-per task before the shuffle); pairs, entities and terms meet in keyed joins, equal texts once and only those with an entity
-that ``SUPPORT`` documents mention; one scan finds all occurrences of the terms above the threshold, preselected by a bitmap
-and settled by a join.
+Plan: one scan finds base spans, and the words of texts that have any; one scan counts the documents of the terms that occur with
+an entity of ``SUPPORT`` documents at least (a bitmap picks them, counts are added up per task before the shuffle); pairs, entities
+and terms meet in keyed joins, equal texts once. The terms above the threshold go to all tasks where they are ``SHARED`` at most, and the
+last scan finds their occurrences next to the base spans without any join; where they are more, a bitmap preselects
+occurrences and a join settles them. Texts are never shuffled on the first way.
 
 Edge cases: a null text is empty; null ids are kept; equal rows get equal spans; other columns are ignored by ``find``
 and kept by ``sanitise``; an empty table gives no rows.
@@ -36,6 +37,7 @@ from .words import slices, utf8_of, word_hashes
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT = 2
 GENERALISE, REMOVE = 0.8, 0.95
+SHARED = 1 << 20
 CLASS_WORD = "<term>"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -151,32 +153,51 @@ def _plain(col: pa.Array) -> pa.Array:
     )
 
 
-def _term_documents(batches):
-    """(term, documents) of a task's texts, added up over a few million words at a time."""
+def _term_documents(marks):
+    """(term, documents) of a task's texts for the terms in the bitmap, added up over a few million words at a time."""
 
-    def flush():
-        terms = np.concatenate(held)
-        u, n = np.unique(terms, return_counts=True)
-        for i in range(0, len(u), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(u[i : i + (1 << 16)].view(np.int64)), pa.array(n[i : i + (1 << 16)])], ["term", "n"])
+    def count(batches):
+        def flush():
+            u, n = np.unique(np.concatenate(held), return_counts=True)
+            for i in range(0, len(u), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(u[i : i + (1 << 16)].view(np.int64)), pa.array(n[i : i + (1 << 16)])], ["t", "n"])
 
-    held, size = [], 0
-    for batch in batches:
-        col = batch.column("text")
-        for i, j in slices(col):
-            h, bounds = word_hashes(_plain(col[i:j]))
-            doc = np.repeat(np.arange(j - i), np.diff(bounds))
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            held.append(h[new])
-            size += int(new.sum())
-            if size > 8_000_000:
-                yield from flush()
-                held, size = [], 0
-    if held:
-        yield from flush()
+        held, size = [], 0
+        for batch in batches:
+            col = batch.column("text")
+            for i, j in slices(col):
+                h, bounds = word_hashes(_plain(col[i:j]))
+                doc = np.repeat(np.arange(j - i), np.diff(bounds))
+                wanted = _marked(h, marks.value)
+                h, doc = h[wanted], doc[wanted]
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                held.append(h[new])
+                size += int(new.sum())
+                if size > 8_000_000:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
+
+    return count
+
+
+def _hits(col: pa.Array, chosen):
+    """Of each text that has any: (its place, base spans, [(term, start, end)]) of the terms ``chosen`` picks, outside base spans."""
+    for i, j in slices(col):
+        h, bounds = word_hashes(_plain(col[i:j]))
+        hit = np.flatnonzero(chosen(h))
+        cut = np.searchsorted(hit, bounds)
+        for d in np.flatnonzero(np.diff(cut)):
+            t = col[i + int(d)].as_py()
+            spans = base_spans(t)
+            covered = _covered(t, spans)
+            places = [m.span() for m in _TERM.finditer(t)]
+            own = [(h[w], *places[w - bounds[d]]) for w in hit[cut[d] : cut[d + 1]]]
+            yield i + int(d), spans, [x for x in own if 1 not in covered[x[1] : x[2]]]
 
 
 def _occurrences(marks):
@@ -184,29 +205,46 @@ def _occurrences(marks):
 
     def find(batches):
         for batch in batches:
-            col = batch.column("text")
-            for i, j in slices(col):
-                h, bounds = word_hashes(_plain(col[i:j]))
-                hit = np.flatnonzero(_marked(h, marks.value))
-                cut = np.searchsorted(hit, bounds)
-                at, term, start, end = [], [], [], []
-                for d in np.flatnonzero(np.diff(cut)):
-                    t = col[i + int(d)].as_py()
-                    covered = _covered(t, base_spans(t))
-                    places = [m.span() for m in _TERM.finditer(t)]
-                    for w in hit[cut[d] : cut[d + 1]]:
-                        a, b = places[w - bounds[d]]
-                        if 1 not in covered[a:b]:
-                            at.append(i + int(d))
-                            term.append(h[w])
-                            start.append(a)
-                            end.append(b)
-                own = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(own), batch.column("key").take(own), pa.array(np.array(term, np.uint64).view(np.int64)),
-                     pa.array(start, pa.int32()), pa.array(end, pa.int32())],
-                    ["doc_id", "key", "term", "start", "end"],
-                )
+            rows = [(d, *x) for d, _, own in _hits(batch.column("text"), lambda h: _marked(h, marks.value)) for x in own]
+            at, term, start, end = zip(*rows, strict=True) if rows else ((), (), (), ())
+            own = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(own), batch.column("key").take(own), pa.array(np.array(term, np.uint64).view(np.int64)),
+                 pa.array(start, pa.int32()), pa.array(end, pa.int32())],
+                ["doc_id", "key", "term", "start", "end"],
+            )
+
+    return find
+
+
+SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+PLACED = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("remove", pa.bool_())]))
+
+
+def _all_spans(col: pa.Array, terms: np.ndarray, remove: np.ndarray) -> tuple[list, list]:
+    """Base spans and term places of each text, for the sorted hashes ``terms``."""
+
+    def chosen(h):
+        at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+        return terms[at] == h
+
+    spans, placed = [None] * len(col), [[] for _ in range(len(col))]
+    for d, base, own in _hits(col, chosen) if len(terms) else ():
+        spans[d] = base
+        placed[d] = [{"start": a, "end": b, "remove": bool(remove[np.searchsorted(terms, h)])} for h, a, b in own]
+    for d, text in enumerate(col):
+        found = base_spans(text.as_py() or "") if spans[d] is None else spans[d]
+        spans[d] = [{"kind": k, "start": a, "end": b} for k, a, b in found]
+    return spans, placed
+
+
+def _marker(shared):
+    def find(batches):
+        for batch in batches:
+            spans, placed = _all_spans(batch.column("text"), *shared.value)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("key"), pa.array(spans, SPAN), pa.array(placed, PLACED)], ["doc_id", "key", "spans", "terms"]
+            )
 
     return find
 
@@ -233,12 +271,18 @@ def disclosures(scanned: DataFrame, docs: DataFrame, support: int = SUPPORT, lea
     mentions = copies.select("key", "copies", F.explode("entities").alias("entity")).join(entities, F.col("entity") == F.col("e"))
     mentions = stored(mentions.select("key", "copies", "entity", "n_entity"), "pii-mentions")
     top = mentions.agg(F.max("n_entity").alias("n")).first()["n"] or 0
+    candidates = some.join(mentions.select("key").distinct(), "key", "left_semi").select("key", F.explode("words").alias("term")).distinct()
+    candidates = stored(candidates, "pii-candidates")
+    # Slots for all candidates several times over, 64 MB at most; what falls into a slot by chance is counted for nothing.
+    slots = min(1 << 26, max(1 << 20, 1 << (8 * candidates.count()).bit_length()))
+    marks = docs.sparkSession.sparkContext.broadcast(sketch(candidates.select(F.col("term").alias("t")), _terms, slots))
     # n(e, t) <= n(e) bounds the disclosure by log(N / n(t)) / log(N / n(e)): what stays below ``least`` anyway is left out early.
     bound = lambda n: F.pow(F.lit(float(n_docs)), F.lit(1 - least)) * F.pow(n, F.lit(least)) * (1 + 1e-9)
-    terms = docs.select("text").mapInArrow(_term_documents, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_term"))
+    terms = docs.select("text").mapInArrow(_term_documents(marks), "t long, n long").groupBy("t").agg(F.sum("n").alias("n_term"))
+    terms = stored(terms, "pii-term-counts")
+    marks.destroy()
     terms = terms.where((F.col("n_term") >= support) & (F.col("n_term") <= bound(F.lit(float(top)))))
-    wanted = some.join(mentions.select("key"), "key", "left_semi").select("key", F.explode("words").alias("term")).distinct()
-    wanted = wanted.join(terms, F.col("term") == F.col("t")).select("key", "term", "n_term")
+    wanted = candidates.join(terms, F.col("term") == F.col("t")).select("key", "term", "n_term")
     met = mentions.join(wanted, "key").where(F.col("n_term") <= bound(F.col("n_entity").cast("double")))
     pairs = met.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("copies").alias("n_both")).where(F.col("n_both") >= support)
     pmi = F.log(F.lit(float(n_docs)) * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
@@ -246,26 +290,44 @@ def disclosures(scanned: DataFrame, docs: DataFrame, support: int = SUPPORT, lea
     return weighed.where(F.col("disclosure") >= least)
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, key (hash of the text), spans (base), terms: array of (start, end, remove) that disclose an entity."""
+def _telling(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the scan for base spans, terms (t, remove) that disclose an entity), both stored."""
     keyed = _keyed(docs.select("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     scanned = stored(keyed.mapInArrow(_scan, f"doc_id {kind}, key long, {FOUND}"), "pii-scan")
     telling = disclosures(scanned, docs).groupBy(F.col("term").alias("t")).agg((F.max("disclosure") >= REMOVE).alias("remove"))
-    telling = stored(telling, "pii-terms")
+    return scanned, stored(telling, "pii-terms")
+
+
+def _shared_terms(telling: DataFrame):
+    """The terms, sorted, and whether they are removed, for all tasks; at most ``SHARED`` of them."""
+    rows = telling.limit(SHARED).collect()
+    terms, remove = np.array([r["t"] for r in rows], np.int64).view(np.uint64), np.array([r["remove"] for r in rows], bool)
+    order = np.argsort(terms)
+    return telling.sparkSession.sparkContext.broadcast((terms[order], remove[order]))
+
+
+def find(docs: DataFrame, most_shared: int = SHARED) -> DataFrame:
+    """doc_id, key (hash of the text), spans (base), terms: array of (start, end, remove) that disclose an entity."""
+    scanned, telling = _telling(docs)
+    keyed = _keyed(docs.select("doc_id", "text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    n_terms = telling.count()
+    places = "array<struct<start:int,end:int,remove:boolean>>"
+    if n_terms <= most_shared:
+        schema = f"doc_id {kind}, key long, spans array<struct<kind:int,start:int,end:int>>, terms {places}"
+        return keyed.mapInArrow(_marker(_shared_terms(telling)), schema)
     # About a thousand slots a term, 64 MB at most: the bitmap only preselects, the join settles it.
-    bits = min(26, max(20, int(telling.count()).bit_length() + 10))
-    marks = docs.sparkSession.sparkContext.broadcast(sketch(telling, _terms, 1 << bits))
-    placed = keyed.mapInArrow(_occurrences(marks), f"doc_id {kind}, key long, term long, start int, end int")
-    placed = stored(placed, "pii-occurrences")
+    slots = 1 << min(26, max(20, int(n_terms).bit_length() + 10))
+    marks = docs.sparkSession.sparkContext.broadcast(sketch(telling, _terms, slots))
+    placed = stored(keyed.mapInArrow(_occurrences(marks), f"doc_id {kind}, key long, term long, start int, end int"), "pii-occurrences")
     marks.destroy()
     hit = placed.join(telling, F.col("term") == F.col("t")).groupBy("doc_id", "key", "start", "end").agg(F.max("remove").alias("remove"))
     hit = hit.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "remove"))).alias("terms")
     )
     joined = scanned.join(hit, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
-    none = F.array().cast("array<struct<start:int,end:int,remove:boolean>>")
-    return joined.select("doc_id", "key", "spans", F.coalesce("terms", none).alias("terms"))
+    return joined.select("doc_id", "key", "spans", F.coalesce("terms", F.array().cast(places)).alias("terms"))
 
 
 def listed(spans: Column, terms: Column | None = None) -> Column:
@@ -290,10 +352,23 @@ def rewritten(text: str, spans, terms) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
+def sanitise(docs: DataFrame, most_shared: int = SHARED) -> DataFrame:
     """``docs``, all columns, with the personal data in ``text`` replaced."""
+    _, telling = _telling(docs)
+    if telling.count() <= most_shared:
+        shared = _shared_terms(telling)
+
+        def rewrite_all(batches):
+            for batch in batches:
+                column = batch.column("text")
+                both = _all_spans(column, *shared.value)
+                new = [rewritten(t, s, e) if t else t for t, s, e in zip(column.to_pylist(), *both, strict=True)]
+                columns = [pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in batch.schema.names]
+                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+        return docs.mapInArrow(rewrite_all, docs.schema)
     d, k, spans, terms, key = free_names(docs, "d", "k", "spans", "terms", "key")
-    found = find(docs).where((F.size("spans") > 0) | (F.size("terms") > 0)).dropDuplicates(["doc_id", "key"])
+    found = find(docs, most_shared).where((F.size("spans") > 0) | (F.size("terms") > 0)).dropDuplicates(["doc_id", "key"])
     found = found.select(F.col("doc_id").alias(d), F.col("key").alias(k), F.col("spans").alias(spans), F.col("terms").alias(terms))
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
     met = keyed.join(found, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(key) == F.col(k)), "left")

@@ -72,6 +72,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *map(number, range(4)),
         F.sha2(pii.listed(F.col("spans")), 256).alias("base_sha256"),
         pii.listed(F.col("spans"), F.col("terms")).alias("spans"),
+        F.size("terms").cast("long").alias("n_term"),
+        (F.size("spans") + F.size("terms") > 0).alias("found"),
     )
 
 

@@ -198,6 +198,19 @@ def test_disclosures_against_brute_force(spark):
     assert sorted(round(r.disclosure, 9) for r in got) == sorted(want) and want
 
 
+def test_few_and_many_terms_take_two_ways_to_one_result(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(["some", "plain", "words", "here"]) for _ in range(6))) for i in range(300)]
+    rows += [(400 + i, f"Quuxley met Zorg{'abc'[i % 3]} at q{i % 3}@corp.example.com, quuxley!") for i in range(12)] + [(None, "quuxley"), (None, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = lambda found: sorted(repr((r.doc_id, r.key, r.spans, r.terms)) for r in found.collect())
+    assert plain(pii.find(df)) == plain(pii.find(df, most_shared=0)) and any(r.terms for r in pii.find(df).collect())
+    clean = lambda made: sorted(map(repr, made.collect()))
+    assert clean(pii.sanitise(df)) == clean(pii.sanitise(df, most_shared=0)) != clean(df)
+
+
 def test_ftrl_against_a_plain_loop():
     rng = np.random.RandomState(6)
     rows = [(float(rng.rand() < 0.5), rng.choice(40, 8, replace=False), rng.rand(8)) for _ in range(60)]
