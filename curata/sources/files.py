@@ -258,16 +258,51 @@ def ingest_star(products: DataFrame, producers: DataFrame, product_key: str = "p
     }
 
 
-def synthetic_catalogue(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """N entities that depend on number and seed alone, not on partitions."""
+def synthetic_catalogue(spark: SparkSession, n: int, seed: int = 42) -> dict[str, DataFrame]:
+    """Seven tables of n made-up entities that depend on number and seed alone, not on partitions.
+
+    Nine of ten entities have a profile, three of five of those evidence; entity n - 5 has a profile next to that of entity 0.
+    """
     pick = lambda salt, most: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(most))
-    return spark.range(n).select(
-        F.concat(F.lit("W"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("entity_id"),
-        F.concat(F.lit("Distillery "), pick("d", 50)).alias("producer"),
-        (3 + pick("age", 40)).cast("int").alias("age"),
-        (40 + pick("abv", 230) / 10).alias("abv"),
-        (20 + pick("price", 100000) / 100).alias("price"),
-    )
+    share = lambda salt: pick(salt, 1_000_000) / 1_000_000
+    between = lambda salt, low, high, digits: F.round(low + (high - low) * share(salt), digits)
+    one_of = lambda salt, values: F.element_at(F.array(*map(F.lit, values)), (pick(salt, len(values)) + 1).cast("int"))
+    number = lambda prefix, c="id": F.concat(F.lit(prefix), F.lpad(F.col(c).cast("string"), 8, "0"))
+    countries, regions, kinds = ("Scotland", "Ireland", "Japan", "USA"), ("Islay", "Speyside", "Highland", "Lowland"), ("single malt", "blend", "grain")
+    axes = ("smoky", "peaty", "fruity", "sweet", "spicy", "maritime", "sherry")
+    made = F.lit("synthetic")
+    makers = max(5, n // 20)
+    producers = spark.range(makers).select(
+        number("MAKER-").alias("distillery_id"), F.concat(F.lit("Synthetic Distillery "), "id").alias("name"), one_of("country", countries).alias("country"),
+        one_of("region", regions).alias("region"), made.alias("data_confidence"),
+    )
+    rows = spark.range(n)
+    entities = rows.select(
+        number("ENTITY-").alias("entity_id"), F.concat(F.lit("Synthetic Entity "), "id").alias("name"),
+        F.concat(F.lit("MAKER-"), F.lpad(pick("maker", makers).cast("string"), 8, "0")).alias("distillery_id"), one_of("country", countries).alias("country"),
+        one_of("region", regions).alias("region"), one_of("kind", kinds).alias("type"), F.concat(F.lit("Synthetic Brand "), F.col("id") % 17).alias("brand"),
+        between("critic", 60, 98, 1).alias("critic_score"), between("user", 1, 5, 2).alias("user_score"), F.lit(None).cast("string").alias("superseded_by"), made.alias("data_confidence"),
+    )
+    prices = rows.select(number("PRICE-").alias("price_id"), number("ENTITY-").alias("entity_id"), made.alias("source"), between("price", 20, 500, 2).alias("price"), F.lit("USD").alias("currency"))
+    twin = (F.lit(n) > 260) & (F.col("id") == n - 5)
+    profiled = rows.where((share("profile") < 0.9) | (F.lit(n > 260) & F.col("id").isin(0, n - 5))).withColumn("own", F.col("id"))
+    # The twin draws the numbers of entity 0, its first axis one off.
+    drawn = profiled.withColumn("id", F.when(twin, 0).otherwise(F.col("id")))
+    value = lambda i, axis: F.when((F.col("own") != F.col("id")) & F.lit(i == 0), F.least(F.lit(10), pick(axis, 10) + 2)).otherwise(pick(axis, 10) + 1)
+    vector = F.create_map(*[x for i, axis in enumerate(axes) for x in (F.lit(axis), value(i, axis).cast("double"))])
+    profiles = drawn.select(number("ENTITY-", "own").alias("entity_id"), vector.alias("profile"), made.alias("source"))
+    evidence = profiled.where(share("evidence") < 0.6).select(number("EVIDENCE-").alias("evidence_id"), number("ENTITY-").alias("entity_id"), made.alias("source"))
+    references = spark.createDataFrame([], "entity_type string, entity_id string, source_name string, source_url string, field_name string, field_value string, confidence double")
+    audit = spark.createDataFrame([], "source_title string, source_type string, domain string, extraction_timestamp string, extracted_records_count long, status string")
+    return {
+        "distilleries": producers,
+        "entities": entities,
+        "price_history": prices,
+        "profiles": profiles,
+        "evidence": evidence,
+        "source_references": references,
+        "source_audit": audit,
+    }
 
 
 def merged_staging(sources: list[tuple[str, DataFrame]], key: str, keep: dict[str, Column] | None = None) -> DataFrame:

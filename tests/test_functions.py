@@ -102,8 +102,8 @@ def test_snapshots_roll_back(spark, tmp_path):
 
 
 def test_synthetic_catalogue_ignores_partitions(spark):
-    a = Q.table_fingerprint(S.synthetic_catalogue(spark, 200)).first()
-    b = Q.table_fingerprint(S.synthetic_catalogue(spark, 200).repartition(7)).first()
+    a = Q.table_fingerprint(S.synthetic_catalogue(spark, 200)["entities"]).first()
+    b = Q.table_fingerprint(S.synthetic_catalogue(spark, 200)["entities"].repartition(7)).first()
     assert a == b
 
 

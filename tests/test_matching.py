@@ -242,3 +242,17 @@ def test_similar_items_with_ties(spark):
     for k, v in used:
         best = sorted(((v[1] - w[1]) ** 2, i) for i, w in used if i != k)[:3]
         assert [r.k for r in sorted((r for r in got if r.query_id == k), key=lambda r: r["rank"])] == [i for _, i in best]
+
+
+def test_synthetic_catalogue(spark):
+    one, two = files.synthetic_catalogue(spark, 400), files.synthetic_catalogue(spark, 400)
+    assert sorted(one) == sorted(["distilleries", "entities", "price_history", "profiles", "evidence", "source_references", "source_audit"])
+    for name, df in one.items():
+        assert sorted(map(repr, df.collect())) == sorted(map(repr, two[name].repartition(3).collect())), name
+    profiles = {r.entity_id: r.profile for r in one["profiles"].collect()}
+    assert one["entities"].count() == 400 and 330 <= len(profiles) <= 385 and 150 <= one["evidence"].count() < len(profiles)
+    a, b = profiles["ENTITY-00000000"], profiles["ENTITY-00000395"]
+    assert sum(abs(a[k] - b[k]) for k in a) <= 1
+    assert one["profiles"].join(one["entities"], "entity_id", "left_anti").isEmpty()
+    assert one["entities"].join(one["distilleries"], "distillery_id", "left_anti").isEmpty()
+    assert sorted(map(repr, files.synthetic_catalogue(spark, 400, 7)["entities"].collect())) != sorted(map(repr, one["entities"].collect()))
