@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .quality_rules import SPACE
-from .storage import free_names, quoted, stored
+from .storage import free_names, identity, quoted, stored
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -86,13 +86,15 @@ def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     Rows meet by id, source and text. Those that are equal in all three are numbered: the repeats of a source are two
     numbers that differ by one, and the first ``_more`` of the equal rows take the larger.
     """
-    d, o, k, low, more, key, times, n = free_names(docs, "d", "s", "k", "low", "more", "key", "times", "n")
-    some = mixed.groupBy(F.col("doc_id").alias(d), F.col("source").alias(o), F.col("text_key").alias(k))
-    repeats = some.agg(F.min("repeats").alias(low), F.max("repeats").alias("high"), F.sum("repeats").alias("all"), F.count("*").alias("rows"))
-    repeats = repeats.where("high > 0").select(d, o, k, low, (F.col("all") - F.col(low) * F.col("rows")).alias(more))
-    same = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(o)) & (F.col(key) == F.col(k))
-    place = F.row_number().over(Window.partitionBy("doc_id", "source", key).orderBy(key))
-    met = docs.withColumn(key, F.xxhash64("text")).join(repeats, same)
+    one, two, low, more, key, times, n = free_names(docs, "one", "two", "low", "more", "text_key", "times", "n")
+    some = mixed.withColumnRenamed("text_key", key).withColumns(dict(zip((one, two), identity("doc_id", "source", key), strict=True)))
+    repeats = some.groupBy(one, two).agg(
+        F.min("repeats").alias(low), F.max("repeats").alias("high"), F.sum("repeats").alias("all"), F.count("*").alias("rows")
+    )
+    repeats = repeats.where("high > 0").select(one, two, low, (F.col("all") - F.col(low) * F.col("rows")).alias(more))
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    met = keyed.withColumns(dict(zip((one, two), identity("doc_id", "source", key), strict=True))).join(repeats, [one, two])
+    place = F.row_number().over(Window.partitionBy(one, two).orderBy(key))
     met = met.withColumn(times, F.col(low) + (place <= F.col(more)).cast("long")).where(F.col(times) > 0)
     met = met.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
     return met.select(*map(quoted, docs.columns))

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import Shelf, free_names, quoted, stored
+from .storage import Shelf, free_names, identity, quoted, stored
 from .words import mix, shingle_hashes, slices, word_hashes
 
 FREQUENT = 40
@@ -543,14 +543,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, roots: bool
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs``, all columns, with one row of each group: that with the smallest id, then text hash. Rows without words stay."""
-    d, t, key, empty, first, n = free_names(docs, "d", "t", "key", "empty", "first", "n")
+    one, two, key, empty, first, n = free_names(docs, "one", "two", "key", "empty", "first", "n")
     found = near_duplicates(docs, k, percent, roots=True).where("n_shingles > 0")
-    firsts = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("p"))
-    firsts = firsts.select(F.col("p.doc_id").alias(d), F.col("p.key").alias(t), F.lit(True).alias(first))
+    firsts = found.groupBy("root").agg(F.min(F.struct("doc_id", F.col("key").alias(key))).alias("p")).select("p.*")
+    same = identity("doc_id", key)
+    firsts = firsts.select(same[0].alias(one), same[1].alias(two), F.lit(True).alias(first))
     no_words = F.coalesce(~F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(True))
-    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit("")))).withColumn(empty, no_words)
-    met = keyed.join(firsts, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(key) == F.col(t)), "left")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit("")))).withColumns({empty: no_words, one: same[0], two: same[1]})
+    met = keyed.join(firsts, [one, two], "left")
     # Rows that are repeated whole share id and text; the join has already brought them together.
-    place = F.row_number().over(Window.partitionBy("doc_id", key).orderBy(empty))
+    place = F.row_number().over(Window.partitionBy(one, two).orderBy(empty))
     kept = met.withColumn(n, place).where(F.col(empty) | (F.col(first) & (F.col(n) == 1)))
     return kept.select(*map(quoted, docs.columns))

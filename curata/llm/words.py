@@ -23,7 +23,7 @@ _R = np.uint64(0x9E3779B97F4A7C15)
 _STEP = _rng.randint(0, 1 << 63, 64, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _VALUE = np.where(_SEP, np.uint64(0), _BYTE)
 _VALUE_LOW = np.where(_SEP, np.uint64(0), _BYTE[_LOWER])
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -66,7 +66,7 @@ def _hash_block(data: np.ndarray, first: np.ndarray, lower: bool) -> tuple[np.nd
 def word_hashes(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, word offsets of each text: length texts + 1).
 
-    Works through blocks of about a megabyte, cut between words, so that one very long text needs no more
+    Works through blocks of a quarter of a megabyte, cut between words, so that one very long text needs no more
     than its hashes.
     """
     data, offsets = utf8_of(col)
@@ -91,7 +91,7 @@ def word_hashes(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(hashes), np.searchsorted(np.concatenate(places), offsets)
 
 
-def slices(col: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(col: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most about ``most_bytes`` of text, one row at least."""
     _, offsets = utf8_of(col)
     i, n = 0, len(offsets) - 1
