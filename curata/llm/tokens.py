@@ -21,7 +21,7 @@ _ODD_SPLIT = re.compile("[\x1c-\x1f]")
 _BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _REST = [b for b in range(256) if b not in _BYTES]
 BYTE_CHAR = {b: chr(b) for b in _BYTES} | {b: chr(256 + i) for i, b in enumerate(_REST)}
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 320 << 20
 
 
 def _byte_level(s: str) -> str:
