@@ -327,11 +327,27 @@ def intake(artifacts: DataFrame, known: DataFrame, content: str, source: str, or
     return met.withColumn("_n", place).withColumns({"artifact_id": ident, "status": status}).drop("_known", "_n")
 
 
-def stride_sample(df: DataFrame, by: str, order: list, cap: int) -> DataFrame:
-    """Of each group the first, the last and every n-th row, n so that about ``cap`` stay, and no more than that."""
-    w = Window.partitionBy(by)
-    step = F.greatest(F.lit(1), F.floor(F.col("_all") / cap))
-    marked = df.withColumns({"_i": F.row_number().over(w.orderBy(*order)) - 1, "_all": F.count("*").over(w)})
-    hit = (F.col("_all") <= cap) | (F.col("_i") == 0) | (F.col("_i") == F.col("_all") - 1) | (F.pmod(F.col("_i"), step) == 0)
-    kept = marked.where(hit).withColumn("_k", F.row_number().over(w.orderBy("_i")))
-    return kept.where(F.col("_k") <= cap).drop("_i", "_all", "_k")
+def stride_sample(df: DataFrame, by: str, order: list[str], cap: int, slices: int = 256) -> DataFrame:
+    """Of each group the first, the last and every n-th row, n so that about ``cap`` stay, and no more than that.
+
+    A group is cut into ``slices`` even ranges of its first order column (a number or time; other kinds are one range), so that a large
+    group is numbered by many tasks: places are numbers of rows in the ranges before plus the place within one.
+    """
+    kind = df.schema[order[0]].dataType
+    at = F.col(order[0]).cast("timestamp").cast("double") if kind.typeName().startswith(("timestamp", "date")) else F.col(order[0]).cast("double")
+    sliced = df.withColumn("_x", at if kind.typeName() not in ("string", "binary", "boolean") else F.lit(None).cast("double"))
+    ends = sliced.groupBy(F.col(by).alias("_g")).agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    width = F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    place = F.least(F.lit(slices - 1), F.floor((F.col("_x") - F.col("_low")) / width * slices)).cast("int")
+    sliced = sliced.join(ends, F.col(by).eqNullSafe(F.col("_g"))).withColumn("_s", F.coalesce(place, F.when(F.col("_x").isNull(), -1), F.lit(0))).drop("_x", "_low", "_high", "_g")
+    counts = sliced.groupBy(F.col(by).alias("_g"), F.col("_s").alias("_t")).agg(F.count("*").alias("_c"))  # ``slices`` + 1 rows a group at most
+    w = Window.partitionBy("_g")
+    earlier = w.orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("_g", "_t", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_base"), F.sum("_c").over(w).alias("_all"))
+    inside = F.row_number().over(Window.partitionBy(by, "_s").orderBy(*order))
+    marked = sliced.withColumn("_r", inside).join(bases, F.col(by).eqNullSafe(F.col("_g")) & (F.col("_s") == F.col("_t")))
+    i, step = F.col("_base") + F.col("_r") - 1, F.greatest(F.lit(1), F.floor(F.col("_all") / cap))
+    # The hits before a place are its multiples of the step; the last row is one more where it is none.
+    hit = (F.col("_all") <= cap) | (i == F.col("_all") - 1) | (F.pmod(i, step) == 0)
+    before = F.when(F.col("_all") <= cap, i).otherwise(F.ceil(i / step))
+    return marked.where(hit & (before < cap)).drop("_s", "_r", "_g", "_t", "_base", "_all")
