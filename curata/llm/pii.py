@@ -11,8 +11,8 @@ the pointwise mutual information over the information content of e: 1 where t oc
 on, wherever they occur: in documents without a mention too.
 
 Plan: one scan finds base spans, and the words of texts that have any; one scan counts the documents of the terms that occur with
-an entity of ``SUPPORT`` documents at least (a bitmap picks them, counts are added up per task before the shuffle); pairs, entities
-and terms meet in keyed joins, equal texts once. The terms above the threshold go to all tasks where they are ``SHARED`` at most, and the
+an entity of ``SUPPORT`` documents at least (``SHARED`` of them at most go to all tasks, which send one vector of counts each; of more a
+bitmap picks them, and each task sends a row a term); pairs, entities and terms meet in keyed joins, equal texts once. The terms above the threshold go to all tasks where they are ``SHARED`` at most, and the
 last scan finds their occurrences next to the base spans without any join; where they are more, a bitmap preselects
 occurrences and a join settles them. Texts are never shuffled on the first way.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -153,8 +154,20 @@ def _plain(col: pa.Array) -> pa.Array:
     )
 
 
+def _words_by_document(col: pa.Array):
+    """Hashes of the distinct words of each text, texts one after another."""
+    for i, j in slices(col):
+        h, bounds = word_hashes(_plain(col[i:j]))
+        doc = np.repeat(np.arange(j - i), np.diff(bounds))
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        yield h[new]
+
+
 def _term_documents(marks):
-    """(term, documents) of a task's texts for the terms in the bitmap, added up over a few million words at a time."""
+    """(t, n) of a task's texts: documents of the terms in the bitmap, added up over a few million words at a time."""
 
     def count(batches):
         def flush():
@@ -164,18 +177,9 @@ def _term_documents(marks):
 
         held, size = [], 0
         for batch in batches:
-            col = batch.column("text")
-            for i, j in slices(col):
-                h, bounds = word_hashes(_plain(col[i:j]))
-                doc = np.repeat(np.arange(j - i), np.diff(bounds))
-                wanted = _marked(h, marks.value)
-                h, doc = h[wanted], doc[wanted]
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                held.append(h[new])
-                size += int(new.sum())
+            for h in _words_by_document(batch.column("text")):
+                held.append(h[_marked(h, marks.value)])
+                size += len(held[-1])
                 if size > 8_000_000:
                     yield from flush()
                     held, size = [], 0
@@ -185,6 +189,59 @@ def _term_documents(marks):
     return count
 
 
+def _count_vectors(shared):
+    """(block, counts): documents of each of the shared terms in a task's texts, 65536 terms a block."""
+
+    def count(batches):
+        terms = shared.value
+        total = np.zeros(len(terms), "<i8")
+        for batch in batches:
+            for h in _words_by_document(batch.column("text")):
+                at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+                u, n = np.unique(at[terms[at] == h], return_counts=True)
+                total[u] += n
+        for b, i in enumerate(range(0, len(total), 1 << 16)):
+            part = total[i : i + (1 << 16)]
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "counts": [zlib.compress(part.tobytes(), 1)]})
+
+    return count
+
+
+def _added_vectors(shared):
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                more = np.frombuffer(zlib.decompress(counts), "<i8")
+                total[b] = total[b] + more if b in total else more
+        for b, counts in total.items():
+            at = np.flatnonzero(counts)
+            terms = shared.value[at + (b << 16)].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts[at])], ["t", "n"])
+
+    return add
+
+
+def _documents_of(candidates: DataFrame, docs: DataFrame, most_shared: int) -> DataFrame:
+    """(t, n_term), stored: the number of documents of each candidate term (term)."""
+    context, texts = docs.sparkSession.sparkContext, docs.select("text")
+    terms = stored(candidates.select("term").distinct(), "pii-candidate-terms")
+    n = terms.count()
+    if n <= most_shared:
+        shared = context.broadcast(np.sort(np.array([r["term"] for r in terms.limit(SHARED).collect()], np.int64).view(np.uint64)))
+        vectors = texts.mapInArrow(_count_vectors(shared), "block int, counts binary")
+        counted = vectors.repartition("block").mapInArrow(_added_vectors(shared), "t long, n long") if n else texts.select(F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("n")).limit(0)
+    else:
+        # Slots for all candidates several times over, 64 MB at most; what falls into a slot by chance is counted for nothing.
+        slots = min(1 << 26, max(1 << 20, 1 << (8 * n).bit_length()))
+        shared = context.broadcast(sketch(terms.select(F.col("term").alias("t")), _terms, slots))
+        counted = texts.mapInArrow(_term_documents(shared), "t long, n long")
+    found = stored(counted.groupBy("t").agg(F.sum("n").alias("n_term")), "pii-term-counts")
+    shared.destroy()
+    return found
+
+
 def _hits(col: pa.Array, chosen):
     """Of each text that has any: (its place, base spans, [(term, start, end)]) of the terms ``chosen`` picks, outside base spans."""
     for i, j in slices(col):
@@ -261,7 +318,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
-def disclosures(scanned: DataFrame, docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+def disclosures(scanned: DataFrame, docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE, most_shared: int = SHARED) -> DataFrame:
     """(entity, term, disclosure) of the pairs that ``support`` documents hold and that disclose ``least`` at least."""
     n_docs = scanned.count()
     some = scanned.where(F.size("entities") > 0)
@@ -273,14 +330,9 @@ def disclosures(scanned: DataFrame, docs: DataFrame, support: int = SUPPORT, lea
     top = mentions.agg(F.max("n_entity").alias("n")).first()["n"] or 0
     candidates = some.join(mentions.select("key").distinct(), "key", "left_semi").select("key", F.explode("words").alias("term")).distinct()
     candidates = stored(candidates, "pii-candidates")
-    # Slots for all candidates several times over, 64 MB at most; what falls into a slot by chance is counted for nothing.
-    slots = min(1 << 26, max(1 << 20, 1 << (8 * candidates.count()).bit_length()))
-    marks = docs.sparkSession.sparkContext.broadcast(sketch(candidates.select(F.col("term").alias("t")), _terms, slots))
     # n(e, t) <= n(e) bounds the disclosure by log(N / n(t)) / log(N / n(e)): what stays below ``least`` anyway is left out early.
     bound = lambda n: F.pow(F.lit(float(n_docs)), F.lit(1 - least)) * F.pow(n, F.lit(least)) * (1 + 1e-9)
-    terms = docs.select("text").mapInArrow(_term_documents(marks), "t long, n long").groupBy("t").agg(F.sum("n").alias("n_term"))
-    terms = stored(terms, "pii-term-counts")
-    marks.destroy()
+    terms = _documents_of(candidates, docs, most_shared)
     terms = terms.where((F.col("n_term") >= support) & (F.col("n_term") <= bound(F.lit(float(top)))))
     wanted = candidates.join(terms, F.col("term") == F.col("t")).select("key", "term", "n_term")
     met = mentions.join(wanted, "key").where(F.col("n_term") <= bound(F.col("n_entity").cast("double")))
@@ -290,12 +342,12 @@ def disclosures(scanned: DataFrame, docs: DataFrame, support: int = SUPPORT, lea
     return weighed.where(F.col("disclosure") >= least)
 
 
-def _telling(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _telling(docs: DataFrame, most_shared: int = SHARED) -> tuple[DataFrame, DataFrame]:
     """(the scan for base spans, terms (t, remove) that disclose an entity), both stored."""
     keyed = _keyed(docs.select("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     scanned = stored(keyed.mapInArrow(_scan, f"doc_id {kind}, key long, {FOUND}"), "pii-scan")
-    telling = disclosures(scanned, docs).groupBy(F.col("term").alias("t")).agg((F.max("disclosure") >= REMOVE).alias("remove"))
+    telling = disclosures(scanned, docs, most_shared=most_shared).groupBy(F.col("term").alias("t")).agg((F.max("disclosure") >= REMOVE).alias("remove"))
     return scanned, stored(telling, "pii-terms")
 
 
@@ -309,7 +361,7 @@ def _shared_terms(telling: DataFrame):
 
 def find(docs: DataFrame, most_shared: int = SHARED) -> DataFrame:
     """doc_id, key (hash of the text), spans (base), terms: array of (start, end, remove) that disclose an entity."""
-    scanned, telling = _telling(docs)
+    scanned, telling = _telling(docs, most_shared)
     keyed = _keyed(docs.select("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     n_terms = telling.count()
@@ -354,7 +406,7 @@ def rewritten(text: str, spans, terms) -> str:
 
 def sanitise(docs: DataFrame, most_shared: int = SHARED) -> DataFrame:
     """``docs``, all columns, with the personal data in ``text`` replaced."""
-    _, telling = _telling(docs)
+    _, telling = _telling(docs, most_shared)
     if telling.count() <= most_shared:
         shared = _shared_terms(telling)
 
