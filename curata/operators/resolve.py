@@ -20,6 +20,8 @@ from curata.functions import names as M
 # Thresholds and margins of the decision ladder.
 HIGH, REVIEW, MANUAL = 0.94, 0.88, 0.82
 MARGIN_HIGH, MARGIN_REVIEW = 0.03, 0.04
+#: Letters that are counted together to bound an edit distance.
+LETTER_GROUPS = ("ae", "iou", "rst", "lnd", "bcfghjk", "01234", "56789")
 #: Terms of a lexicon that may go into an expression.
 LEXICON_ROWS = 1000
 BANNED = ("mister sam", "monkey shoulder")
@@ -124,18 +126,24 @@ def blocked_pairs(sources: DataFrame, registry: DataFrame, kind: str = "levensht
     """Pairs of sources (src_id, src_text, src_age) and registry (id, text, age) under one block key, scored.
 
     A source whose block key the registry does not have, such as one with its first word misspelt, meets the registry rows that share
-    any of its tokens instead. Equal source texts are scored once and spread over all tasks, so that a common block key fills none. Three
-    bounds spare the costly ratio: equal letters cannot be more than the shorter text, the edit distance stops where it is too large,
-    and whatever scores below ``least`` can neither win nor, as runner-up, change a margin that decides.
+    any of its tokens instead. Equal source texts are scored once and spread over all tasks, so that a common block key fills none. Bounds
+    spare the costly ratio: equal letters cannot be more than the shorter text, an edit changes the number of letters of a group by one,
+    the edit distance stops where it is too large, and whatever scores below ``least`` can neither win nor, as runner-up, change a margin
+    that decides.
     """
+    groups = range(len(LETTER_GROUPS))
+    counted = lambda df, c, name: df.withColumns({f"{name}{i}": F.length(c) - F.length(F.translate(c, g, "")) for i, g in enumerate(LETTER_GROUPS)})
     tasks = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), sources.sparkSession.sparkContext.defaultParallelism)
     texts = sources.select(F.col("src_text").alias("_text")).distinct().withColumn("block", M.block_key(F.col("_text")))
     parts = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda t: t != ""))
+    if kind == "levenshtein":
+        texts, registry = counted(texts, F.col("_text"), "_a"), counted(registry, F.col("text"), "_b")
+    own = [c for c in texts.columns if c != "block"]
     keyed = registry.withColumns({"block": M.block_key(F.col("text")), "_t": parts(F.col("text"))})
     known = keyed.select("block").distinct()
     under = texts.repartition(tasks, "_text").join(keyed.drop("_t"), "block")
     # A pair that shares several tokens is taken under the first of them.
-    alone = texts.join(known, "block", "left_anti").select("_text", parts(F.col("_text")).alias("_s"))
+    alone = texts.join(known, "block", "left_anti").select(*own, parts(F.col("_text")).alias("_s"))
     by_token = alone.withColumn("_k", F.explode("_s")).repartition(tasks, "_text", "_k").join(keyed.withColumn("_k", F.explode("_t")), "_k")
     by_token = by_token.where(F.col("_k") == F.array_min(F.array_intersect("_s", "_t")))
     met = under.unionByName(by_token.drop("_k", "_s", "_t"))
@@ -143,7 +151,10 @@ def blocked_pairs(sources: DataFrame, registry: DataFrame, kind: str = "levensht
     longest = F.greatest(la, lb, F.lit(1))
     if kind == "levenshtein":
         most = F.floor((1 - least) * longest + 1e-9).cast("int")
-        near = met.where(F.least(la, lb) / longest >= least).withColumn("_d", F.call_function("levenshtein", F.col("_text"), F.col("text"), most))
+        more, fewer = (reduce(lambda x, y: x + y, (F.greatest(F.col(f"{a}{i}") - F.col(f"{b}{i}"), F.lit(0)) for i in groups)) for a, b in (("_a", "_b"), ("_b", "_a")))
+        near = met.where((F.least(la, lb) / longest >= least) & (F.greatest(more, fewer) <= most))
+        near = near.drop(*[f"{n}{i}" for n in ("_a", "_b") for i in groups])
+        near = near.withColumn("_d", F.call_function("levenshtein", F.col("_text"), F.col("text"), most))
         scored = near.where("_d >= 0").withColumn("score", 1 - F.col("_d") / longest).drop("_d")
     else:
         bound = 2 * F.least(la, lb) / F.greatest(la + lb, F.lit(1))
