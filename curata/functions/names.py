@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Replacements for spelling and number words, in order; words that carry no identity; kept words.
+# Replacements for spelling and number words, in order; words that carry no identity; kept words; patterns of what names say.
 SPELLING = (
     ("laphroig", "laphroaig"),
     ("glenfraclas", "glenfarclas"),
@@ -37,6 +37,24 @@ DISTINCTIVE = ("dusgadh", "general", "legacy", "alpha", "portonova")
 GENERIC = ("whisky", "whiskey", "scotch", "single malt", "straight bourbon", "kentucky", "limited edition", "release", "blended", "malt")
 STOP = ("the", "a", "an", "and", "by", "of", "at", "de", "le", "la", "das", "der", "di", "da", "del", "les", "el")
 CASKS = ("sherry", "port", "rum", "wine", "cask finish", "wood finish", "amarone", "lustau", "madera", "bourbon")
+MATCH_STEPS = (
+    (r"\(?distilled\s+\d{4}\)?", ""),
+    (r"bottled\s+\d{4}", ""),
+    (r"\d{4}\s+vintage", ""),
+    (r"vintage\s+\d{4}", ""),
+    (r"(\d+)\s*y(?:ears?)?\s*o(?:ld)?\.?", "$1"),
+    (r"(\d+)\s*yo", "$1"),
+)
+FEATURE_PATTERNS = {
+    "year": r"\b(\d+)\s*year\b",
+    "usual age": r"\b(10|12|15|18|21|25|30|40)\b",
+    "vintage": r"\b(19\d{2}|20\d{2})\b",
+    "release": r"\b(\d+)(?:st|nd|rd|th)\s*release\b",
+    "batch": r"\bbatch\s*([a-z0-9]+)\b",
+    "cask": r"\bcask\s*(\d+)\b",
+}
+AGE_IN_NAME = r"\b(\d+)\s*(?:yo|years?|yr)\b"
+ORDINAL_IN_NAME = r"\b(\d+)(?:st|nd|rd|th)\b"
 BATCH_WORDS = ("batch", "release", "edition", "cask strength", "ltd", "limited", "single cask", "bottled", "distilled")
 
 
@@ -65,12 +83,7 @@ def match_text(c: Column) -> Column:
     """B17."""
     s = F.replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\d+(\.\d+)?\s*%", ""), F.lit("cask strength"), F.lit(""))
     steps = [
-        (r"\(?distilled\s+\d{4}\)?", ""),
-        (r"bottled\s+\d{4}", ""),
-        (r"\d{4}\s+vintage", ""),
-        (r"vintage\s+\d{4}", ""),
-        (r"(\d+)\s*y(?:ears?)?\s*o(?:ld)?\.?", "$1"),
-        (r"(\d+)\s*yo", "$1"),
+        *MATCH_STEPS,
         *[(rf"\b{g}\b", "") for g in GENERIC],
         (r"[^a-z0-9\s]", " "),
         (r"\s+", " "),
@@ -88,14 +101,11 @@ def spelled(c: Column) -> Column:
 
 def features(c: Column) -> Column:
     """Struct of arrays: age, vintage, release, batch, cask, distinctive; of a text as ``spelled`` makes it."""
-    every = lambda pattern: F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)))
-    ages = F.array_distinct(F.concat(every(r"\b(\d+)\s*year\b"), every(r"\b(10|12|15|18|21|25|30|40)\b")))
+    every = lambda name: F.array_distinct(F.regexp_extract_all(c, F.lit(FEATURE_PATTERNS[name]), F.lit(1)))
+    ages = F.array_distinct(F.concat(every("year"), every("usual age")))
     return F.struct(
         F.array_sort(ages).alias("age"),
-        F.array_sort(every(r"\b(19\d{2}|20\d{2})\b")).alias("vintage"),
-        F.array_sort(every(r"\b(\d+)(?:st|nd|rd|th)\s*release\b")).alias("release"),
-        F.array_sort(every(r"\bbatch\s*([a-z0-9]+)\b")).alias("batch"),
-        F.array_sort(every(r"\bcask\s*(\d+)\b")).alias("cask"),
+        *[F.array_sort(every(name)).alias(name) for name in ("vintage", "release", "batch", "cask")],
         F.filter(F.array(*map(F.lit, DISTINCTIVE)), lambda w: F.contains(c, w)).alias("distinctive"),
     )
 

@@ -17,13 +17,9 @@ from pyspark.sql.window import Window
 
 from curata.functions import names as M
 
-# Thresholds and margins of the decision ladder.
+# Thresholds and margins of the decision ladders, weights of a blended score, phrases that must be in both names.
 HIGH, REVIEW, MANUAL = 0.94, 0.88, 0.82
 MARGIN_HIGH, MARGIN_REVIEW = 0.03, 0.04
-#: Letters that are counted together to bound an edit distance.
-LETTER_GROUPS = ("ae", "iou", "rst", "lnd", "bcfghjk", "01234", "56789")
-#: Terms of a lexicon that may go into an expression.
-LEXICON_ROWS = 1000
 BANNED = ("mister sam", "monkey shoulder")
 REMAP_HIGH, REMAP_REVIEW, REMAP_MARGIN = 0.92, 0.85, 0.04
 BLEND = {"name": 0.58, "token": 0.25, "brand": 0.09, "age": 0.04, "kind": 0.03, "country": 0.01}
@@ -33,6 +29,11 @@ NO_TOKENS = (
     "year", "old", "yo", "yr", "yrs", "years", "distillery", "company", "co",
 )
 
+#: Letters that are counted together to bound an edit distance.
+LETTER_GROUPS = ("ae", "iou", "rst", "lnd", "bcfghjk", "01234", "56789")
+#: Terms of a lexicon that may go into an expression.
+LEXICON_ROWS = 1000
+
 
 def valid(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key exists."""
@@ -352,8 +353,8 @@ def gap_matches(gaps: DataFrame, sources: DataFrame, banned: tuple[str, ...] = B
     """
     clean = lambda c: M.name_key(F.col(c), "marks")
     word = lambda c: F.substring_index(F.col(c), " ", 1)
-    age = lambda c: F.regexp_extract(F.lower(F.col(c)), r"\b(\d+)\s*(?:yo|years?|yr)\b", 1).try_cast("int")
-    ordinal = lambda c: F.regexp_extract(F.lower(F.col(c)), r"\b(\d+)(?:st|nd|rd|th)\b", 1).try_cast("int")
+    age = lambda c: F.regexp_extract(F.lower(F.col(c)), M.AGE_IN_NAME, 1).try_cast("int")
+    ordinal = lambda c: F.regexp_extract(F.lower(F.col(c)), M.ORDINAL_IN_NAME, 1).try_cast("int")
     kinds = ["_name", "_producer", "_age", "_ord"]
     keyed = gaps.withColumns({"_name": clean("name"), "_producer": clean("producer"), "_age": age("name"), "_ord": ordinal("name")})
     a = keyed.select(*kinds).distinct()
