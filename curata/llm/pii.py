@@ -229,7 +229,7 @@ def _documents_of(candidates: DataFrame, docs: DataFrame, most_shared: int) -> D
     terms = stored(candidates.select("term").distinct(), "pii-candidate-terms")
     n = terms.count()
     if n <= most_shared:
-        shared = context.broadcast(np.sort(np.array([r["term"] for r in terms.limit(SHARED).collect()], np.int64).view(np.uint64)))
+        shared = context.broadcast(np.sort(terms.limit(SHARED).toArrow()["term"].to_numpy().view(np.uint64)))
         vectors = texts.mapInArrow(_count_vectors(shared), "block int, counts binary")
         counted = vectors.repartition("block").mapInArrow(_added_vectors(shared), "t long, n long") if n else texts.select(F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("n")).limit(0)
     else:
@@ -353,8 +353,8 @@ def _telling(docs: DataFrame, most_shared: int = SHARED) -> tuple[DataFrame, Dat
 
 def _shared_terms(telling: DataFrame):
     """The terms, sorted, and whether they are removed, for all tasks; at most ``SHARED`` of them."""
-    rows = telling.limit(SHARED).collect()
-    terms, remove = np.array([r["t"] for r in rows], np.int64).view(np.uint64), np.array([r["remove"] for r in rows], bool)
+    rows = telling.limit(SHARED).toArrow()
+    terms, remove = rows["t"].to_numpy().view(np.uint64), rows["remove"].to_numpy()
     order = np.argsort(terms)
     return telling.sparkSession.sparkContext.broadcast((terms[order], remove[order]))
 
