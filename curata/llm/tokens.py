@@ -21,7 +21,7 @@ _ODD_SPLIT = re.compile("[\x1c-\x1f]")
 _BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _REST = [b for b in range(256) if b not in _BYTES]
 BYTE_CHAR = {b: chr(b) for b in _BYTES} | {b: chr(256 + i) for i, b in enumerate(_REST)}
-CACHE_BYTES = 320 << 20
+CACHE_BYTES = 96 << 20
 
 
 def _byte_level(s: str) -> str:
@@ -29,16 +29,20 @@ def _byte_level(s: str) -> str:
 
 
 class _Words(dict):
-    """word -> bytes of its ids; fills itself, and starts afresh when it holds about ``CACHE_BYTES``."""
+    """word -> bytes of its ids; fills itself. When about half of ``CACHE_BYTES`` is full a new generation starts, and words of the one before
+    move over as they are met again, so common words stay and rare ones go."""
 
     def __init__(self, owner: Encoder):
-        self.owner, self.bytes = owner, 0
+        self.owner, self.bytes, self.before = owner, 0, {}
 
     def __missing__(self, word: str) -> bytes:
-        if self.bytes >= CACHE_BYTES:
+        ids = self.before.pop(word, None)
+        if ids is None:
+            ids = self.owner.encode_word(word)
+        if 2 * self.bytes >= CACHE_BYTES:
+            self.before, self.bytes = dict(self), 0
             self.clear()
-            self.bytes = 0
-        ids = self[word] = self.owner.encode_word(word)
+        self[word] = ids
         self.bytes += 200 + 2 * len(word) + len(ids)  # with what the objects themselves take
         return ids
 
