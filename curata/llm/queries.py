@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    chat_format,
+    conversation_repair,
     html_text,
     language_id,
     mixing,
@@ -16,7 +22,10 @@ from . import (
     quality_classifier,
     quality_rules,
     token_files,
+    whitening,
 )
+from .sequences import rows_of
+from .storage import stored
 
 
 def _path(name: str) -> str:
@@ -104,6 +113,112 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Conversations as op11 is asked to damage them."""
+    one_space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    how = F.crc32(F.concat(one_space("conv_id"), F.lit(":"), one_space("turn")).cast("binary")) % 20
+    text, role = one_space("text"), one_space("role")
+    text = F.when(how == 1, "").when(how == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    times = F.when(how == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    out = rows.where(how != 0).select("conv_id", "turn", F.when(how == 4, "user").otherwise(role).alias("role"), text.alias("text"), F.explode(times))
+    return out.drop("col")
+
+
+def _repair_digests(batches):
+    """A row for each conversation of sorted audited rows; texts pass through the hash one by one."""
+    known, row = None, None
+
+    def line():
+        conv, audit, digest, turns, counts, illegal, cost = row
+        gaps = turns[1] - turns[0] + 1 - turns[2] if turns[2] else 0
+        named = [pa.array([conv], pa.int64()), *(pa.array([x], pa.int64()) for x in (gaps, *counts.values(), illegal, cost))]
+        return pa.RecordBatch.from_arrays([*named, pa.array(["".join(audit)]), pa.array([digest.hexdigest()])], REPAIRED_COLUMNS)
+
+    for conv, turn, role, text, fault, illegal, edits, cost in rows_of(batches):
+        if known != (conv,):
+            if row:
+                yield line()
+            known, row = (conv,), [conv, [], hashlib.sha256(), [0, 0, 0], {"blank": 0, "duplicate": 0, "truncated": 0}, 0, 0]
+            begun = False
+        turns = row[3]
+        if turn is not None and (not turns[2] or turn != turns[1]):  # rows come by turn
+            turns[:] = [turns[0] if turns[2] else turn, turn, turns[2] + 1]
+        if fault:
+            row[4][fault] += 1
+        row[5] += illegal
+        row[6] += cost
+        for edit in EDIT.findall(edits):
+            row[1].append(edit[0])
+            if edit != "D":
+                to = {"u": "user", "a": "assistant"}.get(edit[1:], role)
+                row[2].update(f"{chr(10) if begun else ''}{to}:{'' if edit[0] == 'I' else text}".encode())
+                begun = True
+    if row:
+        yield line()
+
+
+EDIT = re.compile("[KD]|[RI][ua]")
+REPAIRED_COLUMNS = ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    audited = conversation_repair.audit(_damaged(rows))
+    # A digest over a conversation needs its turns in order: they stream through one task, and nothing but the audit string is held.
+    ordered = audited.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id").sortWithinPartitions("conv_id", "number")
+    ordered = ordered.select("conv_id", "turn", "role", "text", "fault", "illegal", "edits", "cost")
+    found = ordered.mapInArrow(_repair_digests, ", ".join(f"{c} {'string' if c in ('audit', 'repaired_sha256') else 'long'}" for c in REPAIRED_COLUMNS))
+    every = rows.select(F.col("conv_id").alias("id")).distinct()
+    joined = every.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    missing = {c: F.lit("") if c == "audit" else F.lit(hashlib.sha256(b"").hexdigest()) if c == "repaired_sha256" else F.lit(0) for c in REPAIRED_COLUMNS[1:]}
+    return joined.select(F.col("id").alias("conv_id"), *(F.coalesce(c, x).alias(c) for c, x in missing.items()))
+
+
+CHAT_COLUMNS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+
+def _chat_digests(batches):
+    """A row for each conversation of windows sorted by their first turn."""
+    known = None
+
+    def line():
+        n, turns, chars, loss, formatted = row
+        values = ([known[0]], [n], [turns.hexdigest()], [chars], [loss.hexdigest()], [formatted])
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], [c.split()[0] for c in CHAT_COLUMNS.split(", ")])
+
+    for conv, n_turns, roles, texts, targets, n_chars in rows_of(batches, 64):
+        if known != (conv,):
+            if known:
+                yield line()
+            known, row = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+        row[0] += n_turns
+        for role, text in zip(roles, texts, strict=True):
+            row[1].update(f"{role}\n{text}\n".encode())
+        for text in targets:
+            row[2] += len(text)
+            row[3].update(text.encode())
+        row[4] += n_chars
+    if known:
+        yield line()
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    windows = stored(chat_format.format_windows(rows, _path("byte_bpe_50k.json")), "chat-windows")
+    back = chat_format.read_back(windows)
+    ordered = back.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id").sortWithinPartitions("conv_id", "first")
+    return ordered.select("conv_id", "n_turns", "roles", "texts", "targets", "n_chars").mapInArrow(_chat_digests, CHAT_COLUMNS)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    fit = whitening.fit(vectors, k=16)
+    return whitening.transform(vectors, fit).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 def queries() -> dict:
     found = (
         op1_html_text,
@@ -116,6 +231,9 @@ def queries() -> dict:
         op8_ngram_jaccard_join,
         op9_mixing,
         op10_nearest_neighbours,
+        op11_conversation_repair,
+        op12_chat_format,
+        op13_embedding_whitening,
     )
     return {f.__name__: f for f in found}
 
