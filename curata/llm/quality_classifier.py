@@ -5,11 +5,11 @@ shapes (use of capitals, letters and signs), pairs of shapes, and for three-word
 the text. A score is the sparse dot product with the weights.
 
 ``train`` fits on at most ``max_rows`` labelled rows (8000 by default: the first by a hash of the id, so the choice does
-not depend on partitions). Those rows are the only data that meet in one task; the ids of the sample are broadcast,
+not depend on partitions), one document an id. Those rows are the only data that meet in one task; the ids of the sample are broadcast,
 and the weights (2 ** BITS floats, 1 MB) go to the driver and from there to the tasks. ``score`` reads every whole text.
 
 Edge cases: a null or empty text has only the intercept; a null id is scored and is never a training row; an id with
-several labels counts with the smallest; without labels every score is 0.5; repeated rows and other columns do no harm.
+several labels counts with the smallest, one with several documents trains on that with the smallest hash of its text; without labels every score is 0.5; repeated rows and other columns do no harm.
 """
 
 from __future__ import annotations
@@ -107,7 +107,10 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int =
     one = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     one = one.withColumn("order_key", F.xxhash64("doc_id"))
     sample = F.broadcast(one.orderBy("order_key", "doc_id").limit(max_rows))  # max_rows ids at most
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("order_key", F.col("label").cast("double").alias("label"), "text")
+    rows = docs.select("doc_id", "text").join(sample, "doc_id")
+    # One document an id, however often the id is repeated: tasks send the one with the smallest hash, then text.
+    rows = rows.groupBy("doc_id", "order_key", "label").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    rows = rows.select("order_key", F.col("label").cast("double").alias("label"), "text")
     sparse = rows.mapInArrow(_sparse(bits), "order_key long, label double, places binary, vals binary")
     fitted = sparse.repartition(1).sortWithinPartitions("order_key", "label", "places", "vals").mapInArrow(_trainer(bits), "weights binary")
     found = fitted.collect()

@@ -268,6 +268,23 @@ def test_classifier_without_labels_and_odd_rows(spark):
     assert quality_classifier.train(docs, both).any()
 
 
+def test_classifier_trains_on_one_document_an_id(spark, monkeypatch):
+    seen, ftrl = spark.sparkContext.accumulator(0), quality_classifier.ftrl
+
+    def counted(rows, *args):
+        seen.add(len(rows))
+        return ftrl(rows, *args)
+
+    monkeypatch.setattr(quality_classifier, "ftrl", counted)
+    rows = [(1, f"document number {i} of an id that is repeated") for i in range(300)] + [(i, f"words {i}") for i in range(2, 9)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, label int")
+    for most in (1, 5, 100):
+        seen.value = 0
+        first = quality_classifier.train(docs.repartition(7), labels, max_rows=most)
+        assert 0 < seen.value <= min(most, 8)
+        assert (first == quality_classifier.train(docs.repartition(2), labels, max_rows=most)).all()
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
