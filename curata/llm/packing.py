@@ -3,12 +3,11 @@
 1. ``encode`` writes every piece (a document, or a cut of 1024 tokens of a longer one) to flat shard files where it
    was read and returns one manifest row per shard with a histogram of piece lengths: at most ``capacity`` numbers,
    however many documents there are.
-2. ``plan`` packs the summed histogram on the driver. Large lengths are sorted and cut into groups of equal
-   cardinality, each rounded up to its longest; a linear program over configurations of these few sizes, columns generated by
-   knapsacks, says how often each configuration is used, rounded down; the actual lengths take the places of the rounded
-   ones; what is left, small lengths and the rest of the rounding down, goes where it fits best, longest first. Where plain best
-   fit of all lengths (no groups) takes fewer sequences, it is taken. All steps work on runs (so many equal sequences), so the
-   plan's size depends on ``capacity`` alone.
+2. ``plan`` packs the summed histogram on the driver. Lengths above ``small`` are sorted and cut into ``groups`` of equal
+   cardinality, each rounded up to its longest. A dynamic program over these few sizes says which configuration that holds the largest
+   size left fills a sequence best, and it is used as often as there are pieces for it, until all large ones are placed; the actual lengths take
+   the places of the rounded ones; small lengths go where they fit best, longest first. All steps work on runs (so many equal
+   sequences), so the plan's size depends on ``capacity`` and ``groups`` alone.
 3. ``pack`` gives each piece its rank among the pieces of its length (prefix sums over shards of the histograms, plus
    its place in the shard) and looks up the sequence and offset that the plan has for that rank.
 
@@ -31,8 +30,8 @@ from .storage import map_file, shared_path, stored, write_bytes
 from .tokens import encoder
 
 CAPACITY = 1024
-GROUPS = 64
-SMALL = 48
+GROUPS = 512
+SMALL = CAPACITY // 4
 SHARD = "path string, n_pieces long, counts array<long>"
 PIECES = "doc_id long, piece int, start long, length long, sequence_id long, offset long, ids binary"
 FLUSH_BYTES = 64 << 20
@@ -87,57 +86,45 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     return stored(rows.mapInArrow(_writer(folder, tokenizer, end_id, capacity), SHARD), "piece-manifest")
 
 
-def _best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each size enters the sequence of at most ``capacity`` tokens that is worth most."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(sizes, kind="stable")
-    by_size, gain = sizes[order], worth[order]
-    fits = np.searchsorted(by_size, np.arange(capacity + 1), "right")
-    for room in range(int(by_size[0]), capacity + 1):
-        with_one = best[room - by_size[: fits[room]]] + gain[: fits[room]]
-        k = int(with_one.argmax())
-        best[room] = best[room - 1]
-        if with_one[k] > best[room] + 1e-12:
-            best[room], choice[room] = with_one[k], order[k]
-    used, room = np.zeros(len(sizes)), capacity
-    while room:
-        if choice[room] < 0:
-            room -= 1
-        else:
-            used[choice[room]] += 1
-            room -= int(sizes[choice[room]])
+def _fullest(sizes: list[int], number: list[int], room: int) -> dict[int, int]:
+    """How often each size (by its place, sizes falling) fills ``room`` best, none more often than there is; larger sizes where fills are equal.
+
+    Bit t of ``reach`` says that some choice fills t. Going back from the best fill leaves out small sizes where it can.
+    """
+    whole, reach, steps = (2 << room) - 1, 1, []
+    for i, size in enumerate(sizes):
+        for _ in range(min(number[i], room // size)):
+            more = (reach | reach << size) & whole
+            if more == reach:
+                break
+            steps.append((i, reach))
+            reach = more
+    used, left = {}, reach.bit_length() - 1
+    for i, without in reversed(steps):
+        if not without >> left & 1:
+            used[i] = used.get(i, 0) + 1
+            left -= sizes[i]
     return used
 
 
-def configurations(sizes: np.ndarray, number: np.ndarray, capacity: int, rounds: int = 20) -> list[tuple[np.ndarray, int]]:
-    """(how often each size, uses) by the configuration linear program, uses rounded down; at most ``rounds`` pivots a size.
+def configurations(sizes: list[int], number: list[int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """(how often each size, uses), until all are placed: the fullest configuration that holds the largest size left, as often as there is enough.
 
-    A basis holds one configuration a size: at first each size alone. A pivot brings in the configuration that the prices of the
-    basis make worth most; any basis is feasible, so stopping early costs sequences but never a place.
+    ``sizes`` fall. Each configuration uses up a size, or all of it but what is not enough for another use, so there are a few for each size.
     """
-    m = len(sizes)
-    columns = np.diag((capacity // sizes).astype(float))
-    inverse = np.diag(1 / np.diag(columns))
-    uses = inverse @ number
-    for _ in range(rounds * m):
-        prices = inverse.sum(0)
-        new = _best_configuration(sizes, prices, capacity)
-        if prices @ new <= 1 + 1e-7:
-            break
-        step = inverse @ new
-        ratio = np.where(step > 1e-9, uses / np.where(step > 1e-9, step, 1), np.inf)
-        out = int(ratio.argmin())
-        uses = np.maximum(uses - ratio[out] * step, 0)
-        uses[out] = ratio[out]
-        columns[:, out] = new
-        inverse[out] /= step[out]
-        others = np.arange(m) != out
-        inverse[others] -= np.outer(step[others], inverse[out])
-    whole = np.floor(uses + 1e-9).astype(np.int64)
-    # Rounding errors must not place more than there is.
-    while m and ((columns @ whole) > number + 0.5).any():
-        whole[np.flatnonzero(whole)[0]] -= 1
-    return [(columns[:, j].astype(np.int64), int(whole[j])) for j in np.flatnonzero(whole)]
+    number, out = list(number), []
+    for i, size in enumerate(sizes):
+        while number[i]:
+            number[i] -= 1
+            used = _fullest(sizes[i:], number[i:], capacity - size)
+            number[i] += 1
+            often = {i + j: n for j, n in used.items()}
+            often[i] = often.get(i, 0) + 1
+            uses = min(number[j] // n for j, n in often.items())
+            for j, n in often.items():
+                number[j] -= n * uses
+            out.append((often, uses))
+    return out
 
 
 def _grouped(counts: np.ndarray, groups: int, small: int) -> dict[int, list[list[int]]]:
@@ -161,18 +148,22 @@ def _grouped(counts: np.ndarray, groups: int, small: int) -> dict[int, list[list
     return members
 
 
-def _planned(counts: np.ndarray, capacity: int, groups: int, small: int) -> tuple[int, list[tuple[int, int, int, int, int]]]:
-    """Number of sequences, and rows as of ``plan``; without groups all lengths go by best fit."""
-    members = _grouped(counts, groups, small) if groups else {}
-    sizes = np.array(sorted(members, reverse=True), np.int64)
-    number = np.array([sum(c for _, c in members[int(s)]) for s in sizes], float)
+def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> np.ndarray:
+    """Rows (length, first rank, number, first sequence, offset) that place every piece of the histogram ``counts``.
+
+    Ranks r .. r + number - 1 of a length go to sequences first .. first + number - 1 at the offset.
+    """
+    counts = np.asarray(counts, np.int64)
+    members = _grouped(counts, groups, small)
+    sizes = sorted(members, reverse=True)
+    number = [sum(c for _, c in members[s]) for s in sizes]
     rank = dict.fromkeys(range(capacity + 1), 0)
     rows: list[tuple[int, int, int, int, int]] = []
     rooms: dict[int, list[tuple[int, int]]] = {}
     sequence = 0
     # Substitute the actual lengths, longest first within a group; a run splits where a length ends.
-    for often, uses in configurations(sizes, number, capacity) if len(sizes) else []:
-        config = [int(s) for s, k in zip(sizes, often, strict=True) for _ in range(k)]
+    for often, uses in configurations(sizes, number, capacity):
+        config = [sizes[i] for i, k in sorted(often.items()) for _ in range(k)]
         while uses:
             run = min(uses, *(max(1, members[x][0][1] // config.count(x)) for x in set(config)))
             used = 0
@@ -187,7 +178,7 @@ def _planned(counts: np.ndarray, capacity: int, groups: int, small: int) -> tupl
             rooms.setdefault(capacity - used, []).append((sequence, run))
             sequence += run
             uses -= run
-    # Best fit of all that is left, longest first, into the tightest rooms: as many into each as it holds.
+    # Best fit of the small lengths, longest first, into the tightest rooms: as many into each as it holds.
     keys = sorted(rooms)
 
     def give(room: int, first: int, number: int) -> None:
@@ -220,17 +211,7 @@ def _planned(counts: np.ndarray, capacity: int, groups: int, small: int) -> tupl
                     first, number, todo = first + times, number - times, todo - times * filled
             if number:
                 give(room, first, number)
-    return sequence, rows
-
-
-def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> np.ndarray:
-    """Rows (length, first rank, number, first sequence, offset) that place every piece of the histogram ``counts``.
-
-    Ranks r .. r + number - 1 of a length go to sequences first .. first + number - 1 at the offset.
-    """
-    counts = np.asarray(counts, np.int64)
-    tried = [_planned(counts, capacity, g, small) for g in (groups, 0)]
-    return np.array(min(tried, key=lambda t: t[0])[1], np.int64).reshape(-1, 5)
+    return np.array(rows, np.int64).reshape(-1, 5)
 
 
 def _reader(placed: dict[int, np.ndarray], tokenizer: str):

@@ -1,6 +1,8 @@
 """The registered queries themselves, over whole tables, against SQL or brute force written apart from the operators."""
 
+import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -16,6 +18,7 @@ from tokenizers import Tokenizer  # noqa: E402
 
 from curata.llm import html_text, language_id, packing, pii, quality_classifier  # noqa: E402
 from curata.llm import queries as llm_queries  # noqa: E402
+from curata.llm.tokens import encoder  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -86,8 +89,8 @@ def best_fit(lengths, capacity=1024):
     return n
 
 
-@pytest.mark.parametrize("kind", ["uniform", "330-419", "350-689", "lognormal", "few sizes"])
-def test_plan_is_never_worse_than_best_fit(kind):
+@pytest.mark.parametrize(("kind", "over"), [("uniform", 0.01), ("330-419", 0.35), ("350-689", 0.2), ("lognormal", 0.01), ("few sizes", 0.05)])
+def test_grouped_plan_is_near_the_bound(kind, over):
     rng = np.random.RandomState(5)
     lengths = {
         "uniform": rng.randint(1, 1025, 900),
@@ -97,16 +100,43 @@ def test_plan_is_never_worse_than_best_fit(kind):
         "few sizes": rng.choice([341, 342, 300, 512, 200], 1500),
     }[kind]
     rows = packing.plan(np.bincount(lengths, minlength=1025))
-    assert int((rows[:, 3] + rows[:, 2]).max()) <= best_fit(lengths)
+    n = int((rows[:, 3] + rows[:, 2]).max())
+    assert n <= (1 + over) * -(-lengths.sum() // 1024) + 1 and n <= 1.01 * best_fit(lengths) + 1
 
 
-def test_configurations_reach_the_linear_programs_value():
-    sizes, number = np.array([342, 341, 170]), np.array([300.0, 600.0, 300.0])
-    found = packing.configurations(sizes, number, 1024)
-    assert all((often * sizes).sum() <= 1024 for often, _ in found)
-    placed = sum(often * uses for often, uses in found)
-    assert (placed <= number).all() and (number - placed).sum() <= 12
-    assert sum(uses for _, uses in found) <= math.ceil((number * sizes).sum() / 1024) + 8
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_grouped_plan_on_the_tables(spark, sf_dir, sf):
+    texts = spark.read.parquet(sf_dir.replace("sf0.001", sf) + "/documents.parquet").select("text").toPandas().text
+    encode = encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    lengths = np.array([n for t in texts for n in packing.cut(len(encode.encode(t or "")) // encode.dtype.itemsize + 1, 1024)])
+    rows = packing.plan(np.bincount(lengths, minlength=1025))
+    bound = -(-lengths.sum() // 1024)
+    assert int((rows[:, 3] + rows[:, 2]).max()) <= bound + max(2, bound // 500)
+    grouped = packing._grouped(np.bincount(lengths, minlength=1025), packing.GROUPS, packing.SMALL)
+    assert sum(c for own in grouped.values() for _, c in own) == (lengths > packing.SMALL).sum()  # all large pieces come through configurations
+
+
+def test_fullest_configuration_by_trying_all():
+    rng = random.Random(4)
+    for _ in range(200):
+        sizes = sorted(rng.sample(range(3, 30), rng.randint(1, 5)), reverse=True)
+        number, room = [rng.randrange(4) for _ in sizes], rng.randrange(60)
+        used = packing._fullest(sizes, number, room)
+        fill = sum(sizes[i] * n for i, n in used.items())
+        every = [sum(s * n for s, n in zip(sizes, some)) for some in itertools.product(*(range(n + 1) for n in number))]
+        assert fill == max(x for x in every if x <= room) and all(n <= number[i] for i, n in used.items())
+
+
+def test_configurations_place_all():
+    rng = random.Random(6)
+    for _ in range(50):
+        sizes = sorted(rng.sample(range(100, 1025), rng.randint(1, 12)), reverse=True)
+        number = [rng.randint(1, 1000) for _ in sizes]
+        found, placed = packing.configurations(sizes, number, 1024), Counter()
+        for often, uses in found:
+            assert uses > 0 and sum(sizes[i] * n for i, n in often.items()) <= 1024
+            placed.update({i: n * uses for i, n in often.items()})
+        assert [placed[i] for i in range(len(sizes))] == number and len(found) <= 12 * len(sizes)
 
 
 def test_packing_reads_in_many_tasks(spark, monkeypatch):
