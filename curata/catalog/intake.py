@@ -66,7 +66,7 @@ def a4(spark, sf_dir):
 
 
 _STAR = """p AS (SELECT p_partkey AS product_id, CASE WHEN p_partkey % 19 <> 0 THEN p_name END AS name, CASE WHEN p_partkey % 23 = 0 THEN 'Nobody' ELSE 'Supplier ' || (p_partkey % 40) END AS producer_name, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS bottler_name FROM part),
-k AS (SELECT DISTINCT 'supplier ' || (s_suppkey - 1) AS known FROM supplier WHERE s_suppkey <= 40)"""
+k AS (SELECT DISTINCT 'supplier ' || (s_suppkey - 1) AS known FROM supplier)"""
 
 
 def star(spark, sf_dir):
@@ -78,7 +78,7 @@ def star(spark, sf_dir):
         F.when(k % 2 == 0, F.col("p_brand")).otherwise("").alias("bottler_name"),
         F.concat_ws(" & ", "p_type", F.lit("oak"), F.lit("oak")).alias("casks"),
     )
-    producers = table(spark, sf_dir, "supplier").where("s_suppkey <= 40").select(F.concat(F.lit("SUPPLIER "), F.col("s_suppkey") - 1).alias("producer_name"), F.lit("x").alias("country"))
+    producers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("SUPPLIER "), F.col("s_suppkey") - 1).alias("producer_name"), F.lit("x").alias("country"))
     return S.ingest_star(products, producers)
 
 
@@ -212,6 +212,22 @@ def a11(spark, sf_dir):
     return S.intake(d.where("doc_id % 5 <> 0"), known, "text", "source", ["doc_id"]).select("doc_id", "content_hash", "artifact_id", "status")
 
 
+@C.add(
+    "a11_file_intake",
+    """WITH h AS (SELECT page_id, url, sha256(html || chr(10)) AS content_hash, octet_length(encode(html)) + 1 AS length FROM (SELECT page_id, url, replace(CASE WHEN page_id % 7 = 6 THEN 'copied' ELSE html END, chr(13), '') AS html FROM pages)),
+r AS (SELECT h.*, row_number() OVER (PARTITION BY h.content_hash ORDER BY page_id) AS n, content_hash IN (SELECT content_hash FROM h WHERE page_id % 5 = 0) AS known FROM h WHERE page_id % 5 <> 0)
+SELECT page_id, length, content_hash, substring(sha256(content_hash || ':' || page_id), 1, 32) AS artifact_id, CASE WHEN known OR n > 1 THEN 'duplicate' ELSE 'new' END AS status FROM r""",
+)
+def a11_files(spark, sf_dir):
+    """Pages written as files, some alike, and taken in again from the folder."""
+    path = S.scratch_path(spark, "artifacts")
+    html = F.when(F.col("page_id") % 7 == 6, "copied").otherwise(F.col("html"))
+    table(spark, sf_dir, "pages").select("page_id", F.replace(html, F.lit("\r"), F.lit("")).alias("value")).write.partitionBy("page_id").text(path)
+    files = S.artifacts(spark, path, "*.txt").withColumn("page_id", F.col("page_id").cast("long"))
+    known = files.where("page_id % 5 = 0").select(F.sha2("content", 256).alias("content_hash"))
+    return S.intake(files.where("page_id % 5 <> 0"), known, "content", "page_id", ["page_id"]).select("page_id", "length", "content_hash", "artifact_id", "status")
+
+
 @C.add(
     "a12_stride_sample",
     """WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents),
@@ -221,11 +237,12 @@ def a12(spark, sf_dir):
     return S.stride_sample(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["doc_id"], 12)
 
 
-def event_stream(spark, sf_dir, cols):
-    """The events as a stream of small files in time order."""
+def event_stream(spark, sf_dir, cols, times=1):
+    """The events as a stream of small files in time order, all of them so many ``times``."""
     path = S.scratch_path(spark, "events")
     rows = table(spark, sf_dir, "events").select(*cols)
-    rows.repartitionByRange(6, "event_id").write.parquet(path)
+    for _ in range(times):
+        rows.repartitionByRange(6, "event_id").write.mode("append").parquet(path)
     return L.file_stream(spark, path, rows.schema, 2)
 
 
@@ -237,8 +254,8 @@ def l1(spark, sf_dir):
     cols = ["event_id", F.col("user_id").alias("entity"), F.col("event_type").alias("field"), "value", (F.col("user_id") % 3).alias("confidence")]
     known = table(spark, sf_dir, "events").select(*cols).where("event_id % 4 = 0")
     out = S.scratch_path(spark, "deltas")
-    stream = event_stream(spark, sf_dir, cols)
-    L.deltas(stream, known, ["event_id", "entity", "field"], out, S.scratch_path(spark, "cp"))
+    stream = event_stream(spark, sf_dir, cols, times=2)  # each record comes again in a later batch, and is no news then
+    L.deltas(stream, known, ["event_id", "entity", "field"], ["event_id"], out, S.scratch_path(spark, "cp"))
     return spark.read.schema(stream.schema).parquet(f"{out}/batch=*")
 
 

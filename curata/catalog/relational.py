@@ -9,6 +9,8 @@ from curata.operators import aggregate as A
 from curata.operators import serve as S
 from curata.operators import sets as G
 
+from curata.sources.files import scratch_path
+
 from . import Catalog, table
 
 C = Catalog()
@@ -359,6 +361,16 @@ def e25(spark, sf_dir):
     return A.job_counters(table(spark, sf_dir, "lineitem"), F.col("l_quantity") < 3, F.col("l_discount") == 0, F.col("l_tax") < 0.02)
 
 
+@C.add(
+    "e25_observed_write",
+    "SELECT count(*) AS n_read, count(*) FILTER (l_quantity < 3) AS n_rejected, count(*) FILTER (l_quantity >= 3 AND l_discount = 0) AS n_reused, count(*) FILTER (l_quantity >= 3 AND l_discount <> 0) AS n_inserted, count(*) FILTER (l_tax < 0.02) AS n_low, count(*) FILTER (l_quantity >= 3 AND l_discount <> 0) AS n_written FROM lineitem",
+)
+def e25_observed(spark, sf_dir):
+    path = scratch_path(spark, "inserted")
+    counts = A.observed_write(table(spark, sf_dir, "lineitem"), path, F.col("l_quantity") < 3, F.col("l_discount") == 0, F.col("l_tax") < 0.02)
+    return spark.read.parquet(path).agg(*[F.lit(v).alias(k) for k, v in counts.items()], F.count("*").alias("n_written"))
+
+
 @C.add(
     "e26_group_scores",
     "SELECT p_partkey, coalesce(CASE WHEN p_size % 2 = 0 THEN p_size END, 0) + coalesce(CASE WHEN p_size % 3 = 0 THEN p_size END, 0) AS light, coalesce(CASE WHEN p_size % 5 = 0 THEN p_size END, 0) AS dark, (p_size % 2 <> 0 AND p_size % 3 <> 0 AND p_size % 5 <> 0) AS is_zero FROM part",

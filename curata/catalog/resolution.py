@@ -85,7 +85,7 @@ scalar(
     "b20_name_parts",
     "CASE p_partkey % 3 WHEN 0 THEN concat(p_name, ' ', p_size, ' Years Sherry 46.5% batch') WHEN 1 THEN concat(p_name, ' Port Wine 43 vol') ELSE p_name END",
     lambda c: {"age": M.age_of(c), "abv": M.abv_of(c), "cask": M.cask_of(c), "clean": M.stripped_name(c)},
-    r"try_cast(regexp_extract(lower(raw), '\b(\d{1,2})\b\s*(?:years|year|yo|y\.o\.|y|old)', 1) AS INT) AS age, try_cast(regexp_extract(lower(raw), '\b(\d{2}(?:\.\d+)?)\s*(?:%|vol)', 1) AS DOUBLE) AS abv, "
+    r"try_cast(regexp_extract(lower(raw), '\b(\d{1,2})\b\s*(?:years|year|yo|y\.o\.|y|old)', 1) AS INT) AS age, try_cast(regexp_extract(lower(raw), '\b(\d{2}(?:\.\d+)?)\s*(?:%|vol)\b', 1) AS DOUBLE) AS abv, "
     "CASE p_partkey % 3 WHEN 0 THEN 'sherry' WHEN 1 THEN 'port, wine' ELSE 'standard' END AS cask, "
     + r"trim(regexp_replace(replace(regexp_replace(regexp_replace(lower(raw), '\b\d{1,2}\b\s*(?:years|year|yo|y\.o\.|y|old)', '', 'g'), '\b\d{2}(?:\.\d+)?\s*(?:%|vol)\b', '', 'g'), 'batch', ''), '\s+', ' ', 'g')) AS clean",
 )
@@ -189,8 +189,7 @@ def d8(spark, sf_dir):
 
 FUZZY_SQL = f"""reg AS (SELECT min(p_partkey) AS id, arg_min(p_size, p_partkey)::INT AS age, {match_sql("arg_min(" + NAME + ", p_partkey)")} AS text FROM part WHERE p_partkey % 3 <> 0 GROUP BY p_name, p_brand),
 src AS (SELECT p_partkey AS src_id, {match_sql(TYPO)} AS src_text, p_size AS src_age FROM part),
-pairs AS (SELECT src.* EXCLUDE (sb), reg.* EXCLUDE (rb), 1 - levenshtein(src_text, text)::DOUBLE / greatest(length(src_text), length(text), 1) AS score FROM (SELECT *, {block_sql("src_text")} AS sb FROM src) AS src JOIN (SELECT *, {block_sql("text")} AS rb FROM reg) AS reg
- ON sb = rb OR (sb NOT IN (SELECT {block_sql("text")} FROM reg) AND src_text <> '' AND text <> '') WHERE least(length(src_text), length(text))::DOUBLE / greatest(length(src_text), length(text), 1) >= 0.78),
+pairs AS (SELECT src.*, reg.*, 1 - levenshtein(src_text, text)::DOUBLE / greatest(length(src_text), length(text), 1) AS score FROM src JOIN reg ON least(length(src_text), length(text))::DOUBLE / greatest(length(src_text), length(text), 1) >= 0.78),
 p AS (SELECT * FROM pairs WHERE score >= 0.82 - 0.04),
 r AS (SELECT *, row_number() OVER w AS n, coalesce(lead(score) OVER w, 0.0) AS second FROM p WINDOW w AS (PARTITION BY src_id ORDER BY score DESC, id))"""
 
@@ -239,7 +238,7 @@ def d10(spark, sf_dir):
     f"WITH {FUZZY_SQL} SELECT src_id, id, round(score, 6) AS score, round(second, 6) AS runner_up, round(score - second, 6) AS margin FROM r WHERE n = 1",
 )
 def f1(spark, sf_dir):
-    best = R.best_of(R.blocked_pairs(sources(spark, sf_dir), registry(spark, sf_dir)), "src_id", "score", "id")
+    best = R.best_of(R.similar_pairs(sources(spark, sf_dir), registry(spark, sf_dir)), "src_id", "score", "id")
     return best.select("src_id", "id", *[F.round(c, 6).alias(c) for c in ("score", "runner_up", "margin")])
 
 
@@ -341,12 +340,12 @@ def d21(spark, sf_dir):
 
 @C.add(
     "d22_minted",
-    """WITH n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_partkey < 30)),
-t AS (SELECT max(p_partkey) AS top FROM part WHERE p_partkey < 30) SELECT top + row_number() OVER (ORDER BY substring(sha256(name), 1, 2), name) AS id, name FROM n, t""",
+    """WITH n AS (SELECT DISTINCT p_name AS name FROM part WHERE length(p_name) % 2 = 1),
+t AS (SELECT max(p_partkey) AS top FROM part WHERE length(p_name) % 2 = 0) SELECT top + row_number() OVER (ORDER BY substring(sha256(name), 1, 2), name) AS id, name FROM n, t""",
 )
 def d22(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return R.minted(p, p.where("id < 30"), "name", "id")
+    return R.minted(p, p.where("length(name) % 2 = 0"), "name", "id")
 
 
 @C.add(
@@ -401,7 +400,7 @@ def d29(spark, sf_dir):
     "d17_mentions",
     """WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM documents),
 g AS (SELECT doc_id, text, unnest(list_distinct(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])))) AS term FROM w)
-SELECT doc_id, term, substring(text, greatest(instr(lower(text), term) - 100, 1), length(term) + 200) AS context FROM g WHERE term IN ('general public license', 'license', 'of the', 'eriner', 'than')""",
+SELECT doc_id, term, substring(text, greatest(length(regexp_extract(' ' || lower(text), '(?s)^(.*?[^a-z0-9])' || replace(term, ' ', '[^a-z0-9]+') || '(?:[^a-z0-9]|$)', 1)) - 100, 1), length(term) + 200) AS context FROM g WHERE term IN ('general public license', 'license', 'of the', 'eriner', 'than')""",
 )
 def d17(spark, sf_dir):
     lexicon = spark.createDataFrame([(t,) for t in ("license", "of the", "eriner", "than")], "term string")

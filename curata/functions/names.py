@@ -116,7 +116,7 @@ def age_of(c: Column) -> Column:
 
 
 def abv_of(c: Column) -> Column:
-    return F.regexp_extract(F.lower(c), r"\b(\d{2}(?:\.\d+)?)\s*(?:%|vol)", 1).try_cast("double")
+    return F.regexp_extract(F.lower(c), r"\b(\d{2}(?:\.\d+)?)\s*(?:%|vol)\b", 1).try_cast("double")
 
 
 def cask_of(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -145,11 +145,32 @@ def fill_rate(bridge: DataFrame, entities: DataFrame, key: str, places: int = 6)
     return entities.agg(F.count("*").alias("n")).crossJoin(F.broadcast(have)).withColumn("rate", F.round(F.col("n_linked") / F.col("n"), places))
 
 
-def spread(df: DataFrame, by: str, value: str, places: int = 6) -> DataFrame:
-    """Median and range."""
-    return df.groupBy(by).agg(
-        F.round(F.median(value), places).alias("median"), F.min(value).alias("lowest"), F.max(value).alias("highest"), F.count(value).alias("n")
+def spread(df: DataFrame, by: str, value: str, places: int = 6, slices: int = 64) -> DataFrame:
+    """Exact median (the mean of the two middles of an even count) and range of each group.
+
+    One pass takes each group's number, range and rough quantiles (a sketch of bounded size), another counts the values between
+    these; only the slices that hold a middle are then ordered, so of a group of any size about one part in ``slices`` meets in a task. Equal values
+    count as one row. Nulls are left out; a group of nulls has null and 0.
+    """
+    steps = [i / slices for i in range(1, slices)]
+    whole = df.groupBy(by).agg(
+        F.percentile_approx(value, steps, 10_000).alias("_edges"), F.min(value).alias("lowest"), F.max(value).alias("highest"), F.count(value).alias("n")
     )
+    ends = whole.select(F.col(by).alias("_g"), "_edges", F.floor((F.col("n") - 1) / 2).alias("_lower"), F.floor(F.col("n") / 2).alias("_upper"))
+    each = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c")).join(ends, F.col(by).eqNullSafe(F.col("_g")))
+    each = each.withColumn("_s", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges", by)
+    w = Window.partitionBy("_g").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    held = each.groupBy("_g", "_s").agg(F.sum("_c").alias("_n"), F.first("_lower").alias("_l"), F.first("_upper").alias("_u"))  # ``slices`` rows a group
+    held = held.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    within = lambda rank, start, n: (F.col(rank) >= F.col(start)) & (F.col(rank) < F.col(start) + F.col(n))
+    middle = held.where(within("_l", "_before", "_n") | within("_u", "_before", "_n")).select(F.col("_g").alias("_h"), F.col("_s").alias("_t"), "_before")
+    near = each.join(middle, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_s") == F.col("_t")))
+    inside = Window.partitionBy("_g", "_s").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    pick = lambda rank: F.max(F.when(within(rank, "_at", "_c"), F.col(value)))
+    median = near.groupBy("_g").agg(((pick("_lower") + pick("_upper")) / 2).alias("_m"))
+    met = whole.join(median, F.col(by).eqNullSafe(F.col("_g")), "left")
+    return met.select(by, F.round("_m", places).alias("median"), "lowest", "highest", "n")
 
 
 def histogram(df: DataFrame, value: str, edges: tuple[float, ...]) -> DataFrame:
@@ -198,15 +219,26 @@ def source_yield(candidates: DataFrame, covered: DataFrame, source: str, key: st
     return met.groupBy(source).agg(F.count("*").alias("n_found"), F.count_if(F.col("_seen").isNull()).alias("n_new"))
 
 
-def job_counters(df: DataFrame, rejected: Column, reused: Column, low: Column) -> DataFrame:
-    """E25."""
-    return df.agg(
-        F.count("*").alias("n_read"),
+def _counters(rejected: Column, reused: Column, low: Column) -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("n_read"),
         F.count_if(rejected).alias("n_rejected"),
         F.count_if(~rejected & reused).alias("n_reused"),
         F.count_if(~rejected & ~reused).alias("n_inserted"),
         F.count_if(low).alias("n_low"),
-    )
+    ]
+
+
+def job_counters(df: DataFrame, rejected: Column, reused: Column, low: Column) -> DataFrame:
+    """The counters of a finished job."""
+    return df.agg(*_counters(rejected, reused, low))
+
+
+def observed_write(df: DataFrame, path: str, rejected: Column, reused: Column, low: Column) -> dict[str, int]:
+    """E25 in flight: the rows that are inserted go to ``path``, and the same pass over the input counts; returns the counters."""
+    seen = Observation()
+    df.observe(seen, *_counters(rejected, reused, low)).where(~rejected & ~reused).write.parquet(path)
+    return seen.get
 
 
 def group_scores(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:

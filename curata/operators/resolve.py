@@ -1,18 +1,20 @@
 """Joins and entity resolution.
 
-String similarity is only ever computed on pairs that share a block key, an equi-join that Spark can split where a
-key is hot; nothing is compared all against all.
+String similarity is only ever computed on pairs that share a key (a piece of text, a token or a block key), an equi-join that Spark
+can split where a key is hot; nothing is compared all against all.
 """
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
 from functools import reduce
+from math import ceil
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 from pyspark.sql.window import Window
 
 from curata.functions import names as M
@@ -29,8 +31,6 @@ NO_TOKENS = (
     "year", "old", "yo", "yr", "yrs", "years", "distillery", "company", "co",
 )
 
-#: Letters that are counted together to bound an edit distance.
-LETTER_GROUPS = ("ae", "iou", "rst", "lnd", "bcfghjk", "01234", "56789")
 #: Terms of a lexicon that may go into an expression.
 LEXICON_ROWS = 1000
 
@@ -58,13 +58,18 @@ def best_of(pairs: DataFrame, source: str, score: str, tie: str) -> DataFrame:
     return ranked.where("_n = 1").drop("_n").withColumn("margin", F.col(score) - F.col("runner_up"))
 
 
-def longest_prefix(rows: DataFrame, text: str, dimension: DataFrame, label: str, key: str, source: str) -> DataFrame:
-    """The longest label that the text begins with; both sides meet on their first word."""
-    word = lambda c: F.lower(F.substring_index(F.col(c), " ", 1))
-    left, right = rows.withColumn("_w", word(text)), dimension.select(label, key).withColumn("_w", word(label))
-    met = left.join(right, "_w").where(F.startswith(F.lower(text), F.lower(label)))
-    place = F.row_number().over(Window.partitionBy(source).orderBy(F.desc(F.length(label)), key))
-    return met.withColumn("_n", place).where("_n = 1").select(source, key, label)
+def longest_prefix(rows: DataFrame, text: str, dimension: DataFrame, label: str, key: str, source: str, most_lengths: int = 10_000) -> DataFrame:
+    """The longest label that the text begins with, case-blind. A text meets the labels by equality of its prefixes, one of each length that a
+    label has, so no more rows meet than texts times lengths, whatever the labels share."""
+    labels = dimension.select(label, key).withColumn("_p", F.lower(label))
+    lengths = sorted(r[0] for r in labels.where("_p is not null").select(F.length("_p")).distinct().limit(most_lengths + 1).collect())
+    if len(lengths) > most_lengths:
+        raise ValueError(f"labels have more than {most_lengths} different lengths")
+    low = F.lower(F.col(text))
+    fits = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(low))
+    met = rows.select("*", F.explode(F.transform(fits, lambda n: F.substr(low, F.lit(1), n))).alias("_p")).join(labels, "_p")
+    best = met.groupBy(source).agg(F.max_by(F.struct(key, label), F.struct(F.length("_p"), -F.col(key))).alias("_b"))
+    return best.select(source, "_b.*")
 
 
 def enriched(rows: DataFrame, lookup: DataFrame, key: str, name: str, value: str) -> DataFrame:
@@ -123,22 +128,134 @@ def similarity(a: Column, b: Column, kind: str = "levenshtein") -> Column:
     return _indel_ratio(a, b) if kind == "indel" else _sequence_ratio(a, b)
 
 
-def blocked_pairs(sources: DataFrame, registry: DataFrame, kind: str = "levenshtein", least: float = MANUAL - MARGIN_REVIEW) -> DataFrame:
-    """Pairs of sources (src_id, src_text, src_age) and registry (id, text, age) under one block key, scored.
+def _edits(length: int, least: float) -> int:
+    """The most edits between a text of ``length`` letters and any text as similar as ``least``, shorter or longer."""
+    return int((1 - least) * int(length / least + 1e-9) + 1e-9)
+
+
+def cheapest_cuts(costs: list[int], length: int, parts: int, widest: int) -> list[int]:
+    """Where to cut a text into ``parts`` pieces of at most ``widest`` letters so that the sum of their costs is least; ``costs`` has
+    those of all pieces by place, then width."""
+    at, first = 0, []
+    for i in range(length):
+        first.append(at)
+        at += min(widest, length - i)
+    best, came = {0: 0}, []
+    for k in range(parts):
+        reached: dict[int, tuple[int, int]] = {}
+        for i, cost in best.items():
+            for n in range(1, min(widest, length - i - (parts - 1 - k)) + 1):
+                found = (cost + costs[first[i] + n - 1], i)
+                if i + n not in reached or found < reached[i + n]:
+                    reached[i + n] = found
+        came.append(reached)
+        best = {j: c for j, (c, _) in reached.items()}
+    cuts, j = [], length
+    for reached in reversed(came):
+        j = reached[j][1]
+        cuts.append(j)
+    return cuts[::-1]
+
+
+def edit_distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Edit distances of pairs of texts, all pairs of a batch at once: a row of the table is the bits of a word (long texts go one by one)."""
+    out = np.zeros(len(a), np.int64)
+    short = np.array([0 < len(x) <= 63 for x in a], bool)
+    for i in np.flatnonzero(~short):
+        row = list(range(len(b[i]) + 1))
+        for k, x in enumerate(a[i], 1):
+            diagonal, row[0] = row[0], k
+            for j, y in enumerate(b[i], 1):
+                diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
+        out[i] = row[-1]
+    rows = np.flatnonzero(short)
+    if not len(rows):
+        return out
+    left, lefts = pd.factorize(np.array([a[i] for i in rows], object))
+    right, rights = pd.factorize(np.array([b[i] for i in rows], object))
+    flat = lambda texts: np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    known = np.unique(np.concatenate([flat(lefts), flat(rights)]))
+
+    def table(texts):
+        ends = np.array([len(t) for t in texts])
+        out = np.zeros((len(texts), max(ends, default=0)), np.int64)
+        out[np.arange(out.shape[1]) < ends[:, None]] = np.searchsorted(known, flat(texts))
+        return out, ends
+
+    (own, own_ends), (letters, ends) = table(lefts), table(rights)
+    places = np.zeros((len(lefts), len(known)), np.uint64)
+    for i in range(own.shape[1]):
+        there = np.flatnonzero(own_ends > i)
+        places[there, own[there, i]] |= np.uint64(1 << i)
+    widest = letters.shape[1]
+    one = np.uint64(1)
+    size = own_ends.astype(np.int64)[left]
+    top = (size - 1).astype(np.uint64)
+    up, down = np.full(len(rows), ~np.uint64(0)), np.zeros(len(rows), np.uint64)
+    for j in range(widest):
+        same = places[left, letters[right, j]]
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | ~(across | up), up & across
+        size += (((more >> top) & one).astype(np.int64) - ((less >> top) & one).astype(np.int64)) * (j < ends[right])
+        more, less, same = (more << one) | one, less << one, same | down
+        up, down = less | ~(same | more), more & same
+    out[rows] = size
+    return out
+
+
+@F.pandas_udf(IntegerType())
+def _edits_between(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(edit_distances(a.tolist(), b.tolist()), dtype="int32")
+
 
-    A source whose block key the registry does not have, such as one with its first word misspelt, meets the registry rows that share
-    any of its tokens instead. Equal source texts are scored once and spread over all tasks, so that a common block key fills none. Bounds
-    spare the costly ratio: equal letters cannot be more than the shorter text, an edit changes the number of letters of a group by one,
-    the edit distance stops where it is too large, and whatever scores below ``least`` can neither win nor, as runner-up, change a margin
-    that decides.
+def similar_pairs(sources: DataFrame, registry: DataFrame, least: float = MANUAL - MARGIN_REVIEW) -> DataFrame:
+    """All pairs of sources (src_text ...) and registry (id, text ...) whose edit similarity is ``least`` or more, scored; there is no block.
+
+    If a registry text may be t edits away from a source, one of t + 1 pieces of it stands in the source unchanged, moved by no more letters than
+    pieces lie before it or edits are left behind it. So pieces meet the pieces of sources by equality, and only pairs that meet are
+    compared. Each registry text is cut where its pieces are rarest in the registry, whatever the counts no pair is lost: pieces are
+    short (``widest`` letters), so a text has as many as letters times widths.
     """
-    groups = range(len(LETTER_GROUPS))
-    counted = lambda df, c, name: df.withColumns({f"{name}{i}": F.length(c) - F.length(F.translate(c, g, "")) for i, g in enumerate(LETTER_GROUPS)})
+    widest = ceil(least / (1 - least)) + 4
+
+    def pieces(text: Column) -> Column:
+        each = lambda n: F.transform(F.sequence(F.lit(0), F.length(text) - n), lambda i: F.struct(i.alias("at"), F.substr(text, i + 1, F.lit(n)).alias("piece")))
+        return F.inline(F.flatten(F.array(*[F.when(F.length(text) >= n, each(n)).otherwise(F.array().cast("array<struct<at:int,piece:string>>")) for n in range(1, widest + 1)])))
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def cuts(texts: pd.Series, costs: pd.Series) -> pd.Series:
+        return pd.Series([cheapest_cuts([int(x) for x in c], len(t), _edits(len(t), least) + 1, widest) for t, c in zip(texts, costs, strict=True)])
+
+    tasks = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), sources.sparkSession.sparkContext.defaultParallelism)
+    texts = sources.select(F.col("src_text").alias("_text")).where("_text <> ''").distinct().repartition(tasks, "_text")
+    own = registry.select("text").where("text <> ''").distinct().select("text", pieces(F.col("text")))
+    counts = own.groupBy("piece").agg(F.count("*").alias("_n"))
+    cost = F.struct("at", F.length("piece").alias("width"), F.col("_n").alias("cost"))
+    costed = own.join(counts, "piece").groupBy("text").agg(F.array_sort(F.collect_list(cost)).alias("_c"))
+    cut = costed.select("text", cuts("text", F.col("_c.cost")).alias("_cuts"))
+    cut = cut.select("text", F.size("_cuts").alias("_k"), "_cuts", F.posexplode("_cuts").alias("_i", "_from"))
+    end = F.coalesce(F.get("_cuts", F.col("_i") + 1), F.length("text"))
+    index = cut.select("text", "_k", "_i", "_from", F.substr(F.col("text"), F.col("_from") + 1, end - F.col("_from")).alias("piece"), F.length("text").alias("_bn"))
+    moved, longest, behind = F.col("at") - F.col("_from"), F.greatest("_an", "_bn"), F.col("_k") - 1 - F.col("_i")
+    met = texts.select("_text", F.length("_text").alias("_an"), pieces(F.col("_text"))).join(index, "piece")
+    met = met.where((F.abs(moved) <= F.col("_i")) & (F.abs(moved - F.col("_an") + F.col("_bn")) <= behind) & (F.least("_an", "_bn") / longest >= least))
+    near = met.select("_text", "text", longest.alias("_l"), _edits_between("_text", "text").alias("_d"))
+    scored = near.select("_text", "text", (1 - F.col("_d") / F.col("_l")).alias("score")).where(F.col("score") >= least).distinct()
+    return sources.join(scored, F.col("src_text") == F.col("_text")).drop("_text").join(registry, "text")
+
+
+def blocked_pairs(sources: DataFrame, registry: DataFrame, kind: str = "sequence", least: float = MANUAL - MARGIN_REVIEW) -> DataFrame:
+    """Pairs of sources (src_id, src_text, src_age) and registry (id, text, age), scored.
+
+    Edit similarity takes all pairs (``similar_pairs``). The other ratios, for which edits bound too little, take pairs under one block key; a
+    source whose block key the registry does not have, such as one with its first word misspelt, meets the registry rows that share
+    any of its tokens instead. Equal source texts are scored once and spread over all tasks, so that a common block key fills none.
+    """
+    if kind == "levenshtein":
+        return similar_pairs(sources, registry, least)
     tasks = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), sources.sparkSession.sparkContext.defaultParallelism)
     texts = sources.select(F.col("src_text").alias("_text")).distinct().withColumn("block", M.block_key(F.col("_text")))
     parts = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda t: t != ""))
-    if kind == "levenshtein":
-        texts, registry = counted(texts, F.col("_text"), "_a"), counted(registry, F.col("text"), "_b")
     own = [c for c in texts.columns if c != "block"]
     keyed = registry.withColumns({"block": M.block_key(F.col("text")), "_t": parts(F.col("text"))})
     known = keyed.select("block").distinct()
@@ -149,17 +266,8 @@ def blocked_pairs(sources: DataFrame, registry: DataFrame, kind: str = "levensht
     by_token = by_token.where(F.col("_k") == F.array_min(F.array_intersect("_s", "_t")))
     met = under.unionByName(by_token.drop("_k", "_s", "_t"))
     la, lb = F.length("_text"), F.length("text")
-    longest = F.greatest(la, lb, F.lit(1))
-    if kind == "levenshtein":
-        most = F.floor((1 - least) * longest + 1e-9).cast("int")
-        more, fewer = (reduce(lambda x, y: x + y, (F.greatest(F.col(f"{a}{i}") - F.col(f"{b}{i}"), F.lit(0)) for i in groups)) for a, b in (("_a", "_b"), ("_b", "_a")))
-        near = met.where((F.least(la, lb) / longest >= least) & (F.greatest(more, fewer) <= most))
-        near = near.drop(*[f"{n}{i}" for n in ("_a", "_b") for i in groups])
-        near = near.withColumn("_d", F.call_function("levenshtein", F.col("_text"), F.col("text"), most))
-        scored = near.where("_d >= 0").withColumn("score", 1 - F.col("_d") / longest).drop("_d")
-    else:
-        bound = 2 * F.least(la, lb) / F.greatest(la + lb, F.lit(1))
-        scored = met.where(bound >= least).withColumn("score", similarity(F.col("_text"), F.col("text"), kind))
+    bound = 2 * F.least(la, lb) / F.greatest(la + lb, F.lit(1))
+    scored = met.where(bound >= least).withColumn("score", similarity(F.col("_text"), F.col("text"), kind))
     scored = scored.where(F.col("score") >= least)
     return sources.join(scored, F.col("src_text") == F.col("_text")).drop("_text")
 
@@ -188,8 +296,9 @@ def ladder(best: DataFrame) -> DataFrame:
 
 
 def fuzzy_resolved(sources: DataFrame, registry: DataFrame, kind: str = "levenshtein") -> DataFrame:
-    """src_id, entity_id, status, confidence of every source row. Rows whose block is empty are unmatched."""
-    best = ladder(best_of(blocked_pairs(sources, registry, kind), "src_id", "score", "id"))
+    """src_id, entity_id, status, confidence of every source row. Rows without a similar one are unmatched."""
+    # No runner-up below MANUAL can take a margin away that a status asks for.
+    best = ladder(best_of(blocked_pairs(sources, registry, kind, MANUAL), "src_id", "score", "id"))
     found = best.where("status <> 'unmatched'").select("src_id", F.col("id").alias("entity_id"), "status", F.round("score", 3).alias("confidence"))
     met = sources.select("src_id").join(found, "src_id", "left")
     return met.select("src_id", "entity_id", F.coalesce("status", F.lit("unmatched")).alias("status"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
@@ -394,9 +503,11 @@ def backfilled(rows: DataFrame, by_name: DataFrame, by_owner: DataFrame, target:
 
 
 def mentions(pages: DataFrame, lexicon: DataFrame, key: str, text: str, most_words: int = 3, context: int = 100) -> DataFrame:
-    """Lexicon terms in texts as whole words, once per (page, term) with the first context; n-grams meet the terms by equality.
+    """Lexicon terms in texts as whole words, once per (page, term) with the context of the first whole-word hit; n-grams meet the terms
+    by equality.
 
-    A lexicon of up to ``LEXICON_ROWS`` terms goes into the scan, which then emits hits with their context only; a larger one is joined.
+    A lexicon of up to ``LEXICON_ROWS`` terms goes into the scan, which then emits hits with their context only; a larger one is joined,
+    and its hits go back to their pages by a hash of key and text. Pages that repeat a key, or key and text, are pages of their own either way.
     """
     terms = lexicon.select("term").distinct()
     known = [r["term"] for r in terms.limit(LEXICON_ROWS + 1).collect()]
@@ -420,7 +531,10 @@ def mentions(pages: DataFrame, lexicon: DataFrame, key: str, text: str, most_wor
         return pages.select(key, F.lit("").alias("term"), F.lit("").alias("context")).limit(0)
     found = tokens.select(key, F.col(text).alias("_t"), F.explode(F.array_distinct(F.flatten(F.array(*map(grams, sizes))))).alias("term"))
     if not small:
-        found = found.drop("_t").join(terms, "term").join(pages.select(key, F.col(text).alias("_t")), key)
-    at = F.position(F.col("term"), F.lower("_t"))
+        own = (F.xxhash64(key, "_t").alias("_h1"), F.xxhash64(F.lit(1), key, "_t").alias("_h2"))
+        hits = found.select("term", *own).join(terms, "term").distinct()
+        found = pages.select(key, F.col(text).alias("_t")).select("*", *own).join(hits, ["_h1", "_h2"])
+    whole = F.concat(F.lit("(?<![a-z0-9])"), F.replace(F.col("term"), F.lit(" "), F.lit("[^a-z0-9]+")), F.lit("(?![a-z0-9])"))
+    at = F.regexp_instr(F.lower("_t"), whole)
     around = F.substring(F.col("_t"), F.greatest(at - context, F.lit(1)), F.length("term") + 2 * context)
     return found.select(key, "term", around.alias("context"))

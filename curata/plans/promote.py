@@ -1,7 +1,7 @@
 """Promotion plans and snapshot writes (J1-J16): inserts only, with checks before anything is written.
 
 A plan is a DataFrame; nothing here changes a table in place. ``write_snapshot`` writes a whole new directory and
-then moves a pointer file, so a reader sees the old state or the new one.
+then a new numbered pointer to it; the largest that is complete counts, so a reader sees the old state or the new one, also after a crash.
 """
 
 from __future__ import annotations
@@ -70,6 +70,15 @@ def merge_plan(decisions: DataFrame, groups: DataFrame, excluded: tuple[str, ...
     return pairs.where("survivor <> variant").distinct()
 
 
+def settled(merges: DataFrame) -> DataFrame:
+    """A merge plan (survivor, variant) with one survivor a variant (the smallest of several) at the end of its chain; variants in a cycle
+    are left out and so keep their rows."""
+    from curata.plans.quality import survivors
+
+    one = merges.groupBy(F.col("variant").alias("source")).agg(F.min("survivor").alias("target"))
+    return survivors(one).where("survivor is not null").select("survivor", F.col("source").alias("variant"))
+
+
 def remapped(table: DataFrame, merges: DataFrame, key: str) -> DataFrame:
     """Dependants of variants under their survivor."""
     met = table.join(merges.select(F.col("variant").alias("_v"), "survivor"), F.col(key) == F.col("_v"), "left")
@@ -93,7 +102,8 @@ def upserted(current: DataFrame, changes: DataFrame, key: str, sequence: str) ->
     """The change with the highest sequence replaces the row; a state that keeps the sequence is not set back by older changes."""
     held = F.coalesce(F.col(sequence), F.lit(-1)) if sequence in current.columns else F.lit(-1)
     both = current.withColumn("_seq", held.cast("long")).unionByName(changes.withColumn("_seq", F.col(sequence).cast("long")).select(*current.columns, "_seq"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_seq")))
+    rest = [F.desc(c) for c in current.columns if c not in (key, sequence)]  # equal sequences: the largest other columns
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_seq"), *rest))
     return both.withColumn("_n", place).where("_n = 1").select(*current.columns)
 
 
@@ -176,18 +186,33 @@ def sane_keys(df: DataFrame, key: str, column: str, pattern: str) -> tuple[DataF
     return df.withColumn(column, F.when(ok, F.col(column))), df.where(F.col(column).isNotNull() & ~ok).select(key, F.col(column).alias("old"))
 
 
+def _pointers(spark: SparkSession, root: str) -> list[str]:
+    """Complete pointer folders, oldest first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/pointers/*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(str(f.getPath().getParent().toString()) for f in found)
+
+
+def _point(spark: SparkSession, root: str, name: str) -> None:
+    """The next pointer: a folder of its own, so the one before stays until and after this one is complete."""
+    known = _pointers(spark, root)
+    number = int(known[-1].rsplit("/", 1)[1].split("-")[0]) + 1 if known else 0
+    spark.createDataFrame([(name,)], "name string").coalesce(1).write.json(f"{root}/pointers/{number:012d}-{uuid.uuid4().hex}")
+
+
 def write_snapshot(spark: SparkSession, df: DataFrame, root: str) -> str:
     """The state as a new directory below ``root``, then the pointer to it; returns its name."""
     name = f"snapshot-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{name}")
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    _point(spark, root, name)
     return name
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{spark.read.schema('name string').json(f'{root}/current').first()['name']}")
+    """The state that the newest complete pointer names."""
+    return spark.read.parquet(f"{root}/{spark.read.schema('name string').json(_pointers(spark, root)[-1]).first()['name']}")
 
 
 def roll_back(spark: SparkSession, root: str, name: str) -> None:
-    """The pointer moves back to an earlier snapshot."""
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    """A new pointer to an earlier snapshot."""
+    _point(spark, root, name)

@@ -135,14 +135,16 @@ def supersession_faults(edges: DataFrame, entities: DataFrame, key: str) -> Data
     return met.select("source", "target", fault.alias("fault")).where("fault is not null").distinct()
 
 
-def survivors(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(source, survivor): supersession chains followed to their end by doubling; cycles end after ``rounds``.
+def survivors(edges: DataFrame) -> DataFrame:
+    """(source, survivor): supersession chains followed to their end by doubling; null for members of a cycle of any length and what leads
+    into one, as no entity there survives.
 
-    Each round is written to the shared folder, so lineage stays one round deep.
+    Once 2 ** rounds exceeds the number of edges every chain has ended. Each round is written to the shared folder, so lineage
+    stays one round deep.
     """
     spark = edges.sparkSession
     at = edges.select("source", F.col("target").alias("survivor"))
-    for _ in range(rounds):
+    for _ in range(edges.count().bit_length() + 1):
         onward = at.select(F.col("source").alias("_s"), F.col("survivor").alias("_next"))
         moved = at.join(onward, F.col("survivor") == F.col("_s"), "left")
         path = scratch_path(spark, "survivors")
@@ -151,7 +153,9 @@ def survivors(edges: DataFrame, rounds: int = 20) -> DataFrame:
         at = done.select("source", "survivor")
         if done.where("_moved").isEmpty():
             break
-    return at
+    again = edges.select(F.col("source").alias("_s")).distinct()
+    ended = at.join(again, F.col("survivor") == F.col("_s"), "left")
+    return ended.select("source", F.when(F.col("_s").isNull(), F.col("survivor")).alias("survivor"))
 
 
 def template_values(df: DataFrame, columns: list[str], least: int) -> DataFrame:

@@ -327,6 +327,12 @@ def intake(artifacts: DataFrame, known: DataFrame, content: str, source: str, or
     return met.withColumn("_n", place).withColumns({"artifact_id": ident, "status": status}).drop("_known", "_n")
 
 
+def artifacts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Files below a folder as artifacts: path, modified, length, content (bytes); columns of the folder's partitions are kept."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", pattern).load(path)
+    return found.withColumnRenamed("modificationTime", "modified")
+
+
 def stride_sample(df: DataFrame, by: str, order: list[str], cap: int, slices: int = 256) -> DataFrame:
     """Of each group the first, the last and every n-th row, n so that about ``cap`` stay, and no more than that.
 

@@ -34,16 +34,38 @@ def _batch_sink(out: str, made: Callable[[DataFrame], DataFrame]) -> Callable[[D
     return write
 
 
-def deltas(stream: DataFrame, known: DataFrame, keys: list[str], out: str, checkpoint: str) -> None:
-    """L1: rows whose (value, confidence) differs from the last known one of their key."""
-    k = known.select(*keys, F.col("value").cast("string").alias("_v"), F.col("confidence").alias("_c"))
-
-    def changed(df: DataFrame) -> DataFrame:
-        met = df.join(k, keys, "left")
-        same = (F.col("value").cast("string") == F.col("_v")) & (F.col("confidence") == F.col("_c"))
-        return met.where(~F.coalesce(same, F.lit(False))).drop("_v", "_c")
-
-    drain(stream, _batch_sink(out, changed), checkpoint)
+def _news(keys: list[str], order: list[str], columns: list[str]):
+    def run(key, frames, state: GroupState):
+        """Rows of one key, in order, that differ from the last; the last is kept for later batches."""
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        first = rows.iloc[0]
+        last = tuple(state.get) if state.exists else (first["_v"], first["_c"]) if first["_known"] else None
+        plain = lambda v, c: (None if pd.isna(v) else v, None if pd.isna(c) else float(c))
+        last, news = last and plain(*last), []
+        for value, confidence in zip(rows["_value"], rows["confidence"], strict=True):
+            now = plain(value, confidence)
+            # Null equals nothing, as in a comparison of columns.
+            news.append(last is None or None in now or now != last)
+            last = now
+        state.update(last)
+        if any(news):
+            yield rows[news][columns]
+
+    return run
+
+
+def deltas(stream: DataFrame, known: DataFrame, keys: list[str], order: list[str], out: str, checkpoint: str) -> None:
+    """L1: rows whose (value, confidence) differs from the last known one of their key: that of an earlier row of the stream, in whatever batch, else
+    that of ``known``. The last one of each key is kept in the state store, so a query that is started again continues."""
+    k = known.groupBy(*keys).agg(F.max(F.struct(*order, F.col("value").cast("string").alias("_v"), F.col("confidence").alias("_c"))).alias("_k"))
+    k = k.select(*keys, "_k._v", F.col("_k._c").cast("double").alias("_c"), F.lit(True).alias("_known"))
+    met = stream.join(k, keys, "left").withColumns({"_known": F.coalesce("_known", F.lit(False)), "_value": F.col("value").cast("string")})
+    found = met.groupBy(*keys).applyInPandasWithState(
+        _news(keys, order, stream.columns), stream.schema, "value string, confidence double", "update", GroupStateTimeout.NoTimeout
+    )
+    sink = _batch_sink(out, lambda df: df)
+    query = found.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def _track(key, frames, state: GroupState):

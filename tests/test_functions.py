@@ -123,3 +123,102 @@ def test_registry_takes_new_normalisers(spark):
     reg = [*N.REGISTRY, ("colour", N.tidy, "colour")]
     row = spark.createDataFrame([("colour", " deep  gold ")], "f string, v string")
     assert row.select(N.dispatch(F.col("f"), F.col("v"), reg).alias("o")).first()["o"]["value"] == "deep gold"
+
+
+def test_a_crash_between_snapshot_and_pointer_keeps_the_state(spark, tmp_path):
+    root = str(tmp_path / "crash")
+    P.write_snapshot(spark, spark.range(3), root)
+    spark.range(5).write.parquet(f"{root}/snapshot-lost")  # written, never pointed to
+    half = tmp_path / "crash" / "pointers" / "000000000001-half"
+    half.mkdir()
+    (half / "part-0.json").write_text('{"name": "snapshot-lost"}')  # a pointer without its success mark
+    assert P.read_snapshot(spark, root).count() == 3
+    P.write_snapshot(spark, spark.range(7), root)
+    assert P.read_snapshot(spark, root).count() == 7
+
+
+def test_merges_are_settled_and_conserve_rows(spark):
+    merges = spark.createDataFrame([(2, 1), (3, 2), (9, 1), (4, 5), (5, 6), (6, 4), (8, 7)], "survivor long, variant long")
+    one = P.settled(merges)
+    assert {(r.variant, r.survivor) for r in one.collect()} == {(1, 3), (2, 3), (7, 8)}
+    table = spark.createDataFrame([(k % 10, k) for k in range(40)], "id long, n long")
+    got = P.remapped(table, one, "id").collect()
+    to = {1: 3, 2: 3, 7: 8}
+    assert sorted((r.n, r.id) for r in got) == [(k, to.get(k % 10, k % 10)) for k in range(40)]
+
+
+def test_no_one_survives_a_cycle(spark):
+    from curata.plans import quality as Q
+
+    edges = [(1, 2), (2, 3), (3, 1), (4, 1), (5, 5), (6, 7), (7, 6), (10, 11), (11, 12), (20, 21), (21, 22), (22, 23), (23, 20)]
+    got = {r.source: r.survivor for r in Q.survivors(spark.createDataFrame(edges, "source long, target long")).collect()}
+    assert got == {s: 12 if s in (10, 11) else None for s, _ in edges}
+    chain = [(k, k + 1) for k in range(70)]
+    assert {r.survivor for r in Q.survivors(spark.createDataFrame(chain, "source long, target long")).collect()} == {70}
+
+
+def test_upserts_break_ties_by_the_other_columns(spark):
+    current = spark.createDataFrame([(1, "a", -1)], "k long, v string, seq long")
+    changes = spark.createDataFrame([(1, v, 5) for v in "xzy"], "k long, v string, seq long")
+    assert {P.upserted(current, changes.repartition(n), "k", "seq").first().v for n in (1, 2, 3)} == {"z"}
+
+
+def test_large_lexicons_change_nothing(spark):
+    from curata.functions import lexicon
+    from curata.operators import resolve
+
+    text = "Thanks, it is more than a word of   the list. Than!"
+    pages = spark.createDataFrame([(1, text), (1, "than of the"), (1, text), (2, "nothing here"), (None, "other than")], "id long, text string")
+    terms = ["than", "of the", "word"]
+    small = spark.createDataFrame([(t,) for t in terms], "term string")
+    large = small.union(spark.range(1500).selectExpr("concat('unrelated', id) AS term"))
+    rows = [sorted(map(str, resolve.mentions(pages, lex, "id", "text", 2, 5).collect())) for lex in (small, large)]
+    assert rows[0] == rows[1] and len(rows[0]) == 9
+    context = {r.term: r.context for r in resolve.mentions(pages.limit(1), large, "id", "text", 2, 5).collect()}
+    assert context == {"than": "more than a wo", "of the": "word of   the ", "word": "an a word of  "} or context["than"].startswith("more than")
+    docs = spark.createDataFrame([(1, "another bar"), (1, "foo text"), (1, "foo text"), (None, "bar")], "id long, text string")
+    lex = [df.selectExpr("term", "'axis' AS axis") for df in (small, large)]
+    left = [sorted((str(r.id), r.terms) for r in lexicon.unmapped(docs, "id", "text", x).collect()) for x in lex]
+    assert left[0] == left[1] and len(left[0]) == 4
+
+
+def test_deltas_continue_over_batches_and_restarts(spark, tmp_path):
+    from curata.streaming import incremental as L
+
+    schema = "n long, entity long, field string, url string, value string, confidence double"
+    path, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    known = spark.createDataFrame([(0, 1, "age", "u", "12", 0.5)], schema)
+    batches = [
+        [(1, 1, "age", "u", "12", 0.5), (2, 2, "age", "u", "7", 0.1)],
+        [(3, 2, "age", "u", "7", 0.1), (4, 1, "age", "u", "13", 0.5)],
+        [(5, 1, "age", "u", "13", 0.5), (6, 1, "age", "u", "12", 0.5), (7, 1, "age", "u", "12", 0.5), (8, 2, "age", "v", "7", 0.1)],
+    ]
+    for rows in batches:  # a run each: the query is started again on the same checkpoint
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        L.deltas(L.file_stream(spark, path, known.schema, 1), known, ["entity", "field", "url"], ["n"], out, cp)
+    assert sorted(r.n for r in spark.read.schema(schema).parquet(f"{out}/batch=*").collect()) == [2, 4, 6, 8]
+
+
+@pytest.mark.parametrize("slices", [2, 5, 64])
+def test_exact_medians(spark, slices):
+    import random
+    import statistics
+
+    from curata.operators import aggregate as A
+
+    rng = random.Random(slices)
+    groups = {"one": [5.0], "two": [1.0, 4.0], "same": [3.0] * 500, "odd": [rng.gauss(0, 1e6) for _ in range(1001)], "even": [rng.choice([1.0, 2.0, 9.5]) for _ in range(700)], None: [2.0, None, 7.0], "none": [None, None]}
+    groups["skewed"] = [10.0 ** rng.randint(0, 12) + rng.random() for _ in range(900)]
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(5)
+    got = {r.g: (r.median, r.lowest, r.highest, r.n) for r in A.spread(df, "g", "v", 6, slices).collect()}
+    for g, vs in groups.items():
+        known = [v for v in vs if v is not None]
+        want = (round(statistics.median(known), 6), min(known), max(known), len(known)) if known else (None, None, None, 0)
+        assert got[g] == (pytest.approx(want[0], abs=1e-5) if known else None, *want[1:])
+
+
+def test_longest_prefix_without_blocks(spark):
+    labels = spark.createDataFrame([("Glen", 1), ("glen mor", 2), ("Glen Mor", 3), ("G", 4), ("", 5), (None, 6), ("Glenmore", 7)], "label string, k long")
+    rows = spark.createDataFrame([(1, "GLEN MOR 12"), (2, "Glenmo"), (3, "x"), (4, None), (5, "")], "id long, t string")
+    got = {r.id: (r.k, r.label) for r in R.longest_prefix(rows, "t", labels, "label", "k", "id").collect()}
+    assert got == {1: (2, "glen mor"), 2: (1, "Glen"), 3: (5, ""), 5: (5, "")}

@@ -1,5 +1,7 @@
 """Matching whose ratios DuckDB does not have, page records, fingerprints and gates, against plain Python."""
 
+import itertools
+import random
 import re
 from difflib import SequenceMatcher
 
@@ -151,8 +153,8 @@ def test_feature_routes(spark, sf_dir):
         assert r.route == want
 
 
-def test_blocks_lose_few_matches(spark, sf_dir):
-    """Recall of the best match in the source's block, or by shared tokens, against all pairs."""
+def test_similar_pairs_are_all_pairs(spark, sf_dir):
+    """Every pair at or above the bound, on names and on random texts, against all pairs."""
     src, reg = resolution.sources(spark, sf_dir).collect(), resolution.registry(spark, sf_dir).collect()
 
     def lev(a, b):
@@ -163,9 +165,46 @@ def test_blocks_lose_few_matches(spark, sf_dir):
                 last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
         return 1 - row[-1] / max(len(a), len(b), 1)
 
-    got = {r.src_id for r in resolution.f1(spark, sf_dir).collect() if r.score >= 0.82}
-    near = [s for s in src if any(min(len(s.src_text), len(r.text)) >= 0.82 * max(len(s.src_text), len(r.text), 1) and lev(s.src_text, r.text) >= 0.82 for r in reg)]
-    assert len([s for s in near if s.src_id in got]) >= 0.97 * len(near) and near
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.choice([0, 1, 2, 3, 7, 12, 20, 70]))) for _ in range(60)]
+    near = ["".join(c if rng.random() < 0.85 else rng.choice(["", "b", "xy"]) for c in t) for t in texts]
+    tables = [({r.src_text for r in src}, {r.text for r in reg}, 0.78), (set(near), set(texts), 0.78), (set(near), set(texts), 0.9), (set(near), set(texts), 0.6)]
+    for left, right, least in tables:
+        sources = spark.createDataFrame([(i, t) for i, t in enumerate(left)], "src_id long, src_text string")
+        found = resolve.similar_pairs(sources, spark.createDataFrame([(i, t) for i, t in enumerate(right)], "id long, text string"), least).collect()
+        want = {(a, b): round(lev(a, b), 9) for a in left for b in right if a and b and min(len(a), len(b)) >= least * max(len(a), len(b)) and lev(a, b) >= least}
+        assert {(r.src_text, r.text): round(r.score, 9) for r in found} == want and len(found) == len(want) > 0
+
+
+def test_cheapest_cuts_by_trying_all():
+    rng = random.Random(5)
+    for _ in range(100):
+        length, widest = rng.randint(1, 9), rng.randint(2, 5)
+        parts = rng.randint(-(-length // widest), length)
+        at = [(i, n) for i in range(length) for n in range(1, min(widest, length - i) + 1)]
+        costs = [rng.randrange(20) for _ in at]
+        price = dict(zip(at, costs))
+        total = lambda cuts: sum(price[i, j - i] for i, j in zip(cuts, [*cuts[1:], length]))  # noqa: B023, E731
+        every = [(0, *c) for c in itertools.combinations(range(1, length), parts - 1)]
+        fits = [c for c in every if all(j - i <= widest for i, j in zip(c, [*c[1:], length]))]
+        assert total(resolve.cheapest_cuts(costs, length, parts, widest)) == min(map(total, fits))
+
+
+def test_edit_distances_of_a_batch():
+    rng = random.Random(1)
+    text = lambda: "".join(rng.choice("abé 𝄞") for _ in range(rng.choice([0, 1, 5, 20, 62, 63, 64, 80])))
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    pairs = [(text(), text()) for _ in range(300)]
+    assert resolve.edit_distances(*map(list, zip(*pairs))).tolist() == [plain(a, b) for a, b in pairs]
 
 
 def test_fingerprint(spark, sf_dir):
