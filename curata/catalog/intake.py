@@ -289,7 +289,7 @@ def l4(spark, sf_dir):
     current = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("v"), F.lit(-1).cast("long").alias("event_id"))
     stream = event_stream(spark, sf_dir, ["event_id", F.col("user_id").alias("k"), F.col("event_type").alias("v")])
     out = L.streamed_upserts(stream, current, "k", "event_id", S.scratch_path(spark, "state"), S.scratch_path(spark, "cp"))
-    return spark.read.parquet(out).drop("event_id")
+    return out.drop("event_id")
 
 
 @C.add("l5_review_queue", "SELECT event_id, user_id, 'pending' AS status FROM events WHERE value < 5 ORDER BY ts, event_id LIMIT 20")
@@ -306,4 +306,4 @@ def l6(spark, sf_dir):
     empty = table(spark, sf_dir, "events").select("user_id", "ts", "event_type").limit(0)
     stream = event_stream(spark, sf_dir, ["event_id", "user_id", "ts", "event_type"])
     out = L.synced(stream, empty, "user_id", "ts", "2024-02-01", S.scratch_path(spark, "state"), S.scratch_path(spark, "cp"))
-    return spark.read.parquet(out).select("user_id", "event_type")
+    return out.select("user_id", "event_type")

@@ -112,30 +112,67 @@ def ledger_rows(spark: SparkSession, out: str, schema: StructType, key: str, ord
     return rows.groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("_first")).select(key, "_first.*").select(*schema.names)
 
 
-def folded(stream: DataFrame, start: DataFrame, fold: Callable[[DataFrame, DataFrame], DataFrame], out: str, checkpoint: str) -> str:
-    """A state folded over all batches; each writes the next snapshot. Returns the path of the last."""
-    last = f"{out}/start"
-    start.write.mode("overwrite").parquet(last)
-    where = {"path": last}
+def _manifest(spark: SparkSession, out: str, number: int) -> dict[int, int]:
+    """Bucket -> batch that wrote it last, as of a batch (-1: the start); as many entries as buckets."""
+    rows = spark.read.schema("bucket int, batch int").json(f"{out}/manifest={number}").collect()
+    return {r["bucket"]: r["batch"] for r in rows}
+
+
+def _bucket_rows(spark: SparkSession, out: str, schema: StructType, held: dict[int, int]) -> DataFrame:
+    paths = [f"{out}/batch={n}/_bucket={b}" for b, n in sorted(held.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def folded(stream: DataFrame, start: DataFrame, key: str, fold: Callable[[DataFrame, DataFrame], DataFrame], out: str, checkpoint: str, buckets: int = 64) -> int:
+    """A state folded over all batches, in buckets by a hash of ``key``: a batch reads and writes only buckets that it has keys of, and then a
+    manifest that names the last file of each. ``fold`` must work key by key. A batch that is run again starts from the manifest before
+    it, so it gives the same. Returns the number of the last batch (-1: none)."""
+    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+    last = {"batch": -1}
+
+    def put(df: DataFrame, number: int, held: dict[int, int]) -> None:
+        spark, path = df.sparkSession, f"{out}/batch={number}"
+        df.withColumn("_bucket", bucket).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
+        new = {r[0]: number for r in spark.read.schema("_bucket int").parquet(path).distinct().collect()}  # a row for each bucket at most
+        rows = sorted((held | new).items())
+        spark.createDataFrame(rows, "bucket int, batch int").coalesce(1).write.mode("overwrite").json(f"{out}/manifest={number}")
+        last["batch"] = number
 
     def step(df: DataFrame, number: int) -> None:
-        before = f"{out}/snapshot={number - 1}" if number else f"{out}/start"
-        state = df.sparkSession.read.parquet(before)
-        where["path"] = f"{out}/snapshot={number}"
-        fold(state, df).write.mode("overwrite").parquet(where["path"])
+        spark = df.sparkSession
+        held, touched = _manifest(spark, out, number - 1), {r[0] for r in df.select(bucket).distinct().collect()}
+        state = _bucket_rows(spark, out, start.schema, {b: n for b, n in held.items() if b in touched})
+        put(fold(state, df), number, held)
 
+    if not _exists(start.sparkSession, f"{out}/manifest=-1/_SUCCESS"):
+        put(start, -1, {})
     drain(stream, step, checkpoint)
-    return where["path"]
+    return last["batch"]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def state_rows(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
+    """The rows of a folded state as of its newest complete manifest."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/manifest=*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    newest = max(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+    return _bucket_rows(spark, out, schema, _manifest(spark, out, newest))
 
 
-def streamed_upserts(stream: DataFrame, current: DataFrame, key: str, sequence: str, out: str, checkpoint: str) -> str:
-    """L4."""
-    return folded(stream, current, lambda state, df: upserted(state, df, key, sequence), out, checkpoint)
+def streamed_upserts(stream: DataFrame, current: DataFrame, key: str, sequence: str, out: str, checkpoint: str, buckets: int = 64) -> DataFrame:
+    """L4: the state after all batches."""
+    folded(stream, current, key, lambda state, df: upserted(state, df, key, sequence), out, checkpoint, buckets)
+    return state_rows(current.sparkSession, out, current.schema)
 
 
-def synced(stream: DataFrame, current: DataFrame, key: str, updated: str, as_of: str, out: str, checkpoint: str) -> str:
+def synced(stream: DataFrame, current: DataFrame, key: str, updated: str, as_of: str, out: str, checkpoint: str, buckets: int = 64) -> DataFrame:
     """Device batches, the later update wins."""
-    return folded(stream, current, lambda state, df: last_writer_wins(state, df, key, updated, as_of), out, checkpoint)
+    folded(stream, current, key, lambda state, df: last_writer_wins(state, df, key, updated, as_of), out, checkpoint, buckets)
+    return state_rows(current.sparkSession, out, current.schema)
 
 
 def queue(stream: DataFrame, conflict: str, out: str, checkpoint: str) -> None:

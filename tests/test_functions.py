@@ -222,3 +222,24 @@ def test_longest_prefix_without_blocks(spark):
     rows = spark.createDataFrame([(1, "GLEN MOR 12"), (2, "Glenmo"), (3, "x"), (4, None), (5, "")], "id long, t string")
     got = {r.id: (r.k, r.label) for r in R.longest_prefix(rows, "t", labels, "label", "k", "id").collect()}
     assert got == {1: (2, "glen mor"), 2: (1, "Glen"), 3: (5, ""), 5: (5, "")}
+
+
+def test_a_batch_writes_the_buckets_that_it_touches(spark, tmp_path):
+    import glob
+
+    from curata.streaming import incremental as L
+
+    schema = "k long, v string, seq long"
+    path, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    start = spark.createDataFrame([(k, "old", 0) for k in range(200)], schema)
+    want = {k: "old" for k in range(200)}
+    for n, keys in enumerate([[1], [1, 2, 300], [2]], 1):
+        spark.createDataFrame([(k, f"v{n}", n) for k in keys], schema).coalesce(1).write.mode("append").parquet(path)
+        got = L.streamed_upserts(L.file_stream(spark, path, start.schema, 1), start, "k", "seq", out, cp, buckets=16)
+        want |= {k: f"v{n}" for k in keys}
+        assert {r.k: r.v for r in got.collect()} == want and got.count() == len(want)
+        assert 1 <= len(glob.glob(f"{out}/batch={n - 1}/_bucket=*")) <= len(keys)
+    # The last batch once more, as after a crash before its commit: the same state.
+    batch = spark.createDataFrame([(2, "v3", 3)], schema)
+    before = L._bucket_rows(spark, out, start.schema, L._manifest(spark, out, 1))
+    assert {r.k: r.v for r in P.upserted(before, batch, "k", "seq").collect()} == want
