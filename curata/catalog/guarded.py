@@ -67,7 +67,8 @@ def d11(spark, sf_dir):
 @C.add("d12_token_set_matches")
 def d12(spark, sf_dir):
     rows = pairs(spark, sf_dir).select("src_id", M.spelled(F.col("src_name")).alias("src_text"), "id", M.spelled(F.col("name")).alias("text"))
-    return G.token_set_matches(rows).select("src_id", "rank", "id", F.round("score", 6).alias("score"), F.array_join("conflicts", ",").alias("conflicts"), "status")
+    ratios = [F.round(c, 6).alias(c) for c in ("score", "token_set", "weighted")]
+    return G.token_set_matches(rows).select("src_id", "rank", "id", *ratios, F.array_join("conflicts", ",").alias("conflicts"), "status")
 
 
 @C.add(
@@ -76,7 +77,7 @@ def d12(spark, sf_dir):
 sk AS (SELECT src_id, regexp_replace(regexp_replace(lower(n), '^the ', ''), '[^a-z0-9]', '', 'g') AS k, regexp_replace(regexp_replace(regexp_replace(lower(n), '^the ', ''), '(^|\\s)distillery$', '\\1'), '[^a-z0-9]', '', 'g') AS ks FROM s),
 p AS (SELECT s_suppkey AS id, regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') AS o FROM supplier),
 c AS (SELECT src_id, id, 100 AS confidence FROM sk JOIN p ON k = o UNION ALL SELECT src_id, id, 96 FROM sk JOIN p ON ks = o AND ks <> ''
- UNION ALL SELECT src_id, id, CASE WHEN r >= 0.92 THEN 90 WHEN r >= 0.85 THEN 80 WHEN r >= 0.75 THEN 72 ELSE 65 END FROM (SELECT src_id, id, {LEV.format("k", "o")} AS r FROM sk JOIN p ON substring(k, 1, 2) = substring(o, 1, 2)) WHERE r >= 0.6),
+ UNION ALL SELECT src_id, id, CASE WHEN r >= 0.92 THEN 90 WHEN r >= 0.85 THEN 80 WHEN r >= 0.75 THEN 72 ELSE 65 END FROM (SELECT src_id, id, {LEV.format("k", "o")} AS r FROM sk, p) WHERE r >= 0.6),
 r AS (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY confidence DESC, id) AS n FROM c)
 SELECT src_id, id, confidence, CASE WHEN confidence >= 95 THEN 'link' WHEN confidence >= 70 THEN 'review' ELSE 'none' END AS route FROM r WHERE n = 1""",
 )
@@ -185,7 +186,7 @@ def d25(spark, sf_dir):
 @C.add(
     "d26_lexicon_lookup",
     f"""WITH w AS (SELECT DISTINCT p_name || CASE WHEN p_partkey % 2 = 0 THEN 's' ELSE '' END AS word FROM part), t AS (SELECT DISTINCT p_name AS term FROM part),
-x AS (SELECT word, term, 1.0::DOUBLE AS score FROM w JOIN t ON word = term), n AS (SELECT word, term, {LEV.format("word", "term")} AS score FROM w JOIN t ON substring(word, 1, 1) = substring(term, 1, 1) WHERE word NOT IN (SELECT word FROM x)),
+x AS (SELECT word, term, 1.0::DOUBLE AS score FROM w JOIN t ON word = term), n AS (SELECT word, term, {LEV.format("word", "term")} AS score FROM w, t WHERE word NOT IN (SELECT word FROM x)),
 r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, term) AS rn FROM n WHERE score >= 0.85) SELECT * FROM x UNION ALL SELECT word, term, score FROM r WHERE rn = 1""",
 )
 def d26(spark, sf_dir):

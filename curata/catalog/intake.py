@@ -42,6 +42,20 @@ def a2(spark, sf_dir):
     return S.flattened(spark.read.schema(rows.schema).json(path), "p_partkey")
 
 
+PROPS = """CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN concat('{"k":{"id":', user_id, ',"tags":["a",null," ","', event_type, '"]},"ok":true}')
+ WHEN 2 THEN concat('[{"p":[[1,', user_id, '],[]]},"x",{}]') WHEN 3 THEN concat('{"k":"text","d":{"e":{"f":{"g":"', event_type, '"}}},"n":null}')
+ WHEN 4 THEN concat('{"broken":', user_id) ELSE concat('"', event_type, '"') END"""
+
+
+@C.add(
+    "a2_unknown_schema",
+    f"""WITH d AS (SELECT event_id, CASE WHEN json_valid(doc) THEN doc END AS v FROM (SELECT event_id, {PROPS} AS doc FROM events))
+SELECT event_id, regexp_replace(fullkey, '^\\$\\.?', '') AS path, atom ->> '$' AS value FROM d, json_tree(d.v) AS j WHERE atom IS NOT NULL AND trim(atom ->> '$') <> ''""",
+)
+def a2_unknown(spark, sf_dir):
+    return S.flattened_json(table(spark, sf_dir, "events").select("event_id", F.expr(PROPS).alias("doc")), "event_id", "doc")
+
+
 @C.add("a3_page_records")
 def a3(spark, sf_dir):
     return S.page_records(table(spark, sf_dir, "pages"))

@@ -104,16 +104,52 @@ def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def common_letters(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a row of bits at a time."""
+def _letter_places(text: str) -> dict[str, int]:
     places: dict[str, int] = {}
-    for i, c in enumerate(a):
+    for i, c in enumerate(text):
         places[c] = places.get(c, 0) | 1 << i
-    every = rest = (1 << len(a)) - 1
-    for c in b:
+    return places
+
+
+def _common(places: dict[str, int], size: int, text: str) -> int:
+    every = rest = (1 << size) - 1
+    for c in text:
         hit = rest & places.get(c, 0)
         rest = ((rest + hit) | (rest - hit)) & every
-    return len(a) - rest.bit_count()
+    return size - rest.bit_count()
+
+
+def common_letters(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of bits at a time."""
+    return _common(_letter_places(a), len(a), b)
+
+
+def best_window(a: str, b: str) -> float:
+    """The best ratio of common letters (in order) between the shorter text and a window of the longer one: as long as the shorter, or, at
+    either end, less. Of equally long texts each gives the windows once. Windows that share too few letters in any order are passed over."""
+    if not a or not b:
+        return float(a == b)
+    if len(a) == len(b):
+        return max(_window_of(a, b), _window_of(b, a))
+    return _window_of(*sorted((a, b), key=len))
+
+
+def _window_of(short: str, long: str) -> float:
+    size, places, best = len(short), _letter_places(short), 0.0
+    need = {c: bits.bit_count() for c, bits in places.items()}
+    have = dict.fromkeys(need, 0)
+    shared = 0
+    for end in range(1, len(long) + size):
+        if end <= len(long) and (c := long[end - 1]) in need:
+            have[c] += 1
+            shared += have[c] <= need[c]
+        if end > size and (c := long[end - size - 1]) in need:
+            shared -= have[c] <= need[c]
+            have[c] -= 1
+        window = long[max(end - size, 0) : end]
+        if 2 * shared / (size + len(window)) > best:
+            best = max(best, 2 * _common(places, size, window) / (size + len(window)))
+    return best
 
 
 @F.pandas_udf(DoubleType())

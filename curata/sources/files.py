@@ -123,6 +123,37 @@ def flattened(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.explode(F.flatten(F.array(*found))).alias("x")).select(key, "x.path", "x.value").where(filled(F.col("value")))
 
 
+def flattened_json(df: DataFrame, key: str, text: str, most_levels: int = 64) -> DataFrame:
+    """A2 for JSON texts whose schema nobody knows or that differs by row: (key, path, value) of their scalars, as ``flattened`` has them.
+
+    Texts become variants and are opened a level at a time, all rows at once. Each level is written once to the shared folder, scalars
+    apart from what has levels below it, so no level is parsed twice and a lost executor costs one level. Null and invalid texts
+    give no rows, a text that is one scalar has the path ``''``; more than ``most_levels`` levels are an error.
+    """
+    spark, folder = df.sparkSession, scratch_path(df.sparkSession, "levels")
+    kind = df.select(F.col(f"`{key}`").alias("_key")).schema["_key"].dataType.simpleString()
+    schema = f"_key {kind}, _path string, _value string, _rest variant, _deeper boolean"
+
+    def written(level: DataFrame, n: int) -> DataFrame:
+        deeper = F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)")
+        rows = level.where("_v is not null").withColumn("_deeper", deeper)
+        value, rest = F.when(~F.col("_deeper"), F.try_variant_get("_v", "$", "string")), F.when(F.col("_deeper"), F.col("_v"))
+        kept = rows.select("_key", "_path", value.alias("_value"), rest.alias("_rest"), "_deeper").where(F.col("_deeper") | filled(F.col("_value")))
+        kept.write.partitionBy("_deeper").parquet(f"{folder}/{n}")
+        return spark.read.schema(schema).parquet(f"{folder}/{n}")
+
+    levels = [written(df.select(F.col(f"`{key}`").alias("_key"), F.lit("").alias("_path"), F.try_parse_json(F.col(f"`{text}`")).alias("_v")), 0)]
+    while not (open_rows := levels[-1].where("_deeper")).isEmpty():
+        if len(levels) > most_levels:
+            raise ValueError(f"JSON of more than {most_levels} levels")
+        opened = open_rows.lateralJoin(spark.tvf.variant_explode(F.col("_rest").outer()))
+        named = F.when(F.col("_path") == "", F.col("key")).otherwise(F.concat("_path", F.lit("."), "key"))
+        path = F.when(F.col("key").isNull(), F.concat("_path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(named)
+        levels.append(written(opened.select("_key", path.alias("_path"), F.col("value").alias("_v")), len(levels)))
+    found = reduce(DataFrame.unionAll, [x.where("not _deeper") for x in levels])
+    return found.select(F.col("_key").alias(key), F.col("_path").alias("path"), F.col("_value").alias("value"))
+
+
 class _Fields(HTMLParser):
     """Title, meta description, headings and paragraphs of one page."""
 

@@ -36,6 +36,33 @@ def token_set(a, b):
     return max([indel(left, right)] + ([indel(both, left), indel(both, right)] if both else []))
 
 
+def window(a, b):
+    """Every window of the longer text, as long as the shorter or, at the ends, less; of equally long texts both ways."""
+    if not a or not b:
+        return float(a == b)
+    found = []
+    for short, long in ((a, b), (b, a)):
+        if len(short) <= len(long):
+            n = len(short)
+            cuts = {long[max(e - n, 0) : e] for e in range(1, len(long) + n)}
+            found += [indel(short, w) for w in cuts if w]
+    return max(found)
+
+
+def weighted(a, b):
+    if not a or not b:
+        return 0.0
+    x, y = a.split(" "), b.split(" ")
+    s, t = " ".join(sorted(x)), " ".join(sorted(y))
+    longer = max(len(a), len(b)) / min(len(a), len(b))
+    if longer < 1.5:
+        return max(indel(a, b), 0.95 * token_set(a, b), 0.95 * indel(s, t))
+    own, other = (" ".join(sorted(d)) for d in (set(x) - set(y), set(y) - set(x)))
+    tokens = 1.0 if " ".join(sorted(set(x) & set(y))) else max(window(s, t), window(own, other))
+    scale = 0.9 if longer <= 8 else 0.6
+    return max(indel(a, b), scale * window(a, b), 0.95 * scale * tokens)
+
+
 def block(text):
     tokens = [t for t in text.split(" ") if t]
     return next((t for t in tokens if t not in M.STOP), tokens[0] if tokens else "")
@@ -72,24 +99,94 @@ def test_sequence_ratio_resolution(spark, sf_dir):
         assert got[s.src_id][:2] == want[:2] and got[s.src_id][2] == pytest.approx(want[2], abs=1e-3), s
 
 
+def test_best_window_by_trying_all():
+    rng = random.Random(11)
+    text = lambda: "".join(rng.choice("abc é") for _ in range(rng.choice([0, 1, 2, 5, 9, 20, 70])))
+    pairs = [(text(), text()) for _ in range(400)] + [("year", "glen 12 year old"), ("ab", "xxxxb"), ("ab", "bxxxx")]
+    for a, b in pairs:
+        assert resolve.best_window(a, b) == pytest.approx(window(a, b)), (a, b)
+        assert resolve.best_window(a, b) == pytest.approx(resolve.best_window(b, a))
+
+
+def test_weighted_ratio_by_literal_windows():
+    rng = random.Random(12)
+    words = ["glen", "glem", "moor", "12", "year", "old", "x", "distillery", "port", "cask", ""]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 1, 2, 3, 8, 16])))
+    kinds = set()
+    for a, b in [(text(), text()) for _ in range(400)]:
+        assert matching.name_scores(a, b) == pytest.approx((token_set(a, b), weighted(a, b))), (a, b)
+        longer = max(len(a), len(b)) / max(min(len(a), len(b)), 1)
+        kinds.add((longer >= 1.5) + (longer > 8))
+    assert kinds == {0, 1, 2}
+
+
 def test_token_set_matches(spark, sf_dir):
     pairs = guarded.pairs(spark, sf_dir).select("src_id", M.spelled(F.col("src_name")).alias("a"), "id", M.spelled(F.col("name")).alias("b")).collect()
-    want = {}
+    want, known, lengths = {}, {}, set()
     for r in pairs:
-        ordered = [" ".join(sorted(t.split(" "))) for t in (r.a, r.b)]
-        score = max(token_set(r.a, r.b), indel(r.a, r.b), 0.95 * indel(*ordered))
-        if score > 0.5:
-            want.setdefault(r.src_id, []).append((-round(score, 6), r.id))
+        if (r.a, r.b) not in known:
+            known[r.a, r.b] = token_set(r.a, r.b), weighted(r.a, r.b)
+        ratios = known[r.a, r.b]
+        lengths.add(max(len(r.a), len(r.b)) >= 1.5 * min(len(r.a), len(r.b)))
+        if max(ratios) > 0.5:
+            want.setdefault(r.src_id, []).append((-round(max(ratios), 6), r.id, ratios))
+    assert lengths == {True, False}
     got = {}
     for r in guarded.d12(spark, sf_dir).collect():
-        got.setdefault(r.src_id, []).append((r["rank"], r.id, r.score, r.status, r.conflicts))
+        got.setdefault(r.src_id, []).append((r["rank"], r.id, r.score, r.token_set, r.weighted, r.status, r.conflicts))
     assert set(got) == set(want)
     for k, rows in got.items():
         best = sorted(want[k])[:5]
-        assert [i for _, i, _, _, _ in sorted(rows)] == [i for _, i in best]
-        assert [s for _, _, s, _, _ in sorted(rows)] == pytest.approx([-s for s, _ in best], abs=1e-6)
-        for _, _, score, status, conflicts in rows:
-            assert status == ("REJECTED_HARD_CONSTRAINT" if conflicts else "HIGH_CONFIDENCE" if score >= 0.9 else "MANUAL_REVIEW" if score >= 0.78 else "REJECTED_LOW_SCORE")
+        assert [r[1] for r in sorted(rows)] == [i for _, i, _ in best]
+        assert [x for r in sorted(rows) for x in r[2:5]] == pytest.approx([x for s, _, ratios in best for x in (-s, *ratios)], abs=1e-6)
+        for _, _, _, ts, w, status, conflicts in rows:
+            sure, near = ts >= 0.9 or w >= 0.88, ts >= 0.78 or w >= 0.8
+            assert status == ("REJECTED_HARD_CONSTRAINT" if conflicts else "HIGH_CONFIDENCE" if sure else "MANUAL_REVIEW" if near else "REJECTED_LOW_SCORE")
+
+
+def test_lookup_and_tiers_without_a_block(spark):
+    """Texts whose first letters differ are found; the best tier and then the smallest id win, whatever repeats."""
+    terms = spark.createDataFrame([("lagavulin bay",), ("ardbeg ten years",), ("",)], "term string")
+    words = spark.createDataFrame([("magavulin bay",), ("ardbeg ten years",), ("nothing like it",), ("",), (None,)], "word string")
+    got = {r.word: (r.term, round(r.score, 6)) for r in matching.lexicon_lookup(words, terms).collect()}
+    assert got == {"magavulin bay": ("lagavulin bay", round(1 - 1 / 13, 6)), "ardbeg ten years": ("ardbeg ten years", 1.0), "": ("", 1.0)}
+    assert matching.lexicon_lookup(words, terms.limit(0)).isEmpty() and matching.lexicon_lookup(words.limit(0), terms).isEmpty()
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return 1 - row[-1] / max(len(a), len(b), 1)
+
+    rng = random.Random(4)
+    own = ["".join(rng.choice("abcd") for _ in range(rng.randint(3, 14))) for _ in range(40)]
+    near = ["".join(c if rng.random() < 0.85 else rng.choice(["", "b", "z"]) for c in t) for t in own] + own[:3] + ["qqqq", "!!", None]
+    producers = [*enumerate(own), (90, own[0]), (91, None)]
+    made = matching.producer_tiers(spark.createDataFrame([*enumerate(near)], "src_id long, src_name string"), spark.createDataFrame(producers, "id long, name string"), ("house",))
+    want = {}
+    for i, t in enumerate(near):
+        tiers = []
+        for k, o in producers:
+            if t and t != "!!" and o:
+                r = lev(t, o)
+                tiers += [(-next((c for least, c in ((1.0, 100), (0.92, 90), (0.85, 80), (0.75, 72), (0.6, 65)) if r >= least), 0), k)]
+        if tiers and min(tiers)[0]:
+            want[i] = (min(tiers)[1], -min(tiers)[0])
+    assert {r.src_id: (r.id, r.confidence) for r in made.collect()} == want and {c for _, c in want.values()} == {100, 90, 80, 72, 65}
+
+
+def test_title_case(spark):
+    cases = {
+        "  glen moor-side (o'neil) & d’or/bay ": "Glen Moor-Side (O'Neil) & D'Or/Bay", "maker's mark": "Maker's Mark", "michter’s": "Michter’s",
+        "benriach a'bunadh mcconnell's": "BenRiach A'Bunadh McConnell's", "benriach's 18yo": "BenRiach's 18yo", "": "", " ": "", "'s": "'s", "o''b": "O''B",
+        "Glen moor": "Glen moor", "élan 12é": "Élan 12é", None: None, "glen's's": "Glen's's",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "n string")
+    assert {r.n: r.t for r in df.select("n", matching.title_case(F.col("n")).alias("t")).collect()} == cases
+    assert df.where("n = 'Glen moor'").select(matching.title_case(F.col("n"), False)).first()[0] == "Glen Moor"
 
 
 def test_weighted_match(spark, sf_dir):
@@ -242,6 +339,26 @@ def test_flattened_depth(spark):
     assert sorted(tuple(r) for r in files.flattened(df, "k").collect()) == [(1, "a.b[0].x[0].y", "z"), (1, "a.c[0][0]", "1"), (1, "a.c[1][0]", "2")]
 
 
+def test_flattened_json(spark):
+    """Any nesting and rows of any schema; nulls, blanks, invalid and empty texts give nothing; the same paths as with a known schema."""
+    deep = "[" * 9 + "7" + "]" * 9
+    texts = ['{"a":{"b":[1,{"c":"x"}]},"d":null,"e":" ","f":[],"g":{}}', '[[true,2.5],{"a":{"a":"é"}}]', "3", '"s"', "null", "", "{", None, deep, '{"key":1,"pos":2,"value":{"_v":3}}']
+    df = spark.createDataFrame([(i, t, 0, "z") for i, t in enumerate(texts)] + [(None, "[1]", 0, "z")], "value long, key string, pos int, _v string")
+    got = sorted(((r.value_, r.path, r.text) for r in files.flattened_json(df, "value", "key").toDF("value_", "path", "text").collect()), key=str)
+    want = [
+        (0, "a.b[0]", "1"), (0, "a.b[1].c", "x"), (1, "[0][0]", "true"), (1, "[0][1]", "2.5"), (1, "[1].a.a", "é"), (2, "", "3"), (3, "", "s"),
+        (8, "[0]" * 9, "7"), (9, "key", "1"), (9, "pos", "2"), (9, "value._v", "3"), (None, "[0]", "1"),
+    ]
+    assert got == sorted(want, key=str)
+    assert files.flattened_json(df.limit(0), "value", "key").isEmpty()
+    with pytest.raises(ValueError):
+        files.flattened_json(df, "value", "key", 7)
+    kind = "struct<a:struct<b:array<struct<c:string,n:int>>>,t:array<string>>"
+    known = spark.createDataFrame([(1, {"a": {"b": [{"c": "x", "n": 1}, {"c": None, "n": 2}]}, "t": ["p", " "]}), (2, None)], f"k int, j {kind}")
+    flat = files.flattened(known.select("k", "j.*"), "k").collect()
+    assert sorted(map(tuple, flat)) == sorted(map(tuple, files.flattened_json(known.select("k", F.to_json("j").alias("j")), "k", "j").collect())) and len(flat) == 4
+
+
 def test_ledger_whatever_the_order_of_arrival(spark, tmp_path):
     rows = [(i, i % 5, f"v{i}") for i in range(40)]
     src = str(tmp_path / "in")
