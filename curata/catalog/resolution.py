@@ -15,7 +15,6 @@ NAME = "concat(p_name, ' ', p_size, ' year old ', p_brand)"
 TYPO = """CASE p_partkey % 5 WHEN 0 THEN concat(substring(p_name, 1, 3), substring(p_name, 5), ' ', p_size, ' year old ', p_brand)
  WHEN 1 THEN upper(concat(p_name, ' ', p_size, ' yo ', p_brand)) WHEN 2 THEN concat('The ', p_name, ' ', p_size + 1, ' year old ', p_brand, ' 46.3%')
  WHEN 3 THEN concat('zz ', p_name) ELSE concat(p_name, ' ', p_size, ' years old ', p_brand, ' limited edition') END"""
-_G = ["whisky", "whiskey", "scotch", "single malt", "straight bourbon", "kentucky", "limited edition", "release", "blended", "malt"]
 
 
 def _nest(expr: str, steps) -> str:
@@ -26,10 +25,7 @@ def _nest(expr: str, steps) -> str:
 
 def match_sql(expr: str) -> str:
     s = f"replace(regexp_replace(lower(coalesce({expr}, '')), '\\d+(\\.\\d+)?\\s*%', '', 'g'), 'cask strength', '')"
-    steps = [
-        (r"\(?distilled\s+\d{4}\)?", ""), (r"bottled\s+\d{4}", ""), (r"\d{4}\s+vintage", ""), (r"vintage\s+\d{4}", ""),
-        (r"(\d+)\s*y(?:ears?)?\s*o(?:ld)?\.?", r"\1"), (r"(\d+)\s*yo", r"\1"), *[(rf"\b{g}\b", "") for g in _G], (r"[^a-z0-9\s]", " "), (r"\s+", " "),
-    ]
+    steps = [*[(a, b.replace("$", "\\")) for a, b in M.MATCH_STEPS], *[(rf"\b{g}\b", "") for g in M.GENERIC], (r"[^a-z0-9\s]", " "), (r"\s+", " ")]
     return f"trim({_nest(s, steps)})"
 
 

@@ -55,6 +55,8 @@ FEATURE_PATTERNS = {
 }
 AGE_IN_NAME = r"\b(\d+)\s*(?:yo|years?|yr)\b"
 ORDINAL_IN_NAME = r"\b(\d+)(?:st|nd|rd|th)\b"
+NAME_AGE = r"\b(\d{1,2})\b\s*(?:years|year|yo|y\.o\.|y|old)"
+NAME_ABV = r"\b(\d{2}(?:\.\d+)?)\s*(?:%|vol)\b"
 BATCH_WORDS = ("batch", "release", "edition", "cask strength", "ltd", "limited", "single cask", "bottled", "distilled")
 
 
@@ -112,11 +114,11 @@ def features(c: Column) -> Column:
 
 def age_of(c: Column) -> Column:
     """B20."""
-    return F.regexp_extract(F.lower(c), r"\b(\d{1,2})\b\s*(?:years|year|yo|y\.o\.|y|old)", 1).try_cast("int")
+    return F.regexp_extract(F.lower(c), NAME_AGE, 1).try_cast("int")
 
 
 def abv_of(c: Column) -> Column:
-    return F.regexp_extract(F.lower(c), r"\b(\d{2}(?:\.\d+)?)\s*(?:%|vol)\b", 1).try_cast("double")
+    return F.regexp_extract(F.lower(c), NAME_ABV, 1).try_cast("double")
 
 
 def cask_of(c: Column) -> Column:
@@ -125,7 +127,7 @@ def cask_of(c: Column) -> Column:
 
 
 def stripped_name(c: Column) -> Column:
-    s = _chain(F.lower(c), [(r"\b\d{1,2}\b\s*(?:years|year|yo|y\.o\.|y|old)", ""), (r"\b\d{2}(?:\.\d+)?\s*(?:%|vol)\b", "")])
+    s = _chain(F.lower(c), [(NAME_AGE, ""), (NAME_ABV, "")])
     s = reduce(lambda x, w: F.replace(x, F.lit(w), F.lit("")), BATCH_WORDS, s)
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 

@@ -67,7 +67,7 @@ COUNTRIES = {
 }
 AXES = ("smoky", "peaty", "fruity", "sweet", "spicy", "maritime", "sherry")
 MARKERS = ("nose", "palate", "finish", "conclusion", "overall", "comment")
-# Field names by the pattern that is found in them, in order of precedence.
+# Field names by the pattern that is found in them, in order of precedence.
 FIELD_PATTERNS = {
     "abv": r"(?:^|:|\s)abv\b",
     "product_name": r"(?:^|:|\s)(?:product|name|whisky|whiskey|bottle)\s*(?:_|name)?",
@@ -81,7 +81,7 @@ FIELD_PATTERNS = {
     "region": r"(?:^|:|\s)region\b",
     "country": r"(?:^|:|\s)country\b",
 }
-# What values look like.
+# What values look like.
 PERCENT = r"(-?)(\d{1,3}(?:\.\d+)?)\s*%"
 SCORE = r"(\d{1,3}(?:\.\d+)?)"
 YEARS = r"(?i)(\d{1,3})\s*(?:year\s*(?:old)?|yo|y\b)"
