@@ -309,14 +309,55 @@ def d18(spark, sf_dir):
 
 @C.add(
     "d19_pair_differences",
-    "WITH r AS (SELECT p_name || p_brand AS family, p_partkey, p_retailprice FROM part) SELECT a.family, a.p_partkey AS first_id, b.p_partkey AS second_id, abs(a.p_retailprice - b.p_retailprice) AS difference, CASE WHEN abs(a.p_retailprice - b.p_retailprice) = 0 THEN 'same' WHEN abs(a.p_retailprice - b.p_retailprice) <= 50 THEN 'near' ELSE 'different' END AS kind FROM r a JOIN r b ON a.family = b.family AND a.p_partkey < b.p_partkey",
+    """WITH r AS (SELECT p_name || p_brand AS family, p_partkey, p_retailprice, min(p_partkey) OVER (PARTITION BY p_name, p_brand, p_retailprice) AS c FROM part),
+d AS (SELECT a.family, a.c AS a, b.c AS b, a.p_retailprice AS x, b.p_retailprice AS y FROM r a JOIN r b ON a.family = b.family AND (a.p_retailprice < b.p_retailprice OR a.p_retailprice = b.p_retailprice AND a.p_partkey < b.p_partkey)),
+k AS (SELECT *, CASE WHEN y - x = 0 THEN 'same' WHEN y - x <= 50 THEN 'near' ELSE 'different' END AS kind FROM d)
+SELECT family, CASE WHEN kind <> 'different' THEN a END AS first_id, CASE WHEN kind <> 'different' THEN b END AS second_id, CASE WHEN kind <> 'different' THEN y - x END AS difference, kind, count(*) AS n_pairs FROM k GROUP BY ALL""",
 )
 def d19(spark, sf_dir):
     rows = table(spark, sf_dir, "part").withColumn("family", F.concat("p_name", "p_brand"))
     return R.pair_differences(rows, "family", "p_partkey", "p_retailprice", 50.0)
 
 
-@C.add("d20_duplicate_score", "SELECT a.p_partkey AS first_id, b.p_partkey AS second_id, 1.0::DOUBLE AS score FROM part a JOIN part b ON lower(a.p_name) = lower(b.p_name) AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
+def families(spark, sf_dir):
+    """Parts by first word and brand; three fields are compared, a fifth of them carry the marker, a seventh names the one five keys before."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        k, F.concat_ws("|", F.substring_index("p_name", " ", 1), "p_brand").alias("family"), F.when(k % 6 > 0, F.col("p_size") % 3).alias("age"),
+        (F.col("p_size") % 2).alias("abv"), F.substring_index("p_type", " ", 1).alias("cask"),
+        F.concat("p_name", F.when(k % 5 == 0, " Edition").otherwise("")).alias("name"), F.when(k % 7 == 0, k - 5).alias("superseded_by"),
+    )
+
+
+_FAMILIES = """r AS (SELECT p_partkey, split_part(p_name, ' ', 1) || '|' || p_brand AS family, CASE WHEN p_partkey % 6 > 0 THEN p_size % 3 END AS age, p_size % 2 AS abv,
+ split_part(p_type, ' ', 1) AS cask, p_name || CASE WHEN p_partkey % 5 = 0 THEN ' Edition' ELSE '' END AS name, CASE WHEN p_partkey % 7 = 0 THEN p_partkey - 5 END AS superseded_by FROM part)"""
+
+
+@C.add(
+    "d19_family_comparison",
+    f"""WITH {_FAMILIES}, c AS (SELECT a.family, CASE WHEN coalesce(a.superseded_by = b.p_partkey, false) OR coalesce(b.superseded_by = a.p_partkey, false) THEN 'l'
+ WHEN a.age IS DISTINCT FROM b.age OR a.abv IS DISTINCT FROM b.abv OR a.cask IS DISTINCT FROM b.cask THEN 's' WHEN contains(lower(a.name), 'edition') OR contains(lower(b.name), 'edition') THEN 'v' ELSE 'i' END AS k
+ FROM r a JOIN r b ON a.family = b.family AND a.p_partkey < b.p_partkey), n AS (SELECT family, count(*) AS n_rows FROM r GROUP BY 1)
+SELECT family, any_value(n_rows) AS n_rows, count(*) FILTER (k = 'l') AS already_linked, count(*) FILTER (k = 's') AS separate_product, count(*) FILTER (k = 'v') AS legitimate_variant,
+ count(*) FILTER (k = 'i') AS insufficient_evidence FROM n LEFT JOIN c USING (family) GROUP BY 1""",
+)
+def d19_families(spark, sf_dir):
+    return R.family_comparison(families(spark, sf_dir), "family", "p_partkey", ["age", "abv", "cask"], "name", "superseded_by")
+
+
+@C.add(
+    "d19_family_classes",
+    f"""WITH {_FAMILIES} SELECT p_partkey, family, min(p_partkey) OVER w AS class_id, count(*) OVER w AS n_class FROM r WINDOW w AS (PARTITION BY family, age, abv, cask)""",
+)
+def d19_classes(spark, sf_dir):
+    return R.value_classes(families(spark, sf_dir), ["family", "age", "abv", "cask"], "p_partkey").select("p_partkey", "family", "class_id", "n_class")
+
+
+@C.add(
+    "d20_duplicate_score",
+    """SELECT a.p_partkey, least(a.p_partkey, min(b.p_partkey)) AS class_id, count(*) AS n_links, 1.0::DOUBLE AS score
+FROM part a JOIN part b ON lower(a.p_name) = lower(b.p_name) AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey GROUP BY 1""",
+)
 def d20(spark, sf_dir):
     return R.duplicate_score(table(spark, sf_dir, "part"), "p_partkey", M.name_key(F.col("p_name"), "space"), "p_size")
 

@@ -432,21 +432,83 @@ def token_resolved(sources: DataFrame, registry: DataFrame, kind: str = "levensh
     return met.select("src_id", "id", F.round("score", 6).alias("score"), F.coalesce("status", F.lit("unmatched")).alias("status"))
 
 
+def _pairs(n: Column) -> Column:
+    """Pairs among n rows, exact for up to four billion."""
+    return F.when(n % 2 == 0, (n / 2).cast("long") * (n - 1)).otherwise(n * ((n - 1) / 2).cast("long"))
+
+
+def value_classes(rows: DataFrame, by: list[str], key: str) -> DataFrame:
+    """D19, D20, membership: ``rows`` with ``class_id`` (the smallest key among rows equal in ``by``, nulls equal) and ``n_class``, their number.
+
+    Classes are counted before the shuffle and joined back, so a class of any size is a row there, and AQE can split its members.
+    """
+    classes = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min(key).alias("class_id"), F.count("*").alias("n_class"))
+    return rows.join(classes, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))).drop(*[f"_{c}" for c in by])
+
+
 def pair_differences(rows: DataFrame, family: str, key: str, value: str, tolerance: float) -> DataFrame:
-    """Unordered pairs in a family, their difference and its class. Families are taken to be small; AQE splits larger ones."""
-    a = rows.select(family, F.col(key).alias("first_id"), F.col(value).alias("_a"))
-    b = rows.select(family, F.col(key).alias("second_id"), F.col(value).alias("_b"))
-    met = a.join(b, family).where("first_id < second_id").withColumn("difference", F.abs(F.col("_a") - F.col("_b")))
-    kind = F.when(F.col("difference") == 0, "same").when(F.col("difference") <= tolerance, "near").otherwise("different")
-    return met.select(family, "first_id", "second_id", "difference", kind.alias("kind"))
+    """All unordered pairs of a family by the difference of a value, told by classes of equal values: (family, first_id, second_id,
+    difference, kind, n_pairs).
+
+    ``same``: a row a class of two rows or more, with its id twice. ``near``: a row a pair of classes at most ``tolerance`` apart, lower
+    value first, with the number of row pairs it stands for. ``different``: the number of all other pairs, a row a family, without ids.
+    Class ids are smallest keys; ``value_classes`` has the members. Rows without family or value take no part.
+    """
+    some = rows.where(F.col(family).isNotNull() & F.col(value).isNotNull())
+    classes = some.groupBy(family, F.col(value).alias("_v")).agg(F.min(key).alias("_id"), F.count("*").alias("_n"))
+    same = classes.where("_n > 1").select(family, F.col("_id").alias("first_id"), F.col("_id").alias("second_id"), F.col("_v") * 0.0, F.lit("same"), _pairs(F.col("_n")))
+    # Values at most a width apart lie in one bucket or in two neighbours; the width is a shade more than the tolerance.
+    place = F.floor(F.col("_v") / F.lit(tolerance * (1 + 1e-9) if tolerance > 0 else 1.0))
+    low = classes.withColumn("_b", place)
+    high = classes.select(F.col(family).alias("_f"), F.col("_v").alias("_v2"), F.col("_id").alias("_id2"), F.col("_n").alias("_n2"), F.explode(F.array(place, place - 1)).alias("_b2"))
+    met = low.join(high, (F.col(family) == F.col("_f")) & (F.col("_b") == F.col("_b2")) & (F.col("_v") < F.col("_v2")) & (F.col("_v2") - F.col("_v") <= tolerance))
+    near = met.select(family, "_id", "_id2", F.col("_v2") - F.col("_v"), F.lit("near"), F.col("_n") * F.col("_n2"))
+    names = (family, "first_id", "second_id", "difference", "kind", "n_pairs")
+    told = same.toDF(*names).unionByName(near.toDF(*names))
+    every = classes.groupBy(F.col(family).alias("_f")).agg(_pairs(F.sum("_n")).alias("_all"))
+    left = every.join(told.groupBy(family).agg(F.sum("n_pairs").alias("_told")), F.col(family) == F.col("_f"), "left")
+    left = left.withColumn("n_pairs", F.col("_all") - F.coalesce("_told", F.lit(0))).where("n_pairs > 0")
+    none = lambda c: F.lit(None).cast(told.schema[c].dataType).alias(c)
+    return told.unionByName(left.select(F.col("_f").alias(family), none("first_id"), none("second_id"), none("difference"), F.lit("different").alias("kind"), "n_pairs"))
+
+
+def family_comparison(rows: DataFrame, family: str, key: str, fields: list[str], name: str, linked: str, marker: str = "edition") -> DataFrame:
+    """Per family, its unordered pairs by class: n_rows, already_linked, separate_product, legitimate_variant, insufficient_evidence.
+
+    A pair of which one row's ``linked`` names the other is linked; else rows that differ in one of ``fields`` (nulls are equal) are
+    separate, rows equal in all are a variant if one name has the ``marker``, and tell too little otherwise. Counts come from classes of equal
+    fields, so no pair is made but the linked ones. Keys are unique; null families take no part, links to other families do not count.
+    """
+    marked = F.coalesce(F.contains(F.lower(F.col(name)), F.lit(marker)), F.lit(False))
+    some = rows.where(F.col(family).isNotNull()).select(family, key, linked, *fields, marked.alias("_m"))
+    classes = some.groupBy(family, *fields).agg(F.count("*").alias("_n"), F.count(F.when(~F.col("_m"), 1)).alias("_plain"))
+    sums = classes.groupBy(family).agg(F.sum("_n").alias("n_rows"), F.sum(_pairs(F.col("_n"))).alias("_equal"), F.sum(_pairs(F.col("_plain"))).alias("_bare"))
+    own, other = some.where(F.col(linked).isNotNull()), some.select(*[F.col(c).alias(f"_o{c}") for c in (family, key, "_m", *fields)])
+    met = own.join(other, (F.col(linked) == F.col(f"_o{key}")) & (F.col(family) == F.col(f"_o{family}")) & (F.col(key) != F.col(linked)))
+    equal = reduce(lambda a, b: a & b, (F.col(f).eqNullSafe(F.col(f"_o{f}")) for f in fields), F.lit(True))
+    kind = F.when(~equal, "separate").when(F.col("_m") | F.col("_o_m"), "variant").otherwise("little")
+    pairs = met.select(F.col(family).alias("_f"), F.least(key, linked).alias("_a"), F.greatest(key, linked).alias("_b"), kind.alias("_k")).distinct()
+    count = lambda k: F.count(F.when(F.col("_k") == k, 1)).alias(f"_{k}")
+    links = pairs.groupBy("_f").agg(count("separate"), count("variant"), count("little"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    out = sums.join(links, F.col(family) == F.col("_f"), "left")
+    return out.select(
+        family, "n_rows", (n("_separate") + n("_variant") + n("_little")).alias("already_linked"),
+        (_pairs(F.col("n_rows")) - F.col("_equal") - n("_separate")).alias("separate_product"),
+        (F.col("_equal") - F.col("_bare") - n("_variant")).alias("legitimate_variant"),
+        (F.col("_bare") - n("_little")).alias("insufficient_evidence"),
+    )
 
 
 def duplicate_score(rows: DataFrame, key: str, name: Column, strength: str) -> DataFrame:
-    """Pairs of equal folded name (0.8) and equal strength (0.2); only both together pass 0.9."""
-    r = rows.withColumn("_name", name)
-    a = r.select(F.col(key).alias("first_id"), "_name", strength)
-    b = r.select(F.col(key).alias("second_id"), "_name", strength)
-    return a.join(b, ["_name", strength]).where("first_id < second_id").select("first_id", "second_id", F.lit(1.0).alias("score"))
+    """Equal folded name (0.8) and equal strength (0.2); only both together pass 0.9.
+
+    A row an entity that has a duplicate: key, class_id (the smallest key of its class), n_links (how many others) and score. Rows without
+    name or strength have none.
+    """
+    named = rows.select(key, name.alias("_name"), F.col(strength).alias("_strength")).where("_name IS NOT NULL AND _strength IS NOT NULL")
+    found = value_classes(named, ["_name", "_strength"], key).where("n_class > 1")
+    return found.select(key, "class_id", (F.col("n_class") - 1).alias("n_links"), F.lit(1.0).alias("score"))
 
 
 def first_rule(text: Column, rules: list[tuple[str, str, str]], other: str = "manual") -> Column:

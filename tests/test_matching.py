@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
@@ -412,3 +413,58 @@ def test_synthetic_catalogue(spark):
     assert one["profiles"].join(one["entities"], "entity_id", "left_anti").isEmpty()
     assert one["entities"].join(one["distilleries"], "distillery_id", "left_anti").isEmpty()
     assert sorted(map(repr, files.synthetic_catalogue(spark, 400, 7)["entities"].collect())) != sorted(map(repr, one["entities"].collect()))
+
+
+def test_family_comparison_equals_all_pairs(spark):
+    rng = random.Random(5)
+    schema = "id long, fam string, age int, abv double, name string, sup long"
+    rows = [
+        (i, rng.choice(["a", "a", "a", "b", "c", None]), rng.choice([None, 10, 12]), rng.choice([40.0, 46.0]), rng.choice(["X", "x EDITION", None]), rng.choice([None, None, i, rng.randrange(90)]))
+        for i in range(90)
+    ]
+    rows += [(100, "alone", None, None, None, 100), (101, "both", 1, 1.0, "x", 102), (102, "both", 1, 1.0, "x", 101)]
+    want = {}
+    for i, f, *_ in rows:
+        if f is not None:
+            want.setdefault(f, [0, 0, 0, 0, 0])[0] += 1
+    for x, y in itertools.combinations(rows, 2):
+        if x[1] is not None and x[1] == y[1]:
+            edition = any("edition" in (r[4] or "").lower() for r in (x, y))
+            at = 1 if x[5] == y[0] or y[5] == x[0] else 2 if x[2:4] != y[2:4] else 3 if edition else 4
+            want[x[1]][at] += 1
+    df = spark.createDataFrame(rows, schema).withColumn("_n", F.lit("an extra column"))
+    got = {r[0]: list(r[1:]) for r in resolve.family_comparison(df, "fam", "id", ["age", "abv"], "name", "sup").collect()}
+    assert got == want and want["both"] == [2, 1, 0, 0, 0] and want["alone"] == [1, 0, 0, 0, 0]
+    assert resolve.family_comparison(df.limit(0), "fam", "id", ["age", "abv"], "name", "sup").count() == 0
+
+
+def test_pair_differences_keep_every_pair(spark):
+    values = [0.0, 0.0, 0.1, 0.3, 0.30000000000000004, 1.0, 1.5, None, -0.2, 7.0, 7.0, 7.0]
+    rows = [(i, "a" if i % 12 else None, v) for i, v in enumerate(values)] + [(20, "b", 3.0), (21, "c", 1.0), (22, "c", 9.0)]
+    df = spark.createDataFrame(rows, "id long, fam string, v double")
+    for tolerance in (0.0, 0.2, 0.5, 6.0):
+        low = {}
+        for i, f, v in sorted(rows, key=lambda r: r[0]):
+            low.setdefault((f, v), i)
+        want = Counter()
+        for x, y in itertools.combinations([r for r in rows if r[1] is not None and r[2] is not None], 2):
+            if x[1] == y[1]:
+                a, b = sorted((x, y), key=lambda r: r[2])
+                d = b[2] - a[2]
+                near = d <= tolerance
+                kind = "same" if d == 0 else "near" if near else "different"
+                want[(x[1], kind, *((low[a[1:]], low[b[1:]]) if kind != "different" else (None, None)))] += 1
+        found = resolve.pair_differences(df, "fam", "id", "v", tolerance).collect()
+        assert {(r.fam, r.kind, r.first_id, r.second_id): r.n_pairs for r in found} == want and len(found) == len(want)
+    # A family that holds nearly all rows stands in few rows; its pairs are counted exactly.
+    hot = spark.range(20001).selectExpr("id", "'f' AS fam", "double(id % 2) * 100 AS v")
+    found = {r.kind: 0 for r in resolve.pair_differences(hot, "fam", "id", "v", 1.0).collect()}
+    total = resolve.pair_differences(hot, "fam", "id", "v", 1.0).agg(F.sum("n_pairs")).first()[0]
+    assert set(found) == {"same", "different"} and total == 20001 * 20000 // 2
+
+
+def test_duplicate_classes_join_nothing_on_nulls(spark):
+    df = spark.createDataFrame([(3, "x", 1), (1, "x", 1), (2, "x", 2), (5, None, 1), (6, None, 1), (7, "y", None), (8, "y", None), (9, "x", 1)], "id long, name string, abv int")
+    got = sorted(tuple(r) for r in resolve.duplicate_score(df, "id", F.col("name"), "abv").collect())
+    assert got == [(1, 1, 2, 1.0), (3, 1, 2, 1.0), (9, 1, 2, 1.0)]
+    assert resolve.duplicate_score(df.limit(0), "id", F.col("name"), "abv").count() == 0
