@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curata.functions import names as M
+from curata.operators import mentions as N
 from curata.operators import resolve as R
 
 from . import Catalog, dealt, table
@@ -441,4 +442,4 @@ SELECT doc_id, term, substring(text, greatest(length(regexp_extract(' ' || lower
 )
 def d17(spark, sf_dir):
     lexicon = spark.createDataFrame([(t,) for t in ("license", "of the", "eriner", "than")], "term string")
-    return R.mentions(dealt(table(spark, sf_dir, "documents")), lexicon, "doc_id", "text", 2)
+    return N.mentions(dealt(table(spark, sf_dir, "documents")), lexicon, "doc_id", "text", 2)

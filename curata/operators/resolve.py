@@ -31,9 +31,6 @@ NO_TOKENS = (
     "year", "old", "yo", "yr", "yrs", "years", "distillery", "company", "co",
 )
 
-#: Terms of a lexicon that may go into an expression.
-LEXICON_ROWS = 1000
-
 
 def valid(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key exists."""
@@ -598,41 +595,3 @@ def backfilled(rows: DataFrame, by_name: DataFrame, by_owner: DataFrame, target:
     met = rows.join(n, name, "left").join(o, owner, "left")
     how = F.when(F.col(target).isNotNull(), "kept").when(F.col("_n").isNotNull(), "name").when(F.col("_o").isNotNull(), "owner").otherwise("queue")
     return met.withColumn("how", how).withColumn(target, F.coalesce(target, "_n", "_o")).drop("_n", "_o")
-
-
-def mentions(pages: DataFrame, lexicon: DataFrame, key: str, text: str, most_words: int = 3, context: int = 100) -> DataFrame:
-    """Lexicon terms in texts as whole words, once per (page, term) with the context of the first whole-word hit; n-grams meet the terms
-    by equality.
-
-    A lexicon of up to ``LEXICON_ROWS`` terms goes into the scan, which then emits hits with their context only; a larger one is joined,
-    and its hits go back to their pages by a hash of key and text. Pages that repeat a key, or key and text, are pages of their own either way.
-    """
-    terms = lexicon.select("term").distinct()
-    known = [r["term"] for r in terms.limit(LEXICON_ROWS + 1).collect()]
-    words = F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), lambda w: w != "")
-    tokens = pages.select(key, F.col(text), words.alias("_w"))
-    small = len(known) <= LEXICON_ROWS
-    first = sorted({t.split(" ")[0] for t in known})
-
-    def grams(n: int) -> Column:
-        made = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(0))), lambda i: F.array_join(F.slice("_w", i + 1, F.lit(n)), " "))
-        if not small:
-            return made
-        mine = [t for t in known if t.count(" ") == n - 1]
-        if n == 1:
-            return F.filter(F.array_distinct("_w"), lambda w: w.isin(*mine))
-        at = F.filter(F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(0))), lambda i: F.get("_w", i).isin(*first))
-        return F.filter(F.transform(at, lambda i: F.array_join(F.slice("_w", i + 1, F.lit(n)), " ")), lambda g: g.isin(*mine))
-
-    sizes = [n for n in range(1, most_words + 1) if not small or any(t.count(" ") == n - 1 for t in known)]
-    if small and not sizes:
-        return pages.select(key, F.lit("").alias("term"), F.lit("").alias("context")).limit(0)
-    found = tokens.select(key, F.col(text).alias("_t"), F.explode(F.array_distinct(F.flatten(F.array(*map(grams, sizes))))).alias("term"))
-    if not small:
-        own = (F.xxhash64(key, "_t").alias("_h1"), F.xxhash64(F.lit(1), key, "_t").alias("_h2"))
-        hits = found.select("term", *own).join(terms, "term").distinct()
-        found = pages.select(key, F.col(text).alias("_t")).select("*", *own).join(hits, ["_h1", "_h2"])
-    whole = F.concat(F.lit("(?<![a-z0-9])"), F.replace(F.col("term"), F.lit(" "), F.lit("[^a-z0-9]+")), F.lit("(?![a-z0-9])"))
-    at = F.regexp_instr(F.lower("_t"), whole)
-    around = F.substring(F.col("_t"), F.greatest(at - context, F.lit(1)), F.length("term") + 2 * context)
-    return found.select(key, "term", around.alias("context"))

@@ -165,17 +165,16 @@ def test_upserts_break_ties_by_the_other_columns(spark):
 
 def test_large_lexicons_change_nothing(spark):
     from curata.functions import lexicon
-    from curata.operators import resolve
+    from curata.operators.mentions import mentions
 
     text = "Thanks, it is more than a word of   the list. Than!"
     pages = spark.createDataFrame([(1, text), (1, "than of the"), (1, text), (2, "nothing here"), (None, "other than")], "id long, text string")
     terms = ["than", "of the", "word"]
     small = spark.createDataFrame([(t,) for t in terms], "term string")
     large = small.union(spark.range(1500).selectExpr("concat('unrelated', id) AS term"))
-    rows = [sorted(map(str, resolve.mentions(pages, lex, "id", "text", 2, 5).collect())) for lex in (small, large)]
-    assert rows[0] == rows[1] and len(rows[0]) == 9
-    context = {r.term: r.context for r in resolve.mentions(pages.limit(1), large, "id", "text", 2, 5).collect()}
-    assert context == {"than": "more than a wo", "of the": "word of   the ", "word": "an a word of  "} or context["than"].startswith("more than")
+    ways = [mentions(pages, lex, "id", "text", 2, 5, most) for lex in (small, large) for most in (100_000, 0)]
+    rows = [sorted(map(str, w.collect())) for w in ways]
+    assert all(r == rows[0] for r in rows) and len(rows[0]) == 9
     docs = spark.createDataFrame([(1, "another bar"), (1, "foo text"), (1, "foo text"), (None, "bar")], "id long, text string")
     lex = [df.selectExpr("term", "'axis' AS axis") for df in (small, large)]
     left = [sorted((str(r.id), r.terms) for r in lexicon.unmapped(docs, "id", "text", x).collect()) for x in lex]
@@ -243,3 +242,33 @@ def test_a_batch_writes_the_buckets_that_it_touches(spark, tmp_path):
     batch = spark.createDataFrame([(2, "v3", 3)], schema)
     before = L._bucket_rows(spark, out, start.schema, L._manifest(spark, out, 1))
     assert {r.k: r.v for r in P.upserted(before, batch, "k", "seq").collect()} == want
+
+
+def test_mentions_equal_a_scan_of_every_term(spark):
+    import random
+    import re
+
+    from curata.operators.mentions import mentions
+
+    rng = random.Random(11)
+    words = ["a", "of", "the", "barrel", "proof", "12", "Proof", "\U0001f943", "é", "of-the", "K", "", "barrelproof"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(30))) for _ in range(60)] + ["", None, "the", "\U0001f943\U0001f943 the barrel, proof!", "of\n the\nbarrel", "x " * 5000 + "proof"]
+    rows = [(i % 40 if i % 9 else None, t, "extra") for i, t in enumerate(texts)]
+    pages = spark.createDataFrame(rows, "id int, text string, term string")
+    terms = ["a", "of", "of the", "the", "of the barrel", "the barrel", "barrel proof", "proof 12", "12", "Proof", "", "a  of", "k", "a of the barrel", "e", None, "of the", "the "]
+    lex = spark.createDataFrame([(t,) for t in terms], "term string")
+    want = []
+    for key, text, _ in rows:
+        for term in {t for t in terms if t and re.fullmatch("[a-z0-9]+( [a-z0-9]+){0,2}", t)}:
+            hit = re.search("(?<![a-z0-9])" + term.replace(" ", "[^a-z0-9]+") + "(?![a-z0-9])", (text or "").lower())
+            if hit:
+                start = max(hit.start() - 4, 0)
+                want.append((key, term, text[start : start + len(term) + 8]))
+    want = sorted(map(str, want))
+    for most in (100_000, 0):
+        got = mentions(pages.select("id", "text"), lex, "id", "text", 3, 4, most)
+        assert got.schema.names == ["id", "term", "context"] and sorted(str(tuple(r)) for r in got.collect()) == want
+    assert len(want) > 100
+    for most in (100_000, 0):
+        assert mentions(pages, lex.limit(0), "id", "text", most_terms=most).count() == 0
+        assert mentions(pages.limit(0), lex, "id", "text", most_terms=most).count() == 0
