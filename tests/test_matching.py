@@ -468,3 +468,25 @@ def test_duplicate_classes_join_nothing_on_nulls(spark):
     got = sorted(tuple(r) for r in resolve.duplicate_score(df, "id", F.col("name"), "abv").collect())
     assert got == [(1, 1, 2, 1.0), (3, 1, 2, 1.0), (9, 1, 2, 1.0)]
     assert resolve.duplicate_score(df.limit(0), "id", F.col("name"), "abv").count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pieces_of_texts_are_not_sent_through_the_driver(spark):
+    sources = spark.createDataFrame([(i, f"red widget {i}") for i in range(20)], "src_id long, src_text string")
+    registry = spark.createDataFrame([(i, f"red widgets {i}") for i in range(20)], "id long, text string")
+    assert "Broadcast" not in plan_of(resolve.similar_pairs(sources, registry))
+
+
+def test_three_way_and_best_candidate_of_equal_texts(spark):
+    """Rows of one text get the same answer, and only one of them is compared."""
+    sources = spark.createDataFrame([(i, "red widget 12", 1) for i in range(3)] + [(7, "zz", 1), (8, "", 1)], "src_id long, src_text string, src_age int")
+    registry = spark.createDataFrame([(4, 1, "red widget 13"), (5, 1, "red widgets 12"), (6, 1, "old bolt")], "id long, age int, text string")
+    found = {r.src_id: (r.status, r.candidates) for r in resolve.three_way(sources, registry).collect()}
+    assert found == {0: ("AMBIGUOUS", "5,4")} | {1: ("AMBIGUOUS", "5,4"), 2: ("AMBIGUOUS", "5,4"), 7: ("NO_MATCH", None), 8: ("NO_MATCH", None)}
+    best = {r.src_id: (r.id, round(r.score, 6), round(r.runner_up, 6)) for r in resolve.best_candidates(sources, registry).collect()}
+    assert best == dict.fromkeys(range(3), (5, round(13 / 14, 6), round(12 / 13, 6)))
+    once = resolve.text_pairs(sources, registry)
+    assert once.count() == 2
