@@ -275,13 +275,17 @@ def l1(spark, sf_dir):
 
 @C.add(
     "l2_changes",
-    "SELECT url, 0::BIGINT AS version, 'new' AS status, 1::BIGINT AS n_versions FROM pages UNION ALL SELECT url, 1, CASE WHEN page_id % 5 = 0 THEN 'changed' ELSE 'unchanged' END, CASE WHEN page_id % 5 = 0 THEN 2 ELSE 1 END FROM pages",
+    """WITH r AS (SELECT url, 0::BIGINT AS version, coalesce(html, '') AS content FROM pages UNION ALL SELECT url, 1, coalesce(CASE WHEN page_id % 5 = 0 THEN html || '!' ELSE html END, '') FROM pages),
+c AS (SELECT *, row_number() OVER w AS n, coalesce(content = lag(content) OVER w, false) AS same FROM r WINDOW w AS (PARTITION BY url ORDER BY version, content))
+SELECT url, version, CASE WHEN n = 1 THEN 'new' WHEN same THEN 'unchanged' ELSE 'changed' END AS status, (count(*) FILTER (NOT same) OVER (PARTITION BY url ORDER BY n))::BIGINT AS n_versions FROM c""",
 )
 def l2(spark, sf_dir):
     p, path = table(spark, sf_dir, "pages"), S.scratch_path(spark, "pages")
     first = p.select("url", F.lit(0).cast("long").alias("version"), F.col("html").alias("content"))
     second = p.select("url", F.lit(1).cast("long").alias("version"), F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html")).alias("content"))
-    first.union(second).write.parquet(path)
+    # The first versions are older files, and a url's rows lie in one file, so neither is split over batches out of order.
+    for rows in (first, second):
+        rows.repartition("url").write.mode("append").parquet(path)
     out = S.scratch_path(spark, "changes")
     L.changes(L.file_stream(spark, path, first.schema, 100), out, S.scratch_path(spark, "cp"))
     return spark.read.schema("url string, version long, status string, n_versions long").parquet(out)

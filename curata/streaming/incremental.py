@@ -69,12 +69,12 @@ def deltas(stream: DataFrame, known: DataFrame, keys: list[str], order: list[str
 
 
 def _track(key, frames, state: GroupState):
-    """Rows of one url in ``version`` order against the hash kept for it."""
+    """Rows of one url, by version and content, against the hash kept for it."""
     last, count = state.get if state.exists else (None, 0)
-    rows = pd.concat(list(frames)).sort_values("version")
+    rows = pd.concat(list(frames))
     out = []
-    for version, content in zip(rows["version"], rows["content"], strict=True):
-        digest = hashlib.sha256((content or "").encode()).hexdigest()
+    for version, content in sorted(zip(rows["version"], rows["content"].fillna(""), strict=True)):
+        digest = hashlib.sha256(content.encode()).hexdigest()
         status = "new" if last is None else "unchanged" if digest == last else "changed"
         count += digest != last
         last = digest
@@ -84,7 +84,10 @@ def _track(key, frames, state: GroupState):
 
 
 def changes(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """L2: (url, version, content) to new, unchanged or changed, with the number of versions so far; the state is a hash per url."""
+    """L2: (url, version, content) to new, unchanged or changed, with the number of versions so far; the state is a hash per url.
+
+    Rows of one url and version (no content: empty) count in the order of their content. They must come in one batch, and later versions not before it.
+    """
     tracked = stream.groupBy("url").applyInPandasWithState(
         _track, "url string, version long, status string, n_versions long", "hash string, n long", "append", GroupStateTimeout.NoTimeout
     )

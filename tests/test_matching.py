@@ -514,3 +514,15 @@ def test_producer_tiers_meet_by_different_keys(spark):
         matching._near = near
     assert seen[0] == (["glenmoraydistillery", "glenmuray"], ["glenmoray", "glenmury"])
     assert found == {0: (4, 96, "link"), 1: (4, 96, "link"), 2: (4, 80, "review"), 3: (4, 80, "review")}
+
+
+def test_changes_of_a_url_of_several_pages(spark, duck, tmp_path):
+    """Pages that share a url: the query and its SQL track the url."""
+    pages = [(1, "u", "b"), (2, "u", "a"), (5, "u", "b"), (3, "v", "x"), (10, "w", None), (11, "w", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = [tuple(r) for r in intake.l2(spark, str(tmp_path)).select("url", "version", "status", "n_versions").collect()]
+    cur = duck.cursor()
+    cur.execute(f"CREATE TEMP VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = cur.execute(f"SELECT url, version, status, n_versions FROM ({intake.C.sql['l2_changes']})").fetchall()
+    u = [("u", 0, "new", 1), ("u", 0, "changed", 2), ("u", 0, "unchanged", 2), ("u", 1, "changed", 3), ("u", 1, "changed", 4), ("u", 1, "changed", 5)]
+    assert sorted(got) == sorted(want) and sorted(r for r in got if r[0] == "u") == sorted(u)
