@@ -9,10 +9,12 @@ import hashlib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from curata.plans.promote import last_writer_wins, upserted
 
@@ -34,38 +36,35 @@ def _batch_sink(out: str, made: Callable[[DataFrame], DataFrame]) -> Callable[[D
     return write
 
 
-def _news(keys: list[str], order: list[str], columns: list[str]):
-    def run(key, frames, state: GroupState):
-        """Rows of one key, in order, that differ from the last; the last is kept for later batches."""
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-        first = rows.iloc[0]
-        last = tuple(state.get) if state.exists else (first["_v"], first["_c"]) if first["_known"] else None
-        plain = lambda v, c: (None if pd.isna(v) else v, None if pd.isna(c) else float(c))
-        last, news = last and plain(*last), []
-        for value, confidence in zip(rows["_value"], rows["confidence"], strict=True):
-            now = plain(value, confidence)
-            # Null equals nothing, as in a comparison of columns.
-            news.append(last is None or None in now or now != last)
-            last = now
-        state.update(last)
-        if any(news):
-            yield rows[news][columns]
+def deltas(stream: DataFrame, known: DataFrame, keys: list[str], order: list[str], out: str, checkpoint: str, buckets: int = 64) -> None:
+    """L1: rows whose (value, confidence) differs from the last known one of their key: that of an earlier row of the stream, in whatever batch, else
+    that of ``known``. Null equals nothing, as in a comparison of columns.
 
-    return run
+    The last one of each key is kept beside the checkpoint in buckets by key (as ``folded`` does), so a query that is started again continues. Rows meet
+    the kept ones in one window by key; a batch that is run again starts from the manifest before it.
+    """
+    bucket, state = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"), f"{checkpoint.rstrip('/')}-state"
+    told = lambda df: df.withColumns({"_v": F.col("value").cast("string"), "_c": F.nanvl(F.col("confidence").cast("double"), F.lit(None).cast("double"))})
+    kept = told(stream).select(*keys, *[c for c in order if c not in keys], "_v", "_c").schema
+    first = known.groupBy(*keys).agg(F.max(F.struct(*order, F.struct("value", "confidence").alias("_k"))).alias("_k"))
+    first = told(first.select(*keys, "_k._k.*")).drop("value", "confidence").withColumn("_from", F.lit(0))
+    w = Window.partitionBy(*keys).orderBy("_from", *order)
 
+    def step(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        held, touched = _manifest(spark, state, number - 1) if number else {}, {r[0] for r in df.select(bucket).distinct().collect()}
+        # What an earlier batch kept comes after what was known at first, and before what is new.
+        every = told(df).withColumn("_from", F.lit(2)).unionByName(_bucket_rows(spark, state, kept, {b: n for b, n in held.items() if b in touched}).withColumn("_from", F.lit(1)), allowMissingColumns=True)
+        every = every.unionByName(first.where(bucket.isin(*touched)), allowMissingColumns=True)
+        last = F.lag(F.struct("_v", "_c")).over(w)
+        same = F.coalesce((last["_v"] == F.col("_v")) & (last["_c"] == F.col("_c")), F.lit(False))
+        # The next row of a key tells whether this one is its last.
+        met = every.withColumns({"_news": ~same, "_last": F.lead("_from").over(w).isNull()}).where("_from > 0").persist(StorageLevel.DISK_ONLY)
+        met.where("_from = 2 AND _news").select(*df.columns).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        _put(spark, met.where("_last").select(*kept.names), bucket, state, number, held)
+        met.unpersist()
 
-def deltas(stream: DataFrame, known: DataFrame, keys: list[str], order: list[str], out: str, checkpoint: str) -> None:
-    """L1: rows whose (value, confidence) differs from the last known one of their key: that of an earlier row of the stream, in whatever batch, else
-    that of ``known``. The last one of each key is kept in the state store, so a query that is started again continues."""
-    k = known.groupBy(*keys).agg(F.max(F.struct(*order, F.col("value").cast("string").alias("_v"), F.col("confidence").alias("_c"))).alias("_k"))
-    k = k.select(*keys, "_k._v", F.col("_k._c").cast("double").alias("_c"), F.lit(True).alias("_known"))
-    met = stream.join(k, keys, "left").withColumns({"_known": F.coalesce("_known", F.lit(False)), "_value": F.col("value").cast("string")})
-    found = met.groupBy(*keys).applyInPandasWithState(
-        _news(keys, order, stream.columns), stream.schema, "value string, confidence double", "update", GroupStateTimeout.NoTimeout
-    )
-    sink = _batch_sink(out, lambda df: df)
-    query = found.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    drain(stream, step, checkpoint)
 
 
 def _track(key, frames, state: GroupState):
@@ -126,6 +125,15 @@ def _bucket_rows(spark: SparkSession, out: str, schema: StructType, held: dict[i
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
+def _put(spark: SparkSession, df: DataFrame, bucket: Column, out: str, number: int, held: dict[int, int]) -> None:
+    """Write buckets of a batch, then the manifest that names the last file of each bucket."""
+    path = f"{out}/batch={number}"
+    df.withColumn("_bucket", bucket).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
+    new = {r[0]: number for r in spark.read.schema("_bucket int").parquet(path).distinct().collect()}  # a row for each bucket at most
+    rows = sorted((held | new).items())
+    spark.createDataFrame(rows, "bucket int, batch int").coalesce(1).write.mode("overwrite").json(f"{out}/manifest={number}")
+
+
 def folded(stream: DataFrame, start: DataFrame, key: str, fold: Callable[[DataFrame, DataFrame], DataFrame], out: str, checkpoint: str, buckets: int = 64) -> int:
     """A state folded over all batches, in buckets by a hash of ``key``: a batch reads and writes only buckets that it has keys of, and then a
     manifest that names the last file of each. ``fold`` must work key by key. A batch that is run again starts from the manifest before
@@ -134,11 +142,7 @@ def folded(stream: DataFrame, start: DataFrame, key: str, fold: Callable[[DataFr
     last = {"batch": -1}
 
     def put(df: DataFrame, number: int, held: dict[int, int]) -> None:
-        spark, path = df.sparkSession, f"{out}/batch={number}"
-        df.withColumn("_bucket", bucket).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
-        new = {r[0]: number for r in spark.read.schema("_bucket int").parquet(path).distinct().collect()}  # a row for each bucket at most
-        rows = sorted((held | new).items())
-        spark.createDataFrame(rows, "bucket int, batch int").coalesce(1).write.mode("overwrite").json(f"{out}/manifest={number}")
+        _put(df.sparkSession, df, bucket, out, number, held)
         last["batch"] = number
 
     def step(df: DataFrame, number: int) -> None:

@@ -526,3 +526,21 @@ def test_changes_of_a_url_of_several_pages(spark, duck, tmp_path):
     want = cur.execute(f"SELECT url, version, status, n_versions FROM ({intake.C.sql['l2_changes']})").fetchall()
     u = [("u", 0, "new", 1), ("u", 0, "changed", 2), ("u", 0, "unchanged", 2), ("u", 1, "changed", 3), ("u", 1, "changed", 4), ("u", 1, "changed", 5)]
     assert sorted(got) == sorted(want) and sorted(r for r in got if r[0] == "u") == sorted(u)
+
+
+def test_deltas_over_batches_and_a_restart(spark, tmp_path):
+    """The last value of a key counts over batches and restarts, ahead of the known one; no pandas frame is made for a key."""
+    schema = spark.createDataFrame([], "event_id long, key string, value double, confidence int").schema
+    src, out, cp = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "cp")
+    known = spark.createDataFrame([(1, "a", 0.0, 1), (2, "a", 1.0, 1), (3, "n", None, 1), (4, "x", 5.0, 1)], schema)
+    batches = [
+        [(10, "a", 1.0, 1), (12, "a", 2.0, 1), (11, "a", 1.0, 1), (13, "b", 1.0, 1), (14, "n", None, 1), (15, "n", None, 1)],
+        [(20, "a", 2.0, 1), (21, "b", 1.0, 2), (22, "b", float("nan"), 2)],
+        [(30, "a", 1.0, 1), (31, "b", float("nan"), 2), (34, "b", None, 2), (32, "x", 5.0, 1), (33, "c", 1.0, None), (5, "a", 1.0, 1)],
+    ]
+    for rows in batches:  # a query a batch
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        incremental.deltas(incremental.file_stream(spark, src, schema, 1), known, ["key"], ["event_id"], out, cp)
+    got = sorted(r.event_id for r in spark.read.schema(schema).parquet(f"{out}/batch=*").collect())
+    assert got == [5, 12, 13, 14, 15, 21, 22, 33, 34]
+    assert not hasattr(incremental, "_news")
