@@ -575,3 +575,12 @@ def test_equal_sources_meet_records_once(spark, sf_dir, tmp_path):
         want = {tuple(r) for r in query(spark, str(tmp_path / "one")).collect()}
         got = {tuple(r) for r in query(spark, str(tmp_path)).collect()}
         assert got == want | {(r[0] + n, *r[1:]) for r in want}
+
+
+def test_token_candidates_meet_by_different_texts(spark, sf_dir, monkeypatch):
+    seen = []
+    plain = resolve.token_candidates
+    monkeypatch.setattr(resolve, "token_candidates", lambda s, r: seen.append(s) or plain(s, r))
+    found = resolution.d13(spark, sf_dir)
+    assert seen[0].count() == resolution.token_sources(spark, sf_dir).select("src_text").distinct().count()
+    assert found.count() == found.select("src_id").distinct().count() > 0
