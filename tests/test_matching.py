@@ -584,3 +584,12 @@ def test_token_candidates_meet_by_different_texts(spark, sf_dir, monkeypatch):
     found = resolution.d13(spark, sf_dir)
     assert seen[0].count() == resolution.token_sources(spark, sf_dir).select("src_text").distinct().count()
     assert found.count() == found.select("src_id").distinct().count() > 0
+
+
+def test_fuzzy_answers_meet_rows_once_by_a_shuffle(spark):
+    sources = spark.createDataFrame([(1, "red widget 12", 12), (2, "red widget 12", 9), (3, "zz", 1), (4, "", None), (5, None, 1)], "src_id long, src_text string, src_age int")
+    registry = spark.createDataFrame([(4, 12, "red widget 12"), (6, 1, "old bolt")], "id long, age int, text string")
+    found = resolve.fuzzy_resolved(sources, registry)
+    assert "Broadcast" not in plan_of(found) and plan_of(found).count("src_id") < 12
+    none = (None, "unmatched", 0.0)
+    assert {r.src_id: tuple(r)[1:] for r in found.collect()} == {1: (4, "exact", 1.0), 2: (4, "manual_review", 1.0), 3: none, 4: none, 5: none}
