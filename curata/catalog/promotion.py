@@ -42,8 +42,13 @@ def entity_ids(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"))
 
 
+def tasks(spark, sf_dir):
+    """Tasks for rows of lineitem that are sorted whole: a number that grows with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * table(spark, sf_dir, "lineitem").rdd.getNumPartitions())
+
+
 def plan(spark, sf_dir):
-    return P.planned(candidates(spark, sf_dir), entity_ids(spark, sf_dir), held(spark, sf_dir), "entity_id", "source", "status", ["l_orderkey", "l_linenumber", "l_suppkey"])
+    return P.planned(candidates(spark, sf_dir), entity_ids(spark, sf_dir), held(spark, sf_dir), "entity_id", "source", "status", ["l_orderkey", "l_linenumber", "l_suppkey"], tasks(spark, sf_dir))
 
 
 @C.add("j1_promotion_plan", f"WITH {PLAN} SELECT entity_id, source, action, reason, count(*) AS n FROM plan GROUP BY ALL")
@@ -64,13 +69,13 @@ _ADAPTED = PLAN.replace("FROM c LEFT JOIN part", "FROM (SELECT * FROM c WHERE l_
 )
 def m3_plan(spark, sf_dir):
     line_adapter()
-    made = A.adapter("lines").plan(candidates(spark, sf_dir), entity_ids(spark, sf_dir), held(spark, sf_dir))
+    made = A.adapter("lines").plan(candidates(spark, sf_dir), entity_ids(spark, sf_dir), held(spark, sf_dir), tasks=tasks(spark, sf_dir))
     return made.groupBy("entity_id", "source", "action", "reason").agg(F.count("*").alias("n"))
 
 
 @C.add("m3_adapter_applied", f"WITH {_ADAPTED} SELECT * FROM h UNION ALL SELECT entity_id, source FROM plan WHERE action = 'INSERT'")
 def m3_applied(spark, sf_dir):
-    made = line_adapter().plan(candidates(spark, sf_dir), entity_ids(spark, sf_dir), held(spark, sf_dir))
+    made = line_adapter().plan(candidates(spark, sf_dir), entity_ids(spark, sf_dir), held(spark, sf_dir), tasks=tasks(spark, sf_dir))
     return A.adapter("lines").apply_plan(made, held(spark, sf_dir))
 
 

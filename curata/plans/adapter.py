@@ -26,15 +26,15 @@ class Adapter:
     rules: list[tuple[str, Column]] = field(default_factory=list)
     bounded: tuple[str, ...] = ()
 
-    def plan(self, staging: DataFrame, entities: DataFrame, current: DataFrame, only: DataFrame | None = None) -> DataFrame:
-        """Staging rows with action (INSERT, SKIP, CONFLICT, REJECT) and reason; ``only`` (key) keeps rows of those keys."""
+    def plan(self, staging: DataFrame, entities: DataFrame, current: DataFrame, only: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+        """Staging rows with action (INSERT, SKIP, CONFLICT, REJECT) and reason; ``only`` (key) keeps rows of those keys, ``tasks`` is that of ``planned``."""
         rows = staging if only is None else staging.join(only.select(self.key).distinct(), self.key, "left_semi")
         if not self.rules:
-            return planned(rows, entities, current, self.key, self.source, self.status, list(self.order))
+            return planned(rows, entities, current, self.key, self.source, self.status, list(self.order), tasks)
         judged = rows.withColumn("_rule", first_failure(self.rules))
         refused = judged.where("_rule is not null").select(*rows.columns, F.lit("REJECT").alias("action"), F.col("_rule").alias("reason"))
         passed = judged.where("_rule is null").drop("_rule")
-        return planned(passed, entities, current, self.key, self.source, self.status, list(self.order)).unionByName(refused)
+        return planned(passed, entities, current, self.key, self.source, self.status, list(self.order), tasks).unionByName(refused)
 
     def apply_plan(self, plan: DataFrame, current: DataFrame) -> DataFrame:
         """The state after the inserts; a bounded column above 1 stops it."""

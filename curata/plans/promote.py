@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def planned(candidates: DataFrame, valid: DataFrame, existing: DataFrame, key: str, source: str, status: str, order: list) -> DataFrame:
-    """Candidates with ``action`` and ``reason``: unresolved, bad status, existing and repeated ones in this order."""
+def planned(candidates: DataFrame, valid: DataFrame, existing: DataFrame, key: str, source: str, status: str, order: list, tasks: int | None = None) -> DataFrame:
+    """Candidates with ``action`` and ``reason``: unresolved, bad status, existing and repeated ones in this order.
+
+    Both joins and the order of a key sort whole candidates in memory: ``tasks`` deals them to so many, so that a number that grows with the rows keeps each small.
+    """
+    dealt = lambda df, *by: df.repartition(tasks, *by) if tasks else df
     known = valid.select(F.col(key).alias("_valid")).distinct()
     held = existing.select(F.col(key).alias("_k"), F.col(source).alias("_s")).distinct()
-    met = candidates.join(known, F.col(key) == F.col("_valid"), "left")
-    met = met.join(held, (F.col(key) == F.col("_k")) & (F.col(source) == F.col("_s")), "left")
+    met = dealt(candidates, key).join(known, F.col(key) == F.col("_valid"), "left")
+    met = dealt(met, key, source).join(held, (F.col(key) == F.col("_k")) & (F.col(source) == F.col("_s")), "left")
     ok = F.col("_valid").isNotNull() & ~F.lower(status).isin("empty", "conflict") & F.col("_k").isNull()
     place = F.row_number().over(Window.partitionBy(key, source, ok).orderBy(*order))
     met = met.withColumn("_ok", ok).withColumn("_n", place)

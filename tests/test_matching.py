@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from curata.catalog import guarded, intake, promotion, resolution
 from curata.functions import names as M
 from curata.operators import evidence, matching, rank, resolve
-from curata.plans import adapter, quality
+from curata.plans import adapter, promote, quality
 from curata.sources import files
 from curata.streaming import incremental
 
@@ -610,7 +610,7 @@ def test_pairs_of_sources_and_records_are_dealt_by_number(spark, sf_dir):
     by = ("src_name", "p_brand", "src_part")
     rows = guarded.pairs(spark, sf_dir, by)
     assert "REPARTITION_BY_NUM" in plan_of(rows)
-    assert rows.select("src_id").distinct().count() == guarded.source_classes(spark, sf_dir).select(*by).distinct().count()
+    assert rows.select("src_id").distinct().count() == rows.select(*by).distinct().count() > 0
 
 
 def test_feature_routes_score_different_names_once(spark, sf_dir, monkeypatch):
@@ -626,3 +626,12 @@ def test_feature_routes_score_different_names_once(spark, sf_dir, monkeypatch):
     assert got == want and len(seen) == 4
     plan = plan_of(matching.feature_routes(copies, more))
     assert "Sort [_s" in plan
+
+
+def test_planned_rows_are_dealt_to_as_many_tasks_as_asked(spark, sf_dir):
+    args = (promotion.candidates(spark, sf_dir), promotion.entity_ids(spark, sf_dir), promotion.held(spark, sf_dir), "entity_id", "source", "status", ["l_orderkey", "l_linenumber", "l_suppkey"])
+    assert promotion.tasks(spark, sf_dir) >= 16
+    dealt = promote.planned(*args, tasks=7)
+    assert plan_of(dealt).count(", 7), REPARTITION_BY_NUM") == 2
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, promote.planned(*args).collect()))
+    assert "REPARTITION_BY_NUM" in plan_of(promotion.m3_plan(spark, sf_dir)) and "REPARTITION_BY_NUM" in plan_of(promotion.j1(spark, sf_dir))
