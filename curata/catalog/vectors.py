@@ -243,7 +243,9 @@ x AS (SELECT p_partkey, list_transform(v, lambda y: CASE WHEN k <> 0 THEN y WHEN
 SELECT p_partkey, round(v[1], 6) AS fruity, round(v[2], 6) AS sweet, round(v[3], 6) AS spicy, round(v[4], 6) AS smoky_peaty, round(v[5], 6) AS oak_cask, round(v[6], 6) AS malty_cereal, round(v[7], 6) AS floral_herbal, round(v[8], 6) AS maritime FROM x""",
 )
 def b22(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", L.app_axes(L.parsed_profile(F.expr(_COMP))).alias("x"))
+    # The profile is a column before its axes are taken, which name it many times.
+    p = dealt(table(spark, sf_dir, "part")).select("p_partkey", F.expr(_COMP).alias("c")).select("p_partkey", L.parsed_profile(F.col("c")).alias("m"))
+    p = p.select("p_partkey", L.app_axes(F.col("m")).alias("x"))
     return p.select("p_partkey", *[F.round(f"x.{c}", 6).alias(c) for c in L.AXIS_KEYS])
 
 

@@ -9,7 +9,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from curata.catalog import guarded, intake, promotion, resolution
+from curata.catalog import guarded, intake, promotion, resolution, vectors
 from curata.functions import names as M
 from curata.operators import evidence, matching, rank, resolve
 from curata.plans import adapter, promote, quality
@@ -635,3 +635,9 @@ def test_planned_rows_are_dealt_to_as_many_tasks_as_asked(spark, sf_dir):
     assert plan_of(dealt).count(", 7), REPARTITION_BY_NUM") == 2
     assert sorted(map(str, dealt.collect())) == sorted(map(str, promote.planned(*args).collect()))
     assert "REPARTITION_BY_NUM" in plan_of(promotion.m3_plan(spark, sf_dir)) and "REPARTITION_BY_NUM" in plan_of(promotion.j1(spark, sf_dir))
+
+
+def test_axes_are_taken_of_a_profile_parsed_once(spark, sf_dir):
+    plan = vectors.b22(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("component_2=") == 1
+    assert "RoundRobinPartitioning" in plan_of(vectors.b22(spark, sf_dir))
