@@ -8,7 +8,7 @@ from curata.sources import files as S
 from curata.sources import ingest as N
 from curata.streaming import incremental as L
 
-from . import Catalog, table
+from . import Catalog, dealt, table
 
 C = Catalog()
 
@@ -236,7 +236,9 @@ def a11_files(spark, sf_dir):
     """Pages written as files, some alike, and taken in again from the folder."""
     path = S.scratch_path(spark, "artifacts")
     html = F.when(F.col("page_id") % 7 == 6, "copied").otherwise(F.col("html"))
-    table(spark, sf_dir, "pages").select("page_id", F.replace(html, F.lit("\r"), F.lit("")).alias("value")).write.partitionBy("page_id").text(path)
+    pages = dealt(table(spark, sf_dir, "pages")).select("page_id", F.replace(html, F.lit("\r"), F.lit("")).alias("value"))
+    # Tasks move their own files into place: the driver would move those of all pages one after the other.
+    pages.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("page_id").text(path)
     files = S.artifacts(spark, path, "*.txt").withColumn("page_id", F.col("page_id").cast("long"))
     known = files.where("page_id % 5 = 0").select(F.sha2("content", 256).alias("content_hash"))
     return S.intake(files.where("page_id % 5 <> 0"), known, "content", "page_id", ["page_id"]).select("page_id", "length", "content_hash", "artifact_id", "status")

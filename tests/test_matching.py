@@ -641,3 +641,11 @@ def test_axes_are_taken_of_a_profile_parsed_once(spark, sf_dir):
     plan = vectors.b22(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("component_2=") == 1
     assert "RoundRobinPartitioning" in plan_of(vectors.b22(spark, sf_dir))
+
+
+def test_page_files_are_written_by_several_tasks(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "scratch_path", lambda spark, label: str(tmp_path / label))
+    n = intake.a11_files(spark, sf_dir).count()
+    parts = [f.name.split("-")[1] for f in (tmp_path / "artifacts").glob("page_id=*/*.txt")]
+    assert n == spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id % 5 <> 0").count()
+    assert len(parts) > n and len(set(parts)) > 1
