@@ -688,3 +688,27 @@ def test_a_token_of_all_names_makes_no_pairs(spark):
     r = spark.createDataFrame([(n,) for n in names], "text string")
     near = {(x.src_text, x.text) for x in resolve._near_by_tokens(s, r, 0.85, "levenshtein").collect()}
     assert {(n, n) for n in names} <= near and len(near) < 4 * len(names)
+
+
+def test_similar_items_meet_only_cells_in_reach(spark, monkeypatch):
+    rng = random.Random(3)
+    vectors = [[round(rng.gauss(0, 1), 2) for _ in range(3)] for _ in range(400)]
+    rows = [(i, rng.choice(vectors[:20]) if i % 4 == 0 else v) for i, v in enumerate(vectors)] + [(900, [0.0, 0.0, 0.0]), (901, [1.0, None, 2.0]), (902, [1.0, float("nan"), 2.0])]
+    df = spark.createDataFrame(rows, "k int, v array<double>")
+    met = spark.sparkContext.accumulator(0)
+    plain = rank._nearest
+
+    def counted(*args):
+        run = plain(*args)
+        return lambda q, x: met.add(len(q) * len(x)) or run(q, x)
+
+    monkeypatch.setattr(rank, "_nearest", counted)
+    got = {}
+    for r in rank.similar(df, df, "k", "v", 5, query_block=16, item_block=20).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.k, r.distance))
+    used = rows[:400]
+    assert sorted(got) == [k for k, _ in used]
+    for k, v in used:
+        best = sorted((sum((a - b) * (a - b) for a, b in zip(v, w, strict=True)), i) for i, w in used if i != k)[:5]
+        assert [(n, i) for n, i, _ in sorted(got[k])] == [(n + 1, i) for n, (_, i) in enumerate(best)]
+    assert met.value < len(used) ** 2 / 2
