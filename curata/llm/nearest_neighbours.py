@@ -1,17 +1,20 @@
 """Nearest neighbours by largest inner product: a block matrix join with int8 tiles.
 
-Queries and candidates are dealt into blocks of bounded size; every query block meets every candidate block once, as
-one tile (a keyed shuffle of blocks, never of pairs). Inside a tile both sides are rounded to int8 with a scale per
-vector. The int8 product gives all inner products with a bound on the error,
+Candidates are stored once, in files of bounded length. Queries are dealt into blocks of bounded size; a task has a block of
+queries and reads a slice of the files, a tile of candidates at a time, so only queries are shuffled, once a slice, and
+neither candidates nor pairs ever are. Inside a tile both sides are rounded to int8 with a scale per vector. The int8 product
+gives all inner products with a bound on the error,
 
     |x.y - x'.y'|  <=  |x - x'| |y'| + |x| |y - y'|        (x', y' the rounded vectors),
 
-so whatever cannot be among the k best of the tile is dropped; what is left is computed again in double precision
-from the original vectors, component by component in order. The k best of each tile are merged by heaps, in two steps so that
-no task sees more than a group of tiles of some queries. Nothing is approximate in the result.
+so whatever cannot be among the k best of the task so far is dropped; what is left is computed again in double precision
+from the original vectors, component by component in order. The first tiles of a task are small, as nothing is known to drop by
+before them. The k best of each task are merged by heaps, in two steps so that no task sees more than a group of slices of
+some queries. Nothing is approximate in the result.
 
 Of candidates with equal vectors in a tile at most k rows of an id can matter, and of those the 2 k with the smallest ids: k at
-least are not the query's own. The rest are left out first, so a very common vector costs no more than others.
+least are not the query's own. Where a vector has more copies than that the rest are left out first, so a very common vector costs
+no more than others.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part;
 null ids neither; a query id that is repeated is one query with the smallest of its vectors, and no row of that id answers
@@ -24,13 +27,20 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import filesystem, shared_path
 
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 8192
 CANDIDATE_BLOCK = 16384
+#: Components of a block and products of a step at most; rows of a stored file, of a task's slice of them, of a task's first tile.
+COMPONENTS = 4 << 20
+FILE_ROWS = 1 << 16
+SLICE = 1 << 22
+FIRST = 1024
 GROUP = 64
 FOUND = "query_id long, vec_id long, score double"
 
@@ -52,12 +62,28 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 def _rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(int8 values, scale, norm of what rounding took, norm) of each row."""
-    scale = np.abs(x).max(1) / 127
-    scale[scale == 0] = 1
-    q = np.rint(x / scale[:, None]).astype(np.int8)
-    back = q * scale[:, None]
-    return q, scale, np.linalg.norm(x - back, axis=1) * (1 + 1e-9), np.linalg.norm(x, axis=1) * (1 + 1e-9)
+    """(int8 values of the rows over their largest component, times 127; that component; norm of what rounding took; norm)."""
+    most = np.abs(x).max(1)
+    most[most == 0] = 1
+    x = x / most[:, None]
+    i = np.rint(x * 127).astype(np.int8)
+    return i, most, np.linalg.norm(x - i / 127, axis=1) * (1 + 1e-9), np.linalg.norm(x, axis=1) * (1 + 1e-9)
+
+
+def _bounds(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows for products with ``_faced`` candidates: upper bounds, lower bounds, and what the rows were divided by."""
+    i, most, lost, norm = _rounded(q)
+    # Single precision errs by less than this share of both norms, with the errors of the sums that make exact scores.
+    lost = lost + (q.shape[1] + 8) * 2.0**-23 * (norm + lost)
+    i = i / 127
+    return np.column_stack((i, lost, norm)).astype(np.float32), np.column_stack((i, -lost, -norm)).astype(np.float32), most
+
+
+def _faced(c: np.ndarray) -> tuple[np.ndarray, float]:
+    """Candidates as columns that ``_bounds`` meet, and what they were divided by."""
+    i, most, lost, norm = _rounded(c)
+    top = most.max()
+    return (np.column_stack((i / 127, norm + lost, lost)) * (most / top)[:, None]).astype(np.float32).T, top
 
 
 def _places(new: np.ndarray) -> np.ndarray:
@@ -67,53 +93,113 @@ def _places(new: np.ndarray) -> np.ndarray:
 
 
 def _first_copies(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
-    """Rows to keep, by id: of those with equal vectors k of each id at most, and of these 2 k."""
-    order = np.argsort(ids, kind="stable")
+    """Rows to keep, by place: where a vector has more than 2 k rows, k of each id at most, and of these the 2 k of the smallest ids."""
+    bits = np.ascontiguousarray(x + 0.0).view(np.uint64)
+    mixed = (bits ^ (bits >> np.uint64(29))) @ np.random.default_rng(1).integers(1 << 62, size=x.shape[1], dtype=np.uint64)
+    _, alike, n = np.unique(mixed, return_inverse=True, return_counts=True)
+    many = n[alike.reshape(-1)] > 2 * k  # rows that equal in bits mix to one number: no others can have so many copies
+    if not many.any():
+        return np.arange(len(ids))
+    some = np.flatnonzero(many)
+    order = some[np.argsort(ids[some], kind="stable")]
     same = np.unique(np.ascontiguousarray(x[order]).view([("", x.dtype)] * x.shape[1]).reshape(-1), return_inverse=True)[1]
     same = same.reshape(-1)
     by = np.argsort(same, kind="stable")
     vector, own = same[by], ids[order[by]]
     few = _places((np.diff(vector, prepend=-1) != 0) | (np.append(True, own[1:] != own[:-1]))) < k
     by, vector = by[few], vector[few]
-    return np.sort(order[by[_places(np.diff(vector, prepend=-1) != 0) < 2 * k]])
+    return np.sort(np.append(np.flatnonzero(~many), order[by[_places(np.diff(vector, prepend=-1) != 0) < 2 * k]]))
+
+
+def _scores(q: np.ndarray, a: np.ndarray, c: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows a of q and b of c, summed in the order of components."""
+    out = np.empty(len(a))
+    step = max(1, COMPONENTS // q.shape[1])
+    for i in range(0, len(a), step):
+        some = slice(i, i + step)
+        out[some] = np.cumsum(q[a[some]] * c[b[some]], axis=1)[:, -1] + 0.0
+    return out
+
 
+def _best(a: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, places): of each query ``a`` its k best by score, then smaller id."""
+    order = np.lexsort((ids, -score, a))
+    rank = np.arange(len(a)) - np.searchsorted(a[order], a[order])
+    return order[rank < k], rank[rank < k]
 
-def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, candidate index, exact score): of each query the k best in this tile, and no others."""
+
+def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, floor: np.ndarray | None = None, bounds=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query index, candidate index, exact score): of each query the k best in this tile, and no others.
+
+    With a ``floor``, k-th best scores of other tiles, some of the k that score less may be left out. ``bounds`` are those of ``q``, if at hand.
+    """
     keep = _first_copies(c_ids, c, k)
-    qi, qs, qe, qn = _rounded(q)
-    ci, cs, ce, cn = _rounded(c[keep])
-    exact = np.float32 if 127 * 127 * q.shape[1] < 1 << 24 else np.float64  # sums of int8 products must be exact
-    left, right = qi.astype(exact), ci.astype(exact).T
+    high, low, divided = bounds or _bounds(q)
+    right, top = _faced(c[keep])
+    with np.errstate(over="ignore"):
+        # Scores that double precision rounds to zero tie, whatever they were.
+        small = q.shape[1] * 1e-320
+        slack = (small / divided / top + 1e-30).astype(np.float32)
+        if floor is not None:
+            least = (floor - np.abs(floor) * 2.0**-22 - small) / divided / top - 1e-30
+            least = np.where(np.isfinite(floor), least, -np.inf).astype(np.float32)
     out = []
-    step = max(1, (8 << 20) // max(1, len(keep)))
+    step = max(1, COMPONENTS // max(1, len(keep)))
     for i in range(0, len(q), step):
         rows = slice(i, min(len(q), i + step))
-        product = (left[rows] @ right) * (qs[rows, None] * cs)
-        bound = qe[rows, None] * (cn + ce) + qn[rows, None] * ce
-        product[q_ids[rows, None] == c_ids[keep]] = -np.inf
-        low = product - bound
-        floor = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
-        a, b = np.nonzero((product + bound >= floor[:, None]) & (product > -np.inf))
-        score = np.zeros(len(a))
-        for d in range(q.shape[1]):
-            score += q[rows][a, d] * c[keep[b], d]
-        order = np.lexsort((c_ids[keep[b]], -score, a))
-        a, b, score = a[order], b[order], score[order]
-        rank = np.arange(len(a)) - np.searchsorted(a, a)
-        best = rank < k
-        out.append((a[best] + i, keep[b[best]], score[best]))
+        if floor is not None:
+            bar = least[rows]
+        elif len(keep) > k:
+            sure = low[rows] @ right
+            sure[q_ids[rows, None] == c_ids[keep]] = -np.inf
+            bar = np.partition(sure, -k, axis=1)[:, -k] - slack[rows]
+        else:
+            bar = np.full(rows.stop - i, -np.inf, np.float32)
+        a, b = np.divmod(np.flatnonzero((high[rows] @ right >= bar[:, None]).reshape(-1)), len(keep))
+        a, b = a + i, keep[b]
+        other = q_ids[a] != c_ids[b]
+        a, b = a[other], b[other]
+        score = _scores(q, a, c, b)
+        order, _ = _best(a, c_ids[b], score, k)
+        out.append((a[order], b[order], score[order]))
     return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
-def _tiles(k: int):
-    def run(key, queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        if not len(queries) or not len(candidates):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        queries, candidates = queries.combine_chunks(), candidates.combine_chunks()
-        q_ids, c_ids = np.asarray(queries["vec_id"]), np.asarray(candidates["vec_id"])
-        a, b, score = tile(q_ids, _matrix(queries["embedding"].combine_chunks()), c_ids, _matrix(candidates["embedding"].combine_chunks()), k)
-        return pa.table({"query_id": q_ids[a], "vec_id": c_ids[b], "score": score})
+def _batches(files: list[str], length: int, rows: int):
+    """(ids, vectors) of stored candidates of a length, so many at a time."""
+    for path in files:
+        store, inner, _ = filesystem(path)
+        with store.open_input_file(inner) as f:
+            for batch in pq.ParquetFile(f).iter_batches(rows, columns=["vec_id", "embedding"]):
+                batch = batch.filter(pc.equal(pc.list_value_length(batch["embedding"]), length))
+                if len(batch):
+                    yield np.asarray(batch["vec_id"]), _matrix(batch["embedding"])
+
+
+def _search(k: int, files: list[str], slices: int, length: int, rows: int):
+    """A task's queries against its slice of the files."""
+
+    def run(batches):
+        own = [b for b in batches if len(b)]
+        if not own:
+            return
+        own = pa.Table.from_batches(own).combine_chunks()
+        q_ids, q = np.asarray(own["vec_id"]), _matrix(own["embedding"].combine_chunks())
+        bounds, floor, seen = _bounds(q), None, 0
+        found = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for c_ids, c in _batches(files[own["cell"][0].as_py() % slices :: slices], length, rows):
+            at = 0
+            while at < len(c_ids):
+                some = slice(at, at + max(FIRST, seen))
+                a, b, score = tile(q_ids, q, c_ids[some], c[some], k, floor, bounds)
+                seen, at = seen + len(c_ids[some]), some.stop
+                if len(a):
+                    found = tuple(map(np.append, found, (a, c_ids[some][b], score)))
+                    order, place = _best(*found, k)
+                    found = tuple(x[order] for x in found)
+                    floor = np.full(len(q_ids), -np.inf)
+                    floor[found[0][place == k - 1]] = found[2][place == k - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids[found[0]]), pa.array(found[1]), pa.array(found[2])], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -143,28 +229,28 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that ``is_query`` marks, its k nearest among all rows."""
     spark = vectors.sparkSession
-    rows = stored(usable(vectors).withColumn("n", F.size("embedding")), "vectors")
+    path = shared_path(spark, "vectors")
+    sized = usable(vectors).withColumn("n", F.size("embedding"))
+    sized.write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
+    rows = spark.read.schema(sized.schema).parquet(path)
     # The commonest length is the table's; a table with more than a few lengths is at fault.
     length = rows.groupBy("n").count().orderBy(F.desc("count"), "n").first()
+    schema = "query_id long, rank int, vec_id long, score double"
     if length is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.col("n") == length["n"]).drop("n")
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    candidates_n, queries_n = length["count"], queries.count()
+        return spark.createDataFrame([], schema)
+    n, files = length["n"], sorted(rows.inputFiles())
+    queries = rows.where((F.col("n") == n) & is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    most = max(1, COMPONENTS // n)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    q_blocks = max(1, -(-queries_n // query_block))
-    c_blocks = max(-(-candidates_n // candidate_block), min(parts, -(-candidates_n // 1024)))
-    # Candidates are dealt by position, not by id or vector: no value can fill a block.
-    number = lambda blocks: F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(blocks)).cast("int")
-    dealt_q = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int"))
-    dealt_q = dealt_q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-    dealt_c = rows.withColumn("cb", number(c_blocks))
-    dealt_c = dealt_c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    cells = dealt_q.groupBy("qb", "cb").cogroup(dealt_c.groupBy("qb", "cb"))
-    found = cells.applyInArrow(_tiles(k), FOUND)
-    schema = "query_id long, rank int, vec_id long, score double"
+    q_blocks = max(1, -(-queries.count() // min(query_block, most)))
+    # Few queries are one block, and the files are its tasks; tasks of many blocks read all files, or as many as one should.
+    slices = max(1, min(len(files), max(-(-4 * spark.sparkContext.defaultParallelism // q_blocks), -(-length["count"] // SLICE))))
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int")
+    cells = F.sequence(block * slices, block * slices + F.lit(slices - 1))
+    dealt = queries.withColumn("cell", F.explode(cells)).repartitionById(q_blocks * slices, F.col("cell"))
+    found = dealt.mapInArrow(_search(k, files, slices, n, min(candidate_block, most)), FOUND)
     parts = max(parts, q_blocks)
-    if c_blocks > GROUP:  # more tiles a query than one merge should see: first within salted groups
-        salted = found.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(-(-c_blocks // GROUP))))
+    if slices > GROUP:  # more answers to a query than one merge should see: first within salted groups
+        salted = found.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(-(-slices // GROUP))))
         found = salted.repartition(parts, "query_id", "g").drop("g").mapInArrow(_merged(k), schema).drop("rank")
     return found.repartition(parts, "query_id").mapInArrow(_merged(k), schema)

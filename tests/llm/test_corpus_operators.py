@@ -2,6 +2,7 @@
 
 import random
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -198,6 +199,43 @@ def test_neighbours_of_repeated_query_rows():
     assert list(np.array([5] * 10 + [7, 8])[b]) == [7, 8]
 
 
+def test_neighbours_shuffle_no_candidates(spark, monkeypatch):
+    """However many blocks of queries there are, candidates are stored once and read by the tasks; copies, slices and small tiles change no answer."""
+    monkeypatch.setattr(nearest_neighbours, "FIRST", 8)
+    monkeypatch.setattr(nearest_neighbours, "GROUP", 2)
+    x = np.random.RandomState(4).randint(-2, 3, size=(500, 6)).astype(float)
+    x[100:160], x[0] = x[100], x[100]
+    x[~x.any(1)] = 1.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    found = nearest_neighbours.search(df, F.col("vec_id") % 3 == 0, k=4, query_block=9, candidate_block=32)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and plan.count("Generate") == 1
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = {q: [(i, float(x[i] @ x[q])) for i in sorted(range(500), key=lambda i: (-x[i] @ x[q], i)) if i != q][:4] for q in range(0, 500, 3)}
+    assert got == want
+
+
+def test_tiles_with_a_floor_leave_out_no_best():
+    rng = np.random.RandomState(8)
+    for scale in (1.0, 1e-160, 1e150, 1e-310):
+        q, c = rng.randint(-3, 4, size=(20, 5)) * scale, rng.randint(-3, 4, size=(300, 5)) * scale * rng.choice([1.0, 1e-12, 1e3], size=(300, 1))
+        ids, scores = np.arange(300), [[reduce(lambda s, ab: s + ab[0] * ab[1], zip(x.tolist(), y.tolist()), 0.0) for y in c] for x in q]
+        found = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        floor = None
+        for i in range(0, 300, 50):
+            a, b, s = nearest_neighbours.tile(ids[:20], q, ids[i : i + 50], c[i : i + 50], 4, floor)
+            found = tuple(map(np.append, found, (a, ids[i : i + 50][b], s)))
+            order, place = nearest_neighbours._best(*found, 4)
+            found = tuple(x[order] for x in found)
+            floor = np.full(20, -np.inf)
+            floor[found[0][place == 3]] = found[2][place == 3]
+        for j in range(20):
+            want = sorted((-scores[j][i], i) for i in range(300) if i != j)[:4]
+            assert [(-s, i) for s, i in zip(found[2][found[0] == j], found[1][found[0] == j])] == want
+
+
 def test_neighbours_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nearest_neighbours.search(df, F.col("vec_id") % 20 == 0).count() == 0
