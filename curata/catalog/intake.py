@@ -235,13 +235,16 @@ SELECT page_id, length, content_hash, substring(sha256(content_hash || ':' || pa
 def a11_files(spark, sf_dir):
     """Pages written as files, some alike, and taken in again from the folder."""
     path = S.scratch_path(spark, "artifacts")
-    html = F.when(F.col("page_id") % 7 == 6, "copied").otherwise(F.col("html"))
-    pages = dealt(table(spark, sf_dir, "pages")).select("page_id", F.replace(html, F.lit("\r"), F.lit("")).alias("value"))
-    # Tasks move their own files into place: the driver would move those of all pages one after the other.
-    pages.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("page_id").text(path)
-    files = S.artifacts(spark, path, "*.txt").withColumn("page_id", F.col("page_id").cast("long"))
-    known = files.where("page_id % 5 = 0").select(F.sha2("content", 256).alias("content_hash"))
-    return S.intake(files.where("page_id % 5 <> 0"), known, "content", "page_id", ["page_id"]).select("page_id", "length", "content_hash", "artifact_id", "status")
+    html = F.replace(F.when(F.col("page_id") % 7 == 6, "copied").otherwise(F.col("html")), F.lit("\r"), F.lit(""))
+    pages = dealt(table(spark, sf_dir, "pages")).select("page_id", F.concat(F.coalesce(html, F.lit("")), F.lit("\n")).alias("value"))
+    S.write_artifacts(pages, path, "page_id", "value")
+    files = S.artifacts(spark, path, "*.txt", ["page_id"]).select(F.col("page_id").cast("long"), "length", F.sha2("content", 256).alias("content_hash"))
+    # Files are read once, for those that are known and those that come in.
+    hashed = S.scratch_path(spark, "hashed")
+    files.write.parquet(hashed)
+    files = spark.read.schema(files.schema).parquet(hashed)
+    known = files.where("page_id % 5 = 0")
+    return S.judged(files.where("page_id % 5 <> 0"), known, "page_id", ["page_id"]).select("page_id", "length", "content_hash", "artifact_id", "status")
 
 
 @C.add(

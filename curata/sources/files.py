@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Callable
+from fnmatch import fnmatchcase
 from functools import reduce
 from html.parser import HTMLParser
+from itertools import islice
+from urllib.parse import quote, unquote
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
@@ -350,7 +359,11 @@ def merged_staging(sources: list[tuple[str, DataFrame]], key: str, keep: dict[st
 
 def intake(artifacts: DataFrame, known: DataFrame, content: str, source: str, order: list) -> DataFrame:
     """Artifacts with content hash, id and status: new, or duplicate of a known one or of an earlier one in the batch."""
-    hashed = artifacts.withColumn("content_hash", F.sha2(F.col(content).cast("binary"), 256))
+    return judged(artifacts.withColumn("content_hash", F.sha2(F.col(content).cast("binary"), 256)), known, source, order)
+
+
+def judged(hashed: DataFrame, known: DataFrame, source: str, order: list) -> DataFrame:
+    """``intake`` of artifacts that have their content hash."""
     met = hashed.join(known.select("content_hash").distinct().withColumn("_known", F.lit(True)), "content_hash", "left")
     place = F.row_number().over(Window.partitionBy("content_hash").orderBy(*order))
     status = F.when(F.col("_known").isNotNull() | (F.col("_n") > 1), "duplicate").otherwise("new")
@@ -358,10 +371,108 @@ def intake(artifacts: DataFrame, known: DataFrame, content: str, source: str, or
     return met.withColumn("_n", place).withColumns({"artifact_id": ident, "status": status}).drop("_known", "_n")
 
 
-def artifacts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files below a folder as artifacts: path, modified, length, content (bytes); columns of the folder's partitions are kept."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", pattern).load(path)
-    return found.withColumnRenamed("modificationTime", "modified")
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"  # fixed value: Spark's name for null in a folder
+
+
+def _place(path: str):
+    """(pyarrow filesystem, path in it) of a path as Spark has it."""
+    if "://" not in path and not path.startswith("file:"):
+        return fs.LocalFileSystem(), path
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path)
+
+
+def _entries(store, folder: str):
+    """(name, whether it is a folder, its time in microseconds) of what lies in a folder; hidden names are left out, as Spark leaves them out."""
+    if isinstance(store, fs.LocalFileSystem):  # a folder of any length, without a list of it
+        with os.scandir(folder) as found:
+            found = ((e.name, e.is_dir(), None if e.is_dir() else e.stat().st_mtime_ns // 1000) for e in found)
+            yield from (e for e in found if e[0][0] != "." and (e[0][0] != "_" or "=" in e[0]))
+    else:
+        found = ((i.base_name, i.type == fs.FileType.Directory, i.mtime_ns and i.mtime_ns // 1000) for i in store.get_file_info(fs.FileSelector(folder)))
+        yield from (e for e in found if e[0][0] != "." and (e[0][0] != "_" or "=" in e[0]))
+
+
+def write_artifacts(rows: DataFrame, path: str, key: str, content: str) -> int:
+    """The bytes of each row as a file of its own below ``path``, in the folder ``key=value``; how many.
+
+    Tasks make folders and files themselves: Spark's writers take some 20 ms a folder. A file is named by task, content and copy and
+    moved to its name when it is whole, so a task that is run again leaves the same files.
+    """
+
+    def run(batches):
+        store, root = _place(path)
+        part, copies = TaskContext.get().partitionId(), Counter()
+        for batch in batches:
+            for value, data in zip(batch[0].to_pylist(), (x.as_py() for x in batch[1]), strict=True):
+                folder = f"{root}/{key}={NO_VALUE if value is None else quote(str(value), safe='')}"
+                digest = hashlib.sha256(data).hexdigest()[:32]
+                copies[value, digest] += 1
+                store.create_dir(folder)
+                hidden = f"{folder}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(hidden) as out:
+                    out.write(data)
+                store.move(hidden, f"{folder}/part-{part:05}-{digest}-{copies[value, digest]}.txt")
+        yield pa.RecordBatch.from_arrays([pa.array([sum(copies.values())], pa.int64())], ["n"])
+
+    store, root = _place(path)
+    store.create_dir(root)
+    data = F.coalesce(F.col(content).cast("binary"), F.lit(b""))
+    return rows.select(F.col(key).cast("string"), data).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def artifacts(spark: SparkSession, path: str, pattern: str = "*", keys: list[str] | None = None) -> DataFrame:
+    """Files below a folder as artifacts: path, modified, length, content (bytes), and a text column for each level of ``key=value`` folders.
+
+    One task lists what lies in the folder, others what lies below it, and read the files, so the driver never has a list of them. Unless ``keys``
+    names them, the first folder of a level names its key.
+    """
+    store, root = _place(path)
+    if keys is None:
+        keys, at = [], root
+        while first := next((name for name, is_folder, _ in _entries(store, at) if is_folder and "=" in name), None):
+            keys, at = [*keys, first.split("=")[0]], f"{at}/{first}"
+
+    def listed(batches):
+        found = (e for _ in batches for e in _entries(_place(path)[0], root))
+        while some := list(islice(found, 10_000)):
+            columns = zip(zip(*some, strict=True), (pa.string(), pa.bool_(), pa.int64()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], ["name", "is_folder", "time"])
+
+    def below(store, at: str, entry: tuple, values: list):
+        name, is_folder, time = entry
+        if not is_folder:
+            if len(values) == len(keys) and fnmatchcase(name, pattern):
+                yield f"{at}/{name}", time, values
+        elif len(values) < len(keys) and name.startswith(f"{keys[len(values)]}="):
+            value = unquote(name.split("=", 1)[1])
+            for inner in _entries(store, f"{at}/{name}"):
+                yield from below(store, f"{at}/{name}", inner, [*values, None if value == NO_VALUE else value])
+
+    def batch_of(rows):
+        columns = list(zip(*rows, strict=True))
+        kinds = [pa.string(), pa.timestamp("us", "UTC"), pa.int64(), pa.binary(), *[pa.string()] * len(keys)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "modified", "length", "content", *keys])
+
+    def read(batches):
+        store, rows, size = _place(path)[0], [], 0
+        for batch in batches:
+            for entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for file, time, values in below(store, root, entry, []):
+                    with store.open_input_file(file) as f:
+                        data = f.read()
+                    rows.append((file, time, len(data), data, *values))
+                    size += len(data)
+                    if size > 4 << 20 or len(rows) == 4096:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    made = "path string, modified timestamp, length long, content binary" + "".join(f", `{k}` string" for k in keys)
+    top = spark.range(0, 1, 1, 1).mapInArrow(listed, "name string, is_folder boolean, time long")
+    return top.repartition(4 * spark.sparkContext.defaultParallelism, "name").mapInArrow(read, made)
 
 
 def stride_sample(df: DataFrame, by: str, order: list[str], cap: int, slices: int = 256) -> DataFrame:

@@ -1,6 +1,8 @@
 """Matching whose ratios DuckDB does not have, page records, fingerprints and gates, against plain Python."""
 
+import hashlib
 import itertools
+import os
 import random
 import re
 from collections import Counter
@@ -666,6 +668,44 @@ def test_page_files_are_written_by_several_tasks(spark, sf_dir, tmp_path, monkey
     assert len(parts) > n and len(set(parts)) > 1
 
 
+def test_artifacts_are_listed_and_read_by_tasks(spark, tmp_path):
+    """A row is a file, whatever its key; the reading tasks don't grow with the files, and the driver has no list of them."""
+    path = str(tmp_path / "artifacts")
+    rows = [(str(i), f"text {i}".encode()) for i in range(300)] + [("7", b"other"), ("7", b"other"), (None, b"no key"), ("a/b=c d", b""), ("8", None)]
+    df = spark.createDataFrame(rows, "id string, body binary").coalesce(1)
+    assert files.write_artifacts(df, path, "id", "body") == 305
+    before = sorted(str(f.relative_to(path)) for f in (tmp_path / "artifacts").rglob("*"))
+    assert files.write_artifacts(df, path, "id", "body") == 305  # as a task does that is run again
+    assert before == sorted(str(f.relative_to(path)) for f in (tmp_path / "artifacts").rglob("*"))
+    (tmp_path / "artifacts" / "id=7" / "part-1.log").write_text("another kind")
+    (tmp_path / "artifacts" / "id=7" / ".part-1.txt").write_text("hidden")
+    (tmp_path / "artifacts" / "_SUCCESS").write_text("")
+    found = files.artifacts(spark, path, "*.txt")
+    assert found.columns == ["path", "modified", "length", "content", "id"]
+    got = found.collect()
+    assert sorted((str(r.id), bytes(r.content)) for r in got) == sorted((str(k), v or b"") for k, v in rows)
+    assert all(r.length == len(r.content) == os.path.getsize(r.path) and abs(r.modified.timestamp() - os.path.getmtime(r.path)) < 86400 for r in got)
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism and "FileScan" not in plan_of(found)
+    plain = tmp_path / "plain"
+    plain.mkdir()
+    (plain / "a.txt").write_text("x")
+    (plain / "b.md").write_text("y")
+    assert [(os.path.basename(r.path), bytes(r.content)) for r in files.artifacts(spark, str(plain), "*.txt").collect()] == [("a.txt", b"x")]
+
+
+def test_page_files_of_repeated_and_missing_pages(spark, tmp_path):
+    d = str(tmp_path / "in")
+    rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>b</p>"), (1, "u", "<p>a</p>"), (2, "u", "x\r\ny"), (3, "u", None), (None, "u", "z"), (6, "u", "copied anyway"), (10, "u", "<p>b</p>")]
+    schema = "page_id long, url string, html string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{d}/pages.parquet")
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = sorted((r.page_id, r.length, r.content_hash, r.status) for r in intake.a11_files(spark, d).collect())
+    a, b, xy, none, copied = (digest(t) for t in ("<p>a</p>\n", "<p>b</p>\n", "x\ny\n", "\n", "copied\n"))
+    assert got == sorted([(1, 9, a, "new"), (1, 9, a, "duplicate"), (1, 9, b, "duplicate"), (2, 4, xy, "new"), (3, 1, none, "new"), (6, 7, copied, "new")])
+    spark.createDataFrame([], schema).write.parquet(f"{d}/empty/pages.parquet")
+    assert intake.a11_files(spark, f"{d}/empty").count() == 0
+
+
 @pytest.mark.parametrize("kind", ["levenshtein", "indel"])
 def test_token_resolved_equals_all_pairs(spark, kind):
     rng = random.Random(17)
