@@ -238,7 +238,7 @@ def a11_files(spark, sf_dir):
     html = F.replace(F.when(F.col("page_id") % 7 == 6, "copied").otherwise(F.col("html")), F.lit("\r"), F.lit(""))
     pages = dealt(table(spark, sf_dir, "pages")).select("page_id", F.concat(F.coalesce(html, F.lit("")), F.lit("\n")).alias("value"))
     S.write_artifacts(pages, path, "page_id", "value")
-    files = S.artifacts(spark, path, "*.txt", ["page_id"]).select(F.col("page_id").cast("long"), "length", F.sha2("content", 256).alias("content_hash"))
+    files = S.artifacts(spark, path, "*.txt", ["page_id"]).select(S.written_key(F.col("path")).cast("long").alias("page_id"), "length", F.sha2("content", 256).alias("content_hash"))
     # Files are read once, for those that are known and those that come in.
     hashed = S.scratch_path(spark, "hashed")
     files.write.parquet(hashed)

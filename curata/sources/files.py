@@ -13,6 +13,7 @@ from functools import reduce
 from html.parser import HTMLParser
 from itertools import islice
 from urllib.parse import quote, unquote
+from zlib import crc32
 
 import pandas as pd
 import pyarrow as pa
@@ -372,6 +373,7 @@ def judged(hashed: DataFrame, known: DataFrame, source: str, order: list) -> Dat
 
 
 NO_VALUE = "__HIVE_DEFAULT_PARTITION__"  # fixed value: Spark's name for null in a folder
+FOLDERS = 1024
 
 
 def _place(path: str):
@@ -395,25 +397,28 @@ def _entries(store, folder: str):
 
 
 def write_artifacts(rows: DataFrame, path: str, key: str, content: str) -> int:
-    """The bytes of each row as a file of its own below ``path``, in the folder ``key=value``; how many.
+    """The bytes of each row as a file of its own below ``path``; how many. ``written_key`` has the key of a file's path.
 
-    Tasks make folders and files themselves: Spark's writers take some 20 ms a folder. A file is named by task, content and copy and
-    moved to its name when it is whole, so a task that is run again leaves the same files.
+    Tasks write the files themselves, in folders by a hash of the key: Spark's writers take some 20 ms a folder, and a folder a key is a
+    block of disk. A file is named by task, key, content and copy and moved to its name when it is whole, so a task that is run again leaves the same files.
     """
 
     def run(batches):
         store, root = _place(path)
-        part, copies = TaskContext.get().partitionId(), Counter()
+        part, copies, made = TaskContext.get().partitionId(), Counter(), set()
         for batch in batches:
             for value, data in zip(batch[0].to_pylist(), (x.as_py() for x in batch[1]), strict=True):
-                folder = f"{root}/{key}={NO_VALUE if value is None else quote(str(value), safe='')}"
-                digest = hashlib.sha256(data).hexdigest()[:32]
-                copies[value, digest] += 1
-                store.create_dir(folder)
+                name = NO_VALUE if value is None else quote(value, safe="")
+                folder = f"{root}/{key}=hash-{crc32(name.encode()) % FOLDERS:04}"
+                if folder not in made:
+                    store.create_dir(folder)
+                    made.add(folder)
+                file = f"part-{part:05}-{name}-{hashlib.sha256(data).hexdigest()[:32]}"
+                copies[file] += 1
                 hidden = f"{folder}/.{uuid.uuid4().hex}"
                 with store.open_output_stream(hidden) as out:
                     out.write(data)
-                store.move(hidden, f"{folder}/part-{part:05}-{digest}-{copies[value, digest]}.txt")
+                store.move(hidden, f"{folder}/{file}-{copies[file]}.txt")
         yield pa.RecordBatch.from_arrays([pa.array([sum(copies.values())], pa.int64())], ["n"])
 
     store, root = _place(path)
@@ -422,6 +427,12 @@ def write_artifacts(rows: DataFrame, path: str, key: str, content: str) -> int:
     return rows.select(F.col(key).cast("string"), data).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def written_key(path: Column) -> Column:
+    """The key, as text, of a file of ``write_artifacts``."""
+    name = F.regexp_extract(path, r"/part-\d+-([^/]*)-[0-9a-f]{32}-\d+\.txt$", 1)
+    return F.when(name != NO_VALUE, F.url_decode(name))
+
+
 def artifacts(spark: SparkSession, path: str, pattern: str = "*", keys: list[str] | None = None) -> DataFrame:
     """Files below a folder as artifacts: path, modified, length, content (bytes), and a text column for each level of ``key=value`` folders.
 

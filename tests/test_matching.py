@@ -670,20 +670,30 @@ def test_page_files_are_written_by_several_tasks(spark, sf_dir, tmp_path, monkey
 
 def test_artifacts_are_listed_and_read_by_tasks(spark, tmp_path):
     """A row is a file, whatever its key; the reading tasks don't grow with the files, and the driver has no list of them."""
-    path = str(tmp_path / "artifacts")
-    rows = [(str(i), f"text {i}".encode()) for i in range(300)] + [("7", b"other"), ("7", b"other"), (None, b"no key"), ("a/b=c d", b""), ("8", None)]
+    top = tmp_path / "artifacts"
+    path = str(top)
+    rows = [(str(i), f"text {i}".encode()) for i in range(300)] + [("7", b"other"), ("7", b"other"), (None, b"no key"), ("a/b=c d-1+2.txt", b""), ("8", None)]
     df = spark.createDataFrame(rows, "id string, body binary").coalesce(1)
     assert files.write_artifacts(df, path, "id", "body") == 305
-    before = sorted(str(f.relative_to(path)) for f in (tmp_path / "artifacts").rglob("*"))
+    before = sorted(str(f.relative_to(path)) for f in top.rglob("*"))
     assert files.write_artifacts(df, path, "id", "body") == 305  # as a task does that is run again
-    assert before == sorted(str(f.relative_to(path)) for f in (tmp_path / "artifacts").rglob("*"))
-    (tmp_path / "artifacts" / "id=7" / "part-1.log").write_text("another kind")
-    (tmp_path / "artifacts" / "id=7" / ".part-1.txt").write_text("hidden")
-    (tmp_path / "artifacts" / "_SUCCESS").write_text("")
-    found = files.artifacts(spark, path, "*.txt")
+    assert before == sorted(str(f.relative_to(path)) for f in top.rglob("*"))
+    assert len(list(top.iterdir())) < 305
+    (top / "id=x%2Fy" / "inner=2").mkdir(parents=True)
+    (top / "id=x%2Fy" / "part-1.log").write_text("another kind")
+    (top / "id=x%2Fy" / "part-1.txt").write_text("kept")
+    (top / "id=x%2Fy" / ".part-1.txt").write_text("hidden")
+    (top / "id=__HIVE_DEFAULT_PARTITION__").mkdir()
+    (top / "id=__HIVE_DEFAULT_PARTITION__" / "none.txt").write_text("none")
+    (top / "_SUCCESS").write_text("")
+    found = files.artifacts(spark, path, "*.txt", ["id"])
     assert found.columns == ["path", "modified", "length", "content", "id"]
+    assert files.artifacts(spark, str(top / "id=x%2Fy")).columns == ["path", "modified", "length", "content", "inner"]
     got = found.collect()
-    assert sorted((str(r.id), bytes(r.content)) for r in got) == sorted((str(k), v or b"") for k, v in rows)
+    written = {r.path for r in got if r.id and r.id.startswith("hash-")}
+    keys = found.where("id like 'hash-%'").select(files.written_key(F.col("path")).alias("k"), "content").collect()
+    assert sorted((str(r.k), bytes(r.content)) for r in keys) == sorted((str(k), v or b"") for k, v in rows) and len(written) == 305
+    assert sorted((str(r.id), bytes(r.content)) for r in got if r.path not in written) == [("None", b"none"), ("x/y", b"kept")]
     assert all(r.length == len(r.content) == os.path.getsize(r.path) and abs(r.modified.timestamp() - os.path.getmtime(r.path)) < 86400 for r in got)
     assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism and "FileScan" not in plan_of(found)
     plain = tmp_path / "plain"
